@@ -56,3 +56,11 @@ def running(df: DataFrame, within: list[str], order: list[str], totals: dict[str
     local = ranged.select("*", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(k) for k, v in totals.items()])
     joined = local.join(offsets, key)
     return joined.select(*df.columns, *[(F.col(k) + F.col(f"_{k}")).alias(k) for k in totals])
+
+
+def as_bytes(column) -> list[bytes]:
+    """The UTF-8 bytes of an Arrow string column, null as empty."""
+    import pyarrow as pa
+
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    return [x or b"" for x in column.cast(kind).to_pylist()]
