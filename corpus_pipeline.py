@@ -1,19 +1,65 @@
-"""A corpus pipeline of five operators, each stage over all that the stage before it kept."""
+"""A corpus pipeline of five operators, each stage over all that the stage before it kept.
+
+Quality rules, exact dedup, near dedup, mixing to target weights, packing. No SQL expresses the packing of token ids, so
+``ORACLE_SQL`` is None and the tests hold the rows against a brute-force version.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from trawlspark.llm.divergence import passing
 from trawlspark.llm.exact_dedup import drop_exact_duplicates
 from trawlspark.llm.mixing import mixed_documents
+from trawlspark.llm.near_dedup import one_of_each
+from trawlspark.llm.packing import pack
+from trawlspark.llm.queries import tokenizer_file
+from trawlspark.llm.shared import checkpoint_dir
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or are far from every language reference, go."""
+    return passing(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return drop_exact_duplicates(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the row with the smallest doc_id stays."""
+    return one_of_each(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are cut or repeated to their targets."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All that is left in windows of tokens."""
+    return pack(docs, tokenizer_file(), with_ids=False).drop("ids")
+
+
 STAGES = [
-    ("exact_dedup", lambda spark, docs, sf_dir: drop_exact_duplicates(docs)),
-    ("mixing", lambda spark, docs, sf_dir: mixed_documents(docs)),
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
 ]
 
+ORACLE_SQL = None
+
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage over ``documents``, each written as Parquet into the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
