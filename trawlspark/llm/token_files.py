@@ -26,6 +26,8 @@ from .shared import as_bytes, checkpoint_dir, cut, shuffle_partitions
 from .tokens import encoder, with_end
 
 MAGIC, BLOCK, PERCENTILE, FILE_IDS = b"PFORBLK1", 512, 0.9, 1 << 21
+#: Up to so many files, of about 50 bytes each, the table of their starts goes to every executor; else the contents are shuffled.
+BROADCAST_FILES = 200_000
 _HEAD = np.dtype([("least", "<u4"), ("exceptions", "<u2"), ("width", "u1"), ("unused", "u1")])
 
 
@@ -168,9 +170,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             _write(folder, name, encode_file(doc_ids, held, block, percentile))
             return pa.RecordBatch.from_pydict({"file": [name], "part": [part], "number": [number], "docs": [len(held)], "ids": [total]}, schema=out)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                ids = with_end(word_ids(text), end_id)
+        for some in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
+            for doc_id, found in zip(some.column(0).to_pylist(), word_ids.many(as_bytes(some.column(1))), strict=True):
+                ids = with_end(found, end_id)
                 doc_ids.append(doc_id)
                 held.append(ids)
                 total += len(ids)
@@ -202,7 +204,9 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> Data
     schema = "doc_id long, start long, n_tokens long, ids binary"
     if stored is None:
         return spark.createDataFrame([], schema)
-    stored = stored.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(file_starts(files), "file")
+    starts = file_starts(files)
+    starts = F.broadcast(starts) if files.count() <= BROADCAST_FILES else starts
+    stored = stored.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(starts, "file")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

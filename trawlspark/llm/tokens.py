@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable
 
@@ -13,8 +14,10 @@ from .shared import as_bytes
 
 #: Words that a worker remembers at most, and their greatest length in bytes; others are encoded when met.
 REMEMBERED, LONGEST = 1_000_000, 48
-#: Words of letters with at most one mark behind: two pieces at most to any tokenizer that parts letters from marks.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)[.,;:!?]?")
+#: Bytes of text whose new words are looked up together.
+TOGETHER = 1 << 16
+#: Letters, then any ASCII marks but the apostrophe: two pieces at most to a tokenizer that parts letters from marks.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)[!-&(-/:-@\\[-`{-~]*")
 
 
 class WordEncoder:
@@ -40,46 +43,54 @@ class WordEncoder:
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         texts = [w.decode() for w in words]
-        plain = [k for k, t in enumerate(texts) if _PLAIN.fullmatch(t)] if self.ends.any() else []
+        matches = [_PLAIN.fullmatch(t) for t in texts] if self.ends.any() else [None] * len(texts)
+        plain = [k for k, m in enumerate(matches) if m]
         out: dict[bytes, bytes] = {}
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = self._ids([" ".join(texts[k] for k in some)])[0]
+        lines = [plain[at : at + 500] for at in range(0, len(plain), 500)]
+        for some, ids in zip(lines, self._ids([" ".join([texts[k] for k in some]) for some in lines]), strict=True):
             stops = np.flatnonzero(self.ends[ids]) + 1
-            pieces = np.cumsum([2 - texts[k].isalpha() for k in some])
+            pieces = np.cumsum([1 if matches[k].end(1) == len(texts[k]) else 2 for k in some])
             if len(stops) == pieces[-1]:
-                cuts = [0, *stops[pieces - 1].tolist()]
-                raw = ids.tobytes()
-                out.update((words[k], raw[4 * i : 4 * j]) for k, i, j in zip(some, cuts, cuts[1:], strict=False))
+                cuts, raw = [0, *(4 * stops[pieces - 1]).tolist()], ids.tobytes()
+                out.update(zip([words[k] for k in some], [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
         rest = [k for k, w in enumerate(words) if w not in out]
         out.update(zip((words[k] for k in rest), (x.tobytes() for x in self._ids([texts[k] for k in rest])), strict=True))
         return out
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        new = set(words).difference(self.known)
-        if new:
+    def many(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        done: list[np.ndarray] = []
+        while len(done) < len(texts):
+            some, size = [], 0
+            for text in texts[len(done) :]:
+                some.append(text.split())
+                size += len(text)
+                if size >= TOGETHER:
+                    break
+            distinct = set().union(*some)
+            new = distinct.difference(self.known)
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
-                new = set(words)
-            fresh = self._encode(list(new))
-            if len(fresh) <= REMEMBERED:
-                self.known.update(fresh)
-            look = self.known if len(fresh) <= REMEMBERED else fresh
-            raw = b"".join([look[w] for w in words])
+                new = distinct
+            self.known.update(self._encode(list(new)))
+            done += [np.frombuffer(b"".join([self.known[w] for w in words]), "<u4") for words in some]
             for w in new:
                 if len(w) > LONGEST:
-                    self.known.pop(w, None)
-        else:
-            raw = b"".join([self.known[w] for w in words])
-        return np.frombuffer(raw, "<u4")
+                    del self.known[w]
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+        return done
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        return self.many([text])[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each file in a worker process."""
+    """One encoder for each file in a worker process, on the task's own core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
@@ -108,7 +119,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, columns: Iterable[str] = ("
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # bounds what is held as ids at once
                 part = batch.slice(at, 512)
-                ids = [with_end(word_ids(t), end_id).astype(kind) for t in as_bytes(part.column("text"))]
+                ids = [with_end(x, end_id).astype(kind) for x in word_ids.many(as_bytes(part.column("text")))]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in kept), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
                     names=[*kept, "n_tokens", "ids"],
