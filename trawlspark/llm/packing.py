@@ -40,6 +40,9 @@ def _serve(places: DataFrame, length: int, least: int) -> DataFrame:
     schema = "uid long, number int, round long, `from` long, start long, length long"
 
     def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def built(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
         for batch in batches:
             rows: list[tuple] = []
             for uid, number, first, n, weight, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -51,10 +54,10 @@ def _serve(places: DataFrame, length: int, least: int) -> DataFrame:
                     rows.append((uid, number, m * every, token, token - first, stop - token))
                     token = stop
                 if len(rows) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+                    yield built(rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                yield built(rows)
 
     types = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
     return map_arrow(places.select("uid", "number", "first", "n_tokens", "weight", "weights"), serve, schema)
