@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors as V
 from ..workers import map_arrow
@@ -26,7 +26,7 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(place.alias("line_no"), F.trim("value").alias("value")).where("value <> ''")
 
 
-def json_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a file that holds one JSON array; a missing file is an empty table."""
     try:
         return spark.read.schema(schema).json(path, multiLine=True)
