@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
-#: A word is a run of anything but the six ASCII white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..storage import checkpoint_dir, cut
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only for a local master that names none."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="trawl-checkpoint-")
-        context.setCheckpointDir(named)
-    return context.getCheckpointDir()
+__all__ = ["WORD", "as_bytes", "checkpoint_dir", "cut", "n_words", "running", "shuffle_partitions"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder: lost executors cost no recomputation, lineage ends here."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: A word is a run of anything but the six ASCII white-space characters.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
