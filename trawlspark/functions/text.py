@@ -108,3 +108,13 @@ def verse_keys(book: Column, chapter: Column, start: Column, end: Column) -> Col
 
 def segment_id(book: Column, chapter: Column, start: Column, end: Column) -> Column:
     return F.concat(book, F.lit(":"), chapter.cast("string"), F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
+
+
+def as_text(field: Column) -> Column:
+    """A request field as text, empty where it is missing."""
+    return F.coalesce(field.cast("string"), F.lit(""))
+
+
+def truthy(text: Column) -> Column:
+    """A request field as a flag the way a script language reads it: any text but an empty one is true."""
+    return F.coalesce(text != "", F.lit(False))

@@ -52,3 +52,72 @@ def sparse_weights(weights: Column, least: float = 0.01) -> Column:
 def encoded_reply(dense: Column, sparse: Column, dim: int) -> Column:
     """An encoder's answer: the first ``dim`` numbers, and the weights that count."""
     return F.struct(F.slice(dense, 1, dim).alias("dense"), sparse_weights(sparse).alias("sparse"))
+
+
+class OutOfQuota(RuntimeError):
+    """A model refuses for good; a build stops and continues later from what is done."""
+
+
+class Busy(RuntimeError):
+    """A model asks to wait."""
+
+
+def with_retries(model: Callable, tries: int = 6, busy_s: float = 15.0, error_s: float = 5.0, sleep: Callable[[float], None] | None = None) -> Callable:
+    """``model`` called again after a wait: twice as long each time it is busy, a little longer after each other error.
+
+    ``OutOfQuota`` passes at once; the last error passes when the tries are used up.
+    """
+    import time
+
+    wait = sleep or time.sleep
+
+    def call(*arguments):
+        for n in range(tries):
+            try:
+                return model(*arguments)
+            except OutOfQuota:
+                raise
+            except Busy:
+                if n == tries - 1:
+                    raise
+                wait(busy_s * 2**n)
+            except Exception:
+                if n == tries - 1:
+                    raise
+                wait(error_s * (n + 1))
+        raise ValueError("tries must be positive")
+
+    return call
+
+
+class Lazy:
+    """A model that is loaded by the process that first calls it, once: workers load it, the driver does not."""
+
+    def __init__(self, load: Callable[[], Callable]):
+        self.load, self.model = load, None
+
+    def __call__(self, *arguments):
+        if self.model is None:
+            self.model = self.load()
+        return self.model(*arguments)
+
+    def __getstate__(self):
+        return {"load": self.load, "model": None}
+
+    @property
+    def ready(self) -> bool:
+        return self.model is not None
+
+
+def replied(rows: DataFrame, model: Callable[[str], str | None], out: str = "reply") -> DataFrame:
+    """``rows`` (key, prompt) with the reply of a text model to each prompt, null where it gives none."""
+    import pyarrow as pa
+
+    schema = rows.select("key").withColumn(out, F.lit(None).cast("string")).schema
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            texts = [model(p or "") for p in part.column("prompt").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(texts, pa.string())], names=["key", out])
+
+    return map_arrow(rows.select("key", "prompt"), call, schema)
