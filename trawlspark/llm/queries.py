@@ -27,7 +27,7 @@ def tokenizer_file() -> str:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.judge(_table(spark, sf_dir, "documents"))
+    return divergence.judge(_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +131,58 @@ SELECT doc_id, source, size, source_size, target,
 FROM placed
 """
 
+_COUNTED = {
+    "lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r" \t\n\v\f\r", "mark": r""".,;:!?''"()\-""", "symbol": r"#*$%&|<>@^_~`+=/\\\[\]{}",
+    "other_ascii": r"\x00-\x08\x0E-\x1F\x7F", "beyond_ascii": r"^\x00-\x7F",
+}
+
+
+def _class_counts() -> str:
+    def others(chars: str) -> str:
+        return f"[{chars[1:]}]" if chars.startswith("^") else f"[^{chars}]"
+
+    return ", ".join(f"{{'bin': '{name}', 'n': length(regexp_replace(t, '{others(chars)}', '', 'g'))}}" for name, chars in _COUNTED.items())
+
+
+_OP3_SQL = rf"""
+WITH base AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines, row_number() OVER () AS row
+  FROM documents
+), windows AS (
+  SELECT row, i, count(*) OVER (PARTITION BY row, a, b, c) AS n
+  FROM (SELECT row, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM base))
+), covered AS (
+  SELECT row, count(DISTINCT place) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS place FROM windows WHERE n > 1) GROUP BY row
+), counts AS (
+  SELECT base.row, doc_id, lang, w, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, [{_class_counts()}] AS classes
+  FROM base LEFT JOIN covered USING (row)
+), judged AS (SELECT *, n_words < {divergence.MIN_WORDS} OR 100 * n_repeat_words > {divergence.REPEATED_PERCENT} * n_words AS base_failed FROM counts),
+vocabulary AS (SELECT unnest(string_split('{" ".join(divergence.VOCABULARY)}', ' ')) AS v),
+forms AS (
+  SELECT DISTINCT form || mark AS word, v FROM (SELECT v, unnest([v, upper(v[1]) || v[2:], upper(v)]) AS form FROM vocabulary), (SELECT unnest(['', '.', ',', ';', ':', '!', '?']) AS mark)
+), common AS (
+  SELECT row, coalesce(v, '') AS bin, count(*) AS n FROM (SELECT row, unnest(w) AS word FROM judged) LEFT JOIN forms USING (word) GROUP BY ALL
+), histograms AS (
+  SELECT row, 'class' AS kind, c.bin AS bin, c.n AS n FROM (SELECT row, unnest(classes) AS c FROM judged)
+  UNION ALL SELECT row, 'word', bin, n FROM common
+), bins AS (SELECT 'word' AS kind, v AS bin FROM vocabulary UNION ALL SELECT 'word', '' UNION ALL SELECT 'class', unnest({list(_COUNTED)})),
+shares AS (
+  SELECT j.row, lang, base_failed, n_words, b.kind, b.bin, coalesce(h.n, 0)::DOUBLE / greatest(sum(coalesce(h.n, 0)) OVER (PARTITION BY j.row, b.kind), 1) AS p
+  FROM judged j CROSS JOIN bins b LEFT JOIN histograms h ON h.row = j.row AND h.kind = b.kind AND h.bin = b.bin
+), refs AS (
+  SELECT lang AS reference, kind, bin, avg(p) AS q FROM shares WHERE NOT base_failed AND lang IN ({", ".join(f"'{x}'" for x in divergence.COMMON_WORDS)}) GROUP BY ALL
+), distances AS (
+  SELECT row, kind, reference, sqrt(greatest(0, least(1, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2))) AS d
+  FROM shares JOIN refs USING (kind, bin) WHERE n_words >= {divergence.GUARD_WORDS} GROUP BY ALL
+), nearest AS (SELECT row, min(d) FILTER (kind = 'class') AS c, min(d) FILTER (kind = 'word') AS w FROM (SELECT row, kind, min(d) AS d FROM distances GROUP BY ALL) GROUP BY row)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(nearest.c <= {divergence.CLASS_LIMIT} + {divergence.CLASS_ALLOWANCE} / sqrt(n_words), true)
+       AND coalesce(nearest.w <= {divergence.WORD_LIMIT} + {divergence.WORD_ALLOWANCE} / sqrt(n_words), true) AS kept
+FROM judged LEFT JOIN nearest USING (row)
+"""
+
 _OP8_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -154,4 +206,4 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-SQL = {"op1_url_filters": _OP1_SQL, "op2_mixing": _OP2_SQL, "op8_near_dedup": _OP8_SQL, "op10_exact_dedup": _OP10_SQL}
+SQL = {"op1_url_filters": _OP1_SQL, "op2_mixing": _OP2_SQL, "op3_quality_rules": _OP3_SQL, "op8_near_dedup": _OP8_SQL, "op10_exact_dedup": _OP10_SQL}
