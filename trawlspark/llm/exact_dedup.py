@@ -51,22 +51,24 @@ def block_names(texts: DataFrame, block: int = BLOCK) -> DataFrame:
         level += 1
 
 
-def _judged(docs: DataFrame, block: int) -> DataFrame:
-    """Every row as struct ``row``, with the digest columns."""
-    text = F.coalesce(F.col("row.text"), F.lit(""))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    rows = rows.select("row", F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("hash"))
+def _judged(docs: DataFrame, block: int, carry: list[str]) -> DataFrame:
+    """Every row's columns ``carry`` as struct ``row``, with the digest columns."""
+    body = [] if "text" in carry else [docs["text"].alias("body")]
+    text = F.coalesce(F.col("body" if body else "row.text"), F.lit(""))
+    rows = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), *body)
+    rows = rows.select("*", F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("hash"))
     shared = cut(rows.groupBy("bytes", "hash").agg(F.count("*").alias("n")).where("n > 1").select("bytes", "hash"))
     sha = F.sha2(text, 256).alias("text_sha256")
-    alone = rows.join(shared, ["bytes", "hash"], "left_anti").select(
-        "row", F.col("row.doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha
+    alone = rows.select("row", "bytes", "hash", sha).join(shared, ["bytes", "hash"], "left_anti").select(
+        "row", F.col("row.doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
-    several = cut(rows.join(shared, ["bytes", "hash"]).select(F.monotonically_increasing_id().alias("uid"), "row", "bytes"))
+    several = rows.join(shared, ["bytes", "hash"]).drop("hash").withColumn("uid", F.monotonically_increasing_id())
+    several = cut(several)
     names = block_names(several.select("uid", text.alias("text")), block)
     ids = cut(several.select("uid", F.col("row.doc_id").alias("doc_id"), "bytes").join(names, "uid"))
     key = ["bytes", "level", "name"]
     best = F.max(F.struct("doc_id", "uid")).alias("best")
-    groups = ids.groupBy(*key).agg(best, F.count("*").alias("group_size"))
+    groups = cut(ids.groupBy(*key).agg(best, F.count("*").alias("group_size")))
     verdicts = ids.join(groups, key).select("uid", "best", "group_size")
     judged = several.join(verdicts, "uid").select(
         "row", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("best.uid") == F.col("uid")).alias("kept"), sha
@@ -81,10 +83,10 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     whatever their length. Of equal texts the row with the largest doc_id is kept (null ids come last); of repeated rows
     with that id one is kept. An empty table gives no rows.
     """
-    judged = _judged(docs.select("doc_id", "text"), block)
+    judged = _judged(docs.select("doc_id", "text"), block, ["doc_id"])
     return judged.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns, whatever their names."""
-    return _judged(docs, block).where("kept").select("row.*")
+    return _judged(docs, block, docs.columns).where("kept").select("row.*")
