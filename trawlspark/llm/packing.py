@@ -89,7 +89,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
     rows = held.select("uid", "doc_id", "source", "n_tokens").alias("h").join(queues.alias("q"), F.col("h.source").eqNullSafe(F.col("q.source")))
     key = F.xxhash64(F.lit(seed), "doc_id").alias("key")
     placed = running(rows.select("uid", "n_tokens", "number", "weight", "weights", key), ["number"], ["key", "uid"], {"first": "n_tokens"})
-    pieces = running(_serve(placed, length, least), [], ["round", "number", "from"], {"at": "length"})
+    pieces = running(cut(_serve(placed, length, least)), [], ["round", "number", "from"], {"at": "length"})
     last = F.expr(f"(at + length - 1) div {length}")
     pieces = pieces.select("*", F.explode(F.sequence(F.expr(f"at div {length}"), last)).alias("sequence_id"))
     begin = F.greatest(F.col("at"), F.col("sequence_id") * length)

@@ -67,18 +67,20 @@ class WordEncoder:
                 size += len(text)
                 if size >= TOGETHER:
                     break
-            distinct = set().union(*some)
-            new = distinct.difference(self.known)
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = distinct
-            self.known.update(self._encode(list(new)))
-            done += [np.frombuffer(b"".join([self.known[w] for w in words]), "<u4") for words in some]
-            for w in new:
-                if len(w) > LONGEST:
-                    del self.known[w]
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
+            found = [list(map(self.known.get, words)) for words in some]
+            missing = [[k for k, f in enumerate(raw) if f is None] for raw in found]
+            new = {words[k] for words, places in zip(some, missing, strict=True) for k in places}
+            if new:
+                fresh = self._encode(list(new))
+                for words, raw, places in zip(some, found, missing, strict=True):
+                    for k in places:
+                        raw[k] = fresh[words[k]]
+                if len(self.known) + len(fresh) > REMEMBERED:
+                    self.known.clear()
+                self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST)
+                if len(self.known) > REMEMBERED:
+                    self.known.clear()
+            done += [np.frombuffer(b"".join(raw), "<u4") for raw in found]
         return done
 
     def __call__(self, text: bytes) -> np.ndarray:
