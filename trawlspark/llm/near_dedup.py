@@ -3,14 +3,15 @@
 A document's set holds its distinct pairs of adjacent words. Documents with equal sets form one class, and everything
 after works on classes. A class's signature has ``COORDINATES`` coordinates, each the combination of ``WIDTH`` of
 ``HASHES`` MinHash values. A class is posted under each of its (coordinate, value) pairs; classes that share a list
-collide there, and a pair with ``MATCHES`` collisions is a candidate. The chance that a pair at the threshold collides
-less often is about one in a million.
+collide there. The chance that a pair at the threshold collides
+nowhere is under one in ten million.
 
-No list is expanded into all its pairs. Lists of one class are skipped. In two merging rounds each class is paired with
-the first, then the last class of its lists that collides with it most often; pairs that the full sets confirm are merged
-into components. What is left are lists that hold several components: only there all pairs across components are
-compared, and passed on where sizes and 128 one-bit values of the MinHashes allow the threshold. So a large group of near copies
-costs a number of pairs in proportion to its size, and yet no link between components is lost.
+No list is expanded into all its pairs. Lists of one class are skipped. In a merging round each class is paired with the
+first class of one of its lists, the one that it collides with most often, ``MATCHES`` times at least; pairs that the full sets confirm are merged
+into components. What is left are lists that hold several components. These are dealt into blocks, and the full sets of
+two blocks meet in one place, where matrix products count all their intersections at once; only links that tie further
+components together leave that place, fewer than there are classes in it. So a large group of near copies costs rows in
+proportion to its size, and yet no link between components is lost.
 
 Every link is confirmed on the full sets, of which the members are 64-bit hashes of the pairs of words.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..workers import map_arrow
 from .components import connected_components
-from .shared import as_bytes, cut
+from .shared import as_bytes, cut, shuffle_partitions
 
 HASHES, WIDTH, COORDINATES, MATCHES = 128, 4, 32, 2
 #: One-bit values of two sets at the threshold that agree at least (115 of 128 are expected to, with a deviation of 3.4).
@@ -32,6 +33,8 @@ AGREE = 96
 PERCENT = 80
 #: Up to so many 8-byte ids are sent to every executor to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Classes of a list that meet those of another block, and members of their sets that are compared at a time.
+BLOCK, COLUMNS = 1024, 4096
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
@@ -163,38 +166,100 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(u, "u").join(v, "v").where(_near("x", "y", percent)).select(*pairs.columns)
 
 
+def links_within(members: list[np.ndarray], parts: list[int], percent: int) -> list[tuple[int, int]]:
+    """Places of linked sets that tie together all parts that any links among the sets tie together.
+
+    Sizes of all intersections come from products of incidence matrices, ``COLUMNS`` members of the sets at a time.
+    """
+    m, sizes = len(members), np.array([len(x) for x in members])
+    value, owner = np.concatenate(members), np.repeat(np.arange(m), sizes)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    new = np.r_[True, value[1:] != value[:-1]]
+    number = np.cumsum(new) - 1
+    often = np.bincount(number)[number] > 1  # a member of one set is in no intersection
+    number, owner = number[often], owner[often]
+    number = np.unique(number, return_inverse=True)[1]
+    common = np.zeros((m, m), np.float32)
+    ends = np.searchsorted(number, np.arange(COLUMNS, (number[-1] if len(number) else 0) + COLUMNS + 1, COLUMNS))
+    for lo, hi in zip(np.r_[0, ends[:-1]], ends, strict=True):
+        x = np.zeros((m, COLUMNS), np.float32)
+        x[owner[lo:hi], number[lo:hi] % COLUMNS] = 1
+        common += x @ x.T
+    both = common.astype(np.float64)  # whole numbers, exact
+    linked = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (np.array(parts)[:, None] != np.array(parts)[None, :])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        a, b = find(parts[i]), find(parts[j])
+        if a != b:
+            root[a] = b
+            out.append((int(i), int(j)))
+    return out
+
+
+def _across_parts(shared: DataFrame, parts: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different components, from all lists that hold several.
+
+    A list is dealt into blocks of about ``BLOCK`` classes and each pair of blocks is compared in one place, where the
+    full sets meet; only links that tie further components together leave it.
+    """
+    import pyarrow as pa
+
+    labelled = shared.select("term", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    mixed = labelled.groupBy("term").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("size")).where("least < most")
+    open_lists = cut(labelled.join(cut(mixed.select("term", "size")), "term"))
+    sets = cut(_sets(docs, cut(open_lists.select("node").distinct().join(classes, "node").select("node", "doc_id", "digest"))))
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    # classes of one block are compared wherever it meets another, so a block meets itself only if it is alone
+    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda b: (b != F.col("own")) | (blocks == 1))
+    dealt = open_lists.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(others))
+    dealt = dealt.select("term", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "part")
+    met = dealt.join(sets, "node").repartition(shuffle_partitions(docs.sparkSession), "term", "i", "j").sortWithinPartitions("term", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, labels, members = None, [], [], []
+
+        def found() -> list[tuple[int, int]]:
+            pairs = links_within(members, labels, percent) if len(set(labels)) > 1 else []
+            return [(nodes[a], nodes[b]) for a, b in pairs]
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("term", "i", "j", "node", "part")), batch.column("members"), strict=True)
+            for term, i, j, node, part, data in rows:
+                if key != (term, i, j):
+                    out += found()
+                    key, nodes, labels, members = (term, i, j), [], [], []
+                nodes.append(node)
+                labels.append(part)
+                members.append(np.frombuffer(data.as_py(), np.uint64))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+        if out := found():
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+
+    return map_arrow(met.select("term", "i", "j", "node", "part", "members"), compare, "u long, v long")
+
+
 def class_links(sketches: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (u, v) between classes that tie together all that any links tie together."""
     postings = sketches.select("node", F.explode("coordinates").alias("term"))
     sketches = sketches.select("node", "n", "bits0", "bits1")
-    lists = postings.groupBy("term").agg(F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last"))
+    lists = postings.groupBy("term").agg(F.count("*").alias("size"), F.min("node").alias("first"))
     shared = cut(postings.join(cut(lists.where("size > 1").drop("size")), "term"))
-    links, parts = None, None
-    for end in ("first", "last"):
-        pairs = shared.where(f"node <> {end}").groupBy(F.col("node").alias("u"), F.col(end).alias("v")).agg(F.count("*").alias("matches"))
-        pairs = _possible(pairs.where(f"matches >= {MATCHES}"), sketches, percent)
-        if parts is not None:
-            pairs = _across(pairs, parts)
-        rank = F.col("matches") * F.lit(1 << 40) - F.col("v") % F.lit(1 << 40)
-        best = cut(pairs.groupBy("u").agg(F.max_by("v", rank).alias("v")))
-        found = _confirmed(best, docs, classes, percent)
-        links = found if links is None else cut(links.union(found))
-        parts = cut(connected_components(links))
-    labelled = shared.select("term", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    mixed = labelled.groupBy("term").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most")
-    open_lists = cut(labelled.join(cut(mixed.select("term")), "term").join(sketches, "node"))
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    across = F.expr(f"x.term = y.term AND x.node < y.node AND x.part <> y.part AND {_near('x', 'y', percent)}")
-    rest = x.join(y, across).groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(F.count("*").alias("matches"))
-    return links.union(_confirmed(cut(rest.where(f"matches >= {MATCHES}").select("u", "v")), docs, classes, percent))
-
-
-def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs whose ends aren't in one component yet."""
-    u = parts.select(F.col("node").alias("u"), F.col("component").alias("part_u"))
-    v = parts.select(F.col("node").alias("v"), F.col("component").alias("part_v"))
-    joined = pairs.join(u, "u", "left").join(v, "v", "left")
-    return joined.where(~F.coalesce(F.col("part_u"), F.col("u")).eqNullSafe(F.coalesce(F.col("part_v"), F.col("v")))).select(*pairs.columns)
+    pairs = shared.where("node <> first").groupBy(F.col("node").alias("u"), F.col("first").alias("v")).agg(F.count("*").alias("matches"))
+    pairs = _possible(pairs.where(f"matches >= {MATCHES}"), sketches, percent)
+    rank = F.col("matches") * F.lit(1 << 40) - F.col("v") % F.lit(1 << 40)
+    links = _confirmed(cut(pairs.groupBy("u").agg(F.max_by("v", rank).alias("v"))), docs, classes, percent)
+    parts = cut(connected_components(links))
+    return links.union(cut(_across_parts(shared, parts, docs, classes, percent)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
