@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from trawlspark.operators import corpus as C, segments as G
+from trawlspark.plans import segmenting
 from trawlspark.sources import files
 
 from .conftest import rows
@@ -78,3 +79,22 @@ def test_named_rows(spark):
     assert [(r["verse_start"], r["verse_end"], r["theme_title"]) for r in out.collect()] == [(1, 1, "본문"), (2, 3, "T"), (4, 4, "본문")]
     records = G.records(out, F.col("book"), F.col("chapter")).orderBy("verse_start").first()
     assert records["id"] == "B:1:1-1" and records["range_label"] == "B 1:1"
+
+
+def test_records_of_every_order(spark, tmp_path):
+    r = random.Random(2)
+    lines = [(o, n, r.randint(1, 300), r.randint(1, 9), float(r.randint(1, 50)), float(r.randint(100, 999))) for o in range(1, 61) for n in range(1, r.randint(1, 7) + 1)]
+    table = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double")
+    table.write.parquet(str(tmp_path / "lineitem.parquet"))
+    wanted = []
+    for o in range(1, 61):
+        spans = sorted((max(1, p % 45 - 2), n, p, s, x, min(segmenting.N, p % 45 - 2 + int(q % 9))) for k, n, p, s, q, x in lines if k == o)
+        parts, at = [], 1
+        for start, *_, end in spans:
+            if start > end or end < at:
+                continue
+            parts += [(at, start - 1, "본문")] * (start > at) + [(max(at, start), end, "단락")]
+            at = end + 1
+        parts += [(at, segmenting.N, "본문")] * (at <= segmenting.N)
+        wanted += [(f"O:{o}:{s}-{e}", f"O {o}:{s}" + f"-{e}" * (s != e), ",".join(f"O:{o}:{v}" for v in range(s, e + 1)), t) for s, e, t in parts]
+    assert rows(segmenting.segment_records(spark, str(tmp_path))) == sorted(wanted, key=str)

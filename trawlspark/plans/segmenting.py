@@ -40,7 +40,7 @@ def normalize_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segment_records(spark: SparkSession, d: str) -> DataFrame:
-    rows = G.records(normalize_intervals(spark, d).where("ch % 10 = 0"), F.lit("O"), F.col("ch"))
+    rows = G.records(normalize_intervals(spark, d), F.lit("O"), F.col("ch"))
     title = F.when(F.col("filler"), F.lit(G.FILLER_TITLE)).otherwise(F.lit(G.NO_TITLE))
     return rows.select("id", "range_label", F.array_join("verse_keys", ",").alias("verse_keys"), title.alias("theme_title"))
 
