@@ -305,6 +305,29 @@ def test_article_without_the_rest(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<select><option>A<option>B</select>", "<select><optgroup label=x><option>A<optgroup label=y><option>B<option>C</select>", "<select><option>A</option><option>B</select>",
+        "<datalist id=d><option>A<option>B</datalist>", "<div><option>A<option>B</div>", "<option>A", "<select><option>A<select>", "<button>A<svg><path d=x></button>", "<button>A<button>B</button>",
+        "<head><title>T</title><meta charset=utf-8>", "<html><head><title>T</title><script>x</script><noscript><img src=i>N</noscript>", "<head><template><p>A</template><link href=x>",
+        "<head><title>T</title></head>", "<head><title>T</title><body>", "<head><title>T</title><button>A</button>", "<dialog><select><option>A</dialog>",
+    ],
+)
+def test_silent_elements_without_end_tags(before):
+    article = "<article><p>First part.<p>Second <b>part</b>.</article>"
+    assert [t for t in html_text.Page(before + article + before + "<p>After").text if t] == ["First part.", "Second part.", "After"]
+
+
+def test_article_after_left_out_end_tags(spark):
+    article = "<article><h1>Head line</h1><p>One two three, and some more words of the text.</p><p>Second part with more words, as an article has.</p></article>"
+    rest = "<nav><ul><li><a href=/>Home</a></ul></nav>{}" + article + "<footer>all rights</footer>"
+    pages = ["<html><head><title>T</title></head><body>" + rest.format(""), "<html><head><title>T</title>" + rest.format(""), "<html><head><title>T</title></head><body>" + rest.format("<select><option>A<option>B</select>")]
+    found = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert found[0].startswith("Head line\nOne two three") and found[0] == found[1] == found[2]
+    assert [t for t in html_text.Page("<head><title>T</title> Text <b>at once</b>").text if t] == ["Text at once"]
+
+
 def test_unseen_layouts():
     maker = html_text._Maker(4321)
     made = [maker.page() for _ in range(150)]

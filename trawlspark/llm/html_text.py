@@ -32,6 +32,8 @@ RAW = frozenset("script style textarea title xmp noembed noframes iframe".split(
 SILENT = RAW | frozenset("head noscript template svg math select option button object canvas audio video datalist dialog".split())
 BLOCKS = ("body", "nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "blockquote", "pre", "figure", "figcaption", "address", "fieldset", "legend", "details", "summary", "hr", "center", "menu", "hgroup", "search", "html")
 _IS_BLOCK = frozenset(BLOCKS)
+#: What can be in a head: the first other tag, or text, ends it.
+_IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript noframes template head html".split())
 _GROUP = {t: k for k, g in enumerate((("nav", "menu"), ("header", "hgroup"), ("footer", "address"), ("aside",), ("form", "fieldset", "legend", "search"), ("article", "main"), ("section",), ("div", "center"), ("p",), ("h1",), ("h2", "h3", "h4", "h5", "h6"), ("li", "dt", "dd"), ("ul", "ol", "dl"), ("table", "tr", "td", "th", "tbody", "thead", "tfoot"), ("blockquote", "pre"), ("figure", "figcaption"), ("body", "html"))) for t in g}
 GROUPS = 18  # the last for all others
 #: Open elements that a start tag ends.
@@ -73,7 +75,8 @@ class Page:
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]
         pieces: list[str] = []
-        linked, links, silent = 0, 0, 0
+        linked, links = 0, 0
+        quiet: list[str] = []  # open elements of SILENT
         at, find = 0, _MARKUP.search
 
         def flush() -> None:
@@ -95,10 +98,17 @@ class Page:
                 if stack[k][0] in scope:
                     return
 
+        def hush(tag: str) -> None:
+            """Ends the innermost such element of SILENT and all inside it."""
+            if tag in quiet:
+                del quiet[len(quiet) - 1 - quiet[::-1].index(tag) :]
+
         while True:
             match = find(source, at)
             piece = source[at : match.start()] if match else source[at:]
-            if piece and not silent:
+            if quiet and quiet[-1] == "head" and piece.strip():
+                quiet.pop()
+            if piece and not quiet:
                 if "&" in piece:
                     piece = html.unescape(piece)
                 pieces.append(piece)
@@ -111,19 +121,25 @@ class Page:
             if tag is None:
                 continue
             tag, ending, attributes = tag.lower(), match[1], match[3]
+            if quiet:
+                if tag == "body" or (quiet == ["option"] and (tag in _IS_BLOCK or tag in ("select", "datalist", "optgroup"))):
+                    quiet.clear()  # an option outside of lists ends where its parent may
+                elif quiet[-1] == "head" and (tag in ("html", "br") if ending else tag not in _IN_HEAD):
+                    quiet.pop()
             if tag in SILENT:
-                if ending:
-                    silent = max(0, silent - 1) if tag not in RAW else silent
-                elif tag in RAW:
-                    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(source, at)
-                    at = end.end() if end else len(source)
-                elif not attributes.endswith("/>"):
-                    silent += 1
+                if tag in RAW:
+                    if not ending:
+                        end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(source, at)
+                        at = end.end() if end else len(source)
+                elif ending or (tag == "select" and tag in quiet):
+                    hush(tag)
+                elif not attributes.endswith("/>") and (tag != "head" or not quiet):
+                    if tag == "button" or (quiet and quiet[-1] == tag == "option"):
+                        hush(tag)
+                    quiet.append(tag)
+                continue
+            if quiet:
                 continue
-            if silent:
-                if tag != "body":
-                    continue
-                silent = 0
             if tag in _IS_BLOCK:
                 if ending:
                     close(tag)
