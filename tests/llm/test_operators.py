@@ -74,6 +74,31 @@ def test_urls(spark):
     assert url_filters.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_link_forms(spark):
+    forms = [
+        ("http://x.com/a/b/c?q#f", to, target)
+        for to, target in (
+            ("index.html", "https://x.com/a/b/index.html"), ("../de/1", "https://x.com/a/de/1"), ("../../../de/1", "https://x.com/de/1"), ("./d/./e/..", "https://x.com/a/b/d/"),
+            ("?id=3", "https://x.com/a/b/c?id=3"), ("#top", "https://x.com/a/b/c?q"), ("/go?next=https://other.com/de/1", "https://x.com/go?next=https://other.com/de/1"),
+            ("go?next=https://other.com/de/1", "https://x.com/a/b/go?next=https://other.com/de/1"), ("?next=https://other.com/../1", "https://x.com/a/b/c?next=https://other.com/../1"),
+            ("//Y.com/d", "https://y.com/d"), ("HTTP://Y.com", "https://y.com/"), ("/a/../d", "https://x.com/d"), ("https:d", "https://x.com/a/b/d"), ("mailto:a@x.com", None),
+        )
+    ] + [("http://x.com", "d", "https://x.com/d"), ("http://x.com", "?id=3", "https://x.com/?id=3"), ("x.com/a", "d", None), ("x.com/a", "/go?next=https://other.com/de/1", None)]
+    data = [(i, url, html.format(to)) for i, (url, to, _) in enumerate(forms) for html in ('<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">')]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1)
+    found = [r["target"] for r in url_filters.links(pages).collect()]
+    assert found == [t for *_, t in forms if t for _ in range(2)]
+
+
+def test_relative_links_carry_verdicts(spark):
+    data = [
+        (1, "http://a.net/x/y", '<meta http-equiv="refresh" content="0; url=../hub">'), (2, "http://x.com/de/1", '<link rel="canonical" href="http://a.net/hub">'),
+        (3, "http://b.net/x", '<link rel="canonical" href="/go?next=https://x.com/de/1">'), (4, "http://c.net/x", '<base href="//a.net/z/"><link rel="canonical" href="../hub">'),
+    ]
+    found = {r["page_id"]: r["verdict"] for r in url_filters.judge_urls(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert found == {1: "block", 2: "block", 3: "allow", 4: "block"}
+
+
 # --- 2 mixing -----------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ rule of its own takes the decision that rules make for its component, allow befo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,8 +24,10 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
 _CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?\s*canonical\b[^>]*>"""
 _REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b[^>]*>"""
+_BASE = r"""(?is)<base\s[^>]*>"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
 _URL = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)"""
 
@@ -57,25 +59,57 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return chosen
 
 
+def _undotted(path: Column) -> Column:
+    """A path that starts with / without its segments . and .., as urls are resolved."""
+    parts = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), none, lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(p == ".", a).otherwise(F.concat(a, F.array(p))))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)), "/"))
+
+
 def resource(url: Column) -> Column:
-    """The url as an alias is compared: without fragment, http as https, host in lower case."""
+    """The url as an alias is compared: without fragment and segments . and .., http as https, host in lower case."""
     tail = F.regexp_extract(_rest(url), r"(?s)^[^/?#]*([^#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(F.lit("https://"), host(url), F.when(tail == "", F.lit("/")).otherwise(tail)))
+    place = F.regexp_extract(tail, "^[^?]*", 0)
+    place = F.when(place == "", F.lit("/")).when(place.rlike(r"/\.\.?(/|$)"), _undotted(place)).otherwise(place)
+    return F.when(F.instr(url, "://") > 0, F.concat(F.lit("https://"), host(url), place, F.regexp_extract(tail, r"(?s)\?.*$", 0)))
+
+
+def resolved(to: Column, url: Column) -> Column:
+    """The url that a link to ``to`` means in a page at ``url``.
+
+    Null for another scheme without ``//`` (mailto:, javascript:), and for a relative link where ``url`` has no scheme.
+    """
+    to = F.regexp_replace(to, "(?i)^https?:(?!//)", "")
+    site = F.regexp_extract(url, f"{_SCHEME}//[^/?#]*", 0)
+    folder = F.regexp_replace(path(url), "[^/]*$", "")
+    return (
+        F.when(to.rlike(f"{_SCHEME}//"), to)
+        .when((site == "") | to.rlike(_SCHEME), F.lit(None).cast("string"))
+        .when(to.startswith("//"), F.concat(F.regexp_extract(url, _SCHEME, 0), to))
+        .when(to.startswith("/"), F.concat(site, to))
+        .when(to.startswith("?"), F.concat(site, path(url), to))
+        .when((to == "") | to.startswith("#"), url)
+        .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), to))
+    )
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(source, target) resources: the canonical link and the refresh target that a page's html names."""
+    """(source, target) resources: the canonical link and the refresh target that a page's html names.
+
+    A relative target is resolved against the page's url, or its ``base`` element if it has one.
+    """
     def named(tag: str, attribute: str) -> Column:
         return F.replace(F.regexp_extract(F.regexp_extract("html", tag, 0), attribute, 1), F.lit("&amp;"), F.lit("&"))
 
-    found = pages.where("html IS NOT NULL AND url IS NOT NULL").select("url", F.explode(F.array(named(_CANONICAL, _HREF), named(_REFRESH, _URL))).alias("to")).where("to <> ''")
-    base = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    absolute = (
-        F.when(F.instr("to", "://") > 0, F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(F.lit("https:"), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(base, F.col("to")))
-    )
-    found = found.select(resource(F.col("url")).alias("source"), resource(absolute).alias("target"))
+    def once(value: Column, use: Callable[[Column], Column]) -> Column:
+        """``use(value)``, where ``value`` stands in the plan once however often it is used."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    found = pages.where("html IS NOT NULL AND url IS NOT NULL").select("url", named(_BASE, _HREF).alias("base"), F.explode(F.array(named(_CANONICAL, _HREF), named(_REFRESH, _URL))).alias("to")).where("to <> ''")
+    base = F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(once(F.col("base"), lambda b: resolved(b, F.col("url"))), F.col("url")))
+    target = once(base, lambda b: once(F.col("to"), lambda t: once(resolved(t, b), resource)))
+    found = found.select(resource(F.col("url")).alias("source"), target.alias("target"))
     return found.where("source IS NOT NULL AND target IS NOT NULL")
 
 
