@@ -1,7 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from trawlspark.functions import text as X
 from trawlspark.operators import search as S
+from trawlspark.plans import searches
 
 from .conftest import rows
 
@@ -63,3 +67,18 @@ def test_checked_query():
     for bad in ("  ", "x" * 301):
         with pytest.raises(ValueError):
             S.checked_query(bad)
+
+
+def test_batch_searches_for_every_item_with_all_words(spark, tmp_path):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdeé가나") for _ in range(r.randint(1, 5))) for _ in range(80)]
+    line = lambda n: "".join(r.choice(words) + r.choice([" ", "\n", "\u3000", "  "]) for _ in range(n))
+    docs = [(i, line(r.randint(0, 12)) or None, r.choice(["a", None]), "en") for i in range(130)]
+    items = [(i, line(9)) for i in range(115)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    wanted = []
+    for i, q in items:
+        scores = [(-sum(w for t, w in X.token_weights(q).items() if t in f"{t_ or ''} {s or ''} {x}"), d) for d, t_, s, x in docs]
+        wanted += [(i, d, -s, n + 1) for n, (s, d) in enumerate(sorted(x for x in scores if x[0])[:50])]
+    assert rows(searches.sparse_topk_batch(spark, str(tmp_path)).select("query_id", "id", "sparse_score", "sparse_rank")) == sorted(wanted, key=str)
