@@ -437,10 +437,31 @@ def test_exact_copies(spark):
     assert kept.columns == docs.columns and sorted(x["doc_id"] for x in kept.collect()) == sorted(map(max, groups.values()))
 
 
-def test_names_tell_texts_with_one_hash_apart(spark):
-    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["aab" * 9, "aba" * 9, "aab" * 9, "b" * 27, "", ""])], "uid long, text string")
-    names = {r["uid"]: (r["level"], r["name"]) for r in exact_dedup.block_names(texts, 2).collect()}
-    assert names[0] == names[2] and names[4] == names[5] and len(set(names.values())) == 4
+@pytest.mark.parametrize("hashes", [1, 3, None])
+def test_names_tell_texts_with_one_hash_apart(spark, hashes):
+    texts = ["aab" * 9, "aba" * 9, "aab" * 9, "b" * 27, "", "", "aab" * 8, "é" * 7, "aab" * 9 + "b", None]
+    digest = (lambda piece: F.pmod(F.xxhash64(piece), F.lit(hashes))) if hashes else F.xxhash64
+    found = {r["doc_id"]: (r["best"]["doc_id"], r["size"]) for r in exact_dedup._judged(documents(spark, *texts), 2, digest).collect()}
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(t or "", []).append(i)
+    assert found == {i: (max(own), len(own)) for own in groups.values() for i in own}
+
+
+def test_exact_dedup_against_brute_force(spark):
+    r = random.Random(13)
+    texts = ["".join(r.choice("ab") for _ in range(r.randint(0, 9))) for _ in range(400)]
+    found = {x["doc_id"]: x for x in exact_dedup.exact_duplicates(documents(spark, *texts), block=2).collect()}
+    for i, t in enumerate(texts):
+        own = [k for k, u in enumerate(texts) if u == t]
+        assert (found[i]["keep_id"], found[i]["group_size"], found[i]["kept"]) == (max(own), len(own), i == max(own))
+
+
+def test_repeated_rows_leave_one(spark):
+    docs = documents(spark, "a", "a", "a", "b", "b", None, "", ids=[3, 3, 1, None, None, 4, 4])
+    found = sorted((x["doc_id"] or -1, x["kept"]) for x in exact_dedup.exact_duplicates(docs).collect())
+    assert found == [(-1, False), (-1, True), (1, False), (3, False), (3, True), (4, False), (4, True)]
+    assert sorted((x["doc_id"] or -1, x["text"] or "") for x in exact_dedup.drop_exact_duplicates(docs).collect()) == [(-1, "b"), (3, "a"), (4, "")]
 
 
 def test_exact_dedup_odd_rows(spark):

@@ -1,79 +1,81 @@
 """Exact duplicates by block naming.
 
-A text is cut into blocks of a fixed number of characters. All distinct blocks are sorted and numbered, so that a
-block's name is an integer that no other block shares; then distinct pairs of adjacent names are sorted and numbered,
-again and again, until one name is left for each text. Two texts of one length have the same last name exactly if they
-are identical: no step relies on a hash being free of collisions.
+A text's UTF-8 bytes are cut into blocks of a fixed size. All distinct blocks are sorted and given integers, so that a
+block's name is an integer that no other block shares; then distinct pairs of adjacent names are sorted and given
+integers, again and again, until one name is left for each text. Two texts have the same last name, after as many
+pairings, exactly if they are identical. Every block of every text is named, also of texts that have no copy.
 
-Only texts whose (length, 64-bit hash) another text shares are named. Texts that differ in either are different for
-certain, so a text alone under its key is its own group; a collision under a key costs a naming, not a wrong result.
+Blocks are sorted by a 64-bit hash, and contents that share a hash by content. Whether any do is found by grouping the
+contents themselves, so no step relies on a hash being free of collisions; the rest of the work moves hashes and names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
 
-from .shared import cut, running
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 
-BLOCK = 1024
+from .shared import cut, numbered
 
+BLOCK = 1 << 14
 
-def _named(rows: DataFrame, content: list[str]) -> DataFrame:
-    """``rows`` with ``name``: the rank of their ``content`` among all distinct ones, from 1."""
-    distinct = rows.select(*content).distinct().withColumn("_one", F.lit(1).cast("long"))
-    ranked = running(distinct, [], content, {"_rank": "_one"})
-    return rows.join(ranked.select(*content, (F.col("_rank") + 1).alias("name")), content)
 
+def _blocks(docs: DataFrame, block: int, digest: Callable[[Column], Column]) -> DataFrame:
+    """(uid, doc_id, sha, left, at, piece, hash): a row for each block of each text; ``left`` is the text's number of blocks.
 
-def block_names(texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(uid, level, name) for rows (uid, text) with unique uids: equal texts, and only they, share level, length and name.
-
-    ``level`` is the number of pairings until one name was left. An empty text is one empty block.
+    The bytes are a column of their own below the generator, so each block is one copy out of them, whatever the length.
     """
-    count = F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(block))).cast("int")
-    blocks = texts.select("uid", "text", F.explode(F.sequence(F.lit(0), count - 1)).alias("at"))
-    blocks = blocks.select("uid", "at", F.substring("text", F.col("at") * block + 1, F.lit(block)).alias("block"))
-    names = cut(_named(blocks, ["block"]).select("uid", F.col("at"), "name"))
-    done, level = None, 0
-    while True:
-        last = names.groupBy("uid").agg(F.max("at").alias("last"), F.max("name").alias("name")).where("last = 0")
-        ended = last.select("uid", F.lit(level).alias("level"), "name")
-        done = ended if done is None else done.union(ended)
-        rest = names.join(last.select("uid"), "uid", "left_anti")
-        pairs = rest.groupBy("uid", F.expr("at div 2").cast("int").alias("at")).agg(
-            F.max(F.when(F.col("at") % 2 == 0, F.col("name"))).alias("left"),
-            F.coalesce(F.max(F.when(F.col("at") % 2 == 1, F.col("name"))), F.lit(0)).alias("right"),
-        )
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            return done
-        names = cut(_named(pairs, ["left", "right"]).select("uid", "at", "name"))
-        level += 1
-
-
-def _judged(docs: DataFrame, block: int, carry: list[str]) -> DataFrame:
-    """Every row's columns ``carry`` as struct ``row``, with the digest columns."""
-    body = [] if "text" in carry else [docs["text"].alias("body")]
-    text = F.coalesce(F.col("body" if body else "row.text"), F.lit(""))
-    rows = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), *body)
-    rows = rows.select("*", F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("hash"))
-    shared = cut(rows.groupBy("bytes", "hash").agg(F.count("*").alias("n")).where("n > 1").select("bytes", "hash"))
-    sha = F.sha2(text, 256).alias("text_sha256")
-    alone = rows.select("row", "bytes", "hash", sha).join(shared, ["bytes", "hash"], "left_anti").select(
-        "row", F.col("row.doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
-    )
-    several = rows.join(shared, ["bytes", "hash"]).drop("hash").withColumn("uid", F.monotonically_increasing_id())
-    several = cut(several)
-    names = block_names(several.select("uid", text.alias("text")), block)
-    ids = cut(several.select("uid", F.col("row.doc_id").alias("doc_id"), "bytes").join(names, "uid"))
-    key = ["bytes", "level", "name"]
-    best = F.max(F.struct("doc_id", "uid")).alias("best")
-    groups = cut(ids.groupBy(*key).agg(best, F.count("*").alias("group_size")))
-    verdicts = ids.join(groups, key).select("uid", "best", "group_size")
-    judged = several.join(verdicts, "uid").select(
-        "row", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("best.uid") == F.col("uid")).alias("kept"), sha
-    )
-    return alone.union(judged)
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
+    left = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / F.lit(block))).cast("int")
+    texts = texts.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "body", F.sha2("body", 256).alias("sha"), left.alias("left"))
+    rows = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("left") - 1)).alias("at"))
+    rows = rows.withColumn("piece", F.substring("body", F.col("at") * block + 1, F.lit(block)))
+    return rows.select("uid", "doc_id", "sha", "left", "at", "piece", digest(F.col("piece")).alias("hash"))
+
+
+def _held(docs: DataFrame, block: int, digest: Callable[[Column], Column]) -> DataFrame:
+    """(uid, doc_id, sha, left, at, hash, which): blocks without their content. ``which`` tells contents of one hash apart."""
+    rows = _blocks(docs, block, digest)
+    distinct = rows.select("hash", "piece").distinct()
+    shared = cut(distinct.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    which = F.lit(0).cast("long")
+    if not shared.isEmpty():
+        contents = distinct.join(shared, "hash").groupBy("hash").agg(F.sort_array(F.collect_list("piece")).alias("contents"))
+        rows = rows.join(cut(contents), "hash", "left")
+        which = F.coalesce(F.array_position("contents", F.col("piece")), which)
+    sha = F.when(F.col("at") == 0, F.col("sha")).alias("sha")  # once for each text
+    return cut(rows.select("uid", "doc_id", sha, "left", "at", "hash", which.alias("which")))
+
+
+def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the name of their ``keys``, and for the texts that end here (``left`` is 1) those of the same name:
+    ``best``, the struct (doc_id, uid) that is greatest, and their number ``size``."""
+    ends = F.col("left") == 1
+    groups = rows.groupBy(*keys).agg(F.max(F.when(ends, F.struct("doc_id", "uid"))).alias("best"), F.count_if(ends).alias("size"))
+    return cut(rows.join(numbered(groups, keys, "name"), keys).drop(*keys))
+
+
+def _judged(docs: DataFrame, block: int, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """doc_id, sha, best, size, uid of every row."""
+    held = _held(docs, block, digest)
+    left = held.agg(F.max("left")).first()[0] or 0
+    named = _named(held, ["hash", "which"])
+    done = [named]
+    while left > 1:
+        odd = F.col("at") % 2 == 1
+        pairs = named.where("left > 1").groupBy("uid", F.expr("at div 2").cast("int").alias("at")).agg(
+            F.max("doc_id").alias("doc_id"), F.max("sha").alias("sha"), F.expr("(max(left) + 1) div 2").cast("int").alias("left"),
+            F.max(F.when(~odd, F.col("name"))).alias("first"), F.coalesce(F.max(F.when(odd, F.col("name"))), F.lit(-1)).alias("second"),
+        )
+        named = _named(pairs, ["first", "second"])
+        done.append(named)
+        left = (left + 1) // 2
+    out = None
+    for rows in done:
+        rows = rows.where("left = 1").select("uid", "doc_id", "sha", "best", "size")
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -83,10 +85,22 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     whatever their length. Of equal texts the row with the largest doc_id is kept (null ids come last); of repeated rows
     with that id one is kept. An empty table gives no rows.
     """
-    judged = _judged(docs.select("doc_id", "text"), block, ["doc_id"])
-    return judged.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+    judged = _judged(docs, block)
+    kept = F.col("best.uid") == F.col("uid")
+    return judged.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns, whatever their names."""
-    return _judged(docs, block, docs.columns).where("kept").select("row.*")
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns, whatever their names.
+
+    Kept rows are matched by doc_id and SHA-256 of the text; of repeated rows with both in common one is returned.
+    """
+    def key(doc_id: Column, sha: Column) -> Column:
+        return F.concat(sha, F.coalesce(F.concat(F.lit(":"), doc_id.cast("string")), F.lit("")))
+
+    kept = _judged(docs, block).where("best.uid = uid").select(key(F.col("doc_id"), F.col("sha")).alias("_key"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("_key", key(F.col("row.doc_id"), F.sha2(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"), 256)))
+    # the join sorts by the key, so counting the rows of a key needs neither another shuffle nor another sort
+    nth = F.row_number().over(W.partitionBy("_key").orderBy("_key"))
+    return rows.join(kept, "_key", "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")

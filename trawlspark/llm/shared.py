@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from ..storage import checkpoint_dir, cut
 
-__all__ = ["WORD", "as_bytes", "checkpoint_dir", "cut", "n_words", "running", "shuffle_partitions"]
+__all__ = ["WORD", "as_bytes", "checkpoint_dir", "cut", "n_words", "numbered", "running", "shuffle_partitions"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,6 +41,16 @@ def running(df: DataFrame, within: list[str], order: list[str], totals: dict[str
     return joined.select(*df.columns, *[(F.col(k) + F.col(f"_{k}")).alias(k) for k in totals])
 
 
+def numbered(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``distinct`` with an integer ``name`` from 0 that rises with its keys; integers are unique, with gaps between ranges.
+
+    The rows are range-sorted and each is named by its range and its place there, so no task holds more than a range and
+    no totals are needed.
+    """
+    ranged = distinct.repartitionByRange(shuffle_partitions(distinct.sparkSession), *keys).sortWithinPartitions(*keys)
+    return cut(ranged.withColumn(name, F.monotonically_increasing_id()))
+
+
 def as_bytes(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column, null as empty."""
     import pyarrow as pa
