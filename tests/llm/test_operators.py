@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trawlspark.llm import divergence, exact_dedup, html_text, mixing, near_dedup, packing, quality, token_counts, token_files, tokens, url_filters
-from trawlspark.llm.components import connected_components
+from trawlspark.llm.components import connected_components, roots
 
 from ..conftest import rows
 
@@ -52,6 +52,19 @@ def test_components_against_union_find(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_roots_of_a_forest(spark):
+    r = random.Random(3)
+    links = [(i, r.randrange(i)) for i in range(1, 60) if r.random() < 0.8] + [(100 + i, 99 + i) for i in range(1, 30)]
+    up = dict(links)
+
+    def root(x):
+        return root(up[x]) if x in up else x
+
+    found = dict(rows(roots(spark.createDataFrame(links, "u long, v long"))))
+    assert found == {x: root(x) for edge in links for x in edge}
+    assert roots(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 # --- 1 url filters ------------------------------------------------------------------------------------------------
 
 
@@ -413,6 +426,35 @@ def test_blocks_of_one_list(spark, monkeypatch):
     assert found == brute_components(dict(enumerate(texts)))
 
 
+def test_candidates_against_a_plain_count():
+    r = np.random.default_rng(3)
+    signature = r.integers(0, 3, (40, near_dedup.COORDINATES))
+    signature[:, 4] = 7  # the list of coordinate 4
+    bits = np.zeros((40, 2), np.uint64)
+    bits[:5, 0] = (1 << 64) - 1
+    side = (np.arange(40), r.integers(0, 6, 40), np.ones(40, bool), r.integers(80, 110, 40), bits, signature)
+    x, y, count = near_dedup.candidates(4, side, side, 80, 12)
+    wanted = set()
+    for a in range(40):
+        for b in range(a + 1, 40):
+            same = signature[a] == signature[b]
+            near = 100 * min(side[3][a], side[3][b]) >= 80 * max(side[3][a], side[3][b]) and (a < 5) == (b < 5)
+            if near and side[1][a] != side[1][b] and same.sum() >= 12 and same.argmax() == 4:
+                wanted.add((a, b, int(same.sum())))
+    assert wanted and {(int(a), int(b), int(c)) for a, b, c in zip(x, y, count, strict=True)} == wanted
+
+
+def test_recall_of_the_inverted_join():
+    """Pairs of sets just at the threshold collide often enough to be compared, all but a few in a hundred thousand."""
+    r = np.random.default_rng(4)
+    few, pairs = 0, 400
+    for _ in range(pairs):
+        members = np.unique(r.integers(0, 1 << 63, 360, dtype=np.uint64))
+        both, _ = near_dedup.signatures([members[:324], members[36:]])  # 288 of 360 in common
+        few += int((both[0] == both[1]).sum()) < near_dedup.MATCHES
+    assert few == 0
+
+
 def test_near_dedup_odd_rows(spark):
     found = near_dedup.near_duplicates(odd(spark)).collect()
     assert len(found) == 9 and all(x["n_shingles"] > 0 or x["kept"] for x in found)

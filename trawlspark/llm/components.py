@@ -1,4 +1,4 @@
-"""Connected components by alternating star contractions, in DataFrame operations only."""
+"""Connected components in DataFrame operations only: star contractions for any graph, pointer jumping for a forest."""
 
 from __future__ import annotations
 
@@ -35,3 +35,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``links`` (u, v), where each u is in one row only and v is less than u.
+
+    ``component`` is the end of a node's way along the links, the smallest node of its tree. Each round doubles the steps
+    that are taken, so rounds grow as the logarithm of the longest way; a round is one join.
+    """
+    ways = links.select("u", "v")
+    while True:
+        step = ways.select(F.col("u").alias("v"), F.col("v").alias("further"))
+        jumped = cut(ways.join(step, "v", "left").select("u", F.coalesce("further", "v").alias("v"), F.col("further").isNotNull().alias("moved")))
+        ways = jumped.select("u", "v")
+        if jumped.where("moved").isEmpty():
+            return ways.select(F.col("u").alias("node"), F.col("v").alias("component")).union(ways.select("v", "v").distinct())

@@ -2,39 +2,42 @@
 
 A document's set holds its distinct pairs of adjacent words. Documents with equal sets form one class, and everything
 after works on classes. A class's signature has ``COORDINATES`` coordinates, each the combination of ``WIDTH`` of
-``HASHES`` MinHash values. A class is posted under each of its (coordinate, value) pairs; classes that share a list
-collide there. The chance that a pair at the threshold collides
-nowhere is under one in ten million.
-
-No list is expanded into all its pairs. Lists of one class are skipped. In a merging round each class is paired with the
-first class of one of its lists, the one that it collides with most often, ``MATCHES`` times at least; pairs that the full sets confirm are merged
-into components. What is left are lists that hold several components. These are dealt into blocks, and the full sets of
-two blocks meet in one place, where matrix products count all their intersections at once; only links that tie further
-components together leave that place, fewer than there are classes in it. So a large group of near copies costs rows in
-proportion to its size, and yet no link between components is lost.
-
-Every link is confirmed on the full sets, of which the members are 64-bit hashes of the pairs of words.
+``HASHES`` MinHash values. Two classes are compared in full if ``MATCHES`` coordinates collide at least. At the threshold
+a coordinate collides with a chance of 0.41, so a pair has fewer collisions than that with a chance of 1 in 70,000.
+
+Classes are posted under their (coordinate, value) pairs. Prefix: so many collisions leave one among all but the last
+``MATCHES`` - 1 coordinates, so only these are posted; the others are looked at where two classes meet. Skip: a pair is
+counted in the list of its first collision and passed over in all later ones.
+
+No list is expanded into all its pairs. Lists of one class are dropped. In a merging round each class is held against one
+class, the one that is first in most of its lists; pairs that the full sets confirm make components. What is left are
+lists that hold several components. There each class outside the list's largest component meets all others, in blocks of
+both: a first visit, with signatures only, counts collisions and hands on the classes that have ``MATCHES`` with a class
+of another component; a second visit brings the full sets of these and links components. Pairs never leave a block, only
+links that tie further components do, so rows stay in proportion to the lists and yet no link between components is lost.
+
+Members of sets are 64-bit hashes of the pairs of words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..workers import map_arrow
-from .components import connected_components
+from .components import connected_components, roots
 from .shared import as_bytes, cut, shuffle_partitions
 
-HASHES, WIDTH, COORDINATES, MATCHES = 128, 4, 32, 2
+HASHES, WIDTH, COORDINATES, MATCHES = 128, 4, 32, 3
 #: One-bit values of two sets at the threshold that agree at least (115 of 128 are expected to, with a deviation of 3.4).
 AGREE = 96
 PERCENT = 80
 #: Up to so many 8-byte ids are sent to every executor to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
-#: Classes of a list that meet those of another block, and members of their sets that are compared at a time.
-BLOCK, COLUMNS = 1024, 4096
+#: Classes of a list that meet those of another block.
+BLOCK = 256
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
@@ -76,11 +79,14 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, coordinates, bits0, bits1; the last four null for an empty set."""
+    """doc_id, n_shingles, digest of the set, bits, coordinates; the last three null for an empty set."""
     import pyarrow as pa
 
     schema = docs.select("doc_id").schema.add("n_shingles", "long").add("digest", "binary")
-    schema = schema.add("coordinates", T.ArrayType(T.LongType())).add("bits0", "long").add("bits1", "long")
+    schema = schema.add("bits", T.ArrayType(T.LongType())).add("coordinates", T.ArrayType(T.LongType()))
+
+    def listed(values: np.ndarray, width: int, take: pa.Array) -> pa.Array:
+        return pa.FixedSizeListArray.from_arrays(pa.array(values.reshape(-1), pa.int64()), width).cast(pa.list_(pa.int64())).take(take)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -105,9 +111,8 @@ def _signed(docs: DataFrame) -> DataFrame:
                     for k in full:
                         digest[k] = xxh3_128_digest(sets[k].tobytes())
                 take = pa.array(where, pa.int64(), mask=where < 0)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(coordinates.reshape(-1), pa.int64()), COORDINATES).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), lists.take(take), *(pa.array(bits[:, k], pa.int64()).take(take) for k in (0, 1))],
+                    [some.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), listed(bits, 2, take), listed(coordinates, COORDINATES, take)],
                     names=schema.names,
                 )
 
@@ -134,132 +139,167 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return map_arrow(texts, collect, "node long, members binary").dropDuplicates(["node"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have ``percent`` of their union in common."""
+def overlaps(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Two sorted sets have ``percent`` of their union in common."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _star(classes: DataFrame, shared: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (u, v), at most one for each class u, to the class v < u that is first in most of its lists."""
     import pyarrow as pa
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    involved = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    sets = cut(_sets(docs, cut(involved.join(classes, "node").select("node", "doc_id", "digest"))))
+            sets = [[np.frombuffer(m.as_buffer(), np.uint64) for m in batch.column(c)] for c in ("a", "b")]
+            yield batch.select(["u", "v"]).filter(pa.array([overlaps(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_()))
+
+    best = shared.where("node <> first").groupBy("node").agg(F.mode("first", True).alias("v")).withColumnRenamed("node", "u")
+    sketch = F.struct("n", "bits", "coordinates")
+    u = classes.select(F.col("node").alias("u"), sketch.alias("x"), F.struct("doc_id", "digest").alias("mine"))
+    v = classes.select(F.col("node").alias("v"), sketch.alias("y"), F.struct("doc_id", "digest").alias("other"))
+    pairs = best.join(u, "u").join(v, "v")
+    sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    bits = f"bit_count(x.bits[0] ^ y.bits[0]) + bit_count(x.bits[1] ^ y.bits[1]) <= {HASHES - AGREE}"
+    collisions = f"size(filter(zip_with(x.coordinates, y.coordinates, (a, b) -> a = b), e -> e)) >= {MATCHES}"
+    pairs = cut(pairs.where(f"{sizes} AND {bits} AND {collisions}").select("u", "v", "mine", "other"))
+    involved = pairs.select(F.col("u").alias("node"), "mine.*").union(pairs.select("v", "other.*").distinct())
+    sets = cut(_sets(docs, involved.distinct()))
     a = sets.select(F.col("node").alias("u"), F.col("members").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("members").alias("b"))
-    return cut(map_arrow(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), compare, "u long, v long"))
+    return cut(map_arrow(pairs.select("u", "v").join(b, "v").join(a, "u").select("u", "v", "a", "b"), compare, "u long, v long"))
 
 
-def _near(a: str, b: str, percent: int) -> str:
-    """Sizes and one-bit values allow the threshold."""
-    sizes = f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
-    return f"{sizes} AND bit_count({a}.bits0 ^ {b}.bits0) + bit_count({a}.bits1 ^ {b}.bits1) <= {HASHES - AGREE}"
+def candidates(at: int, rows: tuple[np.ndarray, ...], columns: tuple[np.ndarray, ...], percent: int, matches: int = MATCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, collisions) of the pairs of different parts that may be near and collide first at coordinate ``at``.
 
+    ``rows`` and ``columns`` are (node, part, inside, n, bits, coordinates), all in the list of that coordinate. Of a
+    pair that is in both, once each way round, the one with the smaller node in the rows counts.
+    """
+    node, part, _, n, bits, signature = rows
+    node2, part2, inside2, n2, bits2, signature2 = columns
+    able = (part[:, None] != part2[None, :]) & (~inside2[None, :] | (node[:, None] < node2[None, :]))
+    able &= 100 * np.minimum(n[:, None], n2[None, :]) >= percent * np.maximum(n[:, None], n2[None, :])
+    x, y = np.nonzero(able)
+    differing = np.bitwise_count(bits[x] ^ bits2[y]).sum(axis=1, dtype=np.int64)
+    x, y = x[differing <= HASHES - AGREE], y[differing <= HASHES - AGREE]
+    same = signature[x] == signature2[y]
+    count = same.sum(axis=1)
+    own = (count >= matches) & (same.argmax(axis=1) == at)
+    return x[own], y[own], count[own]
 
-def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    u = sketches.select(F.col("node").alias("u"), F.struct("n", "bits0", "bits1").alias("x"))
-    v = sketches.select(F.col("node").alias("v"), F.struct("n", "bits0", "bits1").alias("y"))
-    return pairs.join(u, "u").join(v, "v").where(_near("x", "y", percent)).select(*pairs.columns)
 
+#: What a class brings to a block: the block, the coordinate of its list, what it is there, and its signature.
+_MET = "term long, i int, j int, at int, is_row boolean, node long, part long, inside boolean, n long, bits array<long>, coordinates array<long>"
 
-def links_within(members: list[np.ndarray], parts: list[int], percent: int) -> list[tuple[int, int]]:
-    """Places of linked sets that tie together all parts that any links among the sets tie together.
 
-    Sizes of all intersections come from products of incidence matrices, ``COLUMNS`` members of the sets at a time.
-    """
-    m, sizes = len(members), np.array([len(x) for x in members])
-    value, owner = np.concatenate(members), np.repeat(np.arange(m), sizes)
-    order = np.argsort(value, kind="stable")
-    value, owner = value[order], owner[order]
-    new = np.r_[True, value[1:] != value[:-1]]
-    number = np.cumsum(new) - 1
-    often = np.bincount(number)[number] > 1  # a member of one set is in no intersection
-    number, owner = number[often], owner[often]
-    number = np.unique(number, return_inverse=True)[1]
-    common = np.zeros((m, m), np.float32)
-    ends = np.searchsorted(number, np.arange(COLUMNS, (number[-1] if len(number) else 0) + COLUMNS + 1, COLUMNS))
-    for lo, hi in zip(np.r_[0, ends[:-1]], ends, strict=True):
-        x = np.zeros((m, COLUMNS), np.float32)
-        x[owner[lo:hi], number[lo:hi] % COLUMNS] = 1
-        common += x @ x.T
-    both = common.astype(np.float64)  # whole numbers, exact
-    linked = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (np.array(parts)[:, None] != np.array(parts)[None, :])
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = x = root.get(up, up)
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-        a, b = find(parts[i]), find(parts[j])
-        if a != b:
-            root[a] = b
-            out.append((int(i), int(j)))
-    return out
-
-
-def _across_parts(shared: DataFrame, parts: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between different components, from all lists that hold several.
-
-    A list is dealt into blocks of about ``BLOCK`` classes and each pair of blocks is compared in one place, where the
-    full sets meet; only links that tie further components together leave it.
-    """
+def _groups(batches: Iterator, key: tuple[str, ...]) -> Iterator:
+    """Tables of the rows with one key each, from batches that are sorted by it."""
     import pyarrow as pa
 
-    labelled = shared.select("term", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    mixed = labelled.groupBy("term").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("size")).where("least < most")
-    open_lists = cut(labelled.join(cut(mixed.select("term", "size")), "term"))
-    sets = cut(_sets(docs, cut(open_lists.select("node").distinct().join(classes, "node").select("node", "doc_id", "digest"))))
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    # classes of one block are compared wherever it meets another, so a block meets itself only if it is alone
-    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda b: (b != F.col("own")) | (blocks == 1))
-    dealt = open_lists.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(others))
-    dealt = dealt.select("term", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "part")
-    met = dealt.join(sets, "node").repartition(shuffle_partitions(docs.sparkSession), "term", "i", "j").sortWithinPartitions("term", "i", "j")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, labels, members = None, [], [], []
-
-        def found() -> list[tuple[int, int]]:
-            pairs = links_within(members, labels, percent) if len(set(labels)) > 1 else []
-            return [(nodes[a], nodes[b]) for a, b in pairs]
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in key])
+        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:], strict=False):
+            if held and not (held[-1][1] == keys[a]).all():
+                yield pa.Table.from_batches([h[0] for h in held]).combine_chunks()
+                held = []
+            held.append((batch.slice(a, b - a), keys[a]))
+    if held:
+        yield pa.Table.from_batches([h[0] for h in held]).combine_chunks()
+
+
+def _sides(group) -> tuple[int, list[tuple[np.ndarray, ...]], list[np.ndarray]]:
+    """The coordinate of a block, its rows and columns for ``candidates``, and the places of both in ``group``."""
+    plain = [group.column(c).to_numpy() for c in ("node", "part", "inside", "n")]
+    wide = [group.column(c).combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1) for c in ("bits", "coordinates")]
+    everything = (*plain, wide[0].view(np.uint64), wide[1])  # bits are counted of whole numbers without a sign
+    is_row = group.column("is_row").to_numpy()
+    where = [np.flatnonzero(is_row), np.flatnonzero(~is_row)]
+    return group.column("at")[0].as_py(), [tuple(c[w] for c in everything) for w in where], where
+
+
+def _promising(percent: int) -> Callable:
+    """First visit of the blocks: the classes that are in any candidate pair there."""
+
+    def visit(batches: Iterator) -> Iterator:
+        for group in _groups(batches, ("term", "i", "j")):
+            at, (rows, columns), where = _sides(group)
+            x, y, _ = candidates(at, rows, columns, percent)
+            if len(x):
+                yield from group.take(np.unique(np.concatenate([where[0][x], where[1][y]]))).to_batches()
+
+    return visit
+
+
+def _linking(percent: int) -> Callable:
+    """Second visit, with full sets: pairs of parts that confirmed pairs link, no more than tie all linked parts together."""
+    import pyarrow as pa
 
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("term", "i", "j", "node", "part")), batch.column("members"), strict=True)
-            for term, i, j, node, part, data in rows:
-                if key != (term, i, j):
-                    out += found()
-                    key, nodes, labels, members = (term, i, j), [], [], []
-                nodes.append(node)
-                labels.append(part)
-                members.append(np.frombuffer(data.as_py(), np.uint64))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
-        if out := found():
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
-
-    return map_arrow(met.select("term", "i", "j", "node", "part", "members"), compare, "u long, v long")
-
-
-def class_links(sketches: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (u, v) between classes that tie together all that any links tie together."""
-    postings = sketches.select("node", F.explode("coordinates").alias("term"))
-    sketches = sketches.select("node", "n", "bits0", "bits1")
-    lists = postings.groupBy("term").agg(F.count("*").alias("size"), F.min("node").alias("first"))
-    shared = cut(postings.join(cut(lists.where("size > 1").drop("size")), "term"))
-    pairs = shared.where("node <> first").groupBy(F.col("node").alias("u"), F.col("first").alias("v")).agg(F.count("*").alias("matches"))
-    pairs = _possible(pairs.where(f"matches >= {MATCHES}"), sketches, percent)
-    rank = F.col("matches") * F.lit(1 << 40) - F.col("v") % F.lit(1 << 40)
-    links = _confirmed(cut(pairs.groupBy("u").agg(F.max_by("v", rank).alias("v"))), docs, classes, percent)
-    parts = cut(connected_components(links))
-    return links.union(cut(_across_parts(shared, parts, docs, classes, percent)))
+    def visit(batches: Iterator) -> Iterator:
+        for group in _groups(batches, ("term", "i", "j")):
+            at, (rows, columns), where = _sides(group)
+            members = [np.frombuffer(m.as_buffer(), np.uint64) for m in group.column("members")]
+            x, y, count = candidates(at, rows, columns, percent)
+            root: dict[int, int] = {}
+
+            def find(part: int) -> int:
+                while (up := root.get(part, part)) != part:
+                    root[part] = part = root.get(up, up)
+                return part
+
+            links = []
+            for k in np.argsort(-count, kind="stable"):
+                u, v = int(rows[1][x[k]]), int(columns[1][y[k]])
+                a, b = find(u), find(v)
+                if a != b and overlaps(members[where[0][x[k]]], members[where[1][y[k]]], percent):
+                    root[a] = b
+                    links.append((u, v))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["u", "v"])
+
+    return visit
+
+
+def _across(classes: DataFrame, shared: DataFrame, parts: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between components, from all lists that hold several."""
+    labelled = shared.select("term", "at", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    sizes = labelled.groupBy("term", "part").agg(F.count("*").alias("n")).groupBy("term")
+    sizes = sizes.agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    sizes = sizes.select("term", F.col("most.part").alias("main"), F.col("size").alias("all"), (F.col("size") - F.col("most.n")).alias("rest"))
+    dealt = labelled.join(sizes, "term").withColumn("inside", F.col("part") != F.col("main"))  # inside the rest
+    down, along = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("rest", "all"))
+    own_i, own_j = F.pmod(F.xxhash64("node"), down).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), along).cast("int")
+    place = lambda i, j, is_row: F.struct(i.alias("i"), j.alias("j"), F.lit(is_row).alias("is_row"))
+    as_row = F.when(F.col("inside"), F.transform(F.sequence(F.lit(0), along - 1), lambda j: place(own_i, j, True))).otherwise(F.array().cast("array<struct<i:int,j:int,is_row:boolean>>"))
+    as_column = F.transform(F.sequence(F.lit(0), down - 1), lambda i: place(i, own_j, False))
+    dealt = dealt.select("term", "at", "node", "part", "inside", F.inline(F.concat(as_row, as_column)))
+    names = [c.split()[0] for c in _MET.split(", ")]
+
+    def meeting(rows: DataFrame) -> DataFrame:
+        return rows.repartition(shuffle_partitions(docs.sparkSession), "term", "i", "j").sortWithinPartitions("term", "i", "j")
+
+    promising = cut(map_arrow(meeting(dealt.join(classes.select("node", "n", "bits", "coordinates"), "node").select(*names)), _promising(percent), _MET))
+    wanted = promising.select("node").distinct().join(classes, "node").select("node", "doc_id", "digest")
+    full = promising.join(_sets(docs, cut(wanted)), "node").select(*names, "members")
+    return cut(map_arrow(meeting(full), _linking(percent), "u long, v long"))
+
+
+def class_components(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the classes that any link ties to another."""
+    large = classes.where("n > 3")  # smaller sets are near no set but an equal one
+    postings = large.select("node", F.posexplode(F.slice("coordinates", 1, COORDINATES - MATCHES + 1)).alias("at", "term"))
+    lists = postings.groupBy("term").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1").drop("size")
+    shared = cut(postings.join(lists, "term"))
+    parts = roots(_star(classes, shared, docs, percent))
+    bridges = connected_components(_across(classes, shared, parts, docs, percent))
+    renamed = bridges.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    wholes = parts.join(renamed, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    alone = bridges.join(parts.select("node"), "node", "left_anti")  # components of one class, which the star left alone
+    return cut(wholes.union(alone.select("node", "component")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -274,15 +314,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = cut(_signed(docs))
     whole = rows.where("n_shingles > 0")
-    groups = whole.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    classes = cut(groups.withColumn("node", F.monotonically_increasing_id()))
-    # sets of up to three members are near no set but an equal one
-    large = whole.where("n_shingles > 3").alias("r").join(classes.alias("c"), F.expr("r.digest = c.digest AND r.doc_id <=> c.doc_id"))
-    sketches = cut(large.select("node", "n", "coordinates", "bits0", "bits1").dropDuplicates(["node"]))
-    parts = cut(connected_components(class_links(sketches, docs, classes, percent)))
-    placed = classes.join(parts, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = cut(placed.join(cut(least), "component").select("digest", "component_id"))
+    groups = whole.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "bits", "coordinates")])
+    classes = cut(groups.withColumnRenamed("n_shingles", "n").withColumn("node", F.monotonically_increasing_id()))
+    parts = class_components(classes, docs, percent)
+    linked = parts.join(classes.select("node", "doc_id"), "node")
+    linked = linked.join(linked.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("node", "least")
+    named = cut(classes.join(linked, "node", "left").select("digest", F.coalesce("least", "doc_id").alias("component_id")))
     joined = whole.select("doc_id", "n_shingles", "digest").join(named, "digest").select("doc_id", "n_shingles", "component_id")
     out = joined.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
