@@ -201,6 +201,35 @@ def test_junk_goes_and_prose_stays(spark):
     assert kept.columns == docs.columns and kept.count() == 41
 
 
+def foreign(r, n, letters):
+    return " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(n))
+
+
+def test_languages_and_scripts_without_a_reference_stay(spark):
+    r = random.Random(21)
+    italian = "il di che è la non per una sono mi ho si lo ma ti cosa con no ha come le se un bene io hai questo qui"
+    polish = "nie to się w na że z do jest co jak tak mnie ale za go i o ty mi jestem czy ci po tylko już"
+    others = [
+        (foreign(r, 300, "абвгдежзиклмнопрст"), "ru"), (foreign(r, 300, "абвгдежзиклмнопрст"), None), (foreign(r, 300, "абвгдежзиклмнопрст"), "en"),
+        (foreign(r, 300, "αβγδεζηθικλμν"), "el"), (foreign(r, 300, "的一是不了人我在有他"), "zh"),
+        (" ".join(r.choice(italian.split() + ["parola", "giorno", "mare"]) if r.random() < 0.5 else foreign(r, 1, "aeiolrntsc") for _ in range(300)), "it"),
+        (" ".join(r.choice(polish.split()) if r.random() < 0.5 else foreign(r, 1, "aeiołżśćrnzk") for _ in range(300)), "pl"),
+        (prose(r, 300), None), (prose(r, 300, "fr"), "en"),
+    ]
+    junk = " ".join(w + "***" for w in prose(r, 300).split())
+    data = [(i, t, lang) for i, (t, lang) in enumerate([*others, (junk, "en"), *((prose(r, 200, x), x) for x in ["en"] * 60 + ["de", "fr", "es"] * 3)])]
+    found = {x["doc_id"]: x for x in divergence.judge(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert [i for i in range(len(data)) if not found[i]["kept"]] == [len(others)]
+    assert [found[i]["class_distance"] is None for i in range(len(others))] == [True] * 8 + [False]
+
+
+def test_windows_of_very_many_words():
+    r = np.random.default_rng(7)
+    for _ in range(50):
+        codes = np.unique(r.integers(0, 6, r.integers(4, 60)), return_inverse=True)[1]
+        assert divergence._repeated(codes, 6, most=1) == divergence._repeated(codes, 6)
+
+
 def test_quality_rules_odd_rows(spark):
     found = divergence.judge(odd(spark).withColumn("lang", F.lit(None).cast("string"))).collect()
     assert len(found) == 9 and [x["kept"] for x in found if x["n_words"] == 0] == [False] * 4

@@ -2,13 +2,14 @@
 
 A document's histogram of character classes and its histogram of common words are compared to those of each reference
 language by the Jensen-Shannon distance (logarithm to base 2, square root taken, so between 0 and 1). References are the
-mean histograms over all documents of a language. Texts under a minimum length have too few counts for a distance and
-pass on the base rules alone.
+mean histograms over all documents of a language. Three guards leave a text to the base rules alone, as no distance can
+speak for or against it: too few words for a histogram, a language that has no reference, or a script that isn't that of
+the references.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -28,8 +29,8 @@ MIN_WORDS, REPEATED_PERCENT = 50, 50
 #: Words from which a distance counts. A distance is kept up to a limit plus an allowance over the root of the number of
 #: words, as chance moves the histogram of a short text away from any reference.
 GUARD_WORDS = 50
-CLASS_LIMIT, CLASS_ALLOWANCE = 0.15, 1.0
-WORD_LIMIT, WORD_ALLOWANCE = 0.22, 2.0
+CLASS_LIMIT, CLASS_ALLOWANCE = 0.12, 1.0
+WORD_LIMIT, WORD_ALLOWANCE = 0.21, 2.0
 
 CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "other_ascii", "beyond_ascii")
 VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
@@ -74,11 +75,11 @@ def text_counts(text: bytes) -> tuple[int, int, int, int, int, list[int], list[i
     return n, int(classes.sum() - classes[3]), symbols, duplicates, _repeated(codes, len(number)), classes.tolist(), common.tolist()
 
 
-def _repeated(codes: np.ndarray, distinct: int) -> int:
+def _repeated(codes: np.ndarray, distinct: int, most: int = 1 << 21) -> int:
     """Words inside 3-word windows that the text holds twice or more. Numbers stand for windows without collisions."""
     if len(codes) < 4:
         return 0
-    if distinct >= 1 << 21:  # the product of three numbers would not fit: number the pairs first
+    if distinct >= most:  # the product of three numbers would not fit: number the pairs first
         first = np.unique(codes[:-1] * distinct + codes[1:], return_inverse=True)[1]
         window = first[:-1] * distinct + codes[2:]
     else:
@@ -115,17 +116,34 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
 
 
-def _shares(counts: str, n: int) -> list[Column]:
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return [F.avg(F.element_at(counts, i + 1) / total).alias(f"{counts}_{i}") for i in range(n)]
+def references(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each language of COMMON_WORDS that has a document that passes the base rules: mean shares of classes and words.
 
+    Each task sums its documents' shares; one number for each language and bin reaches the driver, whatever the input.
+    """
+    import pyarrow as pa
 
-def references(counts: DataFrame, languages: Sequence[str] = tuple(COMMON_WORDS)) -> dict[str, tuple[list[float], list[float]]]:
-    """For each language that has a document that passes the base rules: mean shares of character classes and of words."""
-    known = counts.where(F.col("lang").isin(*languages) & ~base_failed())
-    rows = known.groupBy("lang").agg(*_shares("classes", len(CLASSES)), *_shares("common", len(VOCABULARY) + 1)).collect()
+    widths = {"classes": len(CLASSES), "common": len(VOCABULARY) + 1}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {lang: np.zeros(1 + sum(widths.values())) for lang in COMMON_WORDS}
+        for batch in batches:
+            rows = [batch.column(c).flatten().to_numpy().reshape(-1, w).astype(float) for c, w in widths.items()]
+            shares = np.hstack([np.ones((batch.num_rows, 1)), *(r / np.maximum(r.sum(axis=1, keepdims=True), 1) for r in rows)])
+            lang = np.array(batch.column("lang").to_pylist(), object)
+            for name, total in sums.items():
+                total += shares[lang == name].sum(axis=0)
+        for name, total in sums.items():
+            if total[0]:
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(total)), pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["lang", "bin", "total"])
+
+    known = counts.where(F.col("lang").isin(*COMMON_WORDS) & ~base_failed()).select("lang", *widths)
+    found: dict[str, dict[int, float]] = {}
+    for lang, bin_, total in map_arrow(known, add, "lang string, bin int, total double").groupBy("lang", "bin").agg(F.sum("total")).collect():
+        found.setdefault(lang, {})[bin_] = total
     k = 1 + len(CLASSES)
-    return {r[0]: (list(r[1:k]), list(r[k:])) for r in sorted(rows)}
+    means = {lang: np.array([bins[i] for i in range(len(bins))]) / bins[0] for lang, bins in sorted(found.items())}
+    return {lang: (mean[1:k], mean[k:]) for lang, mean in means.items()}
 
 
 def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -142,9 +160,12 @@ def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 def judge(docs: DataFrame, guard: int = GUARD_WORDS, classes: tuple[float, float] = (CLASS_LIMIT, CLASS_ALLOWANCE), words: tuple[float, float] = (WORD_LIMIT, WORD_ALLOWANCE)) -> DataFrame:
     """One row per row of ``docs``: doc_id, base counts, base_failed, class_distance, word_distance, kept.
 
-    Reads doc_id, text and lang. A document is measured against each reference language and judged by the nearest, so a
-    wrong or null lang doesn't reject it; distances are null where a text is under ``guard`` words or no reference
-    exists, and such a text is judged by the base rules alone. Null and empty texts have no words and fail the base.
+    Reads doc_id, text and lang; other columns are ignored. A document whose language has a reference is measured against
+    every reference and judged by the nearest, so one of these languages in place of another doesn't reject it. Distances
+    are null, and the base rules alone judge, where a text has under ``guard`` words, where its lang is null or has no
+    reference (the languages of ``COMMON_WORDS`` have, if a document of theirs passes the base), and where more of its
+    letters are beyond ASCII than in it, as in scripts that the references don't have. Null and empty texts have no words
+    and fail the base. Texts of any length are counted whole. Repeated rows repeat; an empty table gives no rows.
     """
     import pyarrow as pa
 
@@ -155,15 +176,17 @@ def judge(docs: DataFrame, guard: int = GUARD_WORDS, classes: tuple[float, float
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            long = batch.column("n_words").to_numpy() >= guard
+            able = (batch.column("n_words").to_numpy() >= guard) & np.isin(np.array(batch.column("lang").to_pylist(), object), list(known))
+            letters = batch.column("classes").flatten().to_numpy().reshape(-1, len(CLASSES))
+            able &= letters[:, CLASSES.index("beyond_ascii")] <= letters[:, 0] + letters[:, 1]
             found = []
             for name, k, size in (("classes", 0, len(CLASSES)), ("common", 1, len(VOCABULARY) + 1)):
                 rows = batch.column(name).flatten().to_numpy().reshape(-1, size).astype(float)
                 nearest = np.min([distance(rows, r[k]) for r in known.values()], axis=0) if known else np.zeros(len(rows))
-                found.append(pa.array(nearest, pa.float64(), mask=~long if known else np.ones(len(rows), bool)))
+                found.append(pa.array(nearest, pa.float64(), mask=~able))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in numbers), *found], names=schema.names)
 
-    measured = map_arrow(counts.select("doc_id", *numbers, "classes", "common"), measure, schema).withColumn("base_failed", base_failed())
+    measured = map_arrow(counts.select("doc_id", "lang", *numbers, "classes", "common"), measure, schema).withColumn("base_failed", base_failed())
 
     def near(name: str, limit: float, allowance: float) -> Column:
         return F.coalesce(F.col(name) <= limit + allowance / F.sqrt("n_words"), F.lit(True))

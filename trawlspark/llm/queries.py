@@ -158,7 +158,7 @@ WITH base AS (
   SELECT base.row, doc_id, lang, w, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, [{_class_counts()}] AS classes
   FROM base LEFT JOIN covered USING (row)
-), judged AS (SELECT *, n_words < {divergence.MIN_WORDS} OR 100 * n_repeat_words > {divergence.REPEATED_PERCENT} * n_words AS base_failed FROM counts),
+), judged AS (SELECT *, classes[8].n > classes[1].n + classes[2].n AS other_script, n_words < {divergence.MIN_WORDS} OR 100 * n_repeat_words > {divergence.REPEATED_PERCENT} * n_words AS base_failed FROM counts),
 vocabulary AS (SELECT unnest(string_split('{" ".join(divergence.VOCABULARY)}', ' ')) AS v),
 forms AS (
   SELECT DISTINCT form || mark AS word, v FROM (SELECT v, unnest([v, upper(v[1]) || v[2:], upper(v)]) AS form FROM vocabulary), (SELECT unnest(['', '.', ',', ';', ':', '!', '?']) AS mark)
@@ -169,13 +169,13 @@ forms AS (
   UNION ALL SELECT row, 'word', bin, n FROM common
 ), bins AS (SELECT 'word' AS kind, v AS bin FROM vocabulary UNION ALL SELECT 'word', '' UNION ALL SELECT 'class', unnest({list(_COUNTED)})),
 shares AS (
-  SELECT j.row, lang, base_failed, n_words, b.kind, b.bin, coalesce(h.n, 0)::DOUBLE / greatest(sum(coalesce(h.n, 0)) OVER (PARTITION BY j.row, b.kind), 1) AS p
+  SELECT j.row, lang, base_failed, n_words, other_script, b.kind, b.bin, coalesce(h.n, 0)::DOUBLE / greatest(sum(coalesce(h.n, 0)) OVER (PARTITION BY j.row, b.kind), 1) AS p
   FROM judged j CROSS JOIN bins b LEFT JOIN histograms h ON h.row = j.row AND h.kind = b.kind AND h.bin = b.bin
 ), refs AS (
   SELECT lang AS reference, kind, bin, avg(p) AS q FROM shares WHERE NOT base_failed AND lang IN ({", ".join(f"'{x}'" for x in divergence.COMMON_WORDS)}) GROUP BY ALL
 ), distances AS (
   SELECT row, kind, reference, sqrt(greatest(0, least(1, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2))) AS d
-  FROM shares JOIN refs USING (kind, bin) WHERE n_words >= {divergence.GUARD_WORDS} GROUP BY ALL
+  FROM shares JOIN refs USING (kind, bin) WHERE n_words >= {divergence.GUARD_WORDS} AND NOT other_script AND lang IN (SELECT reference FROM refs) GROUP BY ALL
 ), nearest AS (SELECT row, min(d) FILTER (kind = 'class') AS c, min(d) FILTER (kind = 'word') AS w FROM (SELECT row, kind, min(d) AS d FROM distances GROUP BY ALL) GROUP BY row)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(nearest.c <= {divergence.CLASS_LIMIT} + {divergence.CLASS_ALLOWANCE} / sqrt(n_words), true)
