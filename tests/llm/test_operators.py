@@ -155,10 +155,34 @@ def test_mix_meets_its_budgets(spark):
 def test_mixing_odd_rows(spark):
     plan = mixing.mix(odd(spark)).collect()
     assert len(plan) == 9 and sum(r["size"] for r in plan) == 1 + 1 + 40_000 + 1 + 4
-    mixing.mixed_documents(odd(spark)).collect()
+    taken, mixed = {}, {}
+    for found, into in (((((r["doc_id"], r["source"]), r["taken"]) for r in plan), taken), ((((r["doc_id"], r["source"]), len((r["text"] or "").split())) for r in mixing.mixed_documents(odd(spark)).collect()), mixed)):
+        for key, n in found:
+            into[key] = into.get(key, 0) + n
+    assert mixed == {k: v for k, v in taken.items() if v}
     assert mixing.mix(odd(spark).limit(0)).count() == mixing.mixed_documents(odd(spark).limit(0)).count() == 0
 
 
+def test_mixing_rows_that_share_an_id(spark):
+    """A third of all rows without an id, and ids in several rows, of equal and of different sizes."""
+    ids = [None if i % 3 == 0 else i % 5 for i in range(200)]
+    docs = documents(spark, *[" ".join([f"w{i}"] * (i % 4)) for i in range(200)], ids=ids, source=[("a", "b", None)[i % 7 % 3] for i in range(200)])
+    taken, mixed = {}, {}
+    for r in mixing.mix(docs).collect():
+        taken[r["doc_id"], r["source"], r["size"]] = taken.get((r["doc_id"], r["source"], r["size"]), 0) + r["taken"]
+    by_text = {}
+    for r in mixing.mixed_documents(docs).collect():
+        words = r["text"].split()
+        assert len(set(words)) == 1
+        by_text[words[0]] = by_text.get(words[0], 0) + len(words)
+    for i in range(200):
+        key = (ids[i], ("a", "b", None)[i % 7 % 3], i % 4)
+        got = by_text.get(f"w{i}", 0)
+        assert got <= 2 * (i % 4)
+        mixed[key] = mixed.get(key, 0) + got
+    assert mixed == taken
+
+
 # --- 3 quality rules ----------------------------------------------------------------------------------------------
 
 
@@ -254,6 +278,17 @@ def test_encoder_equals_the_library():
     assert all(whole.encode(t, add_special_tokens=False).ids == x.tolist() for t, x in zip(texts, encode.many([t.encode() for t in texts]), strict=True))
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_of_other_tokenizers(name):
+    from tokenizers import Tokenizer
+
+    path, r = public_tokenizers.path(name), random.Random(14)
+    whole, encode = Tokenizer.from_file(path), tokens.WordEncoder(path)
+    assert encode.by_word == (name == "word_bpe_49k.json")
+    texts = ["".join(r.choice(["the ", "Word", " ", "\n", "é", "'s", "12 "]) for _ in range(r.randint(0, 14))) for _ in range(300)]
+    assert [whole.encode(t, add_special_tokens=False).ids for t in texts] == [x.tolist() for x in encode.many([t.encode() for t in texts])]
+
+
 def check_pieces(found, docs, length):
     by_doc, by_window = {}, {}
     for p in found:
@@ -286,6 +321,36 @@ def test_packing_keeps_every_token_and_the_proportions(spark):
             assert abs(sum(p["length"] for p in windows[w] if p["source"] == s) / 256 - share[s] / total) < 0.15
 
 
+@pytest.mark.parametrize(("weights", "least"), [(None, 16), ({"a": 3, "b": 2}, 1), ({"a": 7, "b": 1, None: 2}, 40)])
+def test_packing_against_a_stepwise_round_robin(spark, weights, least):
+    """Rounds one by one: deficits grow by the quantum as fractions, and queues are served what has gathered."""
+    from fractions import Fraction
+
+    r, length = random.Random(15), 64
+    texts = [prose(r, r.choice((1, 9, 80))) for _ in range(60)]
+    sources = [("a", "b", "a", None)[i % 4] for i in range(60)]
+    found = packing.pack(documents(spark, *texts, source=sources), WORD_BPE, length=length, least=least, weights=weights).collect()
+    queues: dict[str | None, list[tuple[int, int]]] = {}
+    order = {p["doc_id"]: (p["sequence_id"], p["offset"]) for p in found if p["start"] == 0}
+    for i in sorted(order, key=order.get):  # the order inside a queue is a hash's; all else follows
+        queues.setdefault(sources[i], []).extend((i, at) for at in range(len(ids_of(texts[i]))))
+    names = sorted(queues, key=lambda s: (s is None, s or ""))
+    weight = {s: len(queues[s]) if weights is None else weights.get(s, 1) for s in names}
+    total, served, deficit, turn, stream = sum(weight.values()), dict.fromkeys(names, 0), dict.fromkeys(names, Fraction(0)), 0, []
+    every = {s: max(1, -(-least * total // (length * weight[s]))) for s in names}
+    while any(served[s] < len(queues[s]) for s in names):
+        turn += 1
+        for s in names:
+            deficit[s] += Fraction(length * weight[s], total)
+            if turn % every[s] == 0:
+                n = int(deficit[s])
+                stream += queues[s][served[s] : served[s] + n]
+                served[s] += n
+                deficit[s] -= n
+    placed = {(p["doc_id"], p["start"] + k): p["sequence_id"] * length + p["offset"] + k for p in found for k in range(p["length"])}
+    assert placed == {token: at for at, token in enumerate(stream)}
+
+
 def test_packing_to_given_weights(spark):
     docs = documents(spark, *["word " * 400] * 8, source=["a", "b"] * 4)
     found = packing.pack(docs, WORD_BPE, length=128, least=8, weights={"a": 3, "b": 1}).collect()

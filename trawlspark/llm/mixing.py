@@ -73,18 +73,25 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     """The mix itself, with the columns of ``docs``: a row for each whole time that a document is taken, and one that
     ends after the last taken word where a budget ends inside a document. Documents without words have no place in it.
 
-    Rows that share a doc_id are told apart by their sizes; among those of one size any can stand for another.
+    Rows that share a doc_id and a source are told apart by their sizes; among those of one size any can stand for
+    another, so they share out what the plan takes of them together: they stand next to each other in the plan, which
+    takes the first ones whole, then part of one.
     """
-    size, key = n_words(F.col("text")), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    plan = mix(docs, weights, share, most, seed).select(key.alias("_key"), F.struct("size", "epochs", "part").alias("plan"))
-    plan = plan.groupBy("_key").agg(F.sort_array(F.collect_list("plan")).alias("plans"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("_key"), size.alias("_size"))
-    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("_key").orderBy("_size")))
-    rows = rows.join(plan, "_key").select("row", F.element_at("plans", F.col("_nth")).alias("plan")).select("row", "plan.*")
-    copies = F.col("epochs") + F.when(F.col("part") == F.col("size"), F.lit(1)).otherwise(F.lit(0))
-    whole = F.array_repeat(F.lit(-1).cast("long"), F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("int"))
+    size = n_words(F.col("row.text")).alias("_size")
+    key = F.to_json(F.struct(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"))).alias("_key")
+    plan = mix(docs, weights, share, most, seed).select(F.struct("doc_id", "source", "size", "epochs", "part").alias("row"))
+    plan = plan.select(key, F.col("row.size").alias("_size"), "row.epochs", "row.part").where("_size > 0")
+    plan = cut(plan.groupBy("_key", "_size").agg(F.max("epochs").alias("_epochs"), F.sum("part").alias("_part"), F.count("*").alias("_alike")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = rows.select("row", key, size).join(plan, ["_key", "_size"])
+    if not plan.where("_alike > 1").isEmpty():
+        several = rows.where("_alike > 1").withColumn("_one", F.lit(1).cast("long")).withColumn("_tie", F.monotonically_increasing_id())
+        several = running(several, ["_key", "_size"], ["_tie"], {"_nth": "_one"}).withColumn("_part", F.col("_part") - F.col("_nth") * F.col("_size"))
+        rows = rows.where("_alike = 1").select("row", "_size", "_epochs", "_part").union(several.select("row", "_size", "_epochs", "_part"))
+    part, n = F.greatest(F.lit(0).cast("long"), F.least("_part", "_size")), F.col("_size")
+    rows = rows.select("row", F.array_repeat(F.lit(-1).cast("long"), (F.col("_epochs") + F.when(part == n, 1).otherwise(0)).cast("int")).alias("whole"), part.alias("part"), n.alias("size"))
     begun = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array("part")).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.select("row", F.explode(F.concat(whole, begun)).alias("first"))
+    rows = rows.select("row", F.explode(F.concat("whole", begun)).alias("first"))
     pieces = F.regexp_extract_all("row.text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     text = F.when(F.col("first") < 0, F.col("row.text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("first").cast("int")), ""))
     return rows.withColumn("row", F.col("row").withField("text", text)).select("row.*")

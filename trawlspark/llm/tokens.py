@@ -20,18 +20,25 @@ TOGETHER = 1 << 16
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)[!-&(-/:-@\\[-`{-~]*")
 
 
+#: Texts that show whether a tokenizer parts at white space and drops it; the first word of each starts a line.
+_PROBES = ("a b", " a\tb ", "the word\nthe  word", "\x0bIt's\x0c1, 2\r\n(3)", "é ß 漢字 🙂")
+
+
 class WordEncoder:
     """Encodes with the tokenizers library, each distinct word once.
 
     For tokenizers that split at white space and drop it, a text's ids are its words' ids one after the other, so each
     word between ASCII white space is sent to the library when first met and remembered. The memory is bounded. Many
     plain words go to the library as one line if its tokens mark the ends of pieces, and are told apart by these ends.
+    A tokenizer that treats white space otherwise, as probes show, encodes whole texts instead.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        whole, parts = self._ids(list(_PROBES)), [self._ids(t.split()) for t in _PROBES]
+        self.by_word = all(x.tolist() == np.concatenate(y).tolist() for x, y in zip(whole, parts, strict=True))
         vocabulary = self.tokenizer.get_vocab()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -59,6 +66,8 @@ class WordEncoder:
 
     def many(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
+        if not self.by_word:
+            return self._ids([t.decode() for t in texts])
         done: list[np.ndarray] = []
         while len(done) < len(texts):
             some, size = [], 0
@@ -103,8 +112,10 @@ def with_end(ids: np.ndarray, end_id: int) -> np.ndarray:
 
 
 def id_type(path: str, end_id: int) -> str:
-    """The narrowest of two little-endian types that holds all ids of a tokenizer."""
-    top = max(end_id, encoder(path).tokenizer.get_vocab_size() - 1)
+    """The narrowest of two little-endian types that holds all ids of a tokenizer, which isn't kept on the driver."""
+    from tokenizers import Tokenizer
+
+    top = max(end_id, Tokenizer.from_file(path).get_vocab_size() - 1)
     return "<u2" if top < 1 << 16 else "<u4"
 
 
