@@ -16,7 +16,7 @@ from trawlspark.llm.mixing import mixed_documents
 from trawlspark.llm.near_dedup import one_of_each
 from trawlspark.llm.packing import pack
 from trawlspark.llm.queries import tokenizer_file
-from trawlspark.llm.shared import checkpoint_dir
+from trawlspark.storage import checkpoint_dir, remove, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage over ``documents``, each written as Parquet into the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Every stage over ``documents``, each written as Parquet into the shared folder and read again by the next.
+
+    A stage's checkpoints go when its table is written, and its input table when the next one's is: beside the input and
+    the result no more than two tables are held at a time. The last stage is returned as it is, to be written by the
+    caller, so the table that it reads and its checkpoints stay.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +22,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Folders of checkpoints that open ``scratch`` blocks will remove, the innermost block last.
+_scratch: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder: lost executors cost no recomputation, lineage ends here."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.checkpoint(eager=True)
+    if _scratch:
+        file = held._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            _scratch[-1].append(file.get())
+    return held
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any store that Spark can reach; one that is gone is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is cut inside is removed at the end: for work whose result is written by then, as what is read lazily later
+    would miss its input."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for folder in _scratch.pop():
+            remove(spark, folder)
