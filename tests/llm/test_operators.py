@@ -112,6 +112,86 @@ def test_relative_links_carry_verdicts(spark):
     assert found == {1: "block", 2: "block", 3: "allow", 4: "block"}
 
 
+def brute_verdicts(pages):
+    """Links resolved by the standard library, components by union-find, rules one by one."""
+    import re
+    from urllib.parse import urljoin, urlsplit
+
+    def resource(url):
+        at = urlsplit(urljoin(url, urlsplit(url).path or "/") if urlsplit(url).path in ("", "/") else url)
+        path = urlsplit(urljoin(url, urlsplit(url).path)).path or "/"
+        return f"https://{at.netloc.lower()}{path}" + (f"?{urlsplit(url).query}" if "?" in url.split("#")[0] else "")
+
+    def ruled(url):
+        rest = url.split("://", 1)[1]
+        host, path = re.match("[^/?#]*", rest)[0].lower(), re.match("[^/?#]*([^?#]*)", rest)[1]
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filters.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for _, url, html in pages:
+        base = urljoin(url, m[1]) if (m := re.search('<base href="([^"]*)"', html or "")) else url
+        for m in re.finditer('<link rel="canonical" href="([^"]*)"|content="0; url=([^"]*)"', html or ""):
+            target = urljoin(base, (m[1] or m[2]).replace("&amp;", "&"))
+            if "://" in target:
+                parent[find(resource(url))] = find(resource(target))
+    decision = {}
+    for node in list(parent):
+        if ruled(node)[1]:
+            decision.setdefault(find(node), set()).add(ruled(node)[1])
+    out = []
+    for i, url, _ in pages:
+        rule, verdict = ruled(url)
+        known = decision.get(find(resource(url)), set())
+        out.append((i, rule, verdict or ("allow" if "allow" in known else "block" if known else "allow"), "rule" if rule else "alias" if known else "default"))
+    return sorted(out)
+
+
+def test_random_link_graphs(spark):
+    import duckdb
+
+    from trawlspark.llm import queries
+
+    r = random.Random(31)
+    sites = ["http://a.net", "https://B.net", "http://x.com", "http://sub.x.com", "http://example.org", "http://c.io"]
+    paths = ["/", "/p/1", "/p/2", "/p/q/3", "/de/1", "/fr/2", "/es/4", "/en/1", "/go", ""]
+    queries_ = ["", "", "", "?id=1", "?u=http://x.com/de/1"]
+    forms = ["1", "../1", "./2", "../../de/1", "q/3", "?id=1", "?id=1&amp;b=2", "/p/2", "/de/../fr/2", "//a.net/p/1", "//x.com/de/1", "mailto:a@b", "#x", "javascript:x()"]
+    target = lambda: r.choice(sites) + r.choice(paths) + r.choice(queries_) if r.random() < 0.4 else r.choice(forms)
+    pages = []
+    for i in range(160):
+        html = f'<base href="{r.choice(("/p/", "//c.io/p/", "q/", "http://a.net/de/"))}">' * (r.random() < 0.1)
+        html += f'<link rel="canonical" href="{target()}">' * (r.random() < 0.5) + f'<meta http-equiv="refresh" content="0; url={target()}">' * (r.random() < 0.3)
+        pages.append((i, r.choice(sites) + r.choice(paths) + r.choice(queries_) + r.choice(("", "", "#f")), html or None))
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = url_filters.judge_urls(table.withColumn("node", F.lit(1)).withColumn("verdict", F.lit(2)))
+    columns = ["page_id", "rule", "verdict", "via"]
+    assert rows(found.select(columns)) == sorted(brute_verdicts(pages), key=str)
+    assert {x["via"] for x in found.collect()} == {"rule", "alias", "default"}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    odd_pages = [*pages, (500, None, None), (501, None, "<base>"), (502, "no scheme", pages[0][2]), (503, "", ""), (500, None, None)]
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", odd_pages)
+    both = url_filters.judge_urls(spark.createDataFrame(odd_pages, "page_id long, url string, html string"))
+    wanted = con.execute(queries.SQL["op1_url_filters"])
+    names = [c[0] for c in wanted.description]
+    assert rows(both.select(names)) == sorted(map(tuple, wanted.fetchall()), key=str)
+
+
+def test_url_filters_very_long(spark):
+    long = "http://x.net/" + "a/../" * 3000 + "b" * 50_000
+    data = [(1, long, f'<link rel="canonical" href="{long}">' + "<" * 100_000), (2, "http://x.com/de/" + "?" * 9000, "<link " * 20_000), (None, None, None)]
+    found = {x["page_id"]: (len(x["path"]), x["verdict"]) for x in url_filters.judge_urls(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert found == {1: (len(long) - 12, "allow"), 2: (4, "block"), None: (0, "allow")}
+
+
 # --- 2 mixing -----------------------------------------------------------------------------------------------------
 
 

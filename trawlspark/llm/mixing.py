@@ -80,7 +80,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     size = n_words(F.col("row.text")).alias("_size")
     key = F.to_json(F.struct(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"))).alias("_key")
     plan = mix(docs, weights, share, most, seed).select(F.struct("doc_id", "source", "size", "epochs", "part").alias("row"))
-    plan = plan.select(key, F.col("row.size").alias("_size"), "row.epochs", "row.part").where("_size > 0")
+    plan = plan.select(key, F.col("row.size").alias("_size"), "row.epochs", "row.part")
     plan = cut(plan.groupBy("_key", "_size").agg(F.max("epochs").alias("_epochs"), F.sum("part").alias("_part"), F.count("*").alias("_alike")))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     rows = rows.select("row", key, size).join(plan, ["_key", "_size"])
@@ -89,7 +89,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
         several = running(several, ["_key", "_size"], ["_tie"], {"_nth": "_one"}).withColumn("_part", F.col("_part") - F.col("_nth") * F.col("_size"))
         rows = rows.where("_alike = 1").select("row", "_size", "_epochs", "_part").union(several.select("row", "_size", "_epochs", "_part"))
     part, n = F.greatest(F.lit(0).cast("long"), F.least("_part", "_size")), F.col("_size")
-    rows = rows.select("row", F.array_repeat(F.lit(-1).cast("long"), (F.col("_epochs") + F.when(part == n, 1).otherwise(0)).cast("int")).alias("whole"), part.alias("part"), n.alias("size"))
+    copies = F.when(n > 0, F.col("_epochs") + F.when(part == n, 1).otherwise(0)).otherwise(0).cast("int")
+    rows = rows.select("row", F.array_repeat(F.lit(-1).cast("long"), copies).alias("whole"), part.alias("part"), n.alias("size"))
     begun = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array("part")).otherwise(F.array().cast("array<bigint>"))
     rows = rows.select("row", F.explode(F.concat("whole", begun)).alias("first"))
     pieces = F.regexp_extract_all("row.text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))

@@ -73,36 +73,74 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-_OP1_SQL = r"""
-WITH RECURSIVE parts AS (
-  SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
-), cut AS (
-  SELECT page_id, url, html, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
-  FROM parts
+_PLACE = "^[A-Za-z][A-Za-z0-9+.-]*:"
+_LINKS = (
+    (r"""(?is)<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*>""", "href"), (r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b[^>]*>""", "url"), (r"(?is)<base\s[^>]*>", "href"),
+)
+
+
+def _rest_sql(url: str) -> str:
+    return f"CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
+
+
+def _host_sql(url: str) -> str:
+    return f"translate(regexp_extract({_rest_sql(url)}, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _path_sql(url: str) -> str:
+    return f"regexp_extract({_rest_sql(url)}, '^[^/?#]*([^?#]*)', 1)"
+
+
+def _named_sql(tag: str, attribute: str) -> str:
+    pattern = rf"""(?is)\b{attribute}\s*=\s*["'']?\s*([^"''\s>]+)"""
+    return f"replace(regexp_extract(regexp_extract(html, '{tag}', 0), '{pattern}', 1), '&amp;', '&')"
+
+
+def _resolved_sql(name: str, source: str, to: str, against: str) -> str:
+    """CTE ``name``: ``source`` with the url that ``to`` means at ``against`` as column ``name``."""
+    return f"""{name}_parts AS (
+  SELECT *, CASE WHEN regexp_matches({to}, '(?i)^https?:') AND NOT regexp_matches({to}, '(?i)^https?://') THEN regexp_replace({to}, '(?i)^https?:', '') ELSE {to} END AS t,
+         regexp_extract({against}, '{_PLACE}//[^/?#]*', 0) AS site, {_path_sql(against)} AS at_path FROM {source}
+), {name} AS (
+  SELECT * EXCLUDE (t, site, at_path), CASE WHEN regexp_matches(t, '{_PLACE}//') THEN t WHEN site = '' OR regexp_matches(t, '{_PLACE}') THEN NULL
+    WHEN starts_with(t, '//') THEN regexp_extract({against}, '{_PLACE}', 0) || t WHEN starts_with(t, '/') THEN site || t WHEN starts_with(t, '?') THEN site || at_path || t
+    WHEN t = '' OR starts_with(t, '#') THEN {against} ELSE site || coalesce(nullif(regexp_replace(at_path, '[^/]*$', ''), ''), '/') || t END AS {name} FROM {name}_parts
+)"""
+
+
+def _resource_sql(name: str, source: str, url: str) -> str:
+    """CTE ``name``: ``source`` with the resource of ``url`` as column ``name``."""
+    return rf"""{name}_tail AS (SELECT *, regexp_extract({_rest_sql(url)}, '(?s)^[^/?#]*([^#]*)', 1) AS tail FROM {source}
+), {name}_place AS (SELECT *, coalesce(nullif(regexp_extract(tail, '^[^?]*', 0), ''), '/') AS place, regexp_extract(tail, '(?s)\?.*$', 0) AS query FROM {name}_tail
+), {name} AS (
+  SELECT * EXCLUDE (tail, place, query), CASE WHEN instr({url}, '://') > 0 THEN 'https://' || {_host_sql(url)} || CASE WHEN regexp_matches(place, '/\.\.?(/|$)') THEN
+    coalesce(nullif(list_reduce(list_prepend('', string_split(place, '/')[2:]), lambda a, p: CASE WHEN p = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN p = '.' THEN a ELSE a || '/' || p END), ''),
+             CASE WHEN regexp_matches(place, '/\.\.?$') THEN '' ELSE '/' END) || CASE WHEN regexp_matches(place, '/\.\.?$') THEN '/' ELSE '' END ELSE place END || query END AS {name} FROM {name}_place
+)"""
+
+
+_OP1_SQL = rf"""
+WITH RECURSIVE cut AS (SELECT page_id, url, html, {_host_sql("url")} AS host, {_path_sql("url")} AS path FROM (SELECT page_id, coalesce(url, '') AS url, html FROM pages)
 ), rules(rule, verdict, rule_host, rule_path) AS (
   VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'), ('example.org/en/1', 'block', 'example.org', '/en/1'),
          ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')
-), nodes AS (
-  SELECT page_id, host, path, 'https://' || host || coalesce(nullif(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^#]*)', 1), ''), '/') AS node,
-         regexp_extract(regexp_extract(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS canonical
-  FROM cut
-), ends AS (
-  SELECT node, 'https://' || lower(regexp_extract(canonical, '://([^/?#]*)', 1)) || coalesce(nullif(regexp_extract(canonical, '://[^/?#]*([^#]*)', 1), ''), '/') AS target
-  FROM nodes WHERE instr(canonical, '://') > 0
-), links AS (SELECT node AS a, target AS b FROM ends UNION SELECT target, node FROM ends),
+), {_resource_sql("node", "cut", "url")}, found AS (
+  SELECT url, node, {_named_sql(*_LINKS[2])} AS base, unnest([{_named_sql(*_LINKS[0])}, {_named_sql(*_LINKS[1])}]) AS link FROM node WHERE html IS NOT NULL AND node IS NOT NULL
+), linked AS (SELECT * FROM found WHERE link <> ''), {_resolved_sql("root", "linked", "base", "url")},
+based AS (SELECT *, CASE WHEN base = '' THEN url ELSE coalesce(root, url) END AS seen_from FROM root), {_resolved_sql("meant", "based", "link", "seen_from")}, {_resource_sql("target", "meant", "meant")},
+links AS (SELECT node AS a, target AS b FROM target WHERE target IS NOT NULL UNION SELECT target, node FROM target WHERE target IS NOT NULL),
 reach(a, b) AS (SELECT a, a FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
 fits AS (
-  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
-  FROM cut JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id
+  SELECT page_id, url, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM (SELECT DISTINCT page_id, url, host, path FROM cut) JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id, url
 ), decided AS (
   SELECT reach.a AS node, min(verdict) AS decision FROM reach JOIN rules
     ON (regexp_extract(reach.b, '://([^/?#]*)', 1) = rule_host OR ends_with(regexp_extract(reach.b, '://([^/?#]*)', 1), '.' || rule_host))
    AND starts_with(regexp_extract(reach.b, '://[^/?#]*([^?#]*)', 1), rule_path) GROUP BY reach.a
 )
-SELECT page_id, host, path, fits.rule AS rule, coalesce(fits.verdict, decision, 'allow') AS verdict,
+SELECT n.page_id, host, path, fits.rule AS rule, coalesce(fits.verdict, decision, 'allow') AS verdict,
        CASE WHEN fits.verdict IS NOT NULL THEN 'rule' WHEN decision IS NOT NULL THEN 'alias' ELSE 'default' END AS via
-FROM nodes LEFT JOIN fits USING (page_id) LEFT JOIN decided USING (node)
+FROM node n LEFT JOIN fits ON fits.page_id IS NOT DISTINCT FROM n.page_id AND fits.url = n.url LEFT JOIN decided ON decided.node = n.node
 """
 
 _OP2_SQL = r"""

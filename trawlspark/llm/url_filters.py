@@ -118,7 +118,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 
     Reads page_id, url and html. ``edges`` (source, target urls) adds redirects known from elsewhere, as from a crawl
     log. ``via`` says where the verdict comes from: rule, alias or default. A null url, or one without ``://``, has an
-    empty host and path, fits no rule and has no aliases. An empty table gives no rows; repeated rows repeat.
+    empty host and path, fits no rule and has no aliases; such rows are spread over all tasks. Urls and pages of any
+    length are read whole; other columns, whatever their names, are ignored. An empty table gives no rows; repeated rows
+    repeat.
     """
     known = links(pages)
     if edges is not None:
@@ -129,7 +131,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     decided = ruled.where("verdict IS NOT NULL").groupBy("component").agg(F.min("verdict").alias("decision"))  # allow sorts first
     aliases = members.join(decided, "component").select("node", "decision")
     url = F.col("url")
-    judged = pages.select("page_id", host(url).alias("host"), path(url).alias("path"), resource(url).alias("node"))
+    nowhere = F.concat(F.lit("none "), F.monotonically_increasing_id().cast("string"))  # no resource's name, and no hot key
+    judged = pages.select("page_id", host(url).alias("host"), path(url).alias("path"), F.coalesce(resource(url), nowhere).alias("node"))
     judged = judged.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).join(aliases, "node", "left")
     own = F.col("fit.verdict")
     via = F.when(own.isNotNull(), F.lit("rule")).when(F.col("decision").isNotNull(), F.lit("alias")).otherwise(F.lit("default"))
