@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -13,6 +15,7 @@ from trawlspark.llm import divergence, exact_dedup, html_text, mixing, near_dedu
 from trawlspark.llm.components import connected_components, roots
 
 from ..conftest import rows
+from .pages import PAGES
 
 WORD_BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, hash string, row int"
@@ -114,7 +117,6 @@ def test_relative_links_carry_verdicts(spark):
 
 def brute_verdicts(pages):
     """Links resolved by the standard library, components by union-find, rules one by one."""
-    import re
     from urllib.parse import urljoin, urlsplit
 
     def resource(url):
@@ -267,7 +269,6 @@ def test_mixing_rows_that_share_an_id(spark):
 
 
 def brute_counts(text):
-    import re
     from collections import Counter
 
     words = re.findall(r"[^\x20\x09-\x0d]+", text)
@@ -526,9 +527,14 @@ def test_article_without_the_rest(spark):
         "<head><title>T</title></head>", "<head><title>T</title><body>", "<head><title>T</title><button>A</button>", "<dialog><select><option>A</dialog>",
     ],
 )
-def test_silent_elements_without_end_tags(before):
+def test_left_out_end_tags_lose_no_text(before):
+    """Options, buttons and the like are text for the trees to judge; what stands round them is read whole."""
     article = "<article><p>First part.<p>Second <b>part</b>.</article>"
-    assert [t for t in html_text.Page(before + article + before + "<p>After").text if t] == ["First part.", "Second part.", "After"]
+    found = [t for t in html_text.Page(before + article + before + "<p>After").text if t]
+    said = [t for t in found if t not in ("First part.", "Second part.", "After")]
+    assert [t for t in found if t not in said] == ["First part.", "Second part.", "After"]
+    spoken = "A" if re.search("<(option|button)>A", before) else ""
+    assert set("".join(said)) >= set(spoken) and not set("".join(said)) & set("Tx")
 
 
 def test_article_after_left_out_end_tags(spark):
@@ -540,6 +546,40 @@ def test_article_after_left_out_end_tags(spark):
     assert [t for t in html_text.Page("<head><title>T</title> Text <b>at once</b>").text if t] == ["Text at once"]
 
 
+def test_pages_written_by_hand(spark):
+    """Layouts that the maker of training pages doesn't make."""
+    table = spark.createDataFrame([(i, None, h, "x", 3) for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string, n_chars int")
+    found = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(table).collect()}
+    assert [found[i] for i in range(len(PAGES))] == [(t, len(t)) for _, t in PAGES]
+
+
+def test_nothing_inside_an_article_is_silent():
+    page = "<article><p>Let <math><mi>x</mi></math>, press <button>5</button>, <object>see</object> <svg><text>map</text></svg>.</p><noscript><p>No script</p></noscript><select><option>One<option>Two</select></article>"
+    assert [t for t in html_text.Page(page).text if t] == ["Let x, press 5, see map.", "No script", "One", "Two"]
+
+
+@pytest.mark.parametrize(
+    "part", ["<a ", "<a '", "<p title=\"'>x", "<div>", "< ", "<!-- -", "<select><option>", "<ul><li>", "</p><div>", "<template>", "<script>", "&lt;", "<td>x", "x</div>", "<p>a", "<a href='>b", "</script "],
+)
+def test_time_grows_as_the_length(part):
+    trees = html_text.trained()
+
+    def seconds(n):
+        began = time.process_time()
+        html_text.main_texts([part * n], trees)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 9 * seconds(20_000) + 0.5
+
+
+def test_deep_and_long_pages_are_read_whole():
+    deep = "<div>" * 30_000 + "<article><p>Deep inside there is a sentence.</p></article>"
+    assert [t for t in html_text.Page(deep).text if t] == ["Deep inside there is a sentence."]
+    long = "<article>" + "".join(f"<p>Paragraph number {i}, with some words of its own.</p>" for i in range(20_000)) + "</article>"
+    assert html_text.main_texts([long], html_text.trained())[0].count("\n") == 19_999
+
+
 def test_unseen_layouts():
     maker = html_text._Maker(4321)
     made = [maker.page() for _ in range(150)]

@@ -1,6 +1,8 @@
 """The main text of web pages: boosted trees over DOM nodes, decoded along the tree.
 
-A page is parsed into block elements and runs of text. Trees learnt from pages that are made up here, of many layouts
+A page is parsed into block elements and runs of text. Only scripts, styles, templates, the head and what browsers never
+show as text (title, textarea, iframe and the like) are silent; all else, as formulas, buttons, options or noscript, is
+text that the trees decide about. Trees learnt from pages that are made up here, of many layouts
 and with known parts, give each node the odds that it holds article text: by densities of its subtree, tokens of its
 attributes, depth, place, and what its siblings and ancestors are. Then one decision is taken for the whole page: a node
 is dropped with everything in it, or left open and its children decide; the best sum of odds over all such cuts wins. So
@@ -21,24 +23,30 @@ from pyspark.sql import DataFrame
 from ..workers import map_arrow
 from .shared import as_bytes
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*>)""", re.DOTALL)
+#: What follows ``<`` of a tag, up to its attributes; and attributes in which quotes are closed, with the end of the tag.
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+#: After so many tags whose quotes are never closed, a page's tags are taken to end at the next ``>`` whatever is quoted.
+UNCLOSED = 8
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 _TOKEN = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never read as markup, and elements that hold no text of a page.
+#: Elements whose content is never read as markup, nor as text of a page; and those that are silent with all inside.
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-SILENT = RAW | frozenset("head noscript template svg math select option button object canvas audio video datalist dialog".split())
-BLOCKS = ("body", "nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "blockquote", "pre", "figure", "figcaption", "address", "fieldset", "legend", "details", "summary", "hr", "center", "menu", "hgroup", "search", "html")
+SILENT = frozenset("head template".split())
+BLOCKS = ("body", "nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "blockquote", "pre", "figure", "figcaption", "address", "fieldset", "legend", "details", "summary", "hr", "center", "menu", "hgroup", "search", "html", "select", "datalist", "option", "optgroup", "dialog", "noscript")
 _IS_BLOCK = frozenset(BLOCKS)
 #: What can be in a head: the first other tag, or text, ends it.
 _IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript noframes template head html".split())
-_GROUP = {t: k for k, g in enumerate((("nav", "menu"), ("header", "hgroup"), ("footer", "address"), ("aside",), ("form", "fieldset", "legend", "search"), ("article", "main"), ("section",), ("div", "center"), ("p",), ("h1",), ("h2", "h3", "h4", "h5", "h6"), ("li", "dt", "dd"), ("ul", "ol", "dl"), ("table", "tr", "td", "th", "tbody", "thead", "tfoot"), ("blockquote", "pre"), ("figure", "figcaption"), ("body", "html"))) for t in g}
+_GROUP = {t: k for k, g in enumerate((("nav", "menu"), ("header", "hgroup"), ("footer", "address"), ("aside",), ("form", "fieldset", "legend", "search", "select", "datalist", "option", "optgroup", "button"), ("article", "main"), ("section",), ("div", "center"), ("p",), ("h1",), ("h2", "h3", "h4", "h5", "h6"), ("li", "dt", "dd"), ("ul", "ol", "dl"), ("table", "tr", "td", "th", "tbody", "thead", "tfoot"), ("blockquote", "pre"), ("figure", "figcaption"), ("body", "html"))) for t in g}
 GROUPS = 18  # the last for all others
+#: Elements that hold inline text: a button in one is a word of it, elsewhere it is a block of its own.
+_TEXTUAL = frozenset("p li dt dd td th h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption summary".split())
 #: Open elements that a start tag ends.
-_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-_SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+_ENDS = {"option": ("option",), "optgroup": ("option", "optgroup"), "select": ("select",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+_SCOPE = {"option": ("select", "datalist"), "optgroup": ("select", "datalist"), "select": ("form",), "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
 # Words in attributes that tell parts of a page.
 TOKENS = (
@@ -53,6 +61,10 @@ TOKENS = (
 )
 
 
+#: Bytes of pages that are looked at together.
+TOGETHER = 1 << 22
+
+
 class Page:
     """Nodes of a page in document order: elements and, where ``text`` isn't None, runs of text."""
 
@@ -60,7 +72,9 @@ class Page:
         self.parent, self.depth, self.group, self.own, self.above = [-1], [0], [16], [0], [0]
         self.text: list[str | None] = [None]
         self.linked = [0]
+        self.end = [0]
         self._parse(source)
+        self.end = [end or len(self.parent) for end in self.end]
 
     def _add(self, parent: int, group: int, own: int, text: str | None, linked: int = 0) -> int:
         self.parent.append(parent)
@@ -70,14 +84,17 @@ class Page:
         self.above.append(self.above[parent] | self.own[parent] | 1 << (8 + self.group[parent]))
         self.text.append(text)
         self.linked.append(linked)
+        self.end.append(0 if text is None else len(self.parent))
         return len(self.parent) - 1
 
     def _parse(self, source: str) -> None:
+        """One pass; what is open is looked up by tag, so that no tag costs a search of the stack or of the page."""
         stack: list[tuple[str, int]] = [("html", 0)]
+        places: dict[str, list[int]] = {}  # for each tag where it is on the stack
         pieces: list[str] = []
         linked, links = 0, 0
         quiet: list[str] = []  # open elements of SILENT
-        at, find = 0, _MARKUP.search
+        at, unclosed, last = 0, 0, source.rfind(">")
 
         def flush() -> None:
             nonlocal linked
@@ -90,22 +107,16 @@ class Page:
             linked = 0
 
         def close(tag: str, scope: tuple[str, ...] = ()) -> None:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    flush()
-                    del stack[k:]
-                    return
-                if stack[k][0] in scope:
-                    return
-
-        def hush(tag: str) -> None:
-            """Ends the innermost such element of SILENT and all inside it."""
-            if tag in quiet:
-                del quiet[len(quiet) - 1 - quiet[::-1].index(tag) :]
-
-        while True:
-            match = find(source, at)
-            piece = source[at : match.start()] if match else source[at:]
+            if not places.get(tag) or any(places.get(s) and places[s][-1] > places[tag][-1] for s in scope):
+                return
+            flush()
+            for _ in range(len(stack) - places[tag][-1]):
+                name, node = stack.pop()
+                places[name].pop()
+                self.end[node] = len(self.parent)
+
+        def say(piece: str) -> None:
+            nonlocal linked
             if quiet and quiet[-1] == "head" and piece.strip():
                 quiet.pop()
             if piece and not quiet:
@@ -114,45 +125,58 @@ class Page:
                 pieces.append(piece)
                 if links:
                     linked += len(piece.strip())
-            if not match:
+
+        while True:
+            begin = source.find("<", at)
+            while 0 <= begin < last and not (source[begin + 1] in "!?" or _TAG.match(source, begin + 1)):
+                begin = source.find("<", begin + 1)
+            if not 0 <= begin < last and not (begin >= 0 and source.startswith("<!--", begin)):
+                say(source[at:])
                 break
-            at = match.end()
-            tag = match[2]
-            if tag is None:
+            say(source[at:begin])
+            if source[begin + 1] in "!?":
+                comment = source.startswith("<!--", begin)
+                at = source.find("-->" if comment else ">", begin + (4 if comment else 1))
+                at = len(source) if at < 0 else at + (3 if comment else 1)
                 continue
-            tag, ending, attributes = tag.lower(), match[1], match[3]
+            name = _TAG.match(source, begin + 1)
+            end = _QUOTED.match(source, name.end()) if unclosed < UNCLOSED else None
+            unclosed += end is None
+            at = end.end() if end else source.find(">", name.end()) + 1
+            tag, ending, attributes = name[2].lower(), name[1], source[name.end() : at]
             if quiet:
-                if tag == "body" or (quiet == ["option"] and (tag in _IS_BLOCK or tag in ("select", "datalist", "optgroup"))):
-                    quiet.clear()  # an option outside of lists ends where its parent may
+                if tag == "body":
+                    quiet.clear()
                 elif quiet[-1] == "head" and (tag in ("html", "br") if ending else tag not in _IN_HEAD):
                     quiet.pop()
+            if tag in RAW:
+                if not ending:
+                    over = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(source, at)
+                    at = source.find(">", over.end()) + 1 if over else 0
+                    at = at or len(source)
+                continue
             if tag in SILENT:
-                if tag in RAW:
-                    if not ending:
-                        end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(source, at)
-                        at = end.end() if end else len(source)
-                elif ending or (tag == "select" and tag in quiet):
-                    hush(tag)
+                if ending:  # what is open inside it ends too: only templates are inside of anything silent
+                    while quiet and quiet.pop() != tag:
+                        pass
                 elif not attributes.endswith("/>") and (tag != "head" or not quiet):
-                    if tag == "button" or (quiet and quiet[-1] == tag == "option"):
-                        hush(tag)
                     quiet.append(tag)
                 continue
             if quiet:
                 continue
-            if tag in _IS_BLOCK:
+            block = tag in _IS_BLOCK or (tag == "button" and (bool(places.get(tag)) if ending else stack[-1][0] not in _TEXTUAL and not "".join(pieces[-1:]).strip()))
+            if block:
                 if ending:
                     close(tag)
                     continue
                 flush()
                 if tag in ("html", "body"):
                     continue
-                if tag != "hr":
-                    for other in _ENDS.get(tag, ()):
-                        close(other, _SCOPE[tag])
-                if stack[-1][0] == "p" or (any(t == "p" for t, _ in stack) and tag == "p"):
+                for other in _ENDS.get(tag, ()):
+                    close(other, _SCOPE[tag])
+                if stack[-1][0] == "p" or tag == "p":
                     close("p", ("table",))
-                own = 0
+                own = 1 << 6 if tag == "dialog" else 0
                 if attributes and attributes != ">":
                     for found in _ATTRIBUTE.finditer(attributes):
                         words = set(_TOKEN.findall((found[1] or found[2] or found[3] or "").lower()))
@@ -162,6 +186,7 @@ class Page:
                     if _HIDDEN.search(attributes):
                         own |= 1 << 4
                 if tag not in VOID:
+                    places.setdefault(tag, []).append(len(stack))
                     stack.append((tag, self._add(stack[-1][1], _GROUP.get(tag, 17), own, None)))
                     links = 0
             elif tag == "br":
@@ -186,10 +211,7 @@ def _features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     words = np.array([t.count(" ") + 1 if t else 0 for t in texts])
     marks = np.array([t.count(",") + t.count(".") if t else 0 for t in texts])
     n = len(parent)
-    end = np.arange(1, n + 1)
-    for d in range(int(depth.max()), 0, -1):  # nodes are in document order: a subtree is a range
-        at = np.flatnonzero(depth == d)
-        np.maximum.at(end, parent[at], end[at])
+    end = cat("end") + base  # nodes are in document order: a subtree is a range
 
     def below(x: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(x)])
@@ -276,120 +298,144 @@ class Trees:
 # --- pages to learn from -------------------------------------------------------------------------------------------
 
 
+#: First and last letters of alphabets that made-up words are drawn from.
+_ALPHABETS = (("a", "z"), ("a", "z"), ("a", "z"), ("à", "ö"), ("а", "я"), ("α", "ω"), ("ぁ", "ん"), ("一", "龥"), ("ا", "ي"))
+
+
 class _Maker:
-    """Makes pages with known parts. Article text holds the mark ``@`` in each run, nothing else does."""
+    """Makes pages with known parts, in the ways that site builders, blogs, forums, papers and hand-written pages mark
+    them. Article text holds the mark ``@`` in each run, nothing else does."""
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.letters = "etaoinshr"
 
     def words(self, low: int, high: int) -> str:
         r = self.r
-        style = r.random()
-        out = ["".join(r.choice(("th", "er", "an", "on", "re", "ti", "es", "de", "é", "ou", "st", "in")) for _ in range(r.randint(1, 4))) for _ in range(r.randint(low, high))]
-        for k in range(len(out)):
-            if r.random() < 0.12:
-                out[k] += r.choice((",", ".", ".", "!", ";"))
-        if style < 0.06:
-            out = [w.upper() + "!!" for w in out]
-        elif style < 0.12:
-            out = [w + r.choice(("***", "###", " |", "%%%")) for w in out]
+        out = ["".join(r.choices(self.letters, k=r.randint(1, 11))) + (r.choice(",.;:") if r.random() < 0.12 else "") for _ in range(r.randint(low, high))]
         return " ".join(out).capitalize()
 
+    def inline(self, text: str) -> str:
+        tag = self.r.choice(("b", "i", "em", "strong", "span", "code", "small", "q", "sup", "font", "mark", "u", "math", "button", "abbr", "time"))
+        return f"<{tag}>{text}</{tag}>" if self.r.random() < 0.9 else f"<{tag}>{text}"
+
     def prose(self, low: int = 3, high: int = 90) -> str:
         r = self.r
-        if r.random() < 0.35:
-            high = max(low, high // 6)
-        text = "@" + self.words(low, high)
-        if r.random() < 0.25:
-            text += f' <a href="/x">{self.words(1, 5)}</a> ' + self.words(1, 9)
-        if r.random() < 0.2:
-            text = f"<b>{text}" + r.choice(("</b>", "</b>", "<br>"))
-        return text
+        text = "@" + self.words(low, max(low, high // r.choice((6, 30))) if r.random() < 0.35 else high)
+        for _ in range(r.choice((0, 0, 0, 1, 1, 3))):
+            extra = self.words(1, 6)
+            text += " " + (f'<a href="/{extra[:4]}">{extra}</a>' if r.random() < 0.5 else self.inline(extra)) + " " + self.words(1, 12)
+        if r.random() < 0.12:
+            text = self.inline(text)
+        return text.replace(". ", ".<br> ", 1) if r.random() < 0.08 else text
 
     def wrap(self, tag: str, tokens: tuple[str, ...], body: str) -> str:
         r, mode = self.r, self.r.random()
-        if mode < 0.25 and tag not in ("div", "section", "ul", "td"):
+        if mode < 0.25 and tag not in ("div", "section", "ul", "td", "p"):
             return f"<{tag}>{body}</{tag}>"
-        name = r.choice(tokens) if tokens else ""
+        name = r.choice(tokens) if tokens else r.choice(("", "row", "inner", "c1 u-2", "block", "x9f", "col-md-8", "grid__cell"))
         if r.random() < 0.3 and name:
-            name += r.choice(("-box", "-area", " x1", "-wrap", "_inner", "-2"))
-        attribute = f' {r.choice(("class", "class", "id"))}="{name}"' if name else ""
-        return f"<{tag}{attribute}>{body}</{tag}>"
+            name += r.choice(("-box", "-area", " x1", "-wrap", "_inner", "-2", " clearfix", "__list"))
+        quote = r.choice(('"', '"', '"', "'", ""))
+        attribute = f" {r.choice(('class', 'class', 'id'))}={quote}{name if quote else name.split(' ')[0]}{quote}" if name else ""
+        return f"<{tag}{attribute}{r.choice(('', '', ' data-x=1', ' style=margin:0'))}>{body}</{tag}>"
 
     def link_list(self, low: int = 3, high: int = 12) -> str:
-        items = "".join(f'<li><a href="/{k}">{self.words(1, 4)}</a></li>' for k in range(self.r.randint(low, high)))
-        return f"<ul>{items}</ul>"
+        links = [f'<a href="/{k}">{self.words(1, 4)}</a>' for k in range(self.r.randint(low, high))]
+        style = self.r.random()
+        if style < 0.6:
+            return "<ul>" + "".join(f"<li>{x}" + self.r.choice(("</li>", "</li>", "")) for x in links) + "</ul>"
+        return self.r.choice((" | ", " &middot; ", " ", "<br>", " &gt; ")).join(links) if style < 0.85 else "".join(f"<div>{x}</div>" for x in links)
 
     def junk(self, kind: str) -> str:
         r = self.r
         sentence = lambda low=2, high=16: self.words(low, high)
         paragraphs = lambda n, high=30: "".join(f"<p>{sentence(2, high)}</p>" for _ in range(r.randint(1, n)))
         if kind == "nav":
-            return self.wrap(r.choice(("nav", "nav", "div", "ul")), ("nav", "menu", "navbar", "main-menu"), self.link_list())
+            return self.wrap(r.choice(("nav", "nav", "div", "ul")), ("nav", "menu", "navbar", "main-menu", "breadcrumbs", "pagination"), self.link_list())
         if kind == "header":
-            title = r.choice((f"<h1>{sentence(1, 5)}</h1>", f"<div>{sentence(1, 4)}</div>", f"<h2>{sentence(1, 4)}</h2><p>{sentence(2, 9)}</p>"))
-            return self.wrap(r.choice(("header", "header", "div")), ("header", "masthead", "site-header", "topbar"), title + r.choice(("", self.link_list(2, 6))))
+            title = r.choice((f"<h1>{sentence(1, 5)}</h1>", f"<div>{sentence(1, 4)}</div>", f"<h2>{sentence(1, 4)}</h2><p>{sentence(2, 9)}</p>", f'<a href="/">{sentence(1, 3)}</a>'))
+            return self.wrap(r.choice(("header", "header", "div")), ("header", "masthead", "site-header", "topbar", "logo"), title + r.choice(("", self.link_list(2, 6), "<button>=</button>")))
         if kind == "footer":
-            body = r.choice((f"&copy; site &middot; {sentence()}", f"<p>{sentence()}</p>", self.link_list(2, 8) + f"<p>{sentence()}</p>"))
+            body = r.choice((f"&copy; site &middot; {sentence()}", f"<p>{sentence()}</p>", self.link_list(2, 8) + f"<p>{sentence()}</p>", f"<address>{sentence()}</address>"))
             return self.wrap(r.choice(("footer", "footer", "div")), ("footer", "site-footer", "copyright", "legal"), body)
         if kind == "sidebar":
             body = "".join(r.choice((f"<h3>{sentence(1, 4)}</h3>" + self.link_list(), f"<h3>{sentence(1, 3)}</h3>" + paragraphs(3), paragraphs(2))) for _ in range(r.randint(1, 3)))
-            return self.wrap(r.choice(("aside", "aside", "div", "section")), ("sidebar", "widget", "related", "rail", "aside", "popular"), body)
+            return self.wrap(r.choice(("aside", "aside", "div", "section")), ("sidebar", "widget", "related", "rail", "aside", "popular", "more-posts", "tags"), body)
         if kind == "ad":
-            body = r.choice((sentence(3, 25), paragraphs(2, 25), f'<a href="/b">{sentence(2, 9)}</a>', f"<div>{sentence(2, 14)}</div>"))
+            body = r.choice((sentence(3, 25), paragraphs(2, 25), f'<a href="/b">{sentence(2, 9)}</a>', f"<div>{sentence(2, 14)}</div>", f"<noscript>{sentence(1, 9)}</noscript>"))
             return self.wrap(r.choice(("div", "div", "aside", "section")), ("ad", "ads", "advert", "advertisement", "sponsored", "promo"), body)
         if kind == "notice":
-            return self.wrap(r.choice(("div", "div", "section")), ("cookie-notice", "notice", "alert", "consent", "popup", "newsletter", "subscribe"), r.choice((sentence(4, 30), paragraphs(2))))
+            body = r.choice((sentence(4, 30), paragraphs(2), f"<p>{sentence(4, 20)}</p><button>ok</button>"))
+            if r.random() < 0.25:
+                return r.choice((f"<dialog open>{body}</dialog>", f"<noscript>{sentence(3, 14)}</noscript>", f'<div role="alert">{body}</div>'))
+            return self.wrap(r.choice(("div", "div", "section")), ("cookie-notice", "notice", "alert", "consent", "popup", "newsletter", "subscribe", "modal"), body)
         if kind == "form":
-            fields = "".join(f"<label>{sentence(1, 3)}</label><input name=a>" for _ in range(r.randint(1, 4)))
+            options = "".join(f"<option>{sentence(1, 3)}" + r.choice(("</option>", "")) for _ in range(r.randint(2, 9)))
+            fields = "".join(r.choice((f"<label>{sentence(1, 3)}</label><input name=a>", f"<select>{options}</select>", "<textarea>t</textarea>")) for _ in range(r.randint(1, 4)))
+            if r.random() < 0.2:
+                return r.choice((f"<select>{options}</select>", f"<button>{sentence(1, 3)}</button>", f"<datalist>{options}</datalist>"))
             return self.wrap("form", ("search", "login", "signup", "form"), r.choice((fields, f"<p>{sentence(2, 14)}</p>" + fields + "<button>ok</button>")))
         if kind == "comments":
-            one = lambda: self.wrap(r.choice(("div", "li", "article")), ("comment", "comment-body", "reply"), r.choice((paragraphs(3, 60), sentence(3, 40))))
+            one = lambda: self.wrap(r.choice(("div", "li", "article")), ("comment", "comment-body", "reply"), r.choice((paragraphs(3, 60), sentence(3, 40), f"<b>{sentence(1, 2)}</b>" + paragraphs(2, 40))))
             body = f"<h3>{sentence(1, 3)}</h3>" + "".join(one() for _ in range(r.randint(1, 6)))
-            return self.wrap(r.choice(("section", "div", "div", "ol")), ("comments", "comment-list", "discussion", "replies"), body)
-        return self.wrap(r.choice(("div", "ul", "p")), ("share", "social", "breadcrumb", "byline", "meta", "tags", "toolbar"), r.choice((self.link_list(2, 5), sentence(1, 7))))
+            return self.wrap(r.choice(("section", "div", "div", "ol")), ("comments", "comment-list", "discussion", "replies", "respond"), body)
+        return self.wrap(r.choice(("div", "ul", "p")), ("share", "social", "breadcrumb", "byline", "meta", "tags", "toolbar"), r.choice((self.link_list(2, 5), sentence(1, 7), f"<button>{sentence(1, 2)}</button>" * 2)))
+
+    def block(self) -> str:
+        r, kind = self.r, self.r.random()
+        if kind < 0.6:
+            return f"<p>{self.prose(1)}" + r.choice(("</p>", "</p>", "</p>", ""))
+        if kind < 0.68:
+            return (f"<h2>@{self.words(1, 7)}</h2>", f"<h3>@{self.words(1, 7)}</h3>", f"<h4><a name=x>@{self.words(1, 5)}</a></h4>")[r.randrange(3)]
+        if kind < 0.76:
+            return r.choice(("<ul>{}</ul>", "<ol>{}</ol>")).format("".join(f"<li>{self.prose(2, 20)}" + r.choice(("</li>", "")) for _ in range(r.randint(2, 6))))
+        if kind < 0.8:
+            return self.wrap("blockquote", ("quote", ""), r.choice((self.prose(3, 40), f"<p>{self.prose(3, 40)}</p>")))
+        if kind < 0.84:
+            return self.wrap("div", (), self.prose())
+        if kind < 0.88:
+            cells = "".join("<tr>" + "".join(f"<{t}>@{self.words(1, 5)}</{t}>" for t in ("th", "td", "td")) + "</tr>" for _ in range(r.randint(1, 5)))
+            return f"<table>{r.choice(('', f'<caption>@{self.words(1, 6)}</caption>'))}{cells}</table>"
+        if kind < 0.91:
+            return f"<pre><code>@{self.words(3, 30)}</code></pre>"
+        if kind < 0.94:
+            return f"<figure><img src=x><figcaption>@{self.words(2, 14)}</figcaption></figure>"
+        if kind < 0.97:
+            return "<dl>" + "".join(f"<dt>@{self.words(1, 3)}<dd>{self.prose(2, 20)}" for _ in range(r.randint(1, 4))) + "</dl>"
+        return f"<details><summary>@{self.words(1, 5)}</summary><p>{self.prose()}</p></details>" if kind < 0.985 else f"<noscript><p>{self.prose()}</p></noscript>"
 
     def article(self) -> str:
         r = self.r
-        parts = [f"<h1>@{self.words(2, 12)}</h1>"] if r.random() < 0.85 else []
+        title = r.choice((f"<h1>@{self.words(2, 12)}</h1>", f"<h1>@{self.words(2, 12)}</h1>", f"<h2>@{self.words(2, 12)}</h2>", f"<header><h1>@{self.words(2, 9)}</h1></header>"))
+        parts = [title] if r.random() < 0.85 else []
         if r.random() < 0.2:
             return "".join(parts) + "".join(f"<p>{self.prose(1, 12)}</p>" for _ in range(r.randint(1, 2)))
-        for _ in range(1 if r.random() < 0.3 else r.randint(1, 14)):
-            kind = r.random()
-            if kind < 0.74:
-                parts.append(f"<p>{self.prose()}" + r.choice(("</p>", "</p>", "</p>", "")))
-            elif kind < 0.8:
-                parts.append(f"<h2>@{self.words(1, 7)}</h2>")
-            elif kind < 0.86:
-                parts.append("<ul>" + "".join(f"<li>{self.prose(2, 20)}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
-            elif kind < 0.9:
-                parts.append(f"<blockquote>{self.prose(3, 40)}</blockquote>")
-            elif kind < 0.93:
-                parts.append(f"<div>{self.prose()}</div>")
-            elif kind < 0.95:
-                parts.append("<table>" + "".join(f"<tr><td>@{self.words(1, 5)}</td><td>@{self.words(1, 5)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>")
-            elif kind < 0.96:
-                parts.append(f"<pre>@{self.words(3, 30)}</pre>")
-            else:
-                parts.append(self.junk(r.choice(("ad", "ad", "share", "notice", "sidebar", "form"))))
+        if r.random() < 0.06:  # text and line breaks, without paragraphs
+            return "".join(parts) + "<br><br>".join([self.prose(9, 90), *(self.words(9, 90) for _ in range(r.randint(0, 6)))])
+        for _ in range(1 if r.random() < 0.25 else r.randint(1, 14)):
+            parts.append(self.block() if r.random() < 0.93 else self.junk(r.choice(("ad", "ad", "share", "notice", "sidebar", "form"))))
         return "".join(parts)
 
     def page(self) -> str:
         r = self.r
+        first, last = r.choice(_ALPHABETS)
+        self.letters = "".join(chr(r.randint(ord(first), ord(last))) for _ in range(24))
         body = self.article()
         tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td", ""))
         if tag:
-            body = self.wrap(tag, ("content", "post", "entry-content", "article-body", "story", "main", "post-body") if r.random() < 0.8 else (), body)
+            body = self.wrap(tag, ("content", "post", "entry-content", "article-body", "story", "main", "post-body") if r.random() < 0.7 else (), body)
             body = f"<table><tr>{body}</tr></table>" if tag == "td" else body
-        front = [self.junk(k) for k, often in (("header", 0.5), ("nav", 0.7), ("notice", 0.35), ("ad", 0.5), ("share", 0.3)) if r.random() < often]
-        back = [self.junk(k) for k, often in (("comments", 0.4), ("sidebar", 0.4), ("ad", 0.4), ("form", 0.3), ("share", 0.3), ("notice", 0.3), ("footer", 0.75)) if r.random() < often]
+        front = [self.junk(k) for k, often in (("header", 0.5), ("nav", 0.7), ("notice", 0.35), ("ad", 0.5), ("share", 0.3), ("form", 0.15)) if r.random() < often]
+        back = [self.junk(k) for k, often in (("comments", 0.4), ("sidebar", 0.4), ("ad", 0.4), ("form", 0.3), ("share", 0.3), ("notice", 0.3), ("nav", 0.15), ("footer", 0.75)) if r.random() < often]
         r.shuffle(front)
-        if r.random() < 0.3:
-            body = self.wrap("div", ("wrapper", "container", "page", "main", "layout"), "".join(front) + body + "".join(back[:2]))
+        for _ in range(r.choice((0, 0, 0, 1, 1, 2, 3))):
+            body = self.wrap("div", ("wrapper", "container", "page", "main", "layout", "row"), "".join(front) + body + "".join(back[:2]))
             front, back = [], back[2:]
         if r.random() < 0.15:
             body = f"<main>{body}</main>"
-        return f"<!DOCTYPE html><html><head><title>t</title></head><body>{''.join(front)}{body}{''.join(back)}</body></html>"
+        start = r.choice(("<!DOCTYPE html><html><head><title>t</title></head><body>", "<html><head><meta charset=utf-8><title>t</title><body>", "<title>t</title>", "<HTML><BODY>"))
+        return f"{start}{''.join(front)}{body}{''.join(back)}" + r.choice(("</body></html>", "</body></html>", ""))
 
 
 @lru_cache(maxsize=2)
@@ -434,8 +480,9 @@ def main_texts(sources: list[str], trees: Trees) -> list[str]:
 def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
-    Reads page_id, url and html. Null and empty pages, and pages without an article, have an empty text. Nothing is
-    capped; repeated rows repeat; an empty table gives no rows. The trees are learnt on the driver if none are given.
+    Reads page_id, url and html; other columns are ignored. Null and empty pages, and pages without an article, have an
+    empty text. Nothing is capped: pages of any length and depth are read whole, in time that grows as their length.
+    Repeated rows repeat; an empty table gives no rows. The trees are learnt on the driver if none are given.
     """
     import pyarrow as pa
 
@@ -444,9 +491,17 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                texts = main_texts([b.decode() for b in as_bytes(some.column("html"))], trees)
+            at = 0
+            while at < batch.num_rows:
+                sources, size = [], 0
+                for source in as_bytes(batch.column("html").slice(at, 64)):
+                    sources.append(source.decode())
+                    size += len(source)
+                    if size > TOGETHER:
+                        break
+                some = batch.slice(at, len(sources))
+                at += len(sources)
+                texts = main_texts(sources, trees)
                 yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     return map_arrow(pages.select("page_id", "url", "html"), read, schema)
