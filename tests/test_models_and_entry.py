@@ -18,6 +18,70 @@ def test_embedding_continues_where_it_stopped(spark):
     assert rows(M.embed_pending(table, done, model)) == rows(M.embedded(table, model))
 
 
+def test_build_keeps_what_is_done_when_the_quota_ends(spark, tmp_path):
+    table = spark.createDataFrame([(i, f"t{i}") for i in range(700)], "id long, text string").repartition(2)
+    model, path, seen = M.HashEmbedder(4), str(tmp_path / "embedded"), []
+    for calls in (1, 1, 2, 9):
+        seen.append(M.build(spark, path, "id", table, lambda todo, calls=calls: M.embedded(todo.coalesce(1), M.Limited(model, calls)), steps=3))
+    assert 0 < seen[0].done < seen[1].done < 700 and seen[-1] == (700, 0) and all(sum(x) == 700 for x in seen)
+    assert rows(spark.read.parquet(path)) == rows(M.embedded(table, model))
+    assert M.build(spark, path, "id", table, lambda todo: M.embedded(todo, M.Limited(model, 0)), steps=3) == (700, 0)
+    nothing = M.build(spark, path, "id", table, lambda todo: M.embedded(todo, M.Limited(model, 0)), steps=3, restart=True)
+    assert nothing == (0, 700)
+    assert M.build(spark, str(tmp_path / "none"), "id", table.limit(0), lambda todo: M.embedded(todo, model)) == (0, 0)
+
+
+def test_replies_continue_after_failures(spark, tmp_path):
+    def model(prompt):
+        if prompt == "bad":
+            raise OSError
+        return prompt.upper()
+
+    prompts = spark.createDataFrame([(i, "bad" if i == 3 else f"p{i}") for i in range(8)], "key long, prompt string").coalesce(1)
+    once = lambda f: M.with_retries(f, tries=1)
+    path = str(tmp_path / "replies")
+    first = M.build(spark, path, "key", prompts, lambda todo: M.replied(todo, M.Limited(model, 5), retry=once), steps=1)
+    last = M.build(spark, path, "key", prompts, lambda todo: M.replied(todo, model, retry=once), steps=1)
+    assert first == (5, 3) and last == (8, 0)
+    assert rows(spark.read.parquet(path)) == [(i, None if i == 3 else f"P{i}") for i in range(8)]
+
+
+def test_retries_reach_the_batches(spark):
+    table = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "id long, text string").coalesce(1)
+    model = M.HashEmbedder(4)
+
+    class Fails:
+        def __init__(self):
+            self.calls = 0
+
+        def __call__(self, texts):
+            self.calls += 1
+            if self.calls < 3:
+                raise M.Busy
+            return model(texts)
+
+    retry = lambda f: M.with_retries(f, sleep=lambda s: None)
+    assert rows(M.embedded(table, Fails(), retry=retry)) == rows(M.embedded(table, model))
+
+
+def test_json_and_versions_round_trip(spark, tmp_path):
+    import json
+
+    table = spark.createDataFrame([(1, "태초에 \"a\"\n"), (2, None), (3, "é, x")], "id long, t string").repartition(3)
+    files.write_json(table, str(tmp_path / "j"))
+    assert rows(files.json_rows(spark, str(tmp_path / "j"), "id LONG, t STRING")) == rows(table)
+    parts = [p.read_text() for p in sorted((tmp_path / "j").glob("part-*"))]
+    assert sorted(r["id"] for p in parts for r in json.loads(p)) == [1, 2, 3] and any("태초에" in p for p in parts)
+    files.write_json(table.limit(0), str(tmp_path / "j"))
+    assert files.json_rows(spark, str(tmp_path / "j"), "id LONG, t STRING").count() == 0
+    assert files.json_rows(spark, str(tmp_path / "none"), "id LONG").count() == 0
+    versions = str(tmp_path / "v")
+    first = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "chapter int, t string")
+    for batch in (first, spark.createDataFrame([(1, "A")], "chapter int, t string"), spark.createDataFrame([(1, "A")], "chapter int, t string")):
+        files.write_versioned(batch, versions, "chapter")
+    assert rows(spark.read.parquet(versions).select("chapter", "t")) == [(1, "A"), (2, "c")]
+
+
 def test_dense_round_trip(spark, tmp_path):
     vectors = spark.createDataFrame([(i, [i / 10.0, -i / 7.0, 0.5]) for i in range(40)], "id long, embedding array<float>")
     back = {r["id"]: r["embedding"] for r in files.read_dense(files.dense_parts(vectors, 3)).collect()}

@@ -42,3 +42,42 @@ def test_corpus_search_and_passages(spark, tmp_path):
         ("Genesis:1:1-1", "창세기 1:1", "본문"), ("Genesis:1:2-3", "창세기 1:2-3", "t"), ("Psalms:1:1-1", "시편 1:1", "Psalms 1장"),
     ]
     assert P.segment_prompts(verses).where("book = 'Genesis'").first()["block"] == "1: 태초에 하나님이\n2: 땅이\n3: 빛이 있으라"
+
+
+def test_search_goes_on_without_its_models(spark, tmp_path, monkeypatch):
+    import time
+
+    verses = build(spark, tmp_path)
+    vectors = spark.createDataFrame([(i, [float(i == k) for k in range(4)]) for i in range(4)], "id long, embedding array<float>")
+
+    def fails(*_):
+        raise OSError("no network")
+
+    def asked(*_):
+        calls.append(1)
+        return '{"results": [{"index": 4, "reason": "last"}]}'
+
+    calls = []
+    plain = P.search(verses, "빛이 땅이 복 태초에").first()
+    failed = P.search(verses, "빛이 땅이 복 태초에", vectors, 4, fails, fails, fails).first()
+    assert failed == plain and failed["mode"] == "keyword" and len(failed["results"]) == 4
+    monkeypatch.setattr(P, "EXPAND_S", 0.05)
+    monkeypatch.setattr(P, "EMBED_S", 0.05)
+    late = P.search(verses, "빛이 땅이 복 태초에", vectors, 4, lambda q: time.sleep(1) or [1.0] * 4, lambda q: time.sleep(1) or '{"search_query": "Blessed"}').first()
+    assert late == plain
+    assert [r["rank"] for r in P.search(verses, "빛이 땅이 복 태초에", rerank=asked).first()["results"]] == [4] and len(calls) == 1
+    few = P.search(verses, "Blessed", rerank=asked).first()  # two candidates: nobody is asked
+    assert len(calls) == 1 and [r["id"] for r in few["results"]] == [3, 2]
+    ticks = iter([0.0, 7.5])
+    over = P.search(verses, "빛이 땅이 복 태초에", rerank=asked, clock=lambda: next(ticks)).first()
+    assert len(calls) == 1 and over == plain
+
+
+def test_model_used_is_what_expanded_the_query(spark, tmp_path):
+    verses = build(spark, tmp_path)
+    reply = lambda *_: '{"results": [{"index": 1}]}'
+    expand = lambda q: '```json\n{"emotions": ["joy"], "search_query": "빛이 땅이 복 태초에"}\n```'
+    for expander, reranker in ((expand, None), (expand, reply), (None, reply), (lambda q: '{"search_query": ""}', reply)):
+        row = P.search(verses, "빛이 땅이 복 태초에", expand=expander, rerank=reranker).first()
+        assert row["usedGemini"] == (expander is expand) and row["mode"] == ("AI" if expander is expand else "keyword")
+        assert row["emotions"] == (["joy"] if expander is expand else [])

@@ -82,3 +82,26 @@ def test_batch_searches_for_every_item_with_all_words(spark, tmp_path):
         scores = [(-sum(w for t, w in X.token_weights(q).items() if t in f"{t_ or ''} {s or ''} {x}"), d) for d, t_, s, x in docs]
         wanted += [(i, d, -s, n + 1) for n, (s, d) in enumerate(sorted(x for x in scores if x[0])[:50])]
     assert rows(searches.sparse_topk_batch(spark, str(tmp_path)).select("query_id", "id", "sparse_score", "sparse_rank")) == sorted(wanted, key=str)
+
+
+GOOD = '{"emotions": ["joy"], "biblical_keywords": ["a", "b", "c", "d", "e"], "search_query": "w"}'
+
+
+@pytest.mark.parametrize("dense", [True, False])
+@pytest.mark.parametrize(("expansion", "used"), [(GOOD, True), (f"```json\n{GOOD}\n```", True), (None, False), ("no json", False), ('{"emotions": ["joy"], "search_query": ""}', False)])
+@pytest.mark.parametrize("reply", ['{"results": [{"index": 2}]}', None])
+def test_flags_follow_the_expansion(spark, expansion, used, reply, dense):
+    results = S.apply_rerank(candidates(spark, 5), F.lit(reply).cast("string"))
+    row = S.envelope(results, "q", F.lit(5), dense, F.lit(expansion).cast("string")).first()
+    assert row["usedGemini"] == used and row["usedDense"] == dense and row["mode"] == ("AI" if used else "semantic" if dense else "keyword")
+    assert (row["expanded_query"], row["emotions"]) == (("w", ["joy"]) if used else (None, []))
+    assert [r["id"] for r in row["results"]] == ([102] if reply else [101, 102, 103, 104, 105])
+    hints = spark.range(1).select(S.hint_lines(F.lit(expansion).cast("string")).alias("h")).first()["h"]
+    assert tuple(hints) == (("joy", "a, b, c, d") if used else ("", ""))
+
+
+def test_candidates_are_ranked_once(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 9}") for i in range(60)], "id long, text string")
+    top = S.fuse(None, S.sparse_topk(docs, "word1 word2", F.col("text")), False)
+    plan = S.apply_rerank(top, F.lit(GOOD))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ExistingRDD") == 1

@@ -1,5 +1,7 @@
+import hashlib
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from trawlspark.operators import state as U
@@ -18,13 +20,25 @@ def catalogue(spark, ids="abc"):
     return spark.createDataFrame([(c,) for c in ids], "passage_id string")
 
 
-def test_pick_and_reset(spark):
+@pytest.mark.parametrize("held", [100, 0])
+def test_pick_and_reset(spark, monkeypatch, held):
+    monkeypatch.setattr(U, "HELD", held)  # 0: users and passages joined as rows
     seen = used(spark, [("x", "a"), ("x", "b"), ("y", "a"), ("y", "b"), ("y", "c"), ("y", "zz")])
-    picked = {r["user_id"]: r for r in U.pick(catalogue(spark), seen, "s").collect()}
+    users = spark.createDataFrame([("x",), ("y",), ("new",), ("new",)], "user_id string")
+    picked = {r["user_id"]: r for r in U.pick(users, catalogue(spark), seen, "s").collect()}
     assert picked["x"]["passage_id"] == "c" and not picked["x"]["was_reset"] and picked["x"]["used_count"] == 2
     assert picked["y"]["was_reset"] and picked["y"]["used_count"] == 0 and picked["y"]["total_passages"] == 3
     assert rows(U.after_reset(catalogue(spark), seen).select("user_id", "passage_id")) == [("x", "a"), ("x", "b")]
-    assert rows(U.available(catalogue(spark), seen)) == [("x", "c")]
+    assert rows(U.available(users, catalogue(spark), seen)) == [("new", "a"), ("new", "b"), ("new", "c"), ("x", "c")]
+    first = min("abc", key=lambda p: hashlib.md5(f"s|new|{p}".encode()).hexdigest())
+    assert tuple(picked["new"]) == ("new", first, 3, 0, False) and len(picked) == 3
+    assert {r["user_id"] for r in U.pick(users, catalogue(spark), seen.limit(0), "s").collect()} == {"x", "y", "new"}
+    assert U.pick(users, catalogue(spark).limit(0), seen, "s").count() == 0
+
+
+def test_deleted_users_take_their_state_along(spark):
+    seen = used(spark, [("x", "a"), ("y", "a"), ("y", "b")])
+    assert rows(U.forget(seen, spark.createDataFrame([("y",), ("z",)], "user_id string"))) == [("x", "a", T0)]
 
 
 def test_merges_are_idempotent(spark):

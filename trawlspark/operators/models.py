@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.files import table_or_none
+from ..storage import remove
 from ..workers import map_arrow
 
 BATCH = 100
@@ -24,24 +28,83 @@ class HashEmbedder:
         return [[d[k] / 255.0 for k in range(self.dim)] for d in digests]
 
 
-def embedded(rows: DataFrame, model: Embedder, batch: int = BATCH) -> DataFrame:
-    """(id, embedding) for rows (id, text), ``batch`` texts to a call. The model is made once for each task."""
+class OutOfQuota(RuntimeError):
+    """A model refuses for good; a build stops and continues later from what is done."""
+
+
+class Busy(RuntimeError):
+    """A model asks to wait."""
+
+
+class Limited:
+    """``model`` with a quota of calls for each task."""
+
+    def __init__(self, model: Callable, calls: int):
+        self.model, self.calls = model, calls
+
+    def __call__(self, *arguments):
+        if not self.calls:
+            raise OutOfQuota
+        self.calls -= 1
+        return self.model(*arguments)
+
+
+def embedded(rows: DataFrame, model: Embedder, batch: int = BATCH, retry: Callable[[Callable], Callable] | None = None) -> DataFrame:
+    """(id, embedding) for rows (id, text), ``batch`` texts to a call, each call with ``retry`` (``with_retries``).
+
+    Once a model is out of quota, a task calls it no more: the rows that it has are kept, the others have no row.
+    """
     import pyarrow as pa
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask, stopped = (retry or with_retries)(model), False
         for part in batches:
-            for at in range(0, part.num_rows, batch):
+            for at in range(0, 0 if stopped else part.num_rows, batch):
                 some = part.slice(at, batch)
-                vectors = model([t or "" for t in some.column("text").to_pylist()])
+                try:
+                    vectors = ask([t or "" for t in some.column("text").to_pylist()])
+                except OutOfQuota:
+                    stopped = True
+                    break
                 yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(vectors, pa.list_(pa.float32()))], names=["id", "embedding"])
 
     return map_arrow(rows.select("id", "text"), call, "id long, embedding array<float>")
 
 
-def embed_pending(rows: DataFrame, done: DataFrame, model: Embedder) -> DataFrame:
+def embed_pending(rows: DataFrame, done: DataFrame, model: Embedder, retry: Callable[[Callable], Callable] | None = None) -> DataFrame:
     """``done`` (id, embedding) with the rows that it lacks. What is done follows from the output, so it can't disagree."""
     todo = rows.join(done.select("id"), "id", "left_anti")
-    return done.select("id", "embedding").unionByName(embedded(todo, model))
+    return done.select("id", "embedding").unionByName(embedded(todo, model, retry=retry))
+
+
+class Progress(NamedTuple):
+    done: int
+    left: int
+
+
+def build(spark: SparkSession, path: str, key: str, rows: DataFrame, ask: Callable[[DataFrame], DataFrame], steps: int = 10, restart: bool = False) -> Progress:
+    """Add to the table at ``path`` what ``ask`` gives for the rows whose ``key`` it lacks, in ``steps`` parts.
+
+    Each part is written before the next begins, so a lost driver or a quota that ends costs one part at most, and what a
+    part got before its quota ended is written too; a part that brings nothing new ends the build. Calling it again
+    continues; ``restart`` begins anew. The table itself says what is done.
+    """
+    if restart:
+        remove(spark, path)
+    total = rows.select(key).distinct().count()
+    for step in range(steps):
+        done = table_or_none(spark, path)
+        part = rows.where(F.pmod(F.xxhash64(key), F.lit(steps)) == step)
+        todo = part if done is None else part.join(done.select(key), key, "left_anti")
+        if todo.isEmpty():
+            continue
+        before = done.count() if done is not None else 0
+        ask(todo).write.mode("append").parquet(path)
+        if table_or_none(spark, path).count() == before:
+            break
+    done = table_or_none(spark, path)
+    n = done.select(key).distinct().count() if done is not None else 0
+    return Progress(n, total - n)
 
 
 def sparse_weights(weights: Column, least: float = 0.01) -> Column:
@@ -54,14 +117,6 @@ def encoded_reply(dense: Column, sparse: Column, dim: int) -> Column:
     return F.struct(F.slice(dense, 1, dim).alias("dense"), sparse_weights(sparse).alias("sparse"))
 
 
-class OutOfQuota(RuntimeError):
-    """A model refuses for good; a build stops and continues later from what is done."""
-
-
-class Busy(RuntimeError):
-    """A model asks to wait."""
-
-
 def with_retries(model: Callable, tries: int = 6, busy_s: float = 15.0, error_s: float = 5.0, sleep: Callable[[float], None] | None = None) -> Callable:
     """``model`` called again after a wait: twice as long each time it is busy, a little longer after each other error.
 
@@ -90,6 +145,33 @@ def with_retries(model: Callable, tries: int = 6, busy_s: float = 15.0, error_s:
     return call
 
 
+def attempt(model: Callable | None, *arguments, seconds: float) -> Callable:
+    """Starts ``model`` at once; the returned call waits for its answer up to ``seconds`` from the start.
+
+    The answer is None if there is no model, if it raises, or if it takes longer: a search goes on without it.
+    """
+    import time
+
+    answer, began = [], time.monotonic()
+
+    def run() -> None:
+        try:
+            answer.append(model(*arguments))
+        except Exception:  # noqa: BLE001  any failure of a model counts as no answer
+            answer.append(None)
+
+    thread = threading.Thread(target=run, daemon=True)
+    if model is not None:
+        thread.start()
+
+    def wait():
+        if model is not None:
+            thread.join(max(0.0, seconds - (time.monotonic() - began)))
+        return answer[0] if answer else None
+
+    return wait
+
+
 class Lazy:
     """A model that is loaded by the process that first calls it, once: workers load it, the driver does not."""
 
@@ -109,15 +191,28 @@ class Lazy:
         return self.model is not None
 
 
-def replied(rows: DataFrame, model: Callable[[str], str | None], out: str = "reply") -> DataFrame:
-    """``rows`` (key, prompt) with the reply of a text model to each prompt, null where it gives none."""
+def replied(rows: DataFrame, model: Callable[[str], str | None], out: str = "reply", retry: Callable[[Callable], Callable] | None = None) -> DataFrame:
+    """``rows`` (key, prompt) with the reply of a text model to each prompt, null where it gives none or fails.
+
+    Once the model is out of quota, a task asks no more, and the rows that it didn't ask for have no row.
+    """
     import pyarrow as pa
 
     schema = rows.select("key").withColumn(out, F.lit(None).cast("string")).schema
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask, stopped = (retry or with_retries)(model), False
         for part in batches:
-            texts = [model(p or "") for p in part.column("prompt").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(texts, pa.string())], names=["key", out])
+            texts: list[str | None] = []
+            for prompt in [] if stopped else part.column("prompt").to_pylist():
+                try:
+                    texts.append(ask(prompt or ""))
+                except OutOfQuota:
+                    stopped = True
+                    break
+                except Exception:  # noqa: BLE001  a prompt that fails for good has no reply, the others have
+                    texts.append(None)
+            if texts:
+                yield pa.RecordBatch.from_arrays([part.column("key").slice(0, len(texts)), pa.array(texts, pa.string())], names=["key", out])
 
     return map_arrow(rows.select("key", "prompt"), call, schema)

@@ -134,20 +134,17 @@ def apply_rerank(candidates: DataFrame, reply: Column, k: int = FINAL) -> DataFr
     skipped; the rank stays the hybrid one. With three candidates or fewer, a reply that can't be read, or no valid
     place, the first candidates pass in their own order.
     """
-    parsed = F.from_json(X.strip_fences(reply), schemas.RERANK)
-    picks = candidates.select(F.lit(1)).limit(1).select(F.posexplode(parsed["results"]).alias("at", "pick"))
-    picks = picks.select("at", F.col("pick.index").alias("index"), F.col("pick.reason").alias("reason"))
-    first = W.partitionBy("index").orderBy("at")
-    picks = picks.withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    chosen = candidates.join(F.broadcast(picks), F.col("rank") == F.col("index"))
-    everyone = W.partitionBy()
-    all_rows = candidates.join(chosen.select(F.col("id").alias("_id"), "at", "reason"), F.col("id") == F.col("_id"), "left")
-    all_rows = all_rows.withColumn("_n", F.count("*").over(everyone)).withColumn("_picked", F.count("at").over(everyone))
-    passes = (F.col("_n") <= 3) | (F.col("_picked") == 0)
-    all_rows = all_rows.where(passes | F.col("at").isNotNull())
-    place = F.row_number().over(W.orderBy(F.when(passes, F.lit(0)).otherwise(F.col("at")), "rank"))
-    out = all_rows.withColumn("position", place).where(f"position <= {k}")
-    return out.select("id", "rank", "score", "position", F.when(~passes, F.col("reason")).alias("rerank_reason"))
+    row = candidates.agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("all"))
+    row = row.withColumn("results", F.coalesce(F.from_json(X.strip_fences(reply), schemas.RERANK)["results"], F.from_json(F.lit("[]"), "array<struct<index:int,reason:string>>")))
+    index = F.transform("results", lambda r: r["index"])
+    picks = F.filter("results", lambda r, at: r["index"].between(1, F.size("all")) & (F.array_position(index, r["index"]) == at + 1))
+    row = row.withColumn("picks", picks)
+    hit = lambda r, reason: F.struct(r["id"].alias("id"), r["rank"].alias("rank"), r["score"].alias("score"), reason.alias("rerank_reason"))
+    own = F.transform(F.slice("all", 1, k), lambda r: hit(r, F.lit(None).cast("string")))
+    replied = F.transform(F.slice("picks", 1, k), lambda p: hit(F.element_at("all", p["index"]), p["reason"]))
+    passes = (F.size("all") <= 3) | (F.size("picks") == 0)
+    out = row.select(F.posexplode(F.when(passes, own).otherwise(replied)).alias("at", "hit"))
+    return out.select("hit.id", "hit.rank", "hit.score", (F.col("at") + 1).alias("position"), "hit.rerank_reason")
 
 
 def with_context(hits: DataFrame, verses: DataFrame, columns: Sequence[str], around: int = NEIGHBOURS) -> DataFrame:
@@ -162,20 +159,27 @@ def with_context(hits: DataFrame, verses: DataFrame, columns: Sequence[str], aro
     return joined
 
 
-def envelope(results: DataFrame, query: str, total: Column, used_dense: bool, used_model: bool, expansion: Column | None = None) -> DataFrame:
-    """One row: the request, what was used, and the results in order."""
-    parsed = F.from_json(expansion, schemas.EXPANSION) if expansion is not None else F.lit(None).cast(schemas.EXPANSION.replace("STRUCT<", "struct<"))
+def expansion_of(reply: Column) -> Column:
+    """A model's expansion of the query: the fences round it go, and one that can't be read or has no query is none."""
+    parsed = F.from_json(X.strip_fences(reply), schemas.EXPANSION)
+    return F.when(F.coalesce(parsed["search_query"], F.lit("")) != "", parsed)
+
+
+def envelope(results: DataFrame, query: str, total: Column, used_dense: bool, expansion: Column | None = None) -> DataFrame:
+    """One row: the request, what was used, and the results in order. A model was used if it gave an expansion, whatever a
+    reranker says later."""
+    parsed = expansion_of(expansion if expansion is not None else F.lit(None).cast("string"))
     rows = F.array_sort(F.collect_list(F.struct("position", *[c for c in results.columns if c != "position"])))
     none = F.array().cast("array<string>")
-    return results.agg(rows.alias("results")).select(
+    return results.agg(rows.alias("results")).select("results", parsed.alias("parsed")).select(
         F.lit(query).alias("query"),
-        parsed["search_query"].alias("expanded_query"),
-        F.coalesce(parsed["emotions"], none).alias("emotions"),
-        F.coalesce(parsed["biblical_keywords"], none).alias("biblical_keywords"),
+        F.col("parsed.search_query").alias("expanded_query"),
+        F.coalesce(F.col("parsed.emotions"), none).alias("emotions"),
+        F.coalesce(F.col("parsed.biblical_keywords"), none).alias("biblical_keywords"),
         total.alias("total"),
         F.lit(used_dense).alias("usedDense"),
-        F.lit(used_model).alias("usedGemini"),
-        F.when(F.lit(used_model), F.lit("AI")).when(F.lit(used_dense), F.lit("semantic")).otherwise(F.lit("keyword")).alias("mode"),
+        F.col("parsed").isNotNull().alias("usedGemini"),
+        F.when(F.col("parsed").isNotNull(), F.lit("AI")).when(F.lit(used_dense), F.lit("semantic")).otherwise(F.lit("keyword")).alias("mode"),
         "results",
     )
 
@@ -199,6 +203,6 @@ def candidate_list(candidates: DataFrame, line: Column) -> DataFrame:
 
 def hint_lines(expansion: Column) -> Column:
     """Struct (emotions, needs): the expansion's emotions and first four keywords, joined."""
-    parsed = F.from_json(expansion, schemas.EXPANSION)
-    needs = F.array_join(F.slice(F.coalesce(parsed["biblical_keywords"], F.array().cast("array<string>")), 1, 4), ", ")
-    return F.struct(F.array_join(F.coalesce(parsed["emotions"], F.array().cast("array<string>")), ", ").alias("emotions"), needs.alias("needs"))
+    parsed, none = expansion_of(expansion), F.array().cast("array<string>")
+    needs = F.array_join(F.slice(F.coalesce(parsed["biblical_keywords"], none), 1, 4), ", ")
+    return F.struct(F.array_join(F.coalesce(parsed["emotions"], none), ", ").alias("emotions"), needs.alias("needs"))

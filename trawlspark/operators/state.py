@@ -14,11 +14,35 @@ from ..functions.text import MAX_IDS
 KEY = ["user_id", "passage_id"]
 
 
-def available(catalogue: DataFrame, used: DataFrame) -> DataFrame:
-    """(user_id, passage_id): for each user in ``used`` what the catalogue has left."""
-    users = used.select("user_id").distinct()
-    # the catalogue's size is checked by the planner: it is joined to every user by nature
-    return users.join(catalogue.select("passage_id"), how="cross").join(used.select(*KEY), KEY, "left_anti")
+#: Up to so many passages every task holds the catalogue as one array; beyond it users and passages are joined as rows.
+HELD = 100_000
+
+
+def _left(users: DataFrame, catalogue: DataFrame, used: DataFrame) -> DataFrame:
+    """(user_id, used_count, whole, rest): for each user the catalogue and what is left of it, as arrays, without a shuffle
+    of pairs: only a user's own ids are gathered."""
+    own = used.groupBy("user_id").agg(F.count_distinct("passage_id").alias("used_count"), F.collect_set("passage_id").alias("seen"))
+    everyone = users.select("user_id").distinct().join(own, "user_id", "left")
+    whole = F.broadcast(catalogue.agg(F.collect_list("passage_id").alias("whole")))  # one row of a checked size
+    rest = F.array_except("whole", F.coalesce("seen", F.array().cast("array<string>"))).alias("rest")
+    return everyone.join(whole, how="cross").select("user_id", F.coalesce("used_count", F.lit(0).cast("long")).alias("used_count"), "whole", rest)
+
+
+def _pairs(users: DataFrame, catalogue: DataFrame, used: DataFrame) -> DataFrame:
+    """(user_id, passage_id, seen) for catalogues that no array should hold."""
+    seen = used.select(*KEY).distinct().withColumn("seen", F.lit(True))
+    return users.select("user_id").distinct().join(catalogue.select("passage_id"), how="cross").join(seen, KEY, "left")
+
+
+def _fits(catalogue: DataFrame) -> bool:
+    return catalogue.limit(HELD + 1).count() <= HELD
+
+
+def available(users: DataFrame, catalogue: DataFrame, used: DataFrame) -> DataFrame:
+    """(user_id, passage_id): for each of ``users`` what the catalogue has left, all of it for one who has used nothing."""
+    if _fits(catalogue):
+        return _left(users, catalogue, used).select("user_id", F.explode("rest").alias("passage_id"))
+    return _pairs(users, catalogue, used).where("seen IS NULL").select(*KEY)
 
 
 def valid(ids: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -26,26 +50,37 @@ def valid(ids: DataFrame, catalogue: DataFrame) -> DataFrame:
     return ids.select(*KEY).distinct().join(catalogue.select("passage_id"), "passage_id", "left_semi").select(*KEY)
 
 
-def seeded(seed: str, *columns: str) -> Column:
+def seeded(seed: str, *columns: Column) -> Column:
     """A repeatable random order."""
-    return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in columns]))
+    return F.md5(F.concat_ws("|", F.lit(seed), *[c.cast("string") for c in columns]))
 
 
-def pick(catalogue: DataFrame, used: DataFrame, seed: str) -> DataFrame:
-    """For each user one passage: (user_id, passage_id, total_passages, used_count, was_reset).
+def pick(users: DataFrame, catalogue: DataFrame, used: DataFrame, seed: str) -> DataFrame:
+    """For each of ``users`` one passage: (user_id, passage_id, total_passages, used_count, was_reset).
 
-    A user who has seen all starts again: was_reset, used_count 0 and all passages to choose from. used_count is before
-    the pick. Ids that the catalogue doesn't have are counted as used but take no passage away.
+    A user who has used nothing chooses from all. One who has seen all starts again: was_reset, used_count 0 and all
+    passages to choose from. used_count is before the pick. Ids that the catalogue doesn't have are counted as used but
+    take no passage away. Without a catalogue there are no rows.
     """
-    counts = used.groupBy("user_id").agg(F.count_distinct("passage_id").alias("used_count"))
-    total = catalogue.agg(F.count("*").alias("total_passages"))
-    everything = counts.join(catalogue.select("passage_id"), how="cross").join(used.select(*KEY).distinct().withColumn("seen", F.lit(True)), KEY, "left")
-    left = F.sum(F.when(F.col("seen").isNull(), 1).otherwise(0)).over(W.partitionBy("user_id"))
-    open_rows = everything.withColumn("left", left).where("left = 0 OR seen IS NULL")
-    nth = F.row_number().over(W.partitionBy("user_id").orderBy(seeded(seed, "user_id", "passage_id"), "passage_id"))
-    chosen = open_rows.withColumn("nth", nth).where("nth = 1").join(total, how="cross")
-    reset = F.col("left") == 0
-    return chosen.select("user_id", "passage_id", "total_passages", F.when(reset, F.lit(0).cast("long")).otherwise(F.col("used_count")).alias("used_count"), reset.alias("was_reset"))
+    if _fits(catalogue):
+        rows = _left(users, catalogue, used)
+        reset = F.size("rest") == 0
+        chosen = F.array_min(F.transform(F.when(reset, F.col("whole")).otherwise(F.col("rest")), lambda p: F.struct(seeded(seed, F.col("user_id"), p).alias("key"), p.alias("id"))))
+        rows = rows.select("user_id", chosen["id"].alias("passage_id"), F.size("whole").cast("long").alias("total_passages"), "used_count", reset.alias("was_reset"))
+        rows = rows.where("passage_id IS NOT NULL")
+    else:
+        counts = used.groupBy("user_id").agg(F.count_distinct("passage_id").alias("used_count"))
+        own = W.partitionBy("user_id")
+        rows = _pairs(users, catalogue, used).withColumn("was_reset", F.count_if(F.col("seen").isNull()).over(own) == 0).where("was_reset OR seen IS NULL")
+        rows = rows.withColumn("nth", F.row_number().over(own.orderBy(seeded(seed, F.col("user_id"), F.col("passage_id")), "passage_id"))).where("nth = 1")
+        rows = rows.join(counts, "user_id", "left").join(catalogue.agg(F.count("*").alias("total_passages")), how="cross")
+        rows = rows.select("user_id", "passage_id", "total_passages", F.coalesce("used_count", F.lit(0).cast("long")).alias("used_count"), "was_reset")
+    return rows.withColumn("used_count", F.when(F.col("was_reset"), F.lit(0).cast("long")).otherwise(F.col("used_count")))
+
+
+def forget(used: DataFrame, gone: DataFrame) -> DataFrame:
+    """The table after the users in ``gone`` are deleted: their rows go with them."""
+    return used.join(gone.select("user_id"), "user_id", "left_anti").select(*used.columns)
 
 
 def after_reset(catalogue: DataFrame, used: DataFrame) -> DataFrame:

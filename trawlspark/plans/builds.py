@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors as V
 from ..operators import models as M
 from ..sources import files as S
+from ..storage import checkpoint_dir
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -39,8 +42,8 @@ def quantization_error(spark: SparkSession, d: str) -> DataFrame:
 def sparse_map_filter(spark: SparkSession, d: str) -> DataFrame:
     """Each document's words by share of its text, as an encoder's weights."""
     words = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")).alias("w"))
-    shares = words.groupBy("doc_id", "w").agg(F.count("*").alias("n")).join(words.groupBy("doc_id").agg(F.count("*").alias("all")), "doc_id")
-    maps = shares.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", F.col("n") / F.col("all")))).alias("m"))
+    counts = words.groupBy("doc_id", "w").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.collect_list(F.struct("w", "n")).alias("counts"), F.sum("n").alias("all"))
+    maps = counts.select("doc_id", F.map_from_entries(F.transform("counts", lambda c: F.struct(c["w"], c["n"] / F.col("all")))).alias("m"))
     reply = M.encoded_reply(F.array(F.lit(0.5), F.lit(0.25), F.lit(0.125)), F.col("m"), 2)
     kept = maps.select("doc_id", reply.alias("r"))
     total = F.aggregate(F.map_values("r.sparse"), F.lit(0.0), lambda s, x: s + x)
@@ -53,14 +56,24 @@ def dense_binary_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_embed_resume(spark: SparkSession, d: str) -> DataFrame:
+    """A build whose model runs out of quota after a call in each task, continued twice, the last time without a quota."""
     rows = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    model = M.HashEmbedder(4)
-    done = M.embedded(rows.where("id % 3 = 0"), model)
-    out = M.embed_pending(rows, done, model)
+    model, path = M.HashEmbedder(4), f"{checkpoint_dir(spark)}/embedded-{uuid.uuid4().hex}"
+    for some in (M.Limited(model, 1), M.Limited(model, 2), model):
+        M.build(spark, path, "id", rows, lambda todo, some=some: M.embedded(todo, some), steps=2)
+    out = spark.read.parquet(path)
     return out.select("id", F.array_join(F.transform("embedding", lambda x: F.rint(x * 255).cast("int").cast("string")), ",").alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (quantize, dequantize, quantization_error, sparse_map_filter, dense_binary_roundtrip, batch_embed_resume)}
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as JSON arrays and read back."""
+    path = f"{checkpoint_dir(spark)}/json-{uuid.uuid4().hex}"
+    S.write_json(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text"), path)
+    back = S.json_rows(spark, path, "doc_id LONG, lang STRING, text STRING")
+    return back.select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+QUERIES = {f.__name__: f for f in (quantize, dequantize, quantization_error, sparse_map_filter, dense_binary_roundtrip, batch_embed_resume, json_round_trip)}
 
 _QUANTIZED = """
 limits AS (SELECT min(x)::DOUBLE AS vmin, max(x)::DOUBLE AS vmax, (max(x)::DOUBLE - min(x)::DOUBLE) / 255.0::DOUBLE AS scale FROM (SELECT unnest(embedding) AS x FROM embeddings)),
@@ -81,6 +94,7 @@ shares AS (SELECT doc_id, w, count(*) / sum(count(*)) OVER (PARTITION BY doc_id)
 SELECT doc_id, (count(*) FILTER (share > 0.01))::INT AS n_kept, round(coalesce(sum(round(share, 4)) FILTER (share > 0.01), 0), 4) AS total, 2::INT AS dim FROM shares GROUP BY doc_id""",
     "dense_binary_roundtrip": f"""WITH {_QUANTIZED}
 SELECT id, round(back[1]::DOUBLE, 6) AS first, round(sqrt(list_dot_product(back::DOUBLE[], back::DOUBLE[]))::FLOAT::DOUBLE, 5) AS norm FROM back""",
+    "json_round_trip": "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents",
     "batch_embed_resume": """
 SELECT doc_id AS id, array_to_string(list_transform(range(0, 4), lambda i: ('0x' || substr(sha256(coalesce(text, '')), (2 * i + 1)::INT, 2))::INT), ',') AS bytes FROM documents""",
 }

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..operators import corpus as C
+from ..sources import files
+from ..storage import checkpoint_dir
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def parse_lines(spark: SparkSession, d: str) -> DataFrame:
+def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines made of orders: by the key's rest, good ones, ones without a verse, without a number, and short ones."""
     k = F.col("o_orderkey")
     good = F.concat(F.lit("Book "), (k % 7).cast("string"), F.lit(":"), (k % 50 + 1).cast("string"), F.lit(":"), (k % 30 + 1).cast("string"), F.lit(" "), F.col("o_orderpriority"), F.lit(": x:y"))
@@ -24,8 +28,18 @@ def parse_lines(spark: SparkSession, d: str) -> DataFrame:
         .when(k % 11 == 4, F.lit("  "))
         .otherwise(good)
     )
-    lines = _t(spark, d, "orders").select(k.alias("line_no"), line.alias("value"))
-    return C.parse_lines(lines)
+    return _t(spark, d, "orders").select(k.alias("line_no"), line.alias("value"))
+
+
+def parse_lines(spark: SparkSession, d: str) -> DataFrame:
+    return C.parse_lines(_lines(spark, d))
+
+
+def parse_text_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same lines written as text files and scanned; where a line stands in its file isn't shown."""
+    path = f"{checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    _lines(spark, d).select("value").write.text(path)
+    return C.parse_lines(files.text_lines(spark, path)).drop("line_no")
 
 
 def strip_footnotes(spark: SparkSession, d: str) -> DataFrame:
@@ -121,11 +135,20 @@ def book_filter_limit(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    parse_lines, strip_footnotes, last_write_wins, bilingual_left_join, coverage_counts, dim_enrich, tag_fallback, reverse_dim_filter, canonical_order_ids,
+    parse_lines, parse_text_files, strip_footnotes, last_write_wins, bilingual_left_join, coverage_counts, dim_enrich, tag_fallback, reverse_dim_filter, canonical_order_ids,
     chapter_groups, chapter_prompt_block, prompt_fill, pending_chapters, book_filter_limit,
 )}
 
 _LANGUAGES = "SELECT doc_id AS key, d.text AS ko, coalesce(b.text, '') AS en FROM documents d LEFT JOIN benchmark b ON item_id = doc_id"
+_PARSED = r"""
+WITH lines AS (
+  SELECT o_orderkey AS line_no, CASE o_orderkey % 11 WHEN 0 THEN 'A:' || o_orderkey WHEN 1 THEN 'A:x:' || o_orderkey || ' t' WHEN 2 THEN 'A:1:' || o_orderkey
+         WHEN 3 THEN 'A: 1.5:' || o_orderkey || ' t' WHEN 4 THEN '  '
+         ELSE 'Book ' || (o_orderkey % 7) || ':' || (o_orderkey % 50 + 1) || ':' || (o_orderkey % 30 + 1) || ' ' || o_orderpriority || ': x:y' END AS value FROM orders
+), cut AS (SELECT line_no, regexp_extract(trim(value), '^([^:]*):([^:]*):(.*)$', ['book', 'chapter', 'rest']) AS p FROM lines)
+SELECT line_no, replace(p.book, ' ', '') AS book, trim(p.chapter)::INT AS chapter, regexp_extract(trim(p.rest), '^(\d+)\s+(.*)', 1)::INT AS verse,
+       replace(p.book, ' ', '') || ':' || trim(p.chapter) || ':' || regexp_extract(trim(p.rest), '^(\d+)\s+(.*)', 1) AS key, regexp_extract(trim(p.rest), '^(\d+)\s+(.*)', 2) AS text
+FROM cut WHERE regexp_matches(p.chapter, '^\s*[+-]?\d+\s*$') AND regexp_matches(trim(p.rest), '^\d+\s+')"""
 _ENRICHED = """
 books AS (
   SELECT n_nationkey::VARCHAR AS book_en, n_name AS ko_name, CASE WHEN n_regionkey < 3 THEN 'OT' ELSE 'NT' END AS testament, r_name AS genre, n_nationkey AS book_ord
@@ -140,15 +163,8 @@ v AS (SELECT conv_id * 1000 + turn AS id, conv_id AS chapter, (turn + 1)::INT AS
 blocks AS (SELECT chapter, count(*) AS n, string_agg(verse || ': ' || text, chr(10) ORDER BY id) AS block FROM v GROUP BY chapter)"""
 
 SQL = {
-    "parse_lines": r"""
-WITH lines AS (
-  SELECT o_orderkey AS line_no, CASE o_orderkey % 11 WHEN 0 THEN 'A:' || o_orderkey WHEN 1 THEN 'A:x:' || o_orderkey || ' t' WHEN 2 THEN 'A:1:' || o_orderkey
-         WHEN 3 THEN 'A: 1.5:' || o_orderkey || ' t' WHEN 4 THEN '  '
-         ELSE 'Book ' || (o_orderkey % 7) || ':' || (o_orderkey % 50 + 1) || ':' || (o_orderkey % 30 + 1) || ' ' || o_orderpriority || ': x:y' END AS value FROM orders
-), cut AS (SELECT line_no, regexp_extract(trim(value), '^([^:]*):([^:]*):(.*)$', ['book', 'chapter', 'rest']) AS p FROM lines)
-SELECT line_no, replace(p.book, ' ', '') AS book, trim(p.chapter)::INT AS chapter, regexp_extract(trim(p.rest), '^(\d+)\s+(.*)', 1)::INT AS verse,
-       replace(p.book, ' ', '') || ':' || trim(p.chapter) || ':' || regexp_extract(trim(p.rest), '^(\d+)\s+(.*)', 1) AS key, regexp_extract(trim(p.rest), '^(\d+)\s+(.*)', 2) AS text
-FROM cut WHERE regexp_matches(p.chapter, '^\s*[+-]?\d+\s*$') AND regexp_matches(trim(p.rest), '^\d+\s+')""",
+    "parse_lines": _PARSED,
+    "parse_text_files": f"SELECT * EXCLUDE (line_no) FROM ({_PARSED})",
     "strip_footnotes": r"""
 SELECT doc_id, md5(trim(regexp_replace(text, '\d+\)', '', 'g'))) AS clean_md5, (length(text) - length(trim(regexp_replace(text, '\d+\)', '', 'g'))))::INT AS removed FROM documents""",
     "last_write_wins": """

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import corpus as C, search as S, segments as G
+from ..operators import corpus as C, models as M, search as S, segments as G
 from ..sources import canon, files
 
 
@@ -28,35 +29,41 @@ def build_verses(spark: SparkSession, ko_path: str, en_path: str) -> DataFrame:
     return rows.select("id", "key", "book_en", "book_ko", "chapter", "verse", "testament", "genre", F.col("ko_text").alias("ko"), "en", embed.alias("embed_text"))
 
 
+#: Seconds that an expansion, an embedding and a reranking may take, and after which a search no longer reranks.
+EXPAND_S, EMBED_S, RERANK_S, BUDGET_S = 4.0, 5.0, 5.0, 7.0
+
+
 def search(
     verses: DataFrame, query: str, vectors: DataFrame | None = None, dim: int = 0, embed: Callable[[str], Sequence[float] | None] | None = None,
-    expand: Callable[[str], str | None] | None = None, rerank: Callable[[str, str, str | None], str | None] | None = None,
+    expand: Callable[[str], str | None] | None = None, rerank: Callable[[str, str, str | None], str | None] | None = None, clock: Callable[[], float] = time.monotonic,
 ) -> DataFrame:
-    """The answer to a query as one row. Models are callables on the driver; each may be left out or give None.
+    """The answer to a query as one row. Models are callables on the driver; each may be left out, give None, fail or be late.
 
-    The dense leg ranks by the query itself, the sparse leg by its expansion. A reranker sees the numbered list of
-    candidates; without one the hybrid order stands.
+    Expansion and embedding run side by side. The dense leg ranks by the query itself, the sparse leg by its expansion. A
+    reranker sees the numbered list of candidates; without one, with three candidates or fewer, or once ``BUDGET_S``
+    seconds are over, the hybrid order stands.
     """
-    query = S.checked_query(query)
-    expansion = expand(query) if expand else None
-    sparse_query = query
-    if expansion:
-        found = verses.sparkSession.range(1).select(F.from_json(X.strip_fences(F.lit(expansion)), "search_query STRING")["search_query"]).first()[0]
-        sparse_query = found or query
-    vector = embed(query) if embed else None
+    query, began = S.checked_query(query), clock()
+    expansion, vector = M.attempt(expand, query, seconds=EXPAND_S), M.attempt(embed, query, seconds=EMBED_S)
+    expansion, vector = expansion(), vector()
+    if expansion is not None:
+        found = verses.sparkSession.range(1).select(S.expansion_of(F.lit(expansion))["search_query"]).first()[0]
+        expansion, sparse_query = (expansion, found) if found else (None, query)
+    else:
+        sparse_query = query
     text = X.search_text(F.col("ko"), F.col("en"), F.col("embed_text"))
     sparse = S.sparse_topk(verses, sparse_query, text)
     dense = S.dense_topk(vectors.join(verses.select("id"), "id", "left_semi"), vector, dim) if vector is not None and vectors is not None else None
     top = S.fuse(dense, sparse, vector is not None).persist()  # fifteen rows that the reranker and the answer both read
     reply = None
-    if rerank:
+    if rerank and clock() - began < BUDGET_S and top.count() > 3:
         listing = S.candidate_list(top.join(verses, "id"), F.concat_ws(" ", "book_ko", F.concat_ws(":", "chapter", "verse"), F.lit("-"), "ko"))
-        reply = rerank(query, listing.first()["listing"], expansion)
+        reply = M.attempt(rerank, query, listing.first()["listing"], expansion, seconds=RERANK_S)()
     best = S.apply_rerank(top, F.lit(reply).cast("string"))
     hits = best.join(verses, "id").select("position", "rank", "score", "rerank_reason", "id", F.col("book_en").alias("book"), "chapter", "verse", "book_ko", "ko", "en")
     named = verses.withColumnRenamed("book_en", "book").select("book", "chapter", "verse", "ko", "en")
     results = S.with_context(hits, named, ["ko", "en"])
-    return S.envelope(results, query, F.lit(verses.count()), vector is not None, reply is not None, F.lit(expansion).cast("string"))
+    return S.envelope(results, query, F.lit(verses.count()), vector is not None, F.lit(expansion).cast("string"))
 
 
 def segment_prompts(verses: DataFrame) -> DataFrame:

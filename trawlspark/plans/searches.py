@@ -118,7 +118,7 @@ def context_pm2(spark: SparkSession, d: str) -> DataFrame:
 def search_envelope(spark: SparkSession, d: str) -> DataFrame:
     total = _docs(spark, d).count()
     results = S.apply_rerank(_hybrid(spark, d), F.lit(REPLY)).join(_docs(spark, d).select("id", "lang"), "id")
-    row = S.envelope(results, S.checked_query(f" {QUERY} "), F.lit(total).cast("long"), True, True, F.lit(EXPANSION))
+    row = S.envelope(results, S.checked_query(f" {QUERY} "), F.lit(total).cast("long"), True, F.lit(EXPANSION))
     listing = F.transform("results", lambda r: F.concat_ws("|", r["position"].cast("string"), r["id"].cast("string"), r["rank"].cast("string"), r["lang"]))
     return row.select(
         "query", "expanded_query", F.array_join("emotions", ",").alias("emotions"), F.array_join("biblical_keywords", ",").alias("keywords"),
@@ -197,7 +197,7 @@ reranked AS (
   FROM (SELECT * FROM picks QUALIFY row_number() OVER (PARTITION BY idx ORDER BY place) = 1) JOIN hybrid ON rank = idx QUALIFY position <= 5
 )"""
 _PRESET_ROWS = " UNION ALL ".join(f"SELECT {i} AS query_id, '{q}' AS query" for i, q in enumerate((*PRESETS, f"  {QUERY}\t")))
-_BATCH_ROWS = "SELECT item_id AS query_id, array_to_string((list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))[1:3], ' ') AS query FROM benchmark WHERE item_id < 10"
+_BATCH_ROWS = "SELECT item_id AS query_id, coalesce(text, '') AS query FROM benchmark"
 
 SQL = {
     "query_tokens": f"WITH {_tokens_sql(_PRESET_ROWS)} SELECT query_id, token, weight FROM tokens",

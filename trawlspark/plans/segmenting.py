@@ -85,7 +85,7 @@ SQL = {
     "segment_records": f"""WITH RECURSIVE {_FOLD}
 SELECT 'O:' || ch || ':' || verse_start || '-' || verse_end AS id, 'O ' || ch || ':' || verse_start || CASE WHEN verse_start = verse_end THEN '' ELSE '-' || verse_end END AS range_label,
        array_to_string(list_transform(range(verse_start, verse_end + 1), lambda v: 'O:' || ch || ':' || v), ',') AS verse_keys, CASE WHEN filler THEN '본문' ELSE '단락' END AS theme_title
-FROM segments WHERE ch % 10 = 0""",
+FROM segments""",
     "hydrate_segments": """
 WITH ends AS (SELECT conv_id, max(turn) + 3 AS e FROM conversations GROUP BY conv_id),
 keys AS (SELECT conv_id, e, unnest(range(1, e + 1)) AS v FROM ends)

@@ -1,4 +1,4 @@
-"""State queries: regions as the catalogue, events as the log of what users have seen."""
+"""State queries: regions as the catalogue, customers as users, events as the log of what they have seen."""
 
 from __future__ import annotations
 
@@ -21,6 +21,11 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _users(spark: SparkSession, d: str) -> DataFrame:
+    """All customers, most of whom have no event."""
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("user_id"))
+
+
 def _used(spark: SparkSession, d: str) -> DataFrame:
     """Users with an even id have state before; the others' is to come."""
     return U.replay(_log(spark, d))
@@ -31,7 +36,7 @@ def _shown(rows: DataFrame) -> DataFrame:
 
 
 def available_passages(spark: SparkSession, d: str) -> DataFrame:
-    return U.available(_catalogue(spark, d), _used(spark, d))
+    return U.available(_users(spark, d), _catalogue(spark, d), _used(spark, d))
 
 
 def valid_used_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +44,7 @@ def valid_used_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def random_pick_seeded(spark: SparkSession, d: str) -> DataFrame:
-    rows = U.pick(_catalogue(spark, d), _used(spark, d), SEED)
+    rows = U.pick(_users(spark, d), _catalogue(spark, d), _used(spark, d), SEED)
     label = F.concat(F.col("used_count").cast("string"), F.lit("/"), F.col("total_passages").cast("string"))
     return rows.select("*", label.alias("progress"), F.lit(False).alias("is_used"))
 
@@ -48,6 +53,12 @@ def reset_on_exhaustion(spark: SparkSession, d: str) -> DataFrame:
     return U.after_reset(_catalogue(spark, d), _used(spark, d)).select("user_id", "passage_id")
 
 
+def user_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in debt are deleted, and their state with them."""
+    gone = spark.read.parquet(f"{d}/customer.parquet").where("c_acctbal < 0").select(F.col("c_custkey").cast("string").alias("user_id"))
+    return U.forget(_used(spark, d), gone).select("user_id", "passage_id")
+
+
 def _even_odd(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """State from the first half of the log, marks from the rest."""
     log = _log(spark, d)
@@ -100,14 +111,14 @@ def input_caps(spark: SparkSession, d: str) -> DataFrame:
 
 def labels_of_ui(spark: SparkSession, d: str) -> DataFrame:
     """Labels that a reader sees: testament, storage, banner."""
-    rows = U.pick(_catalogue(spark, d), _used(spark, d), SEED)
+    rows = U.pick(_users(spark, d), _catalogue(spark, d), _used(spark, d), SEED)
     testament = F.when(F.col("passage_id") == "0", F.lit("구약")).otherwise(F.lit("신약"))
     banner = F.when(F.col("was_reset"), F.lit("reset")).otherwise(F.lit(""))
     return rows.select("user_id", testament.alias("testament"), banner.alias("banner"), F.when(F.col("user_id").cast("long") % 2 == 0, F.lit("account")).otherwise(F.lit("browser")).alias("storage"))
 
 
 QUERIES = {f.__name__: f for f in (
-    available_passages, valid_used_ids, random_pick_seeded, reset_on_exhaustion, toggle_upsert, toggle_delete, bulk_insert_ignore, replay_state, local_set_ops,
+    available_passages, valid_used_ids, random_pick_seeded, reset_on_exhaustion, user_cascade, toggle_upsert, toggle_delete, bulk_insert_ignore, replay_state, local_set_ops,
     rls_user_view, input_caps, labels_of_ui,
 )}
 
@@ -127,7 +138,7 @@ _HALVES = f"""{_LOG}, used AS {_state('(SELECT * FROM log WHERE event_id % 2 = 0
 marks AS (SELECT user_id, passage_id, min(ts) AS used_at FROM log WHERE event_id % 2 = 1 AND used GROUP BY ALL)"""
 _AT = "strftime(used_at, '%Y-%m-%d %H:%M:%S') AS used_at"
 _PICKED = f"""{_USED},
-users AS (SELECT user_id, count(DISTINCT passage_id) AS n_used FROM used GROUP BY user_id),
+users AS (SELECT c_custkey::VARCHAR AS user_id, count(DISTINCT passage_id) AS n_used FROM customer LEFT JOIN used ON user_id = c_custkey::VARCHAR GROUP BY c_custkey),
 open_rows AS (
   SELECT u.user_id, n_used, c.passage_id, s.passage_id IS NOT NULL AS seen FROM users u CROSS JOIN catalogue c LEFT JOIN used s ON s.user_id = u.user_id AND s.passage_id = c.passage_id
 ), flagged AS (SELECT *, bool_and(seen) OVER (PARTITION BY user_id) AS was_reset FROM open_rows),
@@ -137,12 +148,13 @@ picked AS (
 )"""
 
 SQL = {
-    "available_passages": f"WITH {_USED} SELECT u.user_id, c.passage_id FROM (SELECT DISTINCT user_id FROM used) u CROSS JOIN catalogue c ANTI JOIN used s ON s.user_id = u.user_id AND s.passage_id = c.passage_id",
+    "available_passages": f"WITH {_USED} SELECT u.user_id, c.passage_id FROM (SELECT c_custkey::VARCHAR AS user_id FROM customer) u CROSS JOIN catalogue c ANTI JOIN used s ON s.user_id = u.user_id AND s.passage_id = c.passage_id",
     "valid_used_ids": f"WITH {_USED} SELECT DISTINCT user_id, passage_id FROM used WHERE passage_id IN (SELECT passage_id FROM catalogue)",
     "random_pick_seeded": f"WITH {_PICKED} SELECT *, used_count || '/' || total_passages AS progress, false AS is_used FROM picked",
     "reset_on_exhaustion": f"""WITH {_USED}, exhausted AS (
   SELECT user_id FROM used JOIN catalogue USING (passage_id) GROUP BY user_id HAVING count(*) >= (SELECT count(*) FROM catalogue))
 SELECT user_id, passage_id FROM used WHERE user_id NOT IN (SELECT user_id FROM exhausted)""",
+    "user_cascade": f"WITH {_USED} SELECT user_id, passage_id FROM used WHERE user_id NOT IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_acctbal < 0)",
     "toggle_upsert": f"WITH {_HALVES} SELECT user_id, passage_id, {_AT} FROM (SELECT * FROM used UNION ALL SELECT * FROM marks m WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.user_id = m.user_id AND u.passage_id = m.passage_id))",
     "toggle_delete": f"WITH {_HALVES} SELECT user_id, passage_id, {_AT} FROM used u WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE u.user_id = m.user_id AND u.passage_id = m.passage_id)",
     "bulk_insert_ignore": f"""WITH {_HALVES} SELECT user_id, count(*) AS inserted FROM marks m WHERE passage_id IN (SELECT passage_id FROM catalogue)

@@ -27,7 +27,7 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a file that holds one JSON array; a missing file is an empty table."""
+    """Rows of a file, or of a folder of files, that each hold one JSON array; a missing one is an empty table."""
     try:
         return spark.read.schema(schema).json(path, multiLine=True)
     except AnalysisException as missing:
@@ -36,9 +36,34 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return None
+
+
 def write_json(rows: DataFrame, path: str) -> None:
-    """JSON lines, non-ASCII characters as they are."""
-    rows.write.mode("overwrite").json(path)
+    """Files that each hold one compact JSON array of a partition's rows, a row to a line; non-ASCII characters as they are.
+
+    ``json_rows`` reads them back. Fields that are null are written as null.
+    """
+    import pyarrow as pa
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for batch in batches:
+            items = batch.column("value").to_pylist()
+            if items:
+                yield pa.RecordBatch.from_arrays([pa.array([before + items[0], *("," + x for x in items[1:])])], names=["value"])
+                before = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], names=["value"])
+
+    text = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    map_arrow(text, listed, "value string").write.mode("overwrite").text(path)
 
 
 def write_versioned(rows: DataFrame, path: str, *partition: str) -> None:
