@@ -11,7 +11,7 @@ def build(spark, tmp_path):
 def test_dimension():
     rows = canon.book_rows()
     assert len(rows) == 66 and rows[0][1:] == ("Genesis", "창세기", "OT", "모세오경") and rows[-1][0] == 65
-    assert len(canon._entries(canon.BOOK_TAGS)) == 33 and len(dict(canon._entries(canon.GENRE_TAGS))) == 9
+    assert len(dict(canon.BOOK_TAGS)) == 33 and len(canon.GENRE_TAGS) == 10 and len(dict(canon.GENRE_TAGS)) == 9
 
 
 def test_corpus_search_and_passages(spark, tmp_path):
