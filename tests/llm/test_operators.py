@@ -495,6 +495,14 @@ def test_counts_equal_a_plain_search(spark):
     assert {w: brute_count(w, scores, byte_score) for w in set(words)} == found
 
 
+def test_token_counts_of_rows(spark):
+    scores, byte_score = token_counts.piece_scores(PIECES)
+    r = random.Random(18)
+    texts = [r.choice((" ", "\n", "\t  ")).join("".join(r.choice("etaoinshr漢é.") for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 25))) for _ in range(40)]
+    found = {x["doc_id"]: (x["n_words"], x["n_tokens"]) for x in token_counts.token_counts(documents(spark, *texts), PIECES).collect()}
+    assert found == {i: (len(t.split()), sum(brute_count(w, scores, byte_score) for w in t.split())) for i, t in enumerate(texts)}
+
+
 def test_token_counts_odd_rows(spark):
     found = rows(token_counts.token_counts(odd(spark), PIECES))
     assert len(found) == 9 and sum(1 for r in found if r[1:] == (0, 0)) == 4
@@ -742,12 +750,44 @@ def test_quality_learns_and_holds_out(spark):
     assert rows(quality.score_quality(docs, flipped)) == rows(quality.score_quality(docs, labels))
 
 
+def test_quality_against_a_plain_fit(spark, monkeypatch):
+    """Ridge weights from all rows at once, and the calibration by the minimax formula of isotonic regression."""
+    monkeypatch.setattr(quality, "FAN_IN", 2)
+    r = random.Random(12)
+    texts = [prose(r, r.randint(5, 90)) + "!" * r.randint(0, 9) for _ in range(240)]
+    truth = [int(t.count("!") + r.randint(0, 4) < 7) for t in texts]
+    docs = documents(spark, *texts).repartition(7)
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(truth)], "doc_id long, quality int")
+    found = {x["doc_id"]: x["score"] for x in quality.score_quality(docs, labels).collect()}
+    stats = np.array([quality.statistics(t.encode()) for t in texts])
+    fold = np.array([zlib.crc32(str(i).encode()) % 3 for i in range(240)])
+    known, y = fold != 1, np.array(truth, float)
+    features = quality.Fourier(stats[known].mean(0), np.where(stats[known].std(0) > 1e-9, stats[known].std(0), 1.0))
+    z, penalty = features(stats), quality.RIDGE * np.eye(quality.FEATURES + 1)
+    penalty[0, 0] = 1e-9
+
+    def ridge(rows_):
+        return np.linalg.solve(z[rows_].T @ z[rows_] + penalty, z[rows_].T @ y[rows_])
+
+    raw = z @ ridge(known)
+    crossed = np.where(fold == 0, z @ ridge(fold == 2), z @ ridge(fold == 0))[known]
+    bins = np.clip(((crossed - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS).astype(int), 0, quality.BINS - 1)
+    at = np.unique(bins)
+    value, weight = np.array([y[known][bins == b].mean() for b in at]), np.array([(bins == b).sum() for b in at])
+    mean = lambda a, b: (value[a : b + 1] * weight[a : b + 1]).sum() / weight[a : b + 1].sum()
+    n = len(at)
+    fitted = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+    wanted = 0.999 * np.interp(raw, quality.LOW + (at + 0.5) * (quality.HIGH - quality.LOW) / quality.BINS, fitted) + 0.001 * np.clip(raw, 0, 1)
+    assert np.abs(np.array([found[i] for i in range(240)]) - np.clip(wanted, 0, 1)).max() < 1e-6
+
+
 def test_quality_odd_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     found = quality.score_quality(odd(spark), labels).collect()
     assert len(found) == 9 and all(x["score"] == 0.5 for x in found)
     one = spark.createDataFrame([(2, 1, 0), (3, 1, 0), (4, 1, 0), (5, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
-    assert all(0 <= x["score"] <= 1 for x in quality.score_quality(odd(spark), one).collect())
+    twice = quality.score_quality(odd(spark).union(odd(spark)), one).collect()
+    assert len(twice) == 18 and all(0 <= x["score"] <= 1 for x in twice) and not any(x["held_out"] for x in twice if x["doc_id"] is None)
     assert quality.score_quality(odd(spark).limit(0), one).count() == 0
 
 

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trawlspark.llm import divergence, queries
@@ -112,3 +113,38 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
     starts = sorted((p["sequence_id"], p["offset"], p["length"]) for p in found)
     assert [q * 2048 + o for q, o, _ in starts] == np.cumsum([0, *[n for *_, n in starts[:-1]]]).tolist()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "mixing", "packing"]
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_table(spark):
+    r = random.Random(17)
+    long = " ".join(f"w{i % 977}" for i in range(30_000))
+    good = [prose(r, 120) for _ in range(12)]
+    texts = [None, "", " \n", "a", long, "x" * 20_000, *good, good[0], good[1], good[1], None]
+    ids = [1, 2, None, 4, 5, 6, *range(10, 22), 10, None, None, 1]
+    data = [(i, t, (None, "en", "xx")[k % 3], (None, "s", "t")[k % 3], None) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    return spark.createDataFrame(data, COLUMNS)
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
+    docs = odd_table(spark).withColumns({c: F.lit(1) for c in ("row", "kept", "_key", "_size", "size", "part", "hash")})
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, "")
+            assert name == "packing" or out.columns == docs.columns
+            sizes.append(out.count())
+    assert sizes[1::2] == [0] * 5
+    # the good texts and their three copies pass the rules; 17 texts differ, null and empty being one
+    assert sizes[0] == 15 and sizes[2] == 17
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    for name, table in (("odd", odd_table(spark)), ("empty", odd_table(spark).limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        found = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        starts = sorted((p["sequence_id"], p["offset"], p["length"]) for p in found)
+        assert [q * 2048 + o for q, o, _ in starts] == np.cumsum([0, *[n for *_, n in starts[:-1]]]).tolist()[: len(starts)]
+        assert bool(found) == (name == "odd")

@@ -307,7 +307,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Reads doc_id (of any ordered type) and text. Rows are linked if their sets have ``percent`` of their union in common
     (80 at least); component_id is the smallest doc_id that links reach, and a row with that id is kept. A text without
-    words, or null, has an empty set and is linked with nothing. Repeated rows share a component. No rows give no rows.
+    words, or null, has an empty set and is linked with nothing; it is kept, also without a doc_id. Texts are read whole,
+    whatever their length, and other columns are ignored. Repeated rows share a component, and all with its id are kept.
+    No rows give no rows.
     """
     if percent < PERCENT:
         raise ValueError(f"the signature is made for {PERCENT} percent and more")

@@ -22,6 +22,8 @@ FEATURES, SCALE, RIDGE, BINS, SEED = 256, 0.8, 1.0, 1000, 11
 #: Raw scores are binned between these.
 LOW, HIGH = -1.0, 2.0
 STATISTICS = 21
+#: Partitions whose sums one task adds up.
+FAN_IN = 32
 
 
 def statistics(text: bytes) -> list[float]:
@@ -75,11 +77,18 @@ def _matrix(column) -> np.ndarray:
 
 
 def _normal_equations(rows: DataFrame, features: Fourier) -> dict[int, np.ndarray]:
-    """For each fold Z'[Z y], summed in each partition, then in about the root of their number, then on the driver."""
+    """For each fold Z'[Z y], summed in each partition, then in a tree of ``FAN_IN`` partitions to a task.
+
+    One matrix for each fold reaches the driver, however many partitions there are; no task holds more than ``FAN_IN``
+    of each. Sums are taken in the order of their bytes, so reruns agree.
+    """
     import pyarrow as pa
 
     size = FEATURES + 1
 
+    def told(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["fold", "sums"])
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -88,24 +97,22 @@ def _normal_equations(rows: DataFrame, features: Fourier) -> dict[int, np.ndarra
                 part = z[fold == f]
                 sums[int(f)] = sums.get(int(f), 0) + part.T @ np.hstack([part, y[fold == f, None]])
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["fold", "sums"])
+            yield told(sums)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for f, s in zip(batch.column("fold").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                sums[f] = sums.get(f, 0) + np.frombuffer(s)
+        parts = [x for batch in batches for x in zip(batch.column("fold").to_pylist(), batch.column("sums").to_pylist(), strict=True)]
+        for f, s in sorted(parts):
+            sums[f] = sums.get(f, 0) + np.frombuffer(s)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["fold", "sums"])
+            yield told(sums)
 
     schema = "fold int, sums binary"
-    parts = map_arrow(rows.select("stats", "y", "fold"), partial, schema)
-    few = max(1, int(np.sqrt(rows.rdd.getNumPartitions())))
-    merged = map_arrow(parts.repartition(few), merge, schema).collect()
-    out: dict[int, np.ndarray] = {}
-    for r in sorted(merged, key=lambda r: (r[0], bytes(r[1]))):
-        out[r[0]] = out.get(r[0], 0) + np.frombuffer(bytes(r[1])).reshape(size, size + 1)
-    return out
+    parts, n = map_arrow(rows.select("stats", "y", "fold"), partial, schema), rows.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // FAN_IN)
+        parts = map_arrow(parts.repartition(n), merge, schema)
+    return {r[0]: np.frombuffer(bytes(r[1])).reshape(size, size + 1) for r in parts.collect()}
 
 
 def solve(sums: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
@@ -176,8 +183,10 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model | None:
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    Reads doc_id and text; the id only says which rows are held out. Null and empty texts are scored by their statistics
-    like any other; without any label every score is 0.5. An empty table gives no rows.
+    Reads doc_id and text; the id only says which rows are held out, and other columns, whatever their names, are ignored.
+    Texts are measured whole, whatever their length. Null and empty texts are scored by their statistics like any other; a
+    null doc_id is not held out and has no label; without any label every score is 0.5. Repeated rows repeat, and each
+    counts in the fit if its id has a label. An empty table gives no rows.
     """
     import pyarrow as pa
 
