@@ -119,24 +119,40 @@ def _signed(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), sign, schema)
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, members) of the classes in ``ids`` (node, doc_id, digest): the sorted hashes of the set, as bytes."""
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The columns of ``wanted`` but doc_id and digest, with ``members``: the sorted hashes of that class's set, as bytes.
+
+    The sets are made where the texts are and leave with the place that asked for them, so they are shuffled once. Rows of
+    one doc_id can have different texts: a class's own are those with its digest, of which a task hands on one.
+    """
     import pyarrow as pa
 
+    carried = [c for c in wanted.columns if c not in ("doc_id", "digest")]
+    schema = wanted.select(*carried).schema.add("members", "binary")
+
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
+        seen: set[tuple] = set()
+        before, members, digest = None, b"", b""
         for batch in batches:
-            members = [shingles(t).tobytes() for t in as_bytes(batch.column("text"))]
-            # rows of one doc_id can have different texts: the class's own is the one with its digest
-            own = [xxh3_128_digest(m) == d for m, d in zip(members, batch.column("digest").to_pylist(), strict=True)]
-            found = pa.RecordBatch.from_arrays([batch.column("node"), pa.array(members, pa.binary())], names=["node", "members"])
-            yield found.filter(pa.array(own, pa.bool_()))
-
-    ids = ids.select("node", F.col("doc_id").alias("_id"), "digest")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select("node", "text", "digest")
-    return map_arrow(texts, collect, "node long, members binary").dropDuplicates(["node"])
+            keep, found = [], []
+            rows = zip(as_bytes(batch.column("text")), batch.column("digest").to_pylist(), zip(*(batch.column(c).to_pylist() for c in carried), strict=True), strict=True)
+            for at, (text, own, place) in enumerate(rows):
+                if text != before:
+                    before, members = text, shingles(text).tobytes()
+                    digest = xxh3_128_digest(members)
+                if digest == own and place not in seen:
+                    seen.add(place)
+                    keep.append(at)
+                    found.append(members)
+            some = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in carried), pa.array(found, pa.binary())], names=schema.names)
+
+    wanted = wanted.withColumnRenamed("doc_id", "_id")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select(*carried, "text", "digest")
+    return map_arrow(texts, collect, schema)
 
 
 def overlaps(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -146,28 +162,36 @@ def overlaps(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _star(classes: DataFrame, shared: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (u, v), at most one for each class u, to the class v < u that is first in most of its lists."""
+    """Confirmed links (u, v), at most one for each class u, to the class v < u that is first in most of its lists, in
+    ``MATCHES`` of them at least. A class v that very many are held against is sent to several places, for a part of them each.
+    """
     import pyarrow as pa
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of place, the center of a place first."""
+        center, at = None, None
         for batch in batches:
-            sets = [[np.frombuffer(m.as_buffer(), np.uint64) for m in batch.column(c)] for c in ("a", "b")]
-            yield batch.select(["u", "v"]).filter(pa.array([overlaps(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_()))
-
-    best = shared.where("node <> first").groupBy("node").agg(F.mode("first", True).alias("v")).withColumnRenamed("node", "u")
-    sketch = F.struct("n", "bits", "coordinates")
-    u = classes.select(F.col("node").alias("u"), sketch.alias("x"), F.struct("doc_id", "digest").alias("mine"))
-    v = classes.select(F.col("node").alias("v"), sketch.alias("y"), F.struct("doc_id", "digest").alias("other"))
-    pairs = best.join(u, "u").join(v, "v")
-    sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    bits = f"bit_count(x.bits[0] ^ y.bits[0]) + bit_count(x.bits[1] ^ y.bits[1]) <= {HASHES - AGREE}"
-    collisions = f"size(filter(zip_with(x.coordinates, y.coordinates, (a, b) -> a = b), e -> e)) >= {MATCHES}"
-    pairs = cut(pairs.where(f"{sizes} AND {bits} AND {collisions}").select("u", "v", "mine", "other"))
-    involved = pairs.select(F.col("u").alias("node"), "mine.*").union(pairs.select("v", "other.*").distinct())
-    sets = cut(_sets(docs, involved.distinct()))
-    a = sets.select(F.col("node").alias("u"), F.col("members").alias("a"))
-    b = sets.select(F.col("node").alias("v"), F.col("members").alias("b"))
-    return cut(map_arrow(pairs.select("u", "v").join(b, "v").join(a, "u").select("u", "v", "a", "b"), compare, "u long, v long"))
+            links = []
+            for v, part, is_center, node, raw in zip(*(batch.column(c).to_pylist() for c in ("v", "part", "center", "node", "members")), strict=True):
+                members = np.frombuffer(raw, np.uint64)
+                if is_center:
+                    center, at = members, (v, part)
+                elif at != (v, part):
+                    raise ValueError(f"no set for class {v}")
+                elif overlaps(members, center, percent):
+                    links.append((node, v))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["u", "v"])
+
+    firsts = shared.where("node <> first").groupBy("node").agg(F.mode("first", True).alias("v"), F.collect_list("first").alias("firsts"))
+    often = F.size(F.filter("firsts", lambda x: x == F.col("v"))) >= MATCHES
+    pairs = cut(firsts.where(often).select("node", "v"))
+    centers = pairs.groupBy("v").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
+    around = pairs.join(centers, "v").select("node", "v", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("center"))
+    wanted = around.union(centers.select("v", "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.lit(True)))
+    sets = _sets(docs, cut(wanted.join(classes.select("node", "doc_id", "digest"), "node")))
+    placed = sets.repartition(shuffle_partitions(docs.sparkSession), "v", "part").sortWithinPartitions("v", "part", F.desc("center"))
+    return cut(map_arrow(placed, compare, "u long, v long").distinct())
 
 
 def candidates(at: int, rows: tuple[np.ndarray, ...], columns: tuple[np.ndarray, ...], percent: int, matches: int = MATCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,8 +265,9 @@ def _linking(percent: int) -> Callable:
 
     def visit(batches: Iterator) -> Iterator:
         for group in _groups(batches, ("term", "i", "j")):
-            at, (rows, columns), where = _sides(group)
-            members = [np.frombuffer(m.as_buffer(), np.uint64) for m in group.column("members")]
+            has = group.column("members").is_valid().to_numpy()
+            sets = {n: np.frombuffer(m, np.uint64) for n, m in zip(group.column("node").to_numpy()[has], group.column("members").filter(has).to_pylist(), strict=True)}
+            at, (rows, columns), _ = _sides(group.filter(~has))
             x, y, count = candidates(at, rows, columns, percent)
             root: dict[int, int] = {}
 
@@ -255,7 +280,7 @@ def _linking(percent: int) -> Callable:
             for k in np.argsort(-count, kind="stable"):
                 u, v = int(rows[1][x[k]]), int(columns[1][y[k]])
                 a, b = find(u), find(v)
-                if a != b and overlaps(members[where[0][x[k]]], members[where[1][y[k]]], percent):
+                if a != b and overlaps(sets[rows[0][x[k]]], sets[columns[0][y[k]]], percent):
                     root[a] = b
                     links.append((u, v))
             if links:
@@ -283,8 +308,8 @@ def _across(classes: DataFrame, shared: DataFrame, parts: DataFrame, docs: DataF
         return rows.repartition(shuffle_partitions(docs.sparkSession), "term", "i", "j").sortWithinPartitions("term", "i", "j")
 
     promising = cut(map_arrow(meeting(dealt.join(classes.select("node", "n", "bits", "coordinates"), "node").select(*names)), _promising(percent), _MET))
-    wanted = promising.select("node").distinct().join(classes, "node").select("node", "doc_id", "digest")
-    full = promising.join(_sets(docs, cut(wanted)), "node").select(*names, "members")
+    wanted = promising.select("term", "i", "j", "node").distinct().join(classes.select("node", "doc_id", "digest"), "node")
+    full = promising.unionByName(_sets(docs, cut(wanted)), allowMissingColumns=True)
     return cut(map_arrow(meeting(full), _linking(percent), "u long, v long"))
 
 
