@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -356,7 +357,22 @@ def test_encoder_equals_the_library():
     whole, encode, r = Tokenizer.from_file(WORD_BPE), tokens.WordEncoder(WORD_BPE), random.Random(4)
     parts = ["a", "É", "é", "́", "Σ", "ς", "<|endoftext|>", "'s", "1", "漢", "🙂", " ", "　", "\n", "\x0b", "\x1c", "-", ".", "Ab", "ab,", "%%"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(2000)]
-    assert all(whole.encode(t, add_special_tokens=False).ids == x.tolist() for t, x in zip(texts, encode.many([t.encode() for t in texts]), strict=True))
+    assert all(whole.encode(t, add_special_tokens=False).ids == x.tolist() for t, x in zip(texts, encode.many(pa.array(texts)), strict=True))
+
+
+def test_encoder_forgets_and_meets_words_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 30)
+    monkeypatch.setattr(tokens, "LINE", 7)
+    monkeypatch.setattr(tokens, "TOGETHER", 200)
+    whole, encode, r = Tokenizer.from_file(WORD_BPE), tokens.WordEncoder(WORD_BPE), random.Random(24)
+    assert encode.plain is not None
+    texts = [" ".join("".join(r.choice("abcdeÄß.,!") for _ in range(r.choice((1, 3, 60)))) for _ in range(r.randint(0, 40))) for _ in range(200)]
+    assert [whole.encode(t, add_special_tokens=False).ids for t in texts] == [x.tolist() for x in encode.many(pa.array(texts))]
+    assert 0 < len(encode.known) <= 30
+    assert [x.tolist() for x in encode.many(pa.array([None, "", "  "], pa.large_string()))] == [[], [], []]
+    assert encode("Hello, world").tolist() == whole.encode("Hello, world").ids and list(encode.many(pa.array([], pa.string()))) == []
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -367,7 +383,7 @@ def test_encoder_of_other_tokenizers(name):
     whole, encode = Tokenizer.from_file(path), tokens.WordEncoder(path)
     assert encode.by_word == (name == "word_bpe_49k.json")
     texts = ["".join(r.choice(["the ", "Word", " ", "\n", "é", "'s", "12 "]) for _ in range(r.randint(0, 14))) for _ in range(300)]
-    assert [whole.encode(t, add_special_tokens=False).ids for t in texts] == [x.tolist() for x in encode.many([t.encode() for t in texts])]
+    assert [whole.encode(t, add_special_tokens=False).ids for t in texts] == [x.tolist() for x in encode.many(pa.array(texts))]
 
 
 def check_pieces(found, docs, length):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
 from ..workers import map_arrow
-from .shared import as_bytes, checkpoint_dir, cut, shuffle_partitions
+from .shared import checkpoint_dir, cut, shuffle_partitions
 from .tokens import encoder, with_end
 
 MAGIC, BLOCK, PERCENTILE, FILE_IDS = b"PFORBLK1", 512, 0.9, 1 << 21
@@ -170,8 +170,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             _write(folder, name, encode_file(doc_ids, held, block, percentile))
             return pa.RecordBatch.from_pydict({"file": [name], "part": [part], "number": [number], "docs": [len(held)], "ids": [total]}, schema=out)
 
-        for some in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
-            for doc_id, found in zip(some.column(0).to_pylist(), word_ids.many(as_bytes(some.column(1))), strict=True):
+        for batch in batches:
+            for doc_id, found in zip(batch.column(0).to_pylist(), word_ids.many(batch.column(1)), strict=True):
                 ids = with_end(found, end_id)
                 doc_ids.append(doc_id)
                 held.append(ids)

@@ -3,38 +3,42 @@
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..workers import map_arrow
-from .shared import as_bytes
 
-#: Words that a worker remembers at most, and their greatest length in bytes; others are encoded when met.
-REMEMBERED, LONGEST = 1_000_000, 48
-#: Bytes of text whose new words are looked up together.
-TOGETHER = 1 << 16
+#: Words that a worker remembers at most, and their greatest length; others are encoded when met.
+REMEMBERED, LONGEST = 700_000, 48
+#: Bytes of text whose words are looked up together, and words that go to the library as one line.
+TOGETHER, LINE = 1 << 21, 500
 #: Letters, then any ASCII marks but the apostrophe: two pieces at most to a tokenizer that parts letters from marks.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)[!-&(-/:-@\\[-`{-~]*")
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
 
 
 #: Texts that show whether a tokenizer parts at white space and drops it; the first word of each starts a line.
 _PROBES = ("a b", " a\tb ", "the word\nthe  word", "\x0bIt's\x0c1, 2\r\n(3)", "é ß 漢字 🙂")
+#: Plain words that show whether letters and marks, in small letters and parted by a space, give the same ids.
+_PLAIN_PROBES = ("The", "word,", "Äpfel!?", "façade", "STRASSE", "naïve.", "x", "ÿ", "hello-", "internationalization", "ßÀ&&", "a_", "b`~|")
 
 
 class WordEncoder:
     """Encodes with the tokenizers library, each distinct word once.
 
     For tokenizers that split at white space and drop it, a text's ids are its words' ids one after the other, so each
-    word between ASCII white space is sent to the library when first met and remembered. The memory is bounded. Many
-    plain words go to the library as one line if its tokens mark the ends of pieces, and are told apart by these ends.
-    A tokenizer that treats white space otherwise, as probes show, encodes whole texts instead.
+    word between ASCII white space is sent to the library when first met and remembered. The memory is bounded. Words are
+    split, told apart and put together again in Arrow and numpy, so only distinct words of a stretch are Python objects.
+
+    Many plain words go to the library as one line if its tokens mark the ends of pieces, and are told apart by these ends;
+    where probes show that the tokenizer's normalisation of them is that of small letters, it is left out. A tokenizer that
+    treats white space otherwise, as probes show, encodes whole texts instead.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import pyarrow as pa
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         whole, parts = self._ids(list(_PROBES)), [self._ids(t.split()) for t in _PROBES]
@@ -42,58 +46,98 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.plain = None
         if suffix:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        texts = [w.decode() for w in words]
-        matches = [_PLAIN.fullmatch(t) for t in texts] if self.ends.any() else [None] * len(texts)
-        plain = [k for k, m in enumerate(matches) if m]
-        out: dict[bytes, bytes] = {}
-        lines = [plain[at : at + 500] for at in range(0, len(plain), 500)]
-        for some, ids in zip(lines, self._ids([" ".join([texts[k] for k in some]) for some in lines]), strict=True):
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            pieces = np.cumsum([1 if matches[k].end(1) == len(texts[k]) else 2 for k in some])
-            if len(stops) == pieces[-1]:
-                cuts, raw = [0, *(4 * stops[pieces - 1]).tolist()], ids.tobytes()
-                out.update(zip([words[k] for k in some], [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
-        rest = [k for k, w in enumerate(words) if w not in out]
-        out.update(zip((words[k] for k in rest), (x.tobytes() for x in self._ids([texts[k] for k in rest])), strict=True))
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            lines, _ = self._spaced(pa.array(_PLAIN_PROBES))
+            if any(x.tolist() != y.tolist() for x, y in zip(self._ids(list(_PLAIN_PROBES)), self._ids(lines, self.plain), strict=True)):
+                self.plain = None
+
+    def _ids(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _spaced(words) -> tuple[list[str], np.ndarray]:
+        """Plain words in small letters with a space before their marks, and their numbers of pieces."""
+        import pyarrow.compute as pc
+
+        small = pc.utf8_lower(words)
+        spaced = pc.replace_substring_regex(small, f"({_LETTERS})({_MARKS}+)$", r"\1 \2")
+        grown = pc.binary_length(spaced).to_numpy() - pc.binary_length(small).to_numpy()
+        return spaced.to_numpy(zero_copy_only=False).tolist(), 1 + grown
+
+    def _encode(self, words) -> list[bytes]:
+        """The ids of an Arrow array of distinct words."""
+        import pyarrow.compute as pc
+
+        out: list[bytes | None] = [None] * len(words)
+        if self.plain is not None:
+            plain = np.flatnonzero(pc.match_substring_regex(words, f"^{_LETTERS}+{_MARKS}*$").to_numpy(zero_copy_only=False))
+            spaced, pieces = self._spaced(words.take(plain))
+            lines = [spaced[at : at + LINE] for at in range(0, len(spaced), LINE)]
+            for n, ids in enumerate(self._ids([" ".join(x) for x in lines], self.plain)):
+                stops, ends = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(pieces[n * LINE : (n + 1) * LINE])
+                if len(stops) == ends[-1]:
+                    cuts, raw = [0, *(4 * stops[ends - 1]).tolist()], ids.tobytes()
+                    for k, i, j in zip(plain[n * LINE : (n + 1) * LINE].tolist(), cuts, cuts[1:], strict=False):
+                        out[k] = raw[i:j]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self._ids([words[k].as_py() for k in rest]), strict=True):
+            out[k] = ids.tobytes()
         return out
 
-    def many(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if not self.by_word:
-            return self._ids([t.decode() for t in texts])
-        done: list[np.ndarray] = []
-        while len(done) < len(texts):
-            some, size = [], 0
-            for text in texts[len(done) :]:
-                some.append(text.split())
-                size += len(text)
-                if size >= TOGETHER:
-                    break
-            found = [list(map(self.known.get, words)) for words in some]
-            missing = [[k for k, f in enumerate(raw) if f is None] for raw in found]
-            new = {words[k] for words, places in zip(some, missing, strict=True) for k in places}
-            if new:
-                fresh = self._encode(list(new))
-                for words, raw, places in zip(some, found, missing, strict=True):
-                    for k in places:
-                        raw[k] = fresh[words[k]]
-                if len(self.known) + len(fresh) > REMEMBERED:
-                    self.known.clear()
-                self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST)
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-            done += [np.frombuffer(b"".join(raw), "<u4") for raw in found]
-        return done
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        return self.many([text])[0]
+    def _looked_up(self, distinct) -> list[bytes]:
+        """The ids of an Arrow array of distinct words, remembered or new."""
+        import pyarrow as pa
+
+        words = distinct.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if new:
+            fresh = self._encode(distinct.take(pa.array(new)))
+            for k, ids in zip(new, fresh, strict=True):
+                found[k] = ids
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+            self.known.update((words[k], found[k]) for k in new[:REMEMBERED] if len(words[k]) <= LONGEST)
+        return found
+
+    def column(self, texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For stretches of an Arrow string column without nulls: the ids of their texts, and where each text's begin and end."""
+        import pyarrow.compute as pc
+
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER, "right")))
+            part, at = texts.slice(at, end - at), end
+            if not self.by_word:
+                ids = self._ids(part.to_pylist())
+                yield np.concatenate(ids), np.cumsum([0, *map(len, ids)])
+                continue
+            words = pc.ascii_split_whitespace(part)
+            coded = words.flatten().dictionary_encode()
+            raw = self._looked_up(coded.dictionary)  # an empty word, as at the ends of a text, has no ids
+            lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            firsts = np.cumsum(lengths) - lengths
+            which = coded.indices.to_numpy()
+            counts = lengths[which]
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(firsts[which] - ends[:-1], counts) + np.arange(ends[-1])]
+            yield ids, ends[np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])]
+
+    def many(self, texts) -> Iterator[np.ndarray]:
+        """The ids of each text of an Arrow string column, null as empty."""
+        for ids, ends in self.column(texts.fill_null("")):
+            yield from np.split(ids, ends[1:-1])
+
+    def __call__(self, text: str) -> np.ndarray:
+        import pyarrow as pa
+
+        return next(self.many(pa.array([text], pa.string())))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -130,12 +174,14 @@ def encoded(docs: DataFrame, path: str, end_id: int, columns: Iterable[str] = ("
     def encode(batches):
         word_ids = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):  # bounds what is held as ids at once
-                part = batch.slice(at, 512)
-                ids = [with_end(x, end_id).astype(kind) for x in word_ids.many(as_bytes(part.column("text")))]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in kept), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                    names=[*kept, "n_tokens", "ids"],
-                )
+            at = 0
+            for ids, ends in word_ids.column(batch.column("text").fill_null("")):
+                n = len(ends) - 1
+                ids = np.insert(ids.astype(kind), ends[1:], end_id)
+                ends = ends + np.arange(n + 1)
+                offsets = pa.array(ends * ids.itemsize, pa.int64())
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, offsets.buffers()[1], pa.py_buffer(ids)]).cast(pa.binary())
+                part, at = batch.slice(at, n), at + n
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(np.diff(ends), pa.int64()), raw], names=[*kept, "n_tokens", "ids"])
 
     return map_arrow(docs.select(*kept, "text"), encode, schema)
