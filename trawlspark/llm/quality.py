@@ -23,7 +23,7 @@ FEATURES, SCALE, RIDGE, BINS, SEED = 256, 0.8, 1.0, 1000, 11
 LOW, HIGH = -1.0, 2.0
 STATISTICS = 21
 #: Partitions whose sums one task adds up.
-FAN_IN = 32
+FAN_IN = 8
 
 
 def statistics(text: bytes) -> list[float]:
