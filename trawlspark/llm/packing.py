@@ -100,7 +100,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
     joined = held.join(by_doc, "uid").select("doc_id", "source", "n_tokens", "ids", "pieces")
     out = held.select("doc_id", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("ids_crc32"), F.lit(0).cast("long").alias("doc_tokens"), F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "source", F.lit(None).cast("binary").alias("ids")).schema
     kind = id_type(tokenizer, end_id)
-    width = np.dtype(kind).itemsize
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,10 +109,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
                 owner = pa.array(np.repeat(np.arange(some.num_rows), counts))
                 flat = some.column("pieces").flatten()
                 start, size, sequence, offset = (flat.field(f) for f in ("start", "length", "sequence_id", "offset"))
-                data = some.column("ids").to_pylist()
-                ids = [np.frombuffer(data[o], kind, n, width * s).astype("<u4").tobytes() for o, s, n in zip(owner.to_pylist(), start.to_pylist(), size.to_pylist(), strict=True)]
+                data = [memoryview(np.frombuffer(x, kind).astype("<u4").tobytes()) for x in some.column("ids").to_pylist()]
+                ids = [data[o][4 * s : 4 * (s + n)] for o, s, n in zip(owner.to_pylist(), start.to_pylist(), size.to_pylist(), strict=True)]
                 crc = pa.array([zlib.crc32(x) for x in ids], pa.int64())
                 take = lambda name: some.column(name).take(owner)
-                yield pa.RecordBatch.from_arrays([take("doc_id"), start, size, crc, take("n_tokens"), sequence, offset, take("source"), pa.array(ids if with_ids else [None] * len(ids), pa.binary())], names=out.names)
+                yield pa.RecordBatch.from_arrays([take("doc_id"), start, size, crc, take("n_tokens"), sequence, offset, take("source"), pa.array([bytes(x) for x in ids], pa.binary()) if with_ids else pa.nulls(len(ids), pa.binary())], names=out.names)
 
     return map_arrow(joined, slices, out)
