@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..workers import map_arrow
 
 #: Words that a worker remembers at most, and their greatest length; others are encoded when met.
-REMEMBERED, LONGEST = 700_000, 48
-#: Bytes of text whose words are looked up together, and words that go to the library as one line.
-TOGETHER, LINE = 1 << 21, 500
+REMEMBERED, LONGEST = 500_000, 48
+#: Bytes of text whose words are looked up together, words that go to the library as one line, and lines at a time.
+TOGETHER, LINE, FEW = 1 << 21, 250, 64
 #: Letters, then any ASCII marks but the apostrophe: two pieces at most to a tokenizer that parts letters from marks.
 _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
 
@@ -49,15 +49,17 @@ class WordEncoder:
         self.plain = None
         if suffix:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-            self.plain = Tokenizer.from_file(path)
-            self.plain.normalizer = None
+            self.plain = Tokenizer(self.tokenizer.model)  # the same vocabulary, not another copy
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             lines, _ = self._spaced(pa.array(_PLAIN_PROBES))
             if any(x.tolist() != y.tolist() for x, y in zip(self._ids(list(_PLAIN_PROBES)), self._ids(lines, self.plain), strict=True)):
                 self.plain = None
 
     def _ids(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+        encode, out = (tokenizer or self.tokenizer).encode_batch_fast, []
+        for at in range(0, len(texts), FEW):  # the library's own form of ids is many times as large
+            out += [np.array(e.ids, "<u4") for e in encode(texts[at : at + FEW], add_special_tokens=False)]
+        return out
 
     @staticmethod
     def _spaced(words) -> tuple[list[str], np.ndarray]:
@@ -107,6 +109,7 @@ class WordEncoder:
 
     def column(self, texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For stretches of an Arrow string column without nulls: the ids of their texts, and where each text's begin and end."""
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
@@ -128,6 +131,8 @@ class WordEncoder:
             ends = np.concatenate([[0], np.cumsum(counts)])
             ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(firsts[which] - ends[:-1], counts) + np.arange(ends[-1])]
             yield ids, ends[np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])]
+            del words, coded
+            pa.default_memory_pool().release_unused()  # workers live on, beside those of other tasks
 
     def many(self, texts) -> Iterator[np.ndarray]:
         """The ids of each text of an Arrow string column, null as empty."""
