@@ -2,6 +2,11 @@
 
 Quality rules, exact dedup, near dedup, mixing to target weights, packing. No SQL expresses the packing of token ids, so
 ``ORACLE_SQL`` is None and the tests hold the rows against a brute-force version.
+
+Each stage takes any rows with the columns of documents, and more columns of any names, which stay: null and empty texts
+fail the quality rules, as do all under fifty words; a null lang is judged by the base rules alone; a null source is a
+source; a null doc_id is an id like any other, and rows that share an id are told apart by their texts. Texts are read
+whole, whatever their length. An empty table gives an empty table.
 """
 
 from __future__ import annotations
