@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..workers import map_arrow
 
 #: Words that a worker remembers at most, and their greatest length; others are encoded when met.
-REMEMBERED, LONGEST = 500_000, 48
+REMEMBERED, LONGEST = 700_000, 48
 #: Bytes of text whose words are looked up together, words that go to the library as one line, and lines at a time.
-TOGETHER, LINE, FEW = 1 << 21, 250, 64
+TOGETHER, LINE, FEW = 1 << 21, 500, 64
 #: Letters, then any ASCII marks but the apostrophe: two pieces at most to a tokenizer that parts letters from marks.
 _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
 
@@ -132,7 +132,7 @@ class WordEncoder:
             ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(firsts[which] - ends[:-1], counts) + np.arange(ends[-1])]
             yield ids, ends[np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])]
             del words, coded
-            pa.default_memory_pool().release_unused()  # workers live on, beside those of other tasks
+        pa.default_memory_pool().release_unused()  # workers live on, beside those of other tasks
 
     def many(self, texts) -> Iterator[np.ndarray]:
         """The ids of each text of an Arrow string column, null as empty."""
