@@ -363,14 +363,16 @@ def test_encoder_equals_the_library():
 def test_encoder_forgets_and_meets_words_again(monkeypatch):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(tokens, "REMEMBERED", 30)
+    forgets = []
+    monkeypatch.setattr(tokens, "REMEMBERED", 20_000)
+    monkeypatch.setattr(tokens.WordEncoder, "_forget", lambda self, forget=tokens.WordEncoder._forget: (forgets.append(1), forget(self)))
     monkeypatch.setattr(tokens, "LINE", 7)
     monkeypatch.setattr(tokens, "TOGETHER", 200)
     whole, encode, r = Tokenizer.from_file(WORD_BPE), tokens.WordEncoder(WORD_BPE), random.Random(24)
     assert encode.plain is not None
     texts = [" ".join("".join(r.choice("abcdeÄß.,!") for _ in range(r.choice((1, 3, 60)))) for _ in range(r.randint(0, 40))) for _ in range(200)]
     assert [whole.encode(t, add_special_tokens=False).ids for t in texts] == [x.tolist() for x in encode.many(pa.array(texts))]
-    assert 0 < len(encode.known) <= 30
+    assert 0 < len(encode.known) and encode.remembered() <= 20_000 and len(forgets) > 2  # the first is the start
     assert [x.tolist() for x in encode.many(pa.array([None, "", "  "], pa.large_string()))] == [[], [], []]
     assert encode("Hello, world").tolist() == whole.encode("Hello, world").ids and list(encode.many(pa.array([], pa.string()))) == []
 

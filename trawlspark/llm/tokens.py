@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..workers import map_arrow
 
-#: Words that a worker remembers at most, and their greatest length; others are encoded when met.
-REMEMBERED, LONGEST = 700_000, 48
+#: Bytes of words and their ids that a worker remembers at most; beyond, it forgets them all and starts again.
+REMEMBERED = 12 << 20
 #: Bytes of text whose words are looked up together, words that go to the library as one line, and lines at a time.
 TOGETHER, LINE, FEW = 1 << 21, 500, 64
 #: Letters, then any ASCII marks but the apostrophe: two pieces at most to a tokenizer that parts letters from marks.
@@ -29,7 +29,7 @@ class WordEncoder:
 
     For tokenizers that split at white space and drop it, a text's ids are its words' ids one after the other, so each
     word between ASCII white space is sent to the library when first met and remembered. The memory is bounded. Words are
-    split, told apart and put together again in Arrow and numpy, so only distinct words of a stretch are Python objects.
+    split, told apart, looked up and put together again in Arrow and numpy, so only new words are ever Python objects.
 
     Many plain words go to the library as one line if its tokens mark the ends of pieces, and are told apart by these ends;
     where probes show that the tokenizer's normalisation of them is that of small letters, it is left out. A tokenizer that
@@ -40,7 +40,8 @@ class WordEncoder:
         import pyarrow as pa
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
         whole, parts = self._ids(list(_PROBES)), [self._ids(t.split()) for t in _PROBES]
         self.by_word = all(x.tolist() == np.concatenate(y).tolist() for x, y in zip(whole, parts, strict=True))
         vocabulary = self.tokenizer.get_vocab()
@@ -55,6 +56,16 @@ class WordEncoder:
             if any(x.tolist() != y.tolist() for x, y in zip(self._ids(list(_PLAIN_PROBES)), self._ids(lines, self.plain), strict=True)):
                 self.plain = None
 
+    def _forget(self) -> None:
+        import pyarrow as pa
+
+        nothing = np.zeros(0, np.int64)
+        self.known, self.ids, self.firsts, self.counts = pa.array([], pa.large_string()), nothing.astype("<u4"), nothing, nothing
+
+    def remembered(self) -> int:
+        """Bytes held of words and their ids."""
+        return self.known.nbytes + self.ids.nbytes + self.firsts.nbytes + self.counts.nbytes
+
     def _ids(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
         encode, out = (tokenizer or self.tokenizer).encode_batch_fast, []
         for at in range(0, len(texts), FEW):  # the library's own form of ids is many times as large
@@ -71,41 +82,48 @@ class WordEncoder:
         grown = pc.binary_length(spaced).to_numpy() - pc.binary_length(small).to_numpy()
         return spaced.to_numpy(zero_copy_only=False).tolist(), 1 + grown
 
-    def _encode(self, words) -> list[bytes]:
-        """The ids of an Arrow array of distinct words."""
+    def _encode(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of an Arrow array of distinct words, and where in them each word's begin and how many they are."""
         import pyarrow.compute as pc
 
-        out: list[bytes | None] = [None] * len(words)
+        out, size, left = [np.zeros(0, "<u4")], 0, np.ones(len(words), bool)
+        firsts, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         if self.plain is not None:
             plain = np.flatnonzero(pc.match_substring_regex(words, f"^{_LETTERS}+{_MARKS}*$").to_numpy(zero_copy_only=False))
             spaced, pieces = self._spaced(words.take(plain))
             lines = [spaced[at : at + LINE] for at in range(0, len(spaced), LINE)]
             for n, ids in enumerate(self._ids([" ".join(x) for x in lines], self.plain)):
-                stops, ends = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(pieces[n * LINE : (n + 1) * LINE])
+                some, ends = plain[n * LINE : (n + 1) * LINE], np.cumsum(pieces[n * LINE : (n + 1) * LINE])
+                stops = np.flatnonzero(self.ends[ids]) + 1
                 if len(stops) == ends[-1]:
-                    cuts, raw = [0, *(4 * stops[ends - 1]).tolist()], ids.tobytes()
-                    for k, i, j in zip(plain[n * LINE : (n + 1) * LINE].tolist(), cuts, cuts[1:], strict=False):
-                        out[k] = raw[i:j]
-        rest = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(rest, self._ids([words[k].as_py() for k in rest]), strict=True):
-            out[k] = ids.tobytes()
-        return out
-
-    def _looked_up(self, distinct) -> list[bytes]:
-        """The ids of an Arrow array of distinct words, remembered or new."""
+                    cuts = np.concatenate([[0], stops[ends - 1]])
+                    firsts[some], counts[some], left[some] = size + cuts[:-1], np.diff(cuts), False
+                    out.append(ids)
+                    size += len(ids)
+        rest = np.flatnonzero(left)
+        alone = self._ids(words.take(rest).to_pylist())
+        counts[rest] = list(map(len, alone))
+        firsts[rest] = size + np.cumsum(counts[rest]) - counts[rest]
+        return np.concatenate(out + alone), firsts, counts
+
+    def _looked_up(self, distinct) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``_encode`` of an Arrow array of distinct words, of which only those not remembered are encoded."""
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        words = distinct.to_numpy(zero_copy_only=False).tolist()
-        found = list(map(self.known.get, words))
-        new = [k for k, ids in enumerate(found) if ids is None]
-        if new:
-            fresh = self._encode(distinct.take(pa.array(new)))
-            for k, ids in zip(new, fresh, strict=True):
-                found[k] = ids
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-            self.known.update((words[k], found[k]) for k in new[:REMEMBERED] if len(words[k]) <= LONGEST)
-        return found
+        distinct = distinct.cast(pa.large_string())
+        found = pc.index_in(distinct, value_set=self.known)
+        new = distinct.filter(found.is_null())
+        where = found.fill_null(0).to_numpy().astype(np.int64)
+        where[found.is_null().to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(self.known) + len(new))
+        if len(new):
+            ids, firsts, counts = self._encode(new)
+            self.firsts, self.counts = np.concatenate([self.firsts, firsts + len(self.ids)]), np.concatenate([self.counts, counts])
+            self.known, self.ids = pa.concat_arrays([self.known, new]), np.concatenate([self.ids, ids])
+        answer = self.ids, self.firsts[where], self.counts[where]
+        if self.remembered() > REMEMBERED:
+            self._forget()
+        return answer
 
     def column(self, texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For stretches of an Arrow string column without nulls: the ids of their texts, and where each text's begin and end."""
@@ -123,15 +141,15 @@ class WordEncoder:
                 continue
             words = pc.ascii_split_whitespace(part)
             coded = words.flatten().dictionary_encode()
-            raw = self._looked_up(coded.dictionary)  # an empty word, as at the ends of a text, has no ids
-            lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-            firsts = np.cumsum(lengths) - lengths
+            known, firsts, lengths = self._looked_up(coded.dictionary)  # an empty word, as at the ends of a text, has no ids
             which = coded.indices.to_numpy()
             counts = lengths[which]
             ends = np.concatenate([[0], np.cumsum(counts)])
-            ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(firsts[which] - ends[:-1], counts) + np.arange(ends[-1])]
+            places = np.repeat(firsts[which] - ends[:-1], counts)
+            places += np.arange(ends[-1])
+            ids = known[places]
             yield ids, ends[np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])]
-            del words, coded
+            del words, coded, which, places, ids
         pa.default_memory_pool().release_unused()  # workers live on, beside those of other tasks
 
     def many(self, texts) -> Iterator[np.ndarray]:
