@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import divergence, exact_dedup, html_text, mixing, near_dedup, packing, quality, token_counts, token_files, url_filters
+from . import baskets, byte_bpe, divergence, elkan, exact_dedup, html_text, mixing, near_dedup, packing, quality, token_counts, token_files, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.cluster_digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_frequent_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baskets.frequent_itemsets(_table(spark, sf_dir, "sale_lines"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_mixing": op2_mixing,
@@ -71,6 +87,9 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_frequent_itemsets": op13_frequent_itemsets,
 }
 
 _PLACE = "^[A-Za-z][A-Za-z0-9+.-]*:"
@@ -244,4 +263,55 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-SQL = {"op1_url_filters": _OP1_SQL, "op2_mixing": _OP2_SQL, "op3_quality_rules": _OP3_SQL, "op8_near_dedup": _OP8_SQL, "op10_exact_dedup": _OP10_SQL}
+
+
+def _op11_sql() -> str:
+    def assigned(n: int) -> str:
+        squared = f"list_sum(list_transform(range(1, 65), lambda i: (x[i] - c{n}.x[i])::HUGEINT * (x[i] - c{n}.x[i])))"
+        return f"""
+a{n} AS MATERIALIZED (
+  SELECT row, any_value(vec_id) AS vec_id, any_value(x) AS x, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d
+  FROM (SELECT row, vec_id, v.x AS x, cluster, {squared.replace("(x[i]", "(v.x[i]")} AS d FROM v, c{n}) GROUP BY row
+)"""
+
+    rounds = ",".join(
+        f"""{assigned(n)}, m{n} AS (SELECT cluster, list(m ORDER BY i) AS x FROM (
+  SELECT cluster, i, (sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS m FROM a{n}, unnest(range(1, 65)) AS t(i) GROUP BY ALL) GROUP BY cluster
+), c{n + 1} AS MATERIALIZED (SELECT c{n}.cluster, coalesce(m{n}.x, c{n}.x) AS x FROM c{n} LEFT JOIN m{n} USING (cluster))"""
+        for n in range(10)
+    )
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: floor(e::DOUBLE * 1024)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+), c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), x) - 1)::INT AS cluster, x FROM v QUALIFY cluster < 8
+),{rounds},{assigned(10)}
+SELECT vec_id, cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c10.x, ',')) AS centroid_sha256
+FROM a10 JOIN c10 USING (cluster)"""
+
+
+_OP13_SQL = """
+WITH RECURSIVE b AS MATERIALIZED (SELECT DISTINCT sale_id, item_id FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL),
+baskets AS MATERIALIZED (SELECT count(DISTINCT sale_id) AS n, greatest(5, ceil(count(DISTINCT sale_id) / 20000)) AS least FROM b),
+frequent(items, last_item, sales) AS (
+  SELECT [item_id], item_id, list(sale_id) FROM b GROUP BY item_id HAVING count(*) >= (SELECT least FROM baskets)
+  UNION ALL
+  SELECT list_append(f.items, b.item_id), b.item_id, list(b.sale_id) FROM (SELECT items, last_item, unnest(sales) AS sale_id FROM frequent) f JOIN b USING (sale_id)
+  WHERE b.item_id > f.last_item GROUP BY f.items, b.item_id HAVING count(*) >= (SELECT least FROM baskets)
+), sets AS MATERIALIZED (SELECT items, len(sales) AS support FROM frequent),
+parts AS MATERIALIZED (SELECT items, support, c, list_filter(items, lambda x: x <> c) AS part FROM (SELECT items, support, unnest(items) AS c FROM sets WHERE len(items) > 1)),
+closed AS (SELECT s.* FROM sets s LEFT JOIN (SELECT part, max(support) AS above FROM parts GROUP BY part) p ON p.part = s.items WHERE above IS NULL OR above < s.support),
+rules AS (
+  SELECT p.items, p.c, q.support AS a, o.support AS s FROM parts p JOIN sets q ON q.items = p.part JOIN sets o ON o.items = [p.c], baskets
+  WHERE 100 * p.support >= 60 * q.support AND p.support * baskets.n > q.support * o.support
+), listed AS (SELECT items, count(*) AS n_rules, arg_min(c, (a, c)) AS best_item, string_agg(c || ':' || a || ':' || s, ';' ORDER BY c) AS text FROM rules GROUP BY items)
+SELECT array_to_string(items, ',') AS items, len(items)::BIGINT AS n_items, support::BIGINT AS support, coalesce(n_rules, 0)::BIGINT AS n_rules, best_item, sha256(coalesce(text, '')) AS rules_sha256
+FROM closed LEFT JOIN listed USING (items)
+"""
+
+SQL = {
+    "op1_url_filters": _OP1_SQL, "op2_mixing": _OP2_SQL, "op3_quality_rules": _OP3_SQL, "op8_near_dedup": _OP8_SQL, "op10_exact_dedup": _OP10_SQL,
+    "op11_centroid_clusters": _op11_sql(), "op13_frequent_itemsets": _OP13_SQL,
+}
