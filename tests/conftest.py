@@ -14,6 +14,7 @@ def spark():
     settings = {
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g",
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="trawl-tests-"), "spark.default.parallelism": "4",
+        "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="trawl-warehouse-"),
     }
     spark = session("local[8]", "tests", **settings)
     spark.sparkContext.setLogLevel("ERROR")

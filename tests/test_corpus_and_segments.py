@@ -17,6 +17,11 @@ def test_lines(spark, tmp_path):
     assert rows(C.parse_lines(lines).select("key", "text")) == [("AB:1:2", "x:y")]
 
 
+def test_any_white_space_is_trimmed(spark):
+    lines = spark.createDataFrame([(1, "\u3000A B :\t1\u00a0:2\u3000x:y\u2003\t"), (2, "\t"), (3, "A:1:\u30002 t")], "line_no long, value string")
+    assert rows(C.parse_lines(lines).select("book", "chapter", "verse", "text")) == [("A", 1, 2, "t"), ("AB", 1, 2, "x:y")]
+
+
 def test_last_wins_and_coverage(spark):
     table = spark.createDataFrame([("k", 1, "u"), ("k", 2, "v")], "key string, n int, text string")
     assert rows(C.last_by_key(table, ["key"], ["n"], ["text"])) == [("k", "v")]
@@ -65,11 +70,33 @@ def test_normalizing_covers_every_chapter(spark):
         assert [v for s, e, _ in parts for v in range(s, e + 1)] == list(range(1, cases[ch][0] + 1))
 
 
-def test_hydrate_keeps_missing_keys(spark):
-    verses = spark.createDataFrame([("B:1:1", 1, "가", "a")], "key string, verse int, ko string, en string")
-    segments = spark.createDataFrame([("s", ["B:1:9", "B:1:1"])], "id string, verse_keys array<string>")
-    found = G.hydrated(segments, verses).first()["verses"]
-    assert [tuple(v) for v in found] == [(0, "", ""), (1, "가", "a")]
+def test_normalizing_a_group_over_many_ranges(spark):
+    r = random.Random(8)
+    n = 4000
+    spans = [(s := r.randint(1, n), s + r.randint(0, 6)) for _ in range(2500)]
+    found = normalized(spark, [(n, spans)])[0]
+    wanted, at = [], 1
+    for s, e in sorted(((s, min(e, n)) for s, e in spans), key=lambda x: x[0]):
+        if s > at:
+            wanted.append((at, s - 1, True))
+            at = s
+        if e >= at:
+            wanted.append((at, e, False))
+            at = e + 1
+    wanted += [(at, n, True)] if at <= n else []
+    covered = lambda parts: [(v, f) for s, e, f in parts for v in range(s, e + 1)]
+    assert covered(found) == covered(wanted)
+
+
+def test_hydrate_keeps_missing_verses(spark, monkeypatch):
+    monkeypatch.setattr(G, "TILE", 3)
+    verses = [("B", c, v, f"k{c}{v}", None) for c in (1, 2) for v in range(1, 12) if v % 4] + [("B", 1, 1, "z", "later"), ("B", None, 1, "x", "y"), ("B", 1, None, "x", "y")]
+    table = spark.createDataFrame(verses, "book string, chapter int, verse int, ko string, en string")
+    asked = [("a", "B", 1, 1, 11), ("b", "B", 2, 3, 4), ("c", "B", 1, 14, 15), ("d", "B", 1, 5, 4), ("e", "C", 1, 1, 2)]
+    segments = spark.createDataFrame(asked, "id string, book string, chapter int, verse_start int, verse_end int")
+    found = {r["id"]: [tuple(v) for v in r["verses"]] for r in G.hydrated(segments, table).collect()}
+    for i, book, c, s, e in asked:
+        assert found[i] == [(v, f"k{c}{v}", "") if book == "B" and v < 12 and v % 4 else (0, "", "") for v in range(s, e + 1)]
 
 
 def test_named_rows(spark):

@@ -1,3 +1,4 @@
+from trawlspark.operators import dense as D
 from trawlspark.plans import pipelines as P
 from trawlspark.sources import canon
 
@@ -36,6 +37,12 @@ def test_corpus_search_and_passages(spark, tmp_path):
     ).first()
     assert both["mode"] == "AI" and both["emotions"] == ["joy"] and [r["rank"] for r in both["results"]] == [2]
 
+    path = str(tmp_path / "index")
+    D.grow_index(spark, path, vectors.union(spark.createDataFrame([(9, [0.0, 0.0, 0.0, 9.0])], vectors.schema)), 4, 2)
+    stored = P.search(verses, "빛이", None, 4, lambda q: [0.0, 0.0, 0.0, 1.0], index=spark.read.parquet(path)).first()
+    raw = P.search(verses, "빛이", vectors, 4, lambda q: [0.0, 0.0, 0.0, 1.0]).first()
+    assert stored["usedDense"] and stored["results"] == raw["results"]
+
     replies = spark.createDataFrame([("Genesis", 1, '{"paragraphs": [{"verse_start": 2, "verse_end": 9, "theme_title": "t", "characteristics": ["c"], "core_meaning": "m"}]}')], "book string, chapter int, reply string")
     passages = P.build_passages(verses, replies).orderBy("id").collect()
     assert [(p["id"], p["range_label"], p["theme_title"]) for p in passages] == [

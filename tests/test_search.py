@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trawlspark.functions import text as X
-from trawlspark.operators import search as S
+from trawlspark.operators import dense as D, postings as I, search as S
 from trawlspark.plans import searches
 
 from .conftest import rows
@@ -55,6 +55,85 @@ def test_context(spark):
     assert found == {1: [1, 2, 3], 3: [1, 2, 3, 4]}
 
 
+def test_contexts_of_all_verses(spark, monkeypatch):
+    monkeypatch.setattr(S, "TILE", 4)
+    r = random.Random(9)
+    data = [("B", c, v, f"t{v}") for c in (1, 2) for v in r.sample(range(1, 40), 25)] + [("B", None, 1, "x"), ("B", 1, None, "x")]
+    verses = spark.createDataFrame(data, "book string, chapter int, verse int, text string")
+    found = {(x["chapter"], x["verse"]): [tuple(c) for c in x["context"]] for x in S.all_contexts(verses, ["text"]).collect()}
+    good = [d for d in data if d[1] and d[2]]
+    assert found == {(c, v): sorted((w, t) for _, d, w, t in good if d == c and abs(w - v) <= 2) for _, c, v, _ in good}
+
+
+def vector_tables(spark, n=300, dim=6, seed=5):
+    r = random.Random(seed)
+    data = [(i, [r.gauss(0, 1) for _ in range(dim)]) for i in range(n)]
+    data += [(n + i, data[i][1]) for i in range(20)] + [(n + 30, [0.0] * dim)]  # equal vectors, and none at all
+    table = spark.createDataFrame(data, "id long, embedding array<float>").repartition(3)
+    return table, table.where("id % 9 = 0").withColumnRenamed("id", "query_id")
+
+
+def one_by_one(table, queries, dim, k):
+    return sorted((q["query_id"], r["id"], r["similarity"], r["dense_rank"]) for q in queries.collect() for r in S.dense_topk(table, q["embedding"], dim, k).collect())
+
+
+@pytest.mark.parametrize("sent", [1 << 26, 0])
+def test_many_vectors_rank_as_one_by_one(spark, monkeypatch, sent):
+    monkeypatch.setattr(D, "BLOCK", 32)
+    monkeypatch.setattr(D, "PACK", 7)
+    monkeypatch.setattr(D, "SENT", sent)
+    table, queries = vector_tables(spark, 90)
+    found = sorted(tuple(r) for r in D.dense_topk_batch(table, queries, 6, 12).select("query_id", "id", "similarity", "dense_rank").collect())
+    assert found == one_by_one(table, queries, 6, 12)
+    odd = table.union(spark.createDataFrame([(None, [1.0] * 6), (7, None)], "id long, embedding array<float>"))
+    assert D.dense_topk_batch(odd, queries.limit(1), 6, 500).count() == 111
+    assert D.dense_topk_batch(table.limit(0), queries, 6, 5).count() == D.dense_topk_batch(table, queries.limit(0), 6, 5).count() == 0
+
+
+def test_an_index_grows_and_ranks_as_decoded(spark, tmp_path):
+    table, queries = vector_tables(spark)
+    path = str(tmp_path / "index")
+    D.grow_index(spark, path, table.where("id % 3 = 0"), 6, 50)
+    first = {r["first_id"]: bytes(r["content"]) for r in spark.read.parquet(path).collect()}
+    D.grow_index(spark, path, table.where("id < 100 OR id % 3 = 0"), 6, 50)
+    D.grow_index(spark, path, table.withColumn("embedding", F.when(F.col("id") == 250, F.transform("embedding", lambda x: x * 1000)).otherwise(F.col("embedding"))), 6, 50)
+    D.grow_index(spark, path, table, 6, 50)  # nothing is lacking
+    parts = spark.read.parquet(path)
+    held = {r["first_id"]: bytes(r["content"]) for r in parts.collect() if r["first_id"] % 3 == 0}
+    assert first.items() <= held.items() and sorted(r[0] for r in D.part_ids(parts).collect()) == sorted(r[0] for r in table.select("id").collect())
+    back = D.read_parts(parts)
+    raw = {r["id"]: r["embedding"] for r in table.collect()}
+    for r in back.collect():
+        if r["id"] != 250:
+            assert max(abs(a - b) for a, b in zip(r["embedding"], raw[r["id"]], strict=True)) <= r["scale"] / 2 + 1e-6
+    assert max(r["scale"] for r in back.where("id < 200").collect()) < 0.1  # far from the large one's
+    for low, high in ((None, None), (60, 220)):
+        found = D.index_topk_batch(parts, queries, 6, 8, low, high)
+        wanted = back.where(f"id BETWEEN {low} AND {high}") if low else back
+        assert sorted(tuple(r) for r in found.select("query_id", "id", "similarity", "dense_rank").collect()) == one_by_one(wanted.select("id", "embedding"), queries, 6, 8)
+    plan = D.parts_within(parts.select("first_id", "last_id"), 60, 220)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(last_id,60)" in plan and "LessThanOrEqual(first_id,220)" in plan
+
+
+def test_postings_in_many_blocks_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(I, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(I, "GROUP", 3)
+    r = random.Random(11)
+    words = ["".join(r.choice("abcé가🙂") for _ in range(r.randint(1, 5))) for _ in range(60)]
+    line = lambda n: "".join(r.choice(words) + r.choice([" ", "\n", "\u3000"]) for _ in range(n))
+    docs = [(i if i % 13 else None, r.choice([None, "", line(r.randint(1, 9))])) for i in range(90)]
+    queries = [(i, line(4)) for i in range(10)] + [(10, None), (11, ""), (12, "zz")]
+    found = I.sparse_topk_batch(spark.createDataFrame(docs, "id long, text string").repartition(4), spark.createDataFrame(queries, "query_id long, query string"), F.col("text"), 9)
+    wanted = []
+    for q, text in queries:
+        weights = X.token_weights(text or "")
+        scores = sorted(((-sum(w for t, w in weights.items() if t in (d or "")), i is not None, i or 0, i) for i, d in docs), key=lambda x: x[:3])
+        wanted += [(q, i, -s, n + 1) for n, (s, _, _, i) in enumerate(x for x in scores[:9] if x[0])]
+    got = [tuple(x) for x in found.select("query_id", "id", "sparse_score", "sparse_rank").collect()]
+    assert sorted(got, key=lambda x: (x[0], x[3])) == sorted(wanted, key=lambda x: (x[0], x[3]))
+    assert I.sparse_topk_batch(spark.createDataFrame([], "id long, text string"), spark.createDataFrame(queries, "query_id long, query string"), F.col("text"), 9).count() == 0
+
+
 def test_order_of_partitions_does_not_matter(spark):
     docs = spark.createDataFrame([(i, f"word{i % 3} common") for i in range(60)], "id long, text string")
     a = rows(S.sparse_topk(docs, "word1 common", F.col("text"), 7))

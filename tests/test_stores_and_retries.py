@@ -22,7 +22,15 @@ def test_both_stores(spark):
     table = spark.createDataFrame([("x", "a", T0), ("y", "b", T0)], "user_id string, passage_id string, used_at timestamp")
     account = AccountStore(table, "x")
     local.ids = ["a", "b", "b", "nope"]
-    assert account.migrate(local, catalogue, T0) == 1 and local.ids == []
+    def broken(_):
+        raise OSError
+
+    with pytest.raises(OSError):
+        account.migrate(local, catalogue, broken, T0)
+    assert local.ids == ["a", "b", "b", "nope"] and account.rows.count() == 2
+    written = []
+    assert account.migrate(local, catalogue, lambda fresh: written.extend(map(tuple, fresh.collect())), T0) == 1 and local.ids == []
+    assert written == [("x", "b", T0)]
     assert rows(account.rows.select("user_id", "passage_id")) == [("x", "a"), ("x", "b"), ("y", "b")]
     assert account.pick(catalogue, "s")["passage_id"] == "c"
     account.mark(catalogue, "c", True, T0)

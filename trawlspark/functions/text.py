@@ -62,7 +62,7 @@ def match_score(text: Column, weights: dict[str, float]) -> Column:
 
 
 def strip_footnotes(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\d+\)", ""))
+    return trim_all(F.regexp_replace(text, r"\d+\)", ""))
 
 
 def embed_text(ko: Column, en: Column, tags: Column) -> Column:
@@ -89,7 +89,8 @@ def whole_number(text: Column) -> Column:
 
 def strict_number(text: Column) -> Column:
     """An int written as digits with a sign at most, others null."""
-    return F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("int"))
+    own = trim_all(text)
+    return F.when(own.rlike(r"^[+-]?\d+$"), own.try_cast("int"))
 
 
 def range_label(book: Column, chapter: Column, start: Column, end: Column) -> Column:
@@ -101,6 +102,13 @@ def verse_key(book: Column, chapter: Column, verse: Column) -> Column:
     return F.concat_ws(":", book, chapter.cast("string"), verse.cast("string"))
 
 
+def key_parts(key: Column) -> Column:
+    """Struct (book, chapter, verse) of a verse's key; null where it hasn't three parts or one of the numbers is none."""
+    parts = F.split(key, ":", -1)
+    chapter, verse = strict_number(F.get(parts, F.lit(1))), strict_number(F.get(parts, F.lit(2)))
+    return F.when((F.size(parts) == 3) & chapter.isNotNull() & verse.isNotNull(), F.struct(F.get(parts, F.lit(0)).alias("book"), chapter.alias("chapter"), verse.alias("verse")))
+
+
 def verse_keys(book: Column, chapter: Column, start: Column, end: Column) -> Column:
     keys = F.transform(F.sequence(start, end), lambda v: verse_key(book, chapter, v))
     return F.when(start <= end, keys).otherwise(F.array().cast("array<string>"))

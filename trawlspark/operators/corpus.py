@@ -10,21 +10,24 @@ from pyspark.sql import Window as W
 from ..functions import text as X
 from ..storage import cut
 
+#: A verse's number, white space of any kind, and its text.
+START = rf"^(\d+)[{X.SPACES}]+(.*)"
+
 
 def parse_lines(lines: DataFrame, keep_spaces: bool = False, footnotes: bool = False) -> DataFrame:
     """(line_no, book, chapter, verse, key, text) of lines ``Book:Chapter:Verse Text``; other lines are dropped.
 
     Spaces in the book are removed unless ``keep_spaces``; ``footnotes`` strips marks such as ``12)`` from the text.
     """
-    parts = F.split(F.trim("value"), ":", 3)
+    parts = F.split(X.trim_all(F.col("value")), ":", 3)
     rows = lines.select("line_no", parts.alias("p")).where("size(p) = 3")
-    book = F.trim(F.col("p")[0])
+    book = X.trim_all(F.col("p")[0])
     book = book if keep_spaces else F.replace(book, F.lit(" "), F.lit(""))
-    rest = F.trim(F.col("p")[2])
+    rest = X.trim_all(F.col("p")[2])
     rows = rows.select("line_no", book.alias("book"), X.strict_number(F.col("p")[1]).alias("chapter"), rest.alias("rest"))
-    rows = rows.where("chapter IS NOT NULL").where(F.col("rest").rlike(r"^\d+\s+"))
-    text = F.regexp_extract("rest", r"^(\d+)\s+(.*)", 2)
-    rows = rows.select("line_no", "book", "chapter", F.regexp_extract("rest", r"^(\d+)\s+(.*)", 1).try_cast("int").alias("verse"), (X.strip_footnotes(text) if footnotes else text).alias("text"))
+    rows = rows.where("chapter IS NOT NULL").where(F.col("rest").rlike(START))
+    text = F.regexp_extract("rest", START, 2)
+    rows = rows.select("line_no", "book", "chapter", F.regexp_extract("rest", START, 1).try_cast("int").alias("verse"), (X.strip_footnotes(text) if footnotes else text).alias("text"))
     return rows.where("verse IS NOT NULL").select("line_no", "book", "chapter", "verse", X.verse_key(F.col("book"), F.col("chapter"), F.col("verse")).alias("key"), "text")
 
 

@@ -2,32 +2,23 @@
 
 from __future__ import annotations
 
-import hashlib
 import threading
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.files import table_or_none
-from ..storage import remove
+from ..storage import checkpoint_dir, remove
 from ..workers import map_arrow
+from .corpus import numbered
 
 BATCH = 100
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
-class HashEmbedder:
-    """A repeatable stand-in for a model: numbers from a hash of the text."""
-
-    def __init__(self, dim: int = 8):
-        self.dim = dim
-
-    def __call__(self, texts: Sequence[str]) -> list[list[float]]:
-        digests = [hashlib.sha256(t.encode()).digest() for t in texts]
-        return [[d[k] / 255.0 for k in range(self.dim)] for d in digests]
-
-
 class OutOfQuota(RuntimeError):
     """A model refuses for good; a build stops and continues later from what is done."""
 
@@ -36,39 +27,88 @@ class Busy(RuntimeError):
     """A model asks to wait."""
 
 
-class Limited:
-    """``model`` with a quota of calls for each task."""
+class Lease(NamedTuple):
+    """Leave to call a model, for a whole build: ``calls`` of it (None: as many as it takes), no more than one in
+    ``interval_s`` seconds, made by ``lanes`` tasks."""
 
-    def __init__(self, model: Callable, calls: int):
-        self.model, self.calls = model, calls
+    calls: int | None = None
+    interval_s: float = 0.0
+    lanes: int = 8
 
-    def __call__(self, *arguments):
-        if not self.calls:
-            raise OutOfQuota
-        self.calls -= 1
-        return self.model(*arguments)
+
+def leased(rows: DataFrame, key: str, batch: int, lease: Lease) -> DataFrame:
+    """``rows`` that may be asked for, with _slot, the number of their call: ``batch`` rows of the order of ``key`` to a call.
+
+    Slots are given out before the first call, so the number of calls doesn't depend on the number of tasks. They go to lanes
+    in turn, and a lane is a partition; a lane waits its share of the interval before its first call, and ``lanes`` intervals
+    from one call to the next. So in any time t there are no more than t / interval + lanes calls, whichever lanes run at once,
+    without clocks that agree. A lane that is run again after a lost executor makes its calls again.
+    """
+    slot = F.floor(F.col("_place") / F.lit(batch)).cast("long")
+    placed = numbered(rows, [key], "_place").withColumn("_slot", slot)
+    if lease.calls is not None:
+        placed = placed.where(F.col("_slot") < lease.calls)
+    lane = F.pmod("_slot", F.lit(lease.lanes)).cast("int")
+    return placed.repartitionById(lease.lanes, lane).sortWithinPartitions("_slot", "_place").drop("_place")
 
 
-def embedded(rows: DataFrame, model: Embedder, batch: int = BATCH, retry: Callable[[Callable], Callable] | None = None) -> DataFrame:
-    """(id, embedding) for rows (id, text), ``batch`` texts to a call, each call with ``retry`` (``with_retries``).
+def _calls(batches, key: str, content: str, batch: int, lease: Lease | None, sleep: Callable[[float], None] | None = None) -> Iterator[tuple[list, list]]:
+    """(keys, contents) of one call after the other; with a lease, at its time."""
+    import time
 
-    Once a model is out of quota, a task calls it no more: the rows that it has are kept, the others have no row.
+    wait, last = sleep or time.sleep, None
+    if lease is None:
+        for part in batches:
+            for at in range(0, part.num_rows, batch):
+                yield part.column(key).slice(at, batch).to_pylist(), part.column(content).slice(at, batch).to_pylist()
+        return
+    slot, keys, contents = None, [], []
+
+    def turn() -> None:
+        nonlocal last
+        now = time.monotonic()
+        if lease.interval_s:
+            due = now + slot % lease.lanes * lease.interval_s if last is None else last + lease.lanes * lease.interval_s
+            if due > now:
+                wait(due - now)
+        last = time.monotonic()
+
+    for part in batches:
+        for s, k, c in zip(*(part.column(x).to_pylist() for x in ("_slot", key, content)), strict=True):
+            if keys and s != slot:
+                turn()
+                yield keys, contents
+                keys, contents = [], []
+            slot = s
+            keys.append(k)
+            contents.append(c)
+    if keys:
+        turn()
+        yield keys, contents
+
+
+def embedded(rows: DataFrame, model: Embedder, batch: int = BATCH, retry: Callable[[Callable], Callable] | None = None, lease: Lease | None = None) -> DataFrame:
+    """(id, embedding) for rows (id, text), ``batch`` texts to a call, each call with ``retry`` (``with_retries``), under a
+    ``lease`` if there is one.
+
+    Rows beyond the lease have no row. Once a model is out of quota, a task calls it no more: the rows that it has are kept,
+    the others have no row.
     """
     import pyarrow as pa
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask, stopped = (retry or with_retries)(model), False
-        for part in batches:
-            for at in range(0, 0 if stopped else part.num_rows, batch):
-                some = part.slice(at, batch)
-                try:
-                    vectors = ask([t or "" for t in some.column("text").to_pylist()])
-                except OutOfQuota:
-                    stopped = True
-                    break
-                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(vectors, pa.list_(pa.float32()))], names=["id", "embedding"])
+        ask = (retry or with_retries)(model)
+        for ids, texts in _calls(batches, "id", "text", batch, lease):
+            try:
+                vectors = ask([t or "" for t in texts])
+            except OutOfQuota:
+                break
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vectors, pa.list_(pa.float32()))], names=["id", "embedding"])
+        for _ in batches:  # read to the end
+            pass
 
-    return map_arrow(rows.select("id", "text"), call, "id long, embedding array<float>")
+    rows = rows.select(F.col("id").cast("long").alias("id"), "text")
+    return map_arrow(leased(rows, "id", batch, lease) if lease else rows, call, "id long, embedding array<float>")
 
 
 def embed_pending(rows: DataFrame, done: DataFrame, model: Embedder, retry: Callable[[Callable], Callable] | None = None) -> DataFrame:
@@ -87,21 +127,30 @@ def build(spark: SparkSession, path: str, key: str, rows: DataFrame, ask: Callab
 
     Each part is written before the next begins, so a lost driver or a quota that ends costs one part at most, and what a
     part got before its quota ended is written too; a part that brings nothing new ends the build. Calling it again
-    continues; ``restart`` begins anew. The table itself says what is done.
+    continues; ``restart`` begins anew. The table itself says what is done. ``rows`` are read once, what is to do is dealt into
+    its parts in the shared folder. A null key is a key like any other.
     """
     if restart:
         remove(spark, path)
     total = rows.select(key).distinct().count()
+    done = table_or_none(spark, path)
+    if done is not None:
+        had = done.select(F.col(key).alias("_had")).distinct()
+        rows = rows.join(had, F.col(key).eqNullSafe(F.col("_had")), "left_anti")
+    folder = f"{checkpoint_dir(spark)}/todo-{uuid.uuid4().hex}"
+    dealt = rows.withColumn("_step", F.pmod(F.xxhash64(key), F.lit(steps)).cast("int"))
+    dealt.write.partitionBy("_step").parquet(folder)
+    todo, before = spark.read.schema(dealt.schema).parquet(folder), done.count() if done is not None else 0
     for step in range(steps):
-        done = table_or_none(spark, path)
-        part = rows.where(F.pmod(F.xxhash64(key), F.lit(steps)) == step)
-        todo = part if done is None else part.join(done.select(key), key, "left_anti")
-        if todo.isEmpty():
+        part = todo.where(F.col("_step") == step).drop("_step")
+        if part.isEmpty():
             continue
-        before = done.count() if done is not None else 0
-        ask(todo).write.mode("append").parquet(path)
-        if table_or_none(spark, path).count() == before:
+        ask(part).write.mode("append").parquet(path)
+        now = table_or_none(spark, path).count()
+        if now == before:
             break
+        before = now
+    remove(spark, folder)
     done = table_or_none(spark, path)
     n = done.select(key).distinct().count() if done is not None else 0
     return Progress(n, total - n)
@@ -191,28 +240,30 @@ class Lazy:
         return self.model is not None
 
 
-def replied(rows: DataFrame, model: Callable[[str], str | None], out: str = "reply", retry: Callable[[Callable], Callable] | None = None) -> DataFrame:
-    """``rows`` (key, prompt) with the reply of a text model to each prompt, null where it gives none or fails.
+def replied(rows: DataFrame, model: Callable[[str], str | None], out: str = "reply", retry: Callable[[Callable], Callable] | None = None, lease: Lease | None = None) -> DataFrame:
+    """``rows`` (key, prompt) with the reply of a text model to each prompt, null where it gives none or fails; a prompt is a
+    call of the ``lease``, if there is one.
 
-    Once the model is out of quota, a task asks no more, and the rows that it didn't ask for have no row.
+    Once the model is out of quota, a task asks no more. What wasn't asked for has no row.
     """
     import pyarrow as pa
 
+    keys = rows.select("key").schema[0]
     schema = rows.select("key").withColumn(out, F.lit(None).cast("string")).schema
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask, stopped = (retry or with_retries)(model), False
-        for part in batches:
-            texts: list[str | None] = []
-            for prompt in [] if stopped else part.column("prompt").to_pylist():
-                try:
-                    texts.append(ask(prompt or ""))
-                except OutOfQuota:
-                    stopped = True
-                    break
-                except Exception:  # noqa: BLE001  a prompt that fails for good has no reply, the others have
-                    texts.append(None)
-            if texts:
-                yield pa.RecordBatch.from_arrays([part.column("key").slice(0, len(texts)), pa.array(texts, pa.string())], names=["key", out])
-
-    return map_arrow(rows.select("key", "prompt"), call, schema)
+        ask, kind = (retry or with_retries)(model), None
+        for key, prompt in _calls(batches, "key", "prompt", 1, lease):
+            try:
+                text = ask(prompt[0] or "")
+            except OutOfQuota:
+                break
+            except Exception:  # noqa: BLE001  a prompt that fails for good has no reply, the others have
+                text = None
+            kind = kind or to_arrow_type(keys.dataType)
+            yield pa.RecordBatch.from_arrays([pa.array(key, kind), pa.array([text], pa.string())], names=["key", out])
+        for _ in batches:
+            pass
+
+    rows = rows.select("key", "prompt")
+    return map_arrow(leased(rows, "key", 1, lease) if lease else rows, call, schema)

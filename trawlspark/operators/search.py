@@ -10,12 +10,9 @@ from pyspark.sql import Window as W
 
 from .. import schemas
 from ..functions import text as X, vectors as V
-from ..workers import map_arrow
 
 # Fixed values of the ranking.
 LEG, TOP, FINAL, RRF, DENSE_WEIGHT, NEIGHBOURS = 300, 15, 5, 60, 0.65, 2
-#: Queries whose tokens are folded into one pass over the documents.
-TOGETHER = 100
 
 
 def _ranked(rows: DataFrame, order: list[Column], name: str, k: int) -> DataFrame:
@@ -29,73 +26,6 @@ def sparse_topk(docs: DataFrame, query: str, text: Column, k: int = LEG) -> Data
     return _ranked(scored, [F.desc("sparse_score"), F.asc("id")], "sparse_rank", k)
 
 
-def sparse_topk_batch(docs: DataFrame, queries: Sequence[tuple[int, str]], text: Column, k: int = LEG) -> DataFrame:
-    """(query_id, id, sparse_score, sparse_rank) for several queries in one pass per ``TOGETHER`` of them, without a join.
-
-    ``id`` is a long. Each task hands on the first k rows of each query only, so the window sees k rows a task.
-    """
-    rows = docs.select(F.col("id").cast("long").alias("id"), text.alias("text"))
-    legs = None
-    for at in range(0, len(queries), TOGETHER):
-        leg = map_arrow(rows, _scorer(queries[at : at + TOGETHER], k), "query_id long, id long, sparse_score double")
-        legs = leg if legs is None else legs.union(leg)
-    if legs is None:
-        raise ValueError("no queries")
-    order = W.partitionBy("query_id").orderBy(F.desc("sparse_score"), F.asc("id"))
-    return legs.withColumn("sparse_rank", F.row_number().over(order)).where(f"sparse_rank <= {k}")
-
-
-def _scorer(queries: Sequence[tuple[int, str]], k: int):
-    """Over batches of (id, text): the first k rows of each query. Weights are halves, so float32 sums them exactly.
-
-    Tokens hold no white space, so a text contains those that its words contain; each worker looks a word up once.
-    """
-    named = [(i, X.token_weights(q)) for i, q in queries]
-    number = {t: n for n, t in enumerate(sorted({t for _, w in named for t in w}))}
-    lengths = sorted({len(t) for t in number})
-    blank = re.compile(f"[{X.SPACES}]+")
-
-    def score(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        weights = np.zeros((len(number), len(named)), np.float32)
-        for q, (_, w) in enumerate(named):
-            for t, x in w.items():
-                weights[number[t], q] = x
-        known: dict[str, list[int]] = {}
-        none = np.iinfo(np.int64).min  # stands for a null id, which sorts first
-        best = [(np.zeros(0, np.float32), np.zeros(0, np.int64)) for _ in named]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                ids = some.column("id").fill_null(none).to_numpy()
-                holds = np.zeros((len(ids), len(number)), np.float32)
-                for r, t in enumerate(some.column("text").to_pylist()):
-                    found: set[int] = set()
-                    for word in set(blank.split(t or "")):
-                        if (inside := known.get(word)) is None:
-                            if len(known) > 200_000:
-                                known.clear()
-                            inside = known[word] = list({n for size in lengths for i in range(len(word) - size + 1) if (n := number.get(word[i : i + size])) is not None})
-                        found.update(inside)
-                    holds[r, list(found)] = 1
-                scores = holds @ weights
-                for q, (s, i) in enumerate(best):
-                    new = scores[:, q] > (s[-1] if len(s) == k else 0)
-                    if len(s) == k:
-                        new |= scores[:, q] == s[-1]
-                    if new.any():
-                        s, i = np.concatenate([s, scores[new, q]]), np.concatenate([i, ids[new]])
-                        first = np.lexsort((i, -s))[:k]
-                        best[q] = s[first], i[first]
-        for (query, _), (s, i) in zip(named, best, strict=True):
-            if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), query)), pa.array(i, mask=i == none), pa.array(s.astype(float))], names=["query_id", "id", "sparse_score"])
-
-    return score
-
-
 def dense_topk(vectors: DataFrame, query: Sequence[float], dim: int, k: int = LEG) -> DataFrame:
     """(id, similarity, dense_rank) for ``vectors`` (id, embedding): cosine over the dimensions that both sides have."""
     use = min(len(query), dim)
@@ -150,7 +80,8 @@ def apply_rerank(candidates: DataFrame, reply: Column, k: int = FINAL) -> DataFr
 def with_context(hits: DataFrame, verses: DataFrame, columns: Sequence[str], around: int = NEIGHBOURS) -> DataFrame:
     """``hits`` with context: the verses of the same book and chapter up to ``around`` away, by verse, itself included.
 
-    Hits name (book, chapter, verse). Each hit asks for the keys that it may find, an equi-join instead of a band.
+    Hits name (book, chapter, verse). Each hit asks for the keys that it may find, an equi-join instead of a band: for hits
+    that are few beside the verses. ``all_contexts`` is for the others.
     """
     wanted = hits.withColumn("_v", F.explode(F.sequence(F.greatest(F.lit(1), F.col("verse") - around), F.col("verse") + around)))
     near = verses.select(F.col("book").alias("_b"), F.col("chapter").alias("_c"), F.col("verse").alias("_v"), F.struct("verse", *columns).alias("_row"))
@@ -159,6 +90,26 @@ def with_context(hits: DataFrame, verses: DataFrame, columns: Sequence[str], aro
     return joined
 
 
+#: Verses of a chapter that one window sees.
+TILE = 1024
+
+
+def all_contexts(verses: DataFrame, columns: Sequence[str], around: int = NEIGHBOURS) -> DataFrame:
+    """Every row of ``verses`` (book, chapter, verse, ...) with context: the rows of its chapter up to ``around`` away.
+
+    A window with a RANGE frame over tiles of ``TILE`` verses, which are dealt out once; the verses at a tile's edge go to
+    the next tile too, where they are seen only. Neither hits nor verses are multiplied, and a long chapter is many tiles.
+    Rows that repeat a verse are all in its context; a null verse or chapter has no neighbours and isn't returned.
+    """
+    v = F.col("verse").cast("long")
+    tile = lambda x: F.floor(x / F.lit(TILE))
+    tiles = F.array_distinct(F.array(tile(v), tile(v - around), tile(v + around)))
+    dealt = verses.where("book IS NOT NULL AND chapter IS NOT NULL AND verse IS NOT NULL").withColumn("_tile", F.explode(tiles))
+    frame = W.partitionBy("book", "chapter", "_tile").orderBy(v).rangeBetween(-around, around)
+    seen = dealt.withColumn("context", F.array_sort(F.collect_list(F.struct("verse", *columns)).over(frame)))
+    return seen.where(F.col("_tile") == tile(v)).drop("_tile")
+
+
 def expansion_of(reply: Column) -> Column:
     """A model's expansion of the query: the fences round it go, and one that can't be read or has no query is none."""
     parsed = F.from_json(X.strip_fences(reply), schemas.EXPANSION)

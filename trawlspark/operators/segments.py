@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import Window as W
 
 from .. import schemas
 from ..functions import text as X
+from .prefix import before
 
 # Titles of rows that no model named.
 NO_TITLE, FILLER_TITLE, CHAPTER_SUFFIX = "단락", "본문", "장"
+#: Verses of a chapter that are held together.
+TILE = 256
 
 
 def paragraphs(replies: DataFrame) -> DataFrame:
@@ -28,12 +30,12 @@ def paragraphs(replies: DataFrame) -> DataFrame:
         F.array().cast("array<string>").alias("characteristics"), F.lit("").alias("core_meaning"),
     )
     rows = rows.select("book", "chapter", "n_verses", F.posexplode(F.when(F.size("p") > 0, F.col("p")).otherwise(F.array(whole))).alias("pos", "x"))
-    title = F.coalesce(F.nullif(F.trim("x.theme_title"), F.lit("")), F.lit(NO_TITLE))
-    traits = F.filter(F.transform(F.coalesce("x.characteristics", F.array().cast("array<string>")), lambda c: F.trim(c)), lambda c: c != "")
+    title = F.coalesce(F.nullif(X.trim_all(F.col("x.theme_title")), F.lit("")), F.lit(NO_TITLE))
+    traits = F.filter(F.transform(F.coalesce("x.characteristics", F.array().cast("array<string>")), lambda c: X.trim_all(c)), lambda c: c != "")
     return rows.select(
         "book", "chapter", "n_verses", "pos",
         X.whole_number(F.col("x.verse_start")).alias("verse_start"), X.whole_number(F.col("x.verse_end")).alias("verse_end"),
-        title.alias("theme_title"), traits.alias("characteristics"), F.coalesce(F.trim("x.core_meaning"), F.lit("")).alias("core_meaning"),
+        title.alias("theme_title"), traits.alias("characteristics"), F.coalesce(X.trim_all(F.col("x.core_meaning")), F.lit("")).alias("core_meaning"),
     ).where("verse_start IS NOT NULL AND verse_end IS NOT NULL")
 
 
@@ -47,12 +49,13 @@ def normalized(rows: DataFrame, group: Sequence[str], order: Sequence[str], chap
     """Intervals that cover 1..n_verses of each group without gap or overlap: (group, verse_start, verse_end, filler, row).
 
     Sorted by start, ties in ``order``. An interval begins after all earlier ends; one that ends there too is swallowed;
-    gaps become fillers, the last one to n_verses. All of it follows from the running maximum of the ends. ``chapters``
-    has the groups and n_verses; groups without intervals are one filler.
+    gaps become fillers, the last one to n_verses. All of it follows from the running maximum of the ends, which
+    ``prefix.before`` finds for groups of any length. ``chapters`` has the groups and n_verses; groups without intervals are
+    one filler.
     """
-    earlier = W.partitionBy(*group).orderBy("verse_start", *order).rowsBetween(W.unboundedPreceding, -1)
-    data = F.struct(*[c for c in rows.columns if c not in group]).alias("row")
-    seen = rows.select(*group, "verse_start", "verse_end", data, F.coalesce(F.max("verse_end").over(earlier), F.lit(0)).alias("m"))
+    kept = rows.select(*group, "verse_start", "verse_end", *order, F.struct(*[c for c in rows.columns if c not in group]).alias("row"))
+    seen = before(kept, list(group), ["verse_start", *order], {"m": ("max", F.col("verse_end"))})
+    seen = seen.select(*group, "verse_start", "verse_end", F.col("row"), F.coalesce("m", F.lit(0)).alias("m"))
     own = F.when(F.col("verse_end") > F.col("m"), F.array(F.struct(F.greatest("verse_start", F.col("m") + 1).alias("s"), F.col("verse_end").alias("e"), F.lit(False).alias("filler"))))
     gap = F.when(F.col("verse_start") > F.col("m") + 1, F.array(F.struct((F.col("m") + 1).alias("s"), (F.col("verse_start") - 1).alias("e"), F.lit(True).alias("filler"))))
     none = F.array().cast("array<struct<s:int,e:int,filler:boolean>>")
@@ -83,12 +86,22 @@ def named(rows: DataFrame) -> DataFrame:
 
 
 def hydrated(segments: DataFrame, verses: DataFrame) -> DataFrame:
-    """Segments (id, verse_keys) with their verses in key order; a missing key stays as (0, '', '').
+    """(id, verses): segments (id, book, chapter, verse_start, verse_end) with an array of (verse, ko, en) for each of their
+    verses in order; a missing verse stays as (0, '', '').
 
-    ``verses`` has key, verse, ko and en with unique keys.
+    ``verses`` (book, chapter, verse, ko, en) are gathered into tiles of ``TILE`` verses of a chapter, each once; a segment
+    meets the tiles that it touches and takes slices, so no verse is looked up by a key of its own and no row holds more
+    than a tile. Of repeated verses the first by (ko, en) counts. A segment that ends before it starts has no verses; one
+    with a null bound isn't returned.
     """
-    keys = segments.select("id", F.posexplode("verse_keys").alias("pos", "key"))
-    found = keys.join(verses.select("key", "verse", "ko", "en"), "key", "left")
-    row = F.struct(F.coalesce("verse", F.lit(0)).alias("verse"), F.coalesce("ko", F.lit("")).alias("ko"), F.coalesce("en", F.lit("")).alias("en"))
-    by_pos = F.array_sort(F.collect_list(F.struct("pos", row.alias("row"))))
-    return found.groupBy("id").agg(F.transform(by_pos, lambda x: x["row"]).alias("verses"))
+    empty = F.struct(F.lit(0).alias("verse"), F.lit("").alias("ko"), F.lit("").alias("en"))
+    tile = lambda v: F.floor((v - 1) / F.lit(TILE)).cast("int")
+    row = F.struct("verse", F.coalesce("ko", F.lit("")).alias("ko"), F.coalesce("en", F.lit("")).alias("en"))
+    once = verses.where("verse IS NOT NULL").groupBy("book", "chapter", "verse").agg(F.min(row).alias("row"))
+    tiles = once.groupBy("book", "chapter", tile(F.col("verse")).alias("tile")).agg(F.map_from_entries(F.collect_list(F.struct("verse", "row"))).alias("held"))
+    touched = F.when(F.col("verse_start") <= F.col("verse_end"), F.sequence(tile(F.col("verse_start")), tile(F.col("verse_end")))).otherwise(F.array(F.lit(0)))
+    asked = segments.where("verse_start IS NOT NULL AND verse_end IS NOT NULL").select("id", "book", "chapter", "verse_start", "verse_end", F.explode(touched).alias("tile"))
+    a, b = F.greatest(F.col("verse_start"), F.col("tile") * TILE + 1), F.least(F.col("verse_end"), (F.col("tile") + 1) * TILE)
+    span = F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    found = asked.join(tiles, ["book", "chapter", "tile"], "left").select("id", "tile", F.transform(span, lambda v: F.coalesce(F.try_element_at("held", v), empty)).alias("part"))
+    return found.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("tile", "part"))), lambda t: t["part"])).alias("verses"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import MAX_IDS
+from ..storage import cut
 from . import state as U
 
 
@@ -72,29 +74,27 @@ class AccountStore:
         mark = spark.createDataFrame([(self.user_id, passage_id)], "user_id string, passage_id string").withColumn("used_at", F.lit(at).cast("timestamp") if at else F.current_timestamp())
         self.rows = U.upsert(self.rows, mark) if used else U.unmark(self.rows, mark)
 
-    def migrate(self, local: LocalStore, catalogue: DataFrame, at: datetime | None = None) -> int:
-        """Take over a local list on signing in: valid new ids are added and counted, and the list is emptied."""
+    def migrate(self, local: LocalStore, catalogue: DataFrame, write: Callable[[DataFrame], None], at: datetime | None = None) -> int:
+        """Take over a local list on signing in: valid new ids are given to ``write`` and counted.
+
+        The list is emptied only once ``write`` has returned; if it fails, list and table are as before. The rows that are
+        written are those that are counted and added, with one time.
+        """
         if not local.ids:
             return 0
         if len(local.ids) > MAX_IDS:
             raise ValueError(f"more than {MAX_IDS} ids")
         ids = self.rows.sparkSession.createDataFrame([(self.user_id, i) for i in local.ids], "user_id string, passage_id string")
-        fresh = U.insert_ignore(self._own(), ids, catalogue).withColumn("used_at", F.lit(at).cast("timestamp") if at else F.current_timestamp())
+        fresh = cut(U.insert_ignore(self._own(), ids, catalogue).select(*U.KEY, F.lit(at or datetime.now()).cast("timestamp").alias("used_at")))
         n = fresh.count()
-        self.rows = self.rows.select(*U.KEY, "used_at").unionByName(fresh.select(*U.KEY, "used_at"))
+        write(fresh)
+        self.rows = self.rows.select(*U.KEY, "used_at").unionByName(fresh)
         local.ids = []
         return n
 
 
 def _pick(catalogue: DataFrame, used: DataFrame, user_id: str, seed: str) -> dict | None:
-    """As ``state.pick`` for one user, who may have used nothing yet."""
-    total = catalogue.count()
-    if not total:
-        return None
-    count = used.select("passage_id").distinct().count()
-    left = catalogue.join(used.select("passage_id"), "passage_id", "left_anti")
-    one = left.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.lit(user_id), "passage_id")), "passage_id").first()
-    reset = one is None
-    if reset:
-        one = catalogue.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.lit(user_id), "passage_id")), "passage_id").first()
-    return {"passage_id": one["passage_id"], "total_passages": total, "used_count": 0 if reset else count, "was_reset": reset, "is_used": False}
+    """``state.pick`` for one user, who may have used nothing yet."""
+    user = catalogue.sparkSession.range(1).select(F.lit(user_id).alias("user_id"))
+    one = U.pick(user, catalogue, used, seed).first()
+    return one and {c: one[c] for c in ("passage_id", "total_passages", "used_count", "was_reset")} | {"is_used": False}

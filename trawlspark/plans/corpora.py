@@ -17,7 +17,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines made of orders: by the key's rest, good ones, ones without a verse, without a number, and short ones."""
+    """Lines made of orders: by the key's rest, good ones, ones in white space of all kinds, ones without a verse, without a number, and short ones."""
     k = F.col("o_orderkey")
     good = F.concat(F.lit("Book "), (k % 7).cast("string"), F.lit(":"), (k % 50 + 1).cast("string"), F.lit(":"), (k % 30 + 1).cast("string"), F.lit(" "), F.col("o_orderpriority"), F.lit(": x:y"))
     line = (
@@ -25,7 +25,8 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
         .when(k % 11 == 1, F.concat(F.lit("A:x:"), k.cast("string"), F.lit(" t")))
         .when(k % 11 == 2, F.concat(F.lit("A:1:"), k.cast("string")))
         .when(k % 11 == 3, F.concat(F.lit("A: 1.5:"), k.cast("string"), F.lit(" t")))
-        .when(k % 11 == 4, F.lit("  "))
+        .when(k % 11 == 4, F.lit("  \u3000\t"))
+        .when(k % 11 == 5, F.concat(F.lit("\u3000"), F.replace(good, F.lit(": x:y"), F.lit("\u3000z\t \u00a0"))))
         .otherwise(good)
     )
     return _t(spark, d, "orders").select(k.alias("line_no"), line.alias("value"))
@@ -103,6 +104,24 @@ def canonical_order_ids(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", X.verse_key(F.col("book_en"), F.col("chapter"), F.col("c_custkey")).alias("key"))
 
 
+def split_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of customers taken apart again; every seventh lacks its verse."""
+    key = F.concat_ws(":", F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 10 + 1).cast("string"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey").cast("string")))
+    return _t(spark, d, "customer").select("c_custkey", X.key_parts(key).alias("p")).select("c_custkey", "p.book", "p.chapter", "p.verse")
+
+
+def canon_enrich(spark: SparkSession, d: str) -> DataFrame:
+    """Customers dealt over the real books and two unknown ones, with the real tags."""
+    from ..sources import canon
+
+    names = canon.books(spark).select(F.col("book_ord").alias("at"), F.col("book_en").alias("name"))
+    rows = _t(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 68).cast("int").alias("at"))
+    rows = rows.join(names, "at", "left").select("c_custkey", F.coalesce("name", F.concat(F.lit("Book"), F.col("at").cast("string"))).alias("book_en"))
+    rows = C.with_dimension(rows, canon.books(spark).withColumnRenamed("ko", "ko_name"))
+    tagged = C.with_tags(rows, canon.book_tags(spark), canon.genre_tags(spark))
+    return tagged.select("c_custkey", "book_en", "book_ko", "testament", "genre", "book_ord", "tags")
+
+
 def _verses(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "conversations")
     return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("C").alias("book"), F.col("conv_id").alias("chapter"), (F.col("turn") + 1).cast("int").alias("verse"), "role", "text")
@@ -136,16 +155,19 @@ def book_filter_limit(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     parse_lines, parse_text_files, strip_footnotes, last_write_wins, bilingual_left_join, coverage_counts, dim_enrich, tag_fallback, reverse_dim_filter, canonical_order_ids,
-    chapter_groups, chapter_prompt_block, prompt_fill, pending_chapters, book_filter_limit,
+    split_keys, canon_enrich, chapter_groups, chapter_prompt_block, prompt_fill, pending_chapters, book_filter_limit,
 )}
 
 _LANGUAGES = "SELECT doc_id AS key, d.text AS ko, coalesce(b.text, '') AS en FROM documents d LEFT JOIN benchmark b ON item_id = doc_id"
-_PARSED = r"""
-WITH lines AS (
-  SELECT o_orderkey AS line_no, CASE o_orderkey % 11 WHEN 0 THEN 'A:' || o_orderkey WHEN 1 THEN 'A:x:' || o_orderkey || ' t' WHEN 2 THEN 'A:1:' || o_orderkey
-         WHEN 3 THEN 'A: 1.5:' || o_orderkey || ' t' WHEN 4 THEN '  '
-         ELSE 'Book ' || (o_orderkey % 7) || ':' || (o_orderkey % 50 + 1) || ':' || (o_orderkey % 30 + 1) || ' ' || o_orderpriority || ': x:y' END AS value FROM orders
-), cut AS (SELECT line_no, regexp_extract(trim(value), '^([^:]*):([^:]*):(.*)$', ['book', 'chapter', 'rest']) AS p FROM lines)
+# Characters that trim takes off, as SQL text; the data has no others of them at an end.
+_BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)"
+_PARSED = rf"""
+WITH made AS (
+  SELECT o_orderkey AS k, 'Book ' || (o_orderkey % 7) || ':' || (o_orderkey % 50 + 1) || ':' || (o_orderkey % 30 + 1) || ' ' || o_orderpriority AS good FROM orders
+), lines AS (
+  SELECT k AS line_no, CASE k % 11 WHEN 0 THEN 'A:' || k WHEN 1 THEN 'A:x:' || k || ' t' WHEN 2 THEN 'A:1:' || k WHEN 3 THEN 'A: 1.5:' || k || ' t' WHEN 4 THEN '  '
+         WHEN 5 THEN chr(12288) || good || chr(12288) || 'z' || chr(9) || ' ' || chr(160) ELSE good || ': x:y' END AS value FROM made
+), cut AS (SELECT line_no, regexp_extract(trim(value, {_BLANK}), '^([^:]*):([^:]*):(.*)$', ['book', 'chapter', 'rest']) AS p FROM lines)
 SELECT line_no, replace(p.book, ' ', '') AS book, trim(p.chapter)::INT AS chapter, regexp_extract(trim(p.rest), '^(\d+)\s+(.*)', 1)::INT AS verse,
        replace(p.book, ' ', '') || ':' || trim(p.chapter) || ':' || regexp_extract(trim(p.rest), '^(\d+)\s+(.*)', 1) AS key, regexp_extract(trim(p.rest), '^(\d+)\s+(.*)', 2) AS text
 FROM cut WHERE regexp_matches(p.chapter, '^\s*[+-]?\d+\s*$') AND regexp_matches(trim(p.rest), '^\d+\s+')"""
@@ -162,11 +184,30 @@ _GROUPED = """
 v AS (SELECT conv_id * 1000 + turn AS id, conv_id AS chapter, (turn + 1)::INT AS verse, role, text FROM conversations),
 blocks AS (SELECT chapter, count(*) AS n, string_agg(verse || ': ' || text, chr(10) ORDER BY id) AS block FROM v GROUP BY chapter)"""
 
+def _canon_sql() -> str:
+    from ..sources import canon
+
+    def values(rows) -> str:
+        return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
+
+    return f"""
+WITH books(book_ord, book_en, ko, testament, genre) AS (VALUES {values(canon.book_rows())}), book_tags(key, tags) AS (VALUES {values(canon.BOOK_TAGS)}),
+genre_tags(key, tags) AS (VALUES {values(dict(canon.GENRE_TAGS).items())}),
+rows AS (SELECT c_custkey, coalesce(book_en, 'Book' || (c_custkey % 68)) AS book_en, coalesce(ko, 'Book' || (c_custkey % 68)) AS book_ko, coalesce(testament, 'OT') AS testament,
+         coalesce(genre, '기타') AS genre, coalesce(book_ord, 999)::INT AS book_ord FROM customer LEFT JOIN books ON book_ord = c_custkey % 68)
+SELECT c_custkey, book_en, book_ko, testament, genre, book_ord, coalesce(nullif(b.tags, ''), g.tags, '믿음 소망 사랑') AS tags
+FROM rows LEFT JOIN book_tags b ON b.key = book_en LEFT JOIN genre_tags g ON g.key = genre"""
+
+
 SQL = {
+    "split_keys": """
+SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey::VARCHAR END AS book, CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey % 10 + 1)::INT END AS chapter,
+       CASE WHEN c_custkey % 7 <> 0 THEN c_custkey::INT END AS verse FROM customer""",
+    "canon_enrich": _canon_sql(),
     "parse_lines": _PARSED,
     "parse_text_files": f"SELECT * EXCLUDE (line_no) FROM ({_PARSED})",
     "strip_footnotes": r"""
-SELECT doc_id, md5(trim(regexp_replace(text, '\d+\)', '', 'g'))) AS clean_md5, (length(text) - length(trim(regexp_replace(text, '\d+\)', '', 'g'))))::INT AS removed FROM documents""",
+SELECT doc_id, md5(clean) AS clean_md5, (length(text) - length(clean))::INT AS removed FROM (SELECT doc_id, text, trim(regexp_replace(text, '\d+\)', '', 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)) AS clean FROM documents)""",
     "last_write_wins": """
 SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1""",
     "bilingual_left_join": f"SELECT key, length(ko)::INT AS ko_chars, en FROM ({_LANGUAGES})",

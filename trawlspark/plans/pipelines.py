@@ -8,8 +8,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import corpus as C, models as M, search as S, segments as G
+from ..operators import corpus as C, dense as D, models as M, search as S, segments as G
 from ..sources import canon, files
+from ..storage import cut
 
 
 def build_verses(spark: SparkSession, ko_path: str, en_path: str) -> DataFrame:
@@ -36,9 +37,11 @@ EXPAND_S, EMBED_S, RERANK_S, BUDGET_S = 4.0, 5.0, 5.0, 7.0
 def search(
     verses: DataFrame, query: str, vectors: DataFrame | None = None, dim: int = 0, embed: Callable[[str], Sequence[float] | None] | None = None,
     expand: Callable[[str], str | None] | None = None, rerank: Callable[[str, str, str | None], str | None] | None = None, clock: Callable[[], float] = time.monotonic,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """The answer to a query as one row. Models are callables on the driver; each may be left out, give None, fail or be late.
 
+    Vectors are a table, or the parts of a stored ``index`` (``dense.grow_index``) whose ids are those of the verses, from 0.
     Expansion and embedding run side by side. The dense leg ranks by the query itself, the sparse leg by its expansion. A
     reranker sees the numbered list of candidates; without one, with three candidates or fewer, or once ``BUDGET_S``
     seconds are over, the hybrid order stands.
@@ -53,8 +56,14 @@ def search(
         sparse_query = query
     text = X.search_text(F.col("ko"), F.col("en"), F.col("embed_text"))
     sparse = S.sparse_topk(verses, sparse_query, text)
-    dense = S.dense_topk(vectors.join(verses.select("id"), "id", "left_semi"), vector, dim) if vector is not None and vectors is not None else None
-    top = S.fuse(dense, sparse, vector is not None).persist()  # fifteen rows that the reranker and the answer both read
+    dense = None
+    if vector is not None and vectors is not None:
+        dense = S.dense_topk(vectors.join(verses.select("id"), "id", "left_semi"), vector, dim)
+    elif vector is not None and index is not None:
+        asked = verses.sparkSession.createDataFrame([(0, [float(x) for x in vector[:dim]])], "query_id long, embedding array<float>")
+        last = verses.agg(F.max("id")).first()[0]  # parts beyond the verses aren't read
+        dense = D.index_topk_batch(index, asked, dim, S.LEG, 0, -1 if last is None else last).select("id", "similarity", "dense_rank")
+    top = cut(S.fuse(dense, sparse, vector is not None))  # fifteen rows that the reranker and the answer both read
     reply = None
     if rerank and clock() - began < BUDGET_S and top.count() > 3:
         listing = S.candidate_list(top.join(verses, "id"), F.concat_ws(" ", "book_ko", F.concat_ws(":", "chapter", "verse"), F.lit("-"), "ko"))
@@ -73,6 +82,22 @@ def segment_prompts(verses: DataFrame) -> DataFrame:
     return groups.join(C.prompt_block(groups), ["book", "chapter"]).select("book", "chapter", "n_verses", "block")
 
 
+def build_segments(spark: SparkSession, path: str, verses: DataFrame, model: Callable[[str], str | None], lease: M.Lease | None = None, steps: int = 10, restart: bool = False) -> M.Progress:
+    """Ask a segmenter about each chapter that the table of replies at ``path`` lacks, in parts that are written one by one.
+
+    What a part got is kept if the next fails, the quota ends or the ``lease`` is used up; calling it again goes on from
+    there, ``restart`` begins anew. A chapter whose call fails for good has a null reply, and counts as done.
+    """
+    prompts = segment_prompts(verses).select(F.to_json(F.struct("book", "chapter")).alias("key"), F.col("block").alias("prompt"))
+    return M.build(spark, path, "key", prompts, lambda todo: M.replied(todo, model, lease=lease), steps, restart)
+
+
+def replies(spark: SparkSession, path: str) -> DataFrame:
+    """(book, chapter, reply) of a table that ``build_segments`` wrote."""
+    key = F.from_json("key", "book string, chapter long")
+    return spark.read.parquet(path).select(key["book"].alias("book"), key["chapter"].alias("chapter"), "reply")
+
+
 def build_passages(verses: DataFrame, replies: DataFrame) -> DataFrame:
     """The passage table from a segmenter's replies (book, chapter, reply); a chapter without a reply is one passage."""
     facts = verses.groupBy(F.col("book_en").alias("book"), "chapter").agg(

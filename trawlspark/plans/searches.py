@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import search as S
+from ..operators import dense as D, postings as I, search as S
+from ..storage import checkpoint_dir
 
 QUERY = "worthless the tion"
-DIM, PREFIX = 64, 32
+DIM, PREFIX, ROWS_OF = 64, 32, 128
 
 # The preset queries.
 PRESETS = (
@@ -44,8 +47,10 @@ def _query_vector(spark: SparkSession, d: str) -> list[float]:
 
 
 def query_tokens(spark: SparkSession, d: str) -> DataFrame:
-    queries = spark.createDataFrame([(i, q) for i, q in enumerate((*PRESETS, f"  {QUERY}\t"))], "query_id long, query string")
-    return X.query_tokens(queries)
+    """Tokens of every benchmark item, and of the presets under numbers below 0."""
+    presets = spark.createDataFrame([(-i - 1, q) for i, q in enumerate((*PRESETS, f"  {QUERY}\t"))], "query_id long, query string")
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return X.query_tokens(items.union(presets))
 
 
 def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -53,8 +58,9 @@ def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sparse_topk_batch(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.coalesce("text", F.lit("")).alias("q")).orderBy("item_id").collect()
-    return S.sparse_topk_batch(_docs(spark, d), [(r[0], r[1]) for r in rows], _text(), 50)
+    """Every benchmark item as a query, whole."""
+    queries = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
+    return I.sparse_topk_batch(_docs(spark, d), queries, _text(), 50)
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +72,35 @@ def dense_topk_prefix_dim(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+def dense_topk_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every twentieth vector as a query, against all."""
+    vectors = _vectors(spark, d)
+    queries = vectors.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return D.dense_topk_batch(vectors, queries, DIM, 50).withColumn("similarity", F.round("similarity", 6))
+
+
+def _grown(spark: SparkSession, d: str) -> DataFrame:
+    """An index of the vectors with even ids, to which all others are added; parts are of 128 ids."""
+    path, vectors = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", _vectors(spark, d)
+    D.grow_index(spark, path, vectors.where("id % 2 = 0"), DIM, ROWS_OF)
+    D.grow_index(spark, path, vectors, DIM, ROWS_OF)
+    return spark.read.parquet(path)
+
+
+def dense_index_topk_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every twentieth vector as a query against the stored bytes of the ids from 100 to 399."""
+    queries = _vectors(spark, d).where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return D.index_topk_batch(_grown(spark, d), queries, DIM, 25, 100, 399).withColumn("similarity", F.round("similarity", 6))
+
+
+def dense_index_grown(spark: SparkSession, d: str) -> DataFrame:
+    """What the grown index decodes to, and whether it is as near to the vectors as its parts' scales promise."""
+    rows = D.read_parts(_grown(spark, d)).join(_vectors(spark, d).withColumnRenamed("embedding", "raw"), "id")
+    worst = F.array_max(F.zip_with("embedding", "raw", lambda a, b: F.abs(a.cast("double") - b.cast("double"))))
+    first = F.round(F.element_at("embedding", 1).cast("double"), 6)
+    return rows.select("id", first.alias("first"), F.round(F.col("norm").cast("double"), 5).alias("norm"), (worst <= F.col("scale") / 2 + 1e-7).alias("within"))
+
+
 def _guarded(spark: SparkSession, d: str) -> DataFrame:
     """Vectors that have a document at their place: the shorter side bounds the join."""
     return _vectors(spark, d).join(_docs(spark, d).select("id"), "id", "left_semi")
@@ -107,9 +142,7 @@ def _verses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_pm2(spark: SparkSession, d: str) -> DataFrame:
-    verses = _verses(spark, d)
-    hits = verses.where("role = 'user'").select("book", "chapter", "verse")
-    rows = S.with_context(hits, verses, ["role"])
+    rows = S.all_contexts(_verses(spark, d), ["role"]).where("role = 'user'")  # half of all rows
     members = F.array_join(F.transform("context", lambda c: F.concat(c["verse"].cast("string"), F.lit(c_sep := ":"), c["role"])), ",")
     shown = F.filter("context", lambda c: c["verse"] == F.col("verse"))
     return rows.select("chapter", "verse", members.alias("context"), F.size("context").alias("n_context"), (F.size("context") > 1).alias("shows_context"), F.size(shown).alias("n_self"))
@@ -132,7 +165,7 @@ def candidate_listing(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    query_tokens, sparse_topk, sparse_topk_batch, dense_topk, dense_topk_prefix_dim, positional_join_guard, hybrid_rrf, hybrid_sparse_only,
+    query_tokens, sparse_topk, sparse_topk_batch, dense_topk, dense_topk_prefix_dim, dense_topk_batch, dense_index_topk_batch, dense_index_grown, positional_join_guard, hybrid_rrf, hybrid_sparse_only,
     hybrid_weight_without_index, rerank_apply, rerank_fallback, context_pm2, search_envelope, candidate_listing,
 )}
 
@@ -196,11 +229,29 @@ reranked AS (
   SELECT id, rank, score, row_number() OVER (ORDER BY place)::INT AS position, reason AS rerank_reason
   FROM (SELECT * FROM picks QUALIFY row_number() OVER (PARTITION BY idx ORDER BY place) = 1) JOIN hybrid ON rank = idx QUALIFY position <= 5
 )"""
-_PRESET_ROWS = " UNION ALL ".join(f"SELECT {i} AS query_id, '{q}' AS query" for i, q in enumerate((*PRESETS, f"  {QUERY}\t")))
+_PRESET_ROWS = " UNION ALL ".join(f"SELECT {-i - 1} AS query_id, '{q}' AS query" for i, q in enumerate((*PRESETS, f"  {QUERY}\t")))
 _BATCH_ROWS = "SELECT item_id AS query_id, coalesce(text, '') AS query FROM benchmark"
 
+_INDEX_SQL = f"""
+limits AS (
+  SELECT vec_id // {ROWS_OF} AS part, vec_id % 2 AS step, min(list_min(embedding))::DOUBLE AS vmin, (max(list_max(embedding))::DOUBLE - min(list_min(embedding))::DOUBLE) / 255.0::DOUBLE AS scale FROM embeddings GROUP BY ALL
+), stored AS (
+  SELECT vec_id AS id, embedding, scale, list_transform(embedding, lambda x: (greatest(0, least(255, round_even((x::DOUBLE - vmin) / scale, 0)))::DOUBLE * scale + vmin)::FLOAT) AS v
+  FROM embeddings JOIN limits ON part = vec_id // {ROWS_OF} AND step = vec_id % 2
+)"""
+
+
+def _pairs_sql(vectors: str, k: int) -> str:
+    return f"""
+SELECT query_id, id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id)::INT AS dense_rank FROM (
+  SELECT query_id, id, CASE WHEN nq * nv < 1e-9 THEN 0 ELSE list_dot_product(v, q) / (nq * nv) END AS similarity FROM (
+    SELECT id, v, sqrt(list_dot_product(v, v))::FLOAT::DOUBLE AS nv FROM ({vectors})
+  ), (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS nq FROM embeddings WHERE vec_id % 20 = 0)
+) QUALIFY dense_rank <= {k}"""
+
+
 SQL = {
-    "query_tokens": f"WITH {_tokens_sql(_PRESET_ROWS)} SELECT query_id, token, weight FROM tokens",
+    "query_tokens": f"WITH {_tokens_sql(f"SELECT item_id AS query_id, text AS query FROM benchmark UNION ALL {_PRESET_ROWS}")} SELECT query_id, token, weight FROM tokens",
     "sparse_topk": f"WITH {_SPARSE} SELECT id, sparse_score, sparse_rank FROM sparse",
     "sparse_topk_batch": f"""WITH {_tokens_sql(_BATCH_ROWS)}
 SELECT query_id, id, sparse_score, row_number() OVER (PARTITION BY query_id ORDER BY sparse_score DESC, id)::INT AS sparse_rank FROM (
@@ -208,6 +259,11 @@ SELECT query_id, id, sparse_score, row_number() OVER (PARTITION BY query_id ORDE
 ) QUALIFY sparse_rank <= 50""",
     "dense_topk": f"WITH {_dense_sql('embeddings')} SELECT id, round(similarity, 6) AS similarity, dense_rank FROM dense",
     "dense_topk_prefix_dim": f"WITH {_dense_sql('embeddings', PREFIX, False)} SELECT id, round(similarity, 6) AS similarity, dense_rank FROM dense",
+    "dense_topk_batch": f"""{_pairs_sql("SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings", 50)}""",
+    "dense_index_topk_batch": f"""WITH {_INDEX_SQL} {_pairs_sql("SELECT id, v::DOUBLE[] AS v FROM stored WHERE id BETWEEN 100 AND 399", 25)}""",
+    "dense_index_grown": f"""WITH {_INDEX_SQL}
+SELECT id, round(v[1]::DOUBLE, 6) AS first, round(sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[]))::FLOAT::DOUBLE, 5) AS norm,
+       list_max(list_transform(range(1, 65), lambda i: abs(v[i]::DOUBLE - embedding[i]::DOUBLE))) <= scale / 2 + 1e-7 AS within FROM stored""",
     "positional_join_guard": "SELECT lang, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents JOIN embeddings ON doc_id = vec_id GROUP BY lang",
     "hybrid_rrf": f"WITH {_HYBRID} SELECT * FROM hybrid",
     "hybrid_sparse_only": f"WITH {_SPARSE},{_fused_sql(0.0, False)} SELECT id, sparse_rank, score, rank FROM hybrid",

@@ -1,31 +1,68 @@
-"""Segment queries: order lines as a model's intervals, canned replies as its text."""
+"""Segment queries: order lines as a model's intervals, conversations as chapters and as what a model replies to."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import segments as G
+from ..operators import models as M, segments as G
+from ..storage import checkpoint_dir
+from . import pipelines
 
 N = 40
 TIES = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
-# Replies by chapter: fenced, plain, with odd numbers and blanks, not JSON, empty.
-REPLIES = (
-    (1, 9, '```json\n{"paragraphs": [{"verse_start": 1, "verse_end": 4, "theme_title": " Start ", "characteristics": ["a", " ", " b "], "core_meaning": " m "}, {"verse_start": "5", "verse_end": 9, "theme_title": "", "characteristics": [], "core_meaning": ""}]}\n```'),
-    (2, 5, '{"paragraphs": [{"verse_start": 1.7, "verse_end": 3, "theme_title": "t", "characteristics": ["x"], "core_meaning": "y"}, {"verse_start": "q", "verse_end": 4, "theme_title": "bad"}, {"verse_end": 5, "theme_title": "no start"}]}'),
-    (3, 7, "sorry, no paragraphs"),
-    (4, 6, '{"paragraphs": []}'),
-    (5, 3, '```\n{"paragraphs": [{"verse_start": 2, "verse_end": 2, "theme_title": "only"}]}\n```'),
-)
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    """A segmenter's reply to each conversation, by its number: fenced ones, plain ones, with odd numbers, fields left out,
+    blanks, text that is no JSON, no paragraphs; titles and meanings come from its turns."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    talks = turns.groupBy("conv_id").agg(F.count("*").cast("int").alias("n"), F.min_by("role", F.struct("turn", "role")).alias("role"), F.md5(F.coalesce(F.min("text"), F.lit(""))).alias("m"))
+    half = F.floor((F.col("n") + 1) / 2).cast("string")
+    n = F.col("n").cast("string")
+    head = F.concat(F.lit('{"paragraphs": [{"verse_start": 1, "verse_end": '), half, F.lit(', "theme_title": "\\t'), "role", F.lit(' ", "characteristics": ["'), F.substr("m", F.lit(1), F.lit(4)), F.lit('", "\\t", " b "], "core_meaning": " '), "m", F.lit(' "}'))
+    tail = F.concat(F.lit(', {"verse_start": "'), half, F.lit('", "verse_end": '), n, F.lit('.7, "theme_title": ""}, {"verse_start": "q", "verse_end": 4}, {"verse_end": 5, "theme_title": "no start"}]}'))
+    text = F.concat(head, tail)
+    reply = (
+        F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).when(F.col("conv_id") % 5 == 1, text)
+        .when(F.col("conv_id") % 5 == 2, F.concat(F.lit("sorry, "), "role")).when(F.col("conv_id") % 5 == 3, F.lit('{"paragraphs": []}')).otherwise(F.concat(F.lit("```\n"), head, F.lit("]}\n```")))
+    )
+    return talks.select(F.lit("B").alias("book"), F.col("conv_id").alias("chapter"), F.col("n").alias("n_verses"), reply.alias("reply"))
 
 
 def explode_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    replies = spark.createDataFrame([("B", c, n, r) for c, n, r in REPLIES], "book string, chapter int, n_verses int, reply string")
-    rows = G.clipped(G.paragraphs(replies))
+    rows = G.clipped(G.paragraphs(_replies(spark, d)))
     return rows.select("book", "chapter", "pos", "verse_start", "verse_end", "theme_title", F.array_join("characteristics", ",").alias("characteristics"), "core_meaning")
 
 
+def split_in_two(prompt: str) -> str:
+    """What stands for a segmenter here: two halves of a chapter, titled by a hash of its prompt; every fourth gets no JSON."""
+    digest, n = hashlib.md5(prompt.encode()).hexdigest(), prompt.count("\n") + 1
+    if digest[0] in "0123":
+        return "no " + digest
+    half = (n + 1) // 2
+    spans = [(1, half), (half + 1, n)]
+    return json.dumps({"paragraphs": [{"verse_start": s, "verse_end": e, "theme_title": digest[:8], "characteristics": [digest[8:12]], "core_meaning": digest[12:]} for s, e in spans if s <= e]})
+
+
+def segment_build_resume(spark: SparkSession, d: str) -> DataFrame:
+    """The whole segment build over conversations as chapters: prompts, a segmenter's replies in parts that are kept and gone on
+    with, first with twenty calls for each of two parts, then without a limit; then the passages of all chapters."""
+    talks = spark.read.parquet(f"{d}/conversations.parquet").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    verses = talks.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("C").alias("book_en"), F.lit("씨").alias("book_ko"), F.lit("OT").alias("testament"), F.lit("g").alias("genre"),
+        F.col("conv_id").alias("chapter"), (F.col("turn") + 1).cast("int").alias("verse"), F.md5(F.coalesce("text", F.lit(""))).alias("ko"),
+    )
+    path = f"{checkpoint_dir(spark)}/segments-{uuid.uuid4().hex}"
+    for lease in (M.Lease(20, lanes=4), None):
+        done = pipelines.build_segments(spark, path, verses, split_in_two, lease=lease, steps=2)
+    rows = pipelines.build_passages(verses, pipelines.replies(spark, path))
+    return rows.select("id", "range_label", F.array_join("verse_keys", ",").alias("verse_keys"), "theme_title", F.array_join("characteristics", ",").alias("characteristics"), "core_meaning", F.lit(done.left).cast("long").alias("n_left"))
+
+
 def _intervals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     lines = spark.read.parquet(f"{d}/lineitem.parquet")
     start = (F.col("l_partkey") % 45 - 2).cast("int")
@@ -48,15 +85,15 @@ def segment_records(spark: SparkSession, d: str) -> DataFrame:
 def hydrate_segments(spark: SparkSession, d: str) -> DataFrame:
     """Segments of two turns too many, so that keys are missing at the end of each conversation."""
     talks = spark.read.parquet(f"{d}/conversations.parquet")
-    verses = talks.select(X.verse_key(F.lit("C"), F.col("conv_id"), F.col("turn") + 1).alias("key"), (F.col("turn") + 1).cast("int").alias("verse"), F.col("role").alias("ko"), F.md5("text").alias("en"))
+    verses = talks.select(F.lit("C").alias("book"), F.col("conv_id").alias("chapter"), (F.col("turn") + 1).cast("int").alias("verse"), F.col("role").alias("ko"), F.md5("text").alias("en"))
     ends = talks.groupBy("conv_id").agg((F.max("turn") + 3).cast("int").alias("e"))
-    segments = ends.select(X.segment_id(F.lit("C"), F.col("conv_id"), F.lit(1), F.col("e")).alias("id"), X.verse_keys(F.lit("C"), F.col("conv_id"), F.lit(1), F.col("e")).alias("verse_keys"))
+    segments = ends.select(X.segment_id(F.lit("C"), F.col("conv_id"), F.lit(1), F.col("e")).alias("id"), F.lit("C").alias("book"), F.col("conv_id").alias("chapter"), F.lit(1).alias("verse_start"), F.col("e").alias("verse_end"))
     rows = G.hydrated(segments, verses)
     shown = F.transform("verses", lambda v: F.concat_ws("|", v["verse"].cast("string"), v["ko"], v["en"]))
     return rows.select("id", F.array_join(shown, ";").alias("verses"))
 
 
-QUERIES = {f.__name__: f for f in (explode_paragraphs, normalize_intervals, segment_records, hydrate_segments)}
+QUERIES = {f.__name__: f for f in (explode_paragraphs, segment_build_resume, normalize_intervals, segment_records, hydrate_segments)}
 
 _FOLD = f"""
 lines AS (
@@ -74,13 +111,39 @@ lines AS (
 whole AS (SELECT ch, unnest(list_concat(parts, CASE WHEN cur <= {N} THEN [{{'s': cur, 'e': {N}::INT, 'filler': true}}] ELSE [] END)) AS p FROM last),
 segments AS (SELECT ch, p.s AS verse_start, p.e AS verse_end, p.filler AS filler FROM whole)"""
 
-_PARAGRAPH_ROWS = " UNION ALL ".join(
-    f"SELECT 'B' AS book, {c}::INT AS chapter, {p}::INT AS pos, {s}::INT AS verse_start, {e}::INT AS verse_end, '{t}' AS theme_title, '{x}' AS characteristics, '{m}' AS core_meaning"
-    for c, p, s, e, t, x, m in ((1, 0, 1, 4, "Start", "a,b", "m"), (1, 1, 5, 9, "단락", "", ""), (2, 0, 1, 3, "t", "x", "y"), (3, 0, 1, 7, "B 3장", "", ""), (4, 0, 1, 6, "B 4장", "", ""), (5, 0, 2, 2, "only", "", ""))
-)
+_REPLIES = r"""
+talks AS (
+  SELECT conv_id, count(*)::INT AS n, arg_min(role, (turn, role)) AS role, md5(coalesce(min(text), '')) AS m FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id
+), halves AS (SELECT *, (n + 1) // 2 AS half FROM talks), heads AS (
+  SELECT *, '{"paragraphs": [{"verse_start": 1, "verse_end": ' || half || ', "theme_title": "\t' || role || ' ", "characteristics": ["' || substr(m, 1, 4) || '", "\t", " b "], "core_meaning": " ' || m || ' "}' AS head,
+         ', {"verse_start": "' || half || '", "verse_end": ' || n || '.7, "theme_title": ""}, {"verse_start": "q", "verse_end": 4}, {"verse_end": 5, "theme_title": "no start"}]}' AS tail FROM halves
+), replies AS (
+  SELECT conv_id, n, CASE conv_id % 5 WHEN 0 THEN '```json' || chr(10) || head || tail || chr(10) || '```' WHEN 1 THEN head || tail WHEN 2 THEN 'sorry, ' || role
+         WHEN 3 THEN '{"paragraphs": []}' ELSE '```' || chr(10) || head || ']}' || chr(10) || '```' END AS reply FROM heads
+), stripped AS (SELECT conv_id, n, trim(regexp_replace(regexp_replace(reply, '^```(json)?\s*', ''), '\s*```$', '')) AS reply FROM replies),
+parsed AS (SELECT conv_id, n, CASE WHEN json_valid(reply) THEN from_json(json_extract(reply, '$.paragraphs'), '["JSON"]') END AS p FROM stripped),
+spans AS (
+  SELECT conv_id AS chapter, n, (i - 1)::INT AS pos, p[i] AS x FROM (SELECT * FROM parsed WHERE len(p) > 0), unnest(range(1, len(p) + 1)) AS t(i)
+), numbers AS (
+  SELECT *, TRY_CAST(regexp_extract(x->>'verse_start', '^([+-]?\d+)(\.\d+)?$', 1) AS INT) AS s, TRY_CAST(regexp_extract(x->>'verse_end', '^([+-]?\d+)(\.\d+)?$', 1) AS INT) AS e FROM spans
+)"""
 
 SQL = {
-    "explode_paragraphs": _PARAGRAPH_ROWS,
+    "explode_paragraphs": rf"""WITH {_REPLIES}
+SELECT 'B' AS book, chapter, pos, greatest(s, 1)::INT AS verse_start, least(e, n)::INT AS verse_end, coalesce(nullif(trim(x->>'theme_title', ' ' || chr(9)), ''), '단락') AS theme_title,
+       coalesce(array_to_string(list_filter(list_transform(from_json(x->'characteristics', '["VARCHAR"]'), lambda c: trim(c, ' ' || chr(9))), lambda c: c <> ''), ','), '') AS characteristics,
+       coalesce(trim(x->>'core_meaning'), '') AS core_meaning FROM numbers WHERE s IS NOT NULL AND e IS NOT NULL AND greatest(s, 1) <= least(e, n)
+UNION ALL SELECT 'B', conv_id, 0::INT, 1::INT, n, 'B ' || conv_id || '장', '', '' FROM parsed WHERE coalesce(len(p), 0) = 0""",
+    "segment_build_resume": """
+WITH chapters AS (
+  SELECT conv_id AS c, count(*)::INT AS n, md5(string_agg((turn + 1) || ': ' || md5(coalesce(text, '')), chr(10) ORDER BY turn)) AS m FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id
+), spans AS (
+  SELECT c, m, true AS whole, 1::INT AS s, n AS e FROM chapters WHERE m < '4'
+  UNION ALL SELECT c, m, false, 1::INT, ((n + 1) // 2)::INT FROM chapters WHERE m >= '4' UNION ALL SELECT c, m, false, ((n + 1) // 2 + 1)::INT, n FROM chapters WHERE m >= '4' AND n > 1
+)
+SELECT 'C:' || c || ':' || s || '-' || e AS id, '씨 ' || c || ':' || s || CASE WHEN s = e THEN '' ELSE '-' || e END AS range_label, array_to_string(list_transform(range(s, e + 1), lambda v: 'C:' || c || ':' || v), ',') AS verse_keys,
+       CASE WHEN whole THEN 'C ' || c || '장' ELSE substr(m, 1, 8) END AS theme_title, CASE WHEN whole THEN '' ELSE substr(m, 9, 4) END AS characteristics, CASE WHEN whole THEN '' ELSE substr(m, 13) END AS core_meaning, 0::BIGINT AS n_left
+FROM spans""",
     "normalize_intervals": f"WITH RECURSIVE {_FOLD} SELECT ch, verse_start, verse_end, filler FROM segments",
     "segment_records": f"""WITH RECURSIVE {_FOLD}
 SELECT 'O:' || ch || ':' || verse_start || '-' || verse_end AS id, 'O ' || ch || ':' || verse_start || CASE WHEN verse_start = verse_end THEN '' ELSE '-' || verse_end END AS range_label,

@@ -99,13 +99,38 @@ def rls_user_view(spark: SparkSession, d: str) -> DataFrame:
     return U.user_view(_used(spark, d), F.lit("7")).select("user_id", "passage_id")
 
 
+def _requests(spark: SparkSession, d: str, op: str) -> DataFrame:
+    """What each user's session sends on a day is a statement; some of its rows name the next user."""
+    k = (F.from_json("props", "k INT")["k"] % 12).cast("string")
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    target = F.when(F.col("event_id") % 23 == 0, F.col("user_id") + 1).otherwise(F.col("user_id"))
+    day = F.date_format("ts", "yyyyMMdd")
+    return rows.select(
+        F.concat_ws("-", F.col("user_id").cast("string"), day).alias("request_id"), F.col("user_id").cast("string").alias("session_user"),
+        F.lit(op).alias("op"), target.cast("string").alias("user_id"), k.alias("passage_id"), F.col("ts").alias("used_at"),
+    )
+
+
+def policy_inserts(spark: SparkSession, d: str) -> DataFrame:
+    """State of half the log, and every session's statements: those that name another user change nothing."""
+    return _shown(U.apply_inserts(_even_odd(spark, d)[0], _requests(spark, d, "insert")))
+
+
+def policy_deletes(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(U.apply_deletes(_used(spark, d), _requests(spark, d, "delete").where(F.col("passage_id").cast("int") < 6)))
+
+
+def policy_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return U.verdicts(_requests(spark, d, "insert"))
+
+
 def input_caps(spark: SparkSession, d: str) -> DataFrame:
     """Status of each document as a query and of each user's ids as a request."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     q = F.length(X.trim_all(F.col("text")))
     queries = docs.select(F.lit("query").alias("kind"), F.when(q == 0, "empty").when(q > X.MAX_QUERY, "too_long").otherwise("ok").alias("status"))
-    users = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.collect_list("event_id").alias("ids"))
-    sizes = users.select(F.lit("ids").alias("kind"), U.request_status(F.flatten(F.array_repeat("ids", 150))).alias("status"))
+    users = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg((F.count("*") * 150).alias("n"))
+    sizes = users.select(F.lit("ids").alias("kind"), U.count_status(F.col("n")).alias("status"))
     return queries.unionByName(sizes).groupBy("kind", "status").agg(F.count("*").alias("n"))
 
 
@@ -119,7 +144,7 @@ def labels_of_ui(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     available_passages, valid_used_ids, random_pick_seeded, reset_on_exhaustion, user_cascade, toggle_upsert, toggle_delete, bulk_insert_ignore, replay_state, local_set_ops,
-    rls_user_view, input_caps, labels_of_ui,
+    rls_user_view, input_caps, labels_of_ui, policy_inserts, policy_deletes, policy_verdicts,
 )}
 
 _LOG = """
@@ -139,15 +164,29 @@ marks AS (SELECT user_id, passage_id, min(ts) AS used_at FROM log WHERE event_id
 _AT = "strftime(used_at, '%Y-%m-%d %H:%M:%S') AS used_at"
 _PICKED = f"""{_USED},
 users AS (SELECT c_custkey::VARCHAR AS user_id, count(DISTINCT passage_id) AS n_used FROM customer LEFT JOIN used ON user_id = c_custkey::VARCHAR GROUP BY c_custkey),
+numbered AS (SELECT passage_id, row_number() OVER (ORDER BY passage_id) - 1 AS place FROM (SELECT DISTINCT passage_id FROM catalogue WHERE passage_id IS NOT NULL)),
 open_rows AS (
-  SELECT u.user_id, n_used, c.passage_id, s.passage_id IS NOT NULL AS seen FROM users u CROSS JOIN catalogue c LEFT JOIN used s ON s.user_id = u.user_id AND s.passage_id = c.passage_id
+  SELECT u.user_id, n_used, c.passage_id, c.place, s.passage_id IS NOT NULL AS seen FROM users u CROSS JOIN numbered c LEFT JOIN used s ON s.user_id = u.user_id AND s.passage_id = c.passage_id
 ), flagged AS (SELECT *, bool_and(seen) OVER (PARTITION BY user_id) AS was_reset FROM open_rows),
-picked AS (
-  SELECT user_id, passage_id, (SELECT count(*) FROM catalogue) AS total_passages, CASE WHEN was_reset THEN 0 ELSE n_used END AS used_count, was_reset FROM flagged
-  WHERE was_reset OR NOT seen QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5('{SEED}|' || user_id || '|' || passage_id), passage_id) = 1
+offered AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place) - 1 AS nth, count(*) OVER (PARTITION BY user_id) AS n_left FROM flagged WHERE was_reset OR NOT seen
+), picked AS (
+  SELECT user_id, passage_id, (SELECT count(*) FROM numbered) AS total_passages, CASE WHEN was_reset THEN 0 ELSE n_used END AS used_count, was_reset FROM offered
+  WHERE nth = ('0x' || substr(md5('{SEED}|' || user_id), 1, 15))::BIGINT % n_left
 )"""
 
+_REQUESTS = """
+requests AS (
+  SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS request_id, user_id::VARCHAR AS session_user, (CASE WHEN event_id % 23 = 0 THEN user_id + 1 ELSE user_id END)::VARCHAR AS user_id,
+         ((props::JSON->>'k')::INT % 12)::VARCHAR AS passage_id, ts AS used_at FROM events
+), judged AS (SELECT *, bool_or(user_id <> session_user) OVER (PARTITION BY request_id) AS refused FROM requests)"""
+
 SQL = {
+    "policy_inserts": f"""WITH {_HALVES}, {_REQUESTS}, fresh AS (SELECT user_id, passage_id, min(used_at) AS used_at FROM judged WHERE NOT refused GROUP BY user_id, passage_id)
+SELECT user_id, passage_id, {_AT} FROM (SELECT * FROM used UNION ALL SELECT * FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.user_id = f.user_id AND u.passage_id = f.passage_id))""",
+    "policy_deletes": f"""WITH {_USED}, {_REQUESTS} SELECT user_id, passage_id, {_AT} FROM used u
+WHERE NOT EXISTS (SELECT 1 FROM requests r WHERE r.user_id = r.session_user AND r.passage_id::INT < 6 AND r.user_id = u.user_id AND r.passage_id = u.passage_id)""",
+    "policy_verdicts": f"WITH {_REQUESTS} SELECT request_id, count(*) AS n_rows, count(*) FILTER (user_id <> session_user) AS n_foreign, any_value(refused) AS refused FROM judged GROUP BY request_id",
     "available_passages": f"WITH {_USED} SELECT u.user_id, c.passage_id FROM (SELECT c_custkey::VARCHAR AS user_id FROM customer) u CROSS JOIN catalogue c ANTI JOIN used s ON s.user_id = u.user_id AND s.passage_id = c.passage_id",
     "valid_used_ids": f"WITH {_USED} SELECT DISTINCT user_id, passage_id FROM used WHERE passage_id IN (SELECT passage_id FROM catalogue)",
     "random_pick_seeded": f"WITH {_PICKED} SELECT *, used_count || '/' || total_passages AS progress, false AS is_used FROM picked",

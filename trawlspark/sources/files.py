@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import vectors as V
+from ..functions import text as X, vectors as V
 from ..workers import map_arrow
 
 HEADER = "<IIdd"
@@ -23,7 +23,7 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value) of the lines that aren't blank; line numbers grow with the place in the file."""
     lines = spark.read.text(path, wholetext=False)
     place = F.struct(F.input_file_name(), F.monotonically_increasing_id())
-    return lines.select(place.alias("line_no"), F.trim("value").alias("value")).where("value <> ''")
+    return lines.select(place.alias("line_no"), X.trim_all(F.col("value")).alias("value")).where("value <> ''")
 
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:

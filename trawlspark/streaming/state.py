@@ -1,55 +1,19 @@
-"""The toggle log as a stream: each micro-batch is merged into a new version of the state."""
+"""The toggle log as a stream: each micro-batch is merged into the placed table, slice by slice."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.placed import merge
 
-class VersionedTable:
-    """Parquet versions ``v0, v1, ...`` under a folder; a reader takes the last one that is complete."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        found = [f.getPath() for f in fs.listStatus(path)]
-        whole = [p for p in found if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName()[1:]) for p in whole)
-
-    def read(self) -> DataFrame | None:
-        versions = self._versions()
-        return self.spark.read.parquet(f"{self.folder}/v{versions[-1]}") if versions else None
-
-    def write(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
-
-
-KEY = ["user_id", "passage_id"]
-
-
-def last_toggles(log: DataFrame) -> DataFrame:
-    last = F.max_by(F.struct("used", "ts", "event_id"), F.struct("ts", "event_id")).alias("last")
-    return log.groupBy(*KEY).agg(last).select(*KEY, "last.used", "last.ts", "last.event_id")
-
-
-def replay_stream(log: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Keep the last toggle of each (user_id, passage_id) of a streamed log; all that is there now is read, then it ends.
-
-    The version's number is the batch's, so a batch that is repeated after a failure writes the same version again.
+def replay_stream(log: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
+    """Keep the last toggle of each (user_id, passage_id) of a streamed log in the table ``name`` (``placed.create``); all that is
+    there now is read, then it ends. A batch that is repeated after a failure merges the same toggles, which changes nothing.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        versions = [v for v in table._versions() if v < number + 1]
-        new = last_toggles(batch)
-        if versions:
-            before = table.spark.read.parquet(f"{table.folder}/v{versions[-1]}")
-            new = last_toggles(before.select(*KEY, "used", "ts", "event_id").unionByName(new))
-        table.write(new, number + 1)
+    def one(batch: DataFrame, _: int) -> None:
+        merge(batch.sparkSession, name, batch)
 
-    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return log.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
