@@ -15,7 +15,7 @@ from .tokens import WordEncoder
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Buckets of ranks of the index of pairs; bytes of text whose words are looked up together; bytes of words remembered.
-BUCKETS, STRETCH, HELD = 96, 6 << 20, 64 << 20
+BUCKETS, STRETCH, HELD = 96, 2 << 20, 40 << 20
 
 
 def character_classes() -> np.ndarray:
