@@ -23,7 +23,7 @@ def test_query_agrees_with_sql(spark, name):
 
     found = queries.QUERIES[name](spark, SF)
     con = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "embeddings", "sale_lines"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     wanted = con.execute(queries.SQL[name])
     columns = [c[0] for c in wanted.description]

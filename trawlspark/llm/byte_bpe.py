@@ -274,13 +274,13 @@ def encode(docs: DataFrame, path: str, pattern: str = PATTERN, columns: Iterable
         words = encoder(path, pattern)
         for batch in batches:
             at = 0
-            for ids, ends in words.column(batch.column("text").fill_null("")):
+            for ids, ends in words.column(batch.column("_text").fill_null("")):
                 n = len(ends) - 1
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends * 4), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
                 part, at = batch.slice(at, n), at + n
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(np.diff(ends), pa.int64()), raw], names=[*kept, "n_tokens", "ids"])
 
-    return map_arrow(docs.select(*kept, "text"), run, schema)
+    return map_arrow(docs.select(*kept, F.col("text").alias("_text")), run, schema)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
