@@ -16,6 +16,7 @@ from trawlspark.llm import divergence, exact_dedup, html_text, mixing, near_dedu
 from trawlspark.llm.components import connected_components, roots
 
 from ..conftest import rows
+from .layouts import LAYOUTS
 from .pages import PAGES
 
 WORD_BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -579,6 +580,11 @@ def test_pages_written_by_hand(spark):
     assert [found[i] for i in range(len(PAGES))] == [(t, len(t)) for _, t in PAGES]
 
 
+def test_articles_stay_under_any_wrapper():
+    found = html_text.main_texts([h for _, h, _ in LAYOUTS], html_text.trained())
+    assert [(n, f) for (n, _, _), f in zip(LAYOUTS, found, strict=True)] == [(n, t) for n, _, t in LAYOUTS]
+
+
 def test_nothing_inside_an_article_is_silent():
     page = "<article><p>Let <math><mi>x</mi></math>, press <button>5</button>, <object>see</object> <svg><text>map</text></svg>.</p><noscript><p>No script</p></noscript><select><option>One<option>Two</select></article>"
     assert [t for t in html_text.Page(page).text if t] == ["Let x, press 5, see map.", "No script", "One", "Two"]

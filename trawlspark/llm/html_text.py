@@ -233,7 +233,24 @@ def _features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         before[b], after[a] = s_chars[a], s_chars[b]
     text_before = np.concatenate([[0], np.cumsum(chars)])[np.arange(n)]
     text_before = (text_before - text_before[base]) / page_chars
-    columns = [run, *((group == g) for g in range(GROUPS)), *((own >> k & 1) for k in range(len(TOKENS))), *((above >> k & 1) for k in range(len(TOKENS)))]
+    flagged = ~run & ((own & 0b11111110 > 0) | (group < 5))
+    heads, articles = below((group == 9) & ~run), below((group == 5) & ~run)
+    share = s_chars / page_chars
+    # the nearest flagged element that holds a node, itself included, and the smallest one's share of the page
+    near, flags, least = [-1] * n, [0] * n, [2.0] * n
+    for v, (up, f, x) in enumerate(zip(parent.tolist(), flagged.tolist(), share.tolist(), strict=True)):
+        if up != v:
+            near[v], flags[v], least[v] = near[up], flags[up], least[up]
+        if f:
+            near[v], flags[v], least[v] = v, flags[v] + 1, min(least[v], x)
+    held = np.array(near)
+    some, at = held >= 0, np.maximum(held, 0)
+    holder = lambda x, none: np.where(some, x[at], none)
+    around = [
+        holder(share, 2.0), np.array(least), np.array(flags), holder(depth, -1), depth - holder(depth, -1), holder(heads, -1), holder(articles, -1), holder(np.log1p(s_paragraphs), -1),
+        holder(s_linked / np.maximum(s_chars, 1), 2.0), holder(s_tags, -1), holder(below(flagged), -1), s_chars / np.maximum(holder(s_chars, page_chars), 1),
+    ]
+    columns = [*around, run, *((group == g) for g in range(GROUPS)), *((own >> k & 1) for k in range(len(TOKENS))), *((above >> k & 1) for k in range(len(TOKENS)))]
     columns += [above >> (8 + g) & 1 for g in range(17)]
     parts = above | own | np.where(group < 17, 1 << (8 + group), 0)
     columns += [parts & 0b11111 << 8 > 0, parts & 0b11111110 > 0, parts & (0b11111 << 8 | 0b11111110) > 0]
@@ -248,7 +265,7 @@ def _features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 class Trees:
     """Gradient-boosted trees of one depth for the log odds of a yes, over features in quantile bins."""
 
-    def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 24, least: float = 4.0):
+    def __init__(self, rounds: int = 70, depth: int = 4, rate: float = 0.25, bins: int = 24, least: float = 4.0):
         self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
@@ -417,11 +434,35 @@ class _Maker:
             parts.append(self.block() if r.random() < 0.93 else self.junk(r.choice(("ad", "ad", "share", "notice", "sidebar", "form"))))
         return "".join(parts)
 
+    def flagged_wrap(self, body: str) -> str:
+        """A box round the page, or most of it, that says what the page has, not what the box is; or a form round it."""
+        r = self.r
+        if r.random() < 0.35:
+            return f'<form {r.choice(("id=aspnetForm", "name=f1 method=post", "class=page-form", "id=form1", ""))} action="/x"><div><input type=hidden name=v></div>{body}</form>'
+        word = r.choice(sorted(w for known in TOKENS[1:] for w in known))
+        extra = r.choice(("open", "enabled", "free", "left", "right", "layout", "active", "on", "page", "closed", "visible", "wide", "fixed", "1", "default", "style"))
+        name = r.choice((f"has-{word}", f"no-{word}", f"with-{word}", f"{word}-{extra}", f"{word}-{extra}", f"main-{word}-{extra}", f"page-{word}-{extra}", f"{word}_{extra}", f"is-{word}", word))
+        other = r.choice(("layout", "page", "post", "story", "wrap", "site", "body", "", "", "container"))
+        names = f"{other} {name}" if r.random() < 0.5 else f"{name} {other}"
+        return f"<{r.choice(('div', 'div', 'div', 'section', 'main', 'article'))} {r.choice(('class', 'class', 'id'))}=\"{names.strip()}\">{body}</div>"
+
+    def linked_article(self) -> str:
+        """An article of links, or of a list, with a heading."""
+        r = self.r
+        link = lambda low, high: f'<a href="/{self.words(1, 1)[:4]}">@{self.words(low, high)}</a>'
+        title = f"<h1>@{self.words(2, 9)}</h1>"
+        if r.random() < 0.55:
+            return title + "".join(f"<p>{link(6, 40)}</p>" for _ in range(r.randint(2, 10)))
+        items = "".join(f"<li>{r.choice((self.prose(3, 25), link(5, 20), self.prose(5, 40)))}</li>" for _ in range(r.randint(3, 12)))
+        return title + r.choice(("", f"<p>{self.prose(3, 20)}</p>")) + r.choice(("<ul>{}</ul>", "<ol>{}</ol>")).format(items)
+
     def page(self) -> str:
         r = self.r
         first, last = r.choice(_ALPHABETS)
         self.letters = "".join(chr(r.randint(ord(first), ord(last))) for _ in range(24))
-        body = self.article()
+        body = self.linked_article() if r.random() < 0.1 else self.article()
+        if r.random() < 0.08:
+            body = self.flagged_wrap(body)
         tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td", ""))
         if tag:
             body = self.wrap(tag, ("content", "post", "entry-content", "article-body", "story", "main", "post-body") if r.random() < 0.7 else (), body)
@@ -429,17 +470,28 @@ class _Maker:
         front = [self.junk(k) for k, often in (("header", 0.5), ("nav", 0.7), ("notice", 0.35), ("ad", 0.5), ("share", 0.3), ("form", 0.15)) if r.random() < often]
         back = [self.junk(k) for k, often in (("comments", 0.4), ("sidebar", 0.4), ("ad", 0.4), ("form", 0.3), ("share", 0.3), ("notice", 0.3), ("nav", 0.15), ("footer", 0.75)) if r.random() < often]
         r.shuffle(front)
+        if r.random() < 0.1:  # a table for layout
+            cell = lambda name, x: f"<td{r.choice((f' class={name}', f' id={name}', f' class={name}', ''))} width=100>{x}</td>"
+            bar = cell("header", r.choice((f"<b>{self.words(1, 4)}</b>", self.words(1, 5), f"<h1>{self.words(1, 4)}</h1>", f"<a href=/>{self.words(1, 3)}</a>")))
+            side = cell("menu", r.choice(("<br>", " ")).join(f"<a href={k}>{self.words(1, 3)}</a>" for k in range(r.randint(2, 7))))
+            body = f"<table width=100%><tr>{bar}</tr><tr>{r.choice((side, ''))}{cell('content', body)}{r.choice((side, '', ''))}</tr></table>"
         for _ in range(r.choice((0, 0, 0, 1, 1, 2, 3))):
             body = self.wrap("div", ("wrapper", "container", "page", "main", "layout", "row"), "".join(front) + body + "".join(back[:2]))
             front, back = [], back[2:]
+            if r.random() < 0.2:
+                body = self.flagged_wrap(body)
         if r.random() < 0.15:
             body = f"<main>{body}</main>"
+        if r.random() < 0.3:
+            body, front, back = self.flagged_wrap("".join(front) + body + "".join(back)), [], []
+            if r.random() < 0.3:
+                body = self.flagged_wrap(body)
         start = r.choice(("<!DOCTYPE html><html><head><title>t</title></head><body>", "<html><head><meta charset=utf-8><title>t</title><body>", "<title>t</title>", "<HTML><BODY>"))
         return f"{start}{''.join(front)}{body}{''.join(back)}" + r.choice(("</body></html>", "</body></html>", ""))
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 900, seed: int = 5) -> Trees:
+def trained(pages: int = 1100, seed: int = 5) -> Trees:
     """Trees learnt from made-up pages; the same for the same numbers."""
     maker = _Maker(seed)
     made = [Page(maker.page()) for _ in range(pages)]
