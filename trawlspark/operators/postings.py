@@ -22,50 +22,65 @@ from ..storage import checkpoint_dir
 from ..workers import map_arrow
 
 #: Characters and documents of a block at most (one document may be longer), and queries that are scored together.
-BLOCK_CHARS, BLOCK_DOCS, GROUP = 3 << 20, 1 << 16, 256
+BLOCK_CHARS, BLOCK_DOCS, GROUP = 3 << 19, 1 << 16, 256
 _INDEX = "block long, gram string, docs binary, words binary, ids binary, no_ids binary, vocabulary array<string>"
 _SHIFT = 21  # bits of a code point
 
 
 def _lists(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, where each one's values begin and end, and the distinct sorted values."""
-    both = np.unique(keys.astype(np.int64) << 32 | values)
+    both = np.sort(keys.astype(np.int64) << 32 | values)
+    both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
     keys = both >> 32
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
     return keys[starts], np.append(starts, len(keys)), (both & 0xFFFFFFFF).astype("<i4")
 
 
-def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The code points of texts put together, a space after each, and the number of the text of each."""
-    points = np.frombuffer((" ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    return points, np.repeat(np.arange(len(texts)), np.array([len(t) + 1 for t in texts]))
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
 
 
-_SPACES = [ord(c) for c in re.findall(f"[{X.SPACES}]", "".join(map(chr, range(0xD800))) + "\uFEFF")]
+_BLANK = np.zeros(0x110000, bool)
+_BLANK[[ord(c) for c in re.findall(f"[{X.SPACES}]", "".join(map(chr, range(0xD800))) + "\uFEFF")]] = True
+
+
+def _words(texts: list[str]):
+    """The words of texts as an Arrow array, and the number of the text of each."""
+    import pyarrow as pa
+
+    every = " ".join(texts) + " "
+    points = _points(every)
+    blank = _BLANK[points]
+    turns = np.flatnonzero(blank != np.append(True, blank[:-1]))  # a word's first character, and the blank after it
+    places = np.append(0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))[turns]
+    if not len(turns):
+        return pa.array([], pa.large_string()), np.zeros(0, np.int64)
+    runs = pa.LargeStringArray.from_buffers(len(turns) - 1, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(every.encode()))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return runs.take(pa.array(np.arange(0, len(runs), 2))), np.searchsorted(ends, turns[::2], "right")
 
 
 def _block(number: int, ids: list[int | None], texts: list[str]):
     """The rows of a block, as an Arrow batch."""
     import pyarrow as pa
 
-    points, owner = _points(texts)
-    blank = np.isin(points, _SPACES)
-    starts = np.flatnonzero(~blank & np.append(True, blank[:-1]))
-    stops = np.flatnonzero(blank & ~np.append(True, blank[:-1]))
-    every = "".join(t + " " for t in texts)
-    coded = pa.array([every[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], pa.string()).dictionary_encode()
+    found, owner = _words(texts)
+    coded = found.dictionary_encode()
     vocabulary = coded.dictionary.to_pylist()
-    _, word_ends, word_docs = _lists(coded.indices.to_numpy(), owner[starts]) if len(starts) else (None, np.zeros(1, np.int64), np.zeros(0, "<i4"))
+    _, word_ends, word_docs = _lists(coded.indices.to_numpy(), owner) if len(owner) else (None, np.zeros(1, np.int64), np.zeros(0, "<i4"))
     grams, gram_words, gram_ends = np.zeros(0, np.int64), np.zeros(0, "<i4"), np.zeros(1, np.int64)
     if vocabulary:
-        letters, of = _points(vocabulary)
-        inside = np.append(of[1:] == of[:-1], False) & (letters != ord(" ")) & (np.append(letters[1:], ord(" ")) != ord(" "))
-        at = np.flatnonzero(inside)
+        letters = _points(" ".join(vocabulary) + " ").astype(np.int64)
+        of = np.repeat(np.arange(len(vocabulary)), np.array([len(w) + 1 for w in vocabulary]))
         alone = np.flatnonzero(letters != ord(" "))
+        at = alone[letters[alone + 1] != ord(" ")]
         keys = np.concatenate([letters[alone], (letters[at] << _SHIFT) | letters[at + 1]])
-        distinct, keys = np.unique(keys, return_inverse=True)
-        numbers, gram_ends, gram_words = _lists(keys, np.concatenate([of[alone], of[at]]))
-        grams = distinct[numbers]
+        order = np.argsort(keys, kind="stable")
+        ranked = keys[order]
+        first = np.append(True, ranked[1:] != ranked[:-1])
+        grams, numbers = ranked[first], np.empty(len(keys), np.int64)
+        numbers[order] = np.cumsum(first) - 1
+        _, gram_ends, gram_words = _lists(numbers, np.concatenate([of[alone], of[at]]))
     names, docs, words = [], [], []
     for g, a, b in zip(grams.tolist(), gram_ends[:-1].tolist(), gram_ends[1:].tolist(), strict=True):
         held = gram_words[a:b]
@@ -114,64 +129,87 @@ def write_postings(docs: DataFrame, text: Column, path: str) -> None:
     postings(docs, text).write.parquet(path)
 
 
-def _wanted(queries: DataFrame) -> DataFrame:
+def _wanted(queries: DataFrame, groups: int) -> DataFrame:
     """(part, gram, query_id, token, weight) of ``queries`` (query_id, query): each token at the gram that it begins with.
 
-    Tokens of up to two characters are grams. ``part`` deals queries into groups of about ``GROUP``.
+    Tokens of up to two characters are grams. ``part`` deals queries into ``groups``.
     """
-    groups = max(1, -(-queries.count() // GROUP))
     tokens = X.query_tokens(queries)
     return tokens.select(F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("part"), F.substr("token", F.lit(1), F.lit(2)).alias("gram"), "query_id", "token", "weight")
 
 
 def _documents(token: str, rows: dict, words: np.ndarray, docs: np.ndarray, vocabulary: list[str]) -> np.ndarray:
     """Places of the documents of a token of three characters or more: those of the words that have its pairs and hold it."""
-    lists = sorted((rows[token[i : i + 2]][1] if token[i : i + 2] in rows else np.zeros(0, "<i4") for i in range(len(token) - 1)), key=len)
+    lists = [rows[token[i : i + 2]][1] for i in range(len(token) - 1) if token[i : i + 2] in rows]
+    if len(lists) < len(token) - 1:
+        return np.zeros(0, "<i4")
+    lists.sort(key=len)
     held = lists[0]
     for other in lists[1:]:
-        if len(held) < 16:
+        if len(held) < 32:
             break
-        held = held[np.isin(held, other, assume_unique=True)]
+        held = held[other[np.minimum(np.searchsorted(other, held), len(other) - 1)] == held]
     found = [docs[words[w] : words[w + 1]] for w in held.tolist() if token in vocabulary[w]]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, "<i4")
+    return np.concatenate(found) if found else np.zeros(0, "<i4")
 
 
-def _scored(rows: dict, asked: list[tuple[int, str, float]], block, k: int):
-    """(query_id, id, score) of the first ``k`` documents of a block for each query, as an Arrow batch.
+class _Best:
+    """The first ``k`` documents of each query so far, over blocks."""
 
-    Weights are halves, so single precision sums them exactly. Tokens are taken in slabs of a bounded matrix.
-    """
-    import pyarrow as pa
+    def __init__(self, k: int):
+        self.k, self.held = k, {}
+
+    def least(self, query: int) -> float:
+        """A score that a document must reach to be among them."""
+        scores = self.held[query][0] if query in self.held else ()
+        return scores[-1] if len(scores) == self.k else 0.0
+
+    def add(self, query: int, scores: np.ndarray, ids: np.ndarray, null: np.ndarray) -> None:
+        if query in self.held:
+            scores, ids, null = (np.concatenate(x) for x in zip(self.held[query], (scores, ids, null), strict=True))
+        order = np.lexsort((ids, ~null, -scores))[: self.k]  # null first, then by id
+        self.held[query] = scores[order], ids[order], null[order]
 
+    def batch(self):
+        import pyarrow as pa
+
+        scores, ids, null = (np.concatenate([x[n] for x in self.held.values()]) for n in range(3))
+        queries = np.repeat(list(self.held), [len(x[0]) for x in self.held.values()])
+        return pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(ids, pa.int64(), mask=null), pa.array(scores.astype(float))], names=["query_id", "id", "sparse_score"])
+
+
+def _score(rows: dict, asked: dict[str, list[tuple[int, float]]], block, best: _Best) -> None:
+    """Put the documents of a block among the best of each query, by ``asked``: (query, weight) for each token.
+
+    Weights are halves, so single precision sums them exactly. Tokens are taken in slabs of a bounded matrix. A query whose
+    tokens in the block can't reach its least score together is left out.
+    """
     words, docs, ids, null, vocabulary = block
-    queries = sorted({q for q, *_ in asked})
+    holders = {t: _documents(t, rows, words, docs, vocabulary) if len(t) > 2 else rows[t][0] for t in asked if len(t) > 2 or t in rows}
+    reach: dict[int, float] = {}
+    for token, held in holders.items():
+        if len(held):
+            for q, weight in asked[token]:
+                reach[q] = reach.get(q, 0.0) + weight
+    queries = sorted(q for q, most in reach.items() if most >= best.least(q))
     at = {q: n for n, q in enumerate(queries)}
-    tokens: dict[str, list[tuple[int, float]]] = {}
-    for q, token, weight in asked:
-        tokens.setdefault(token, []).append((at[q], weight))
     scores = np.zeros((len(queries), len(ids)), np.float32)
-    slab = max(1, (16 << 20) // max(len(ids), 1))
-    names = sorted(tokens)
+    names = [t for t, held in holders.items() if len(held)]
+    slab = max(1, (8 << 20) // max(len(ids), 1))
     for first in range(0, len(names), slab):
         some = names[first : first + slab]
         holds, weights = np.zeros((len(some), len(ids)), np.float32), np.zeros((len(queries), len(some)), np.float32)
         for n, token in enumerate(some):
-            if len(token) > 2:
-                holds[n, _documents(token, rows, words, docs, vocabulary)] = 1
-            elif token in rows:
-                holds[n, rows[token][0]] = 1
-            for q, weight in tokens[token]:
-                weights[q, n] += weight
+            holds[n, holders[token]] = 1
+            for q, weight in asked[token]:
+                if q in at:
+                    weights[at[q], n] = weight
         scores += weights @ holds
-    order = np.lexsort((ids, ~null))  # null first, then by id
-    out = []
-    for q, own in zip(queries, scores[:, order], strict=True):
-        few = np.flatnonzero(own >= np.partition(own, -k)[-k]) if len(own) > k else np.arange(len(own))
-        few = few[own[few] > 0]
-        few = few[np.argsort(-own[few], kind="stable")[:k]]
-        out.append((np.full(len(few), q), order[few], own[few].astype(float)))
-    q, d, s = (np.concatenate([x[n] for x in out]) for n in range(3))
-    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids[d], pa.int64(), mask=null[d]), pa.array(s)], names=["query_id", "id", "sparse_score"])
+    for q, own in zip(queries, scores, strict=True):
+        least = max(best.least(q), np.partition(own, -best.k)[-best.k] if len(own) > best.k else 0)
+        few = np.flatnonzero((own >= least) & (own > 0))
+        if len(few):
+            best.add(q, own[few], ids[few], null[few])
 
 
 def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -179,33 +217,45 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     the weights of the query's tokens that they hold; ties by id, null first. Documents without any have no row.
 
     Queries stay a table: their tokens meet the lists of their grams by a join, and what a group of queries needs of a block
-    is scored there, as one product of matrices. Each block hands on ``k`` rows for each query. One pass serves any number
-    of queries; the lists of a block are sent once to each group that needs them. A null query finds nothing.
+    is scored there, as one product of matrices. A task keeps the first ``k`` of each query over its blocks, leaves out
+    queries that a block can't serve any more, and hands on these. One pass serves any number of queries; the lists of a block
+    are sent once to each group that needs them. A null query finds nothing.
     """
-    wanted = _wanted(queries.select(F.col("query_id").cast("long").alias("query_id"), "query").where("query IS NOT NULL"))
+    groups = max(1, -(-queries.count() // GROUP))
+    wanted = _wanted(queries.select(F.col("query_id").cast("long").alias("query_id"), "query").where("query IS NOT NULL"), groups)
     asked = wanted.groupBy("part", "gram").agg(F.collect_list(F.struct("query_id", "token", "weight")).alias("asked"))
     lists = index.where("gram IS NOT NULL").select("block", "gram", "docs", "words")
     # all pairs of a longer token are tokens of its query, so their lists come along
     met = lists.join(asked, "gram").select("part", "block", "gram", "docs", "words", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("no_ids"), F.lit(None).cast("array<string>").alias("vocabulary"), "asked")
-    parts = asked.select("part").distinct().agg(F.collect_set("part").alias("parts"))  # one small number for each group
-    whole = index.where("gram IS NULL").join(F.broadcast(parts), how="cross").select(F.explode("parts").alias("part"), "block", "gram", "docs", "words", "ids", "no_ids", "vocabulary", F.lit(None).cast(met.schema["asked"].dataType).alias("asked"))
+    parts = F.sequence(F.lit(0), F.lit(groups - 1))
+    whole = index.where("gram IS NULL").select(F.explode(parts).alias("part"), "block", "gram", "docs", "words", "ids", "no_ids", "vocabulary", F.lit(None).cast(met.schema["asked"].dataType).alias("asked"))
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = met.unionByName(whole).repartition(n, "part", "block").sortWithinPartitions("part", "block", F.desc_nulls_last("gram"))
 
     def run(batches):
-        unit, rows, tokens = None, {}, []
+        unit, rows, tokens, best = (None, None), {}, {}, None
         for batch in batches:
             columns = [batch.column(c) for c in ("part", "block", "gram", "docs", "words", "ids", "no_ids", "vocabulary", "asked")]
             for r in range(batch.num_rows):
                 part, block, gram, docs, words, ids, no_ids, vocabulary, own = (c[r] for c in columns)
-                if (part.as_py(), block.as_py()) != unit:
-                    unit, rows, tokens = (part.as_py(), block.as_py()), {}, []
+                now = part.as_py(), block.as_py()
+                if now[0] != unit[0]:
+                    if best and best.held:
+                        yield best.batch()
+                    best, tokens = _Best(k), {}
+                if now != unit:
+                    unit, rows = now, {}
                 if (name := gram.as_py()) is not None:
                     rows[name] = np.frombuffer(docs.as_py(), "<i4"), np.frombuffer(words.as_py(), "<i4")
-                    tokens += [(x["query_id"], x["token"], x["weight"]) for x in own.as_py()]
-                elif tokens:  # the block's own row comes last
+                    if name not in tokens:  # the same for every block of the group
+                        tokens[name] = {}
+                        for x in own.as_py():
+                            tokens[name].setdefault(x["token"], []).append((x["query_id"], x["weight"]))
+                elif rows:  # the block's own row comes last
                     held = np.frombuffer(words.as_py(), "<i8"), np.frombuffer(docs.as_py(), "<i4"), np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(no_ids.as_py(), bool), vocabulary.as_py()
-                    yield _scored(rows, tokens, held, k)
+                    _score(rows, {t: q for name in rows for t, q in tokens[name].items()}, held, best)
+        if best and best.held:
+            yield best.batch()
 
     legs = map_arrow(units, run, "query_id long, id long, sparse_score double")
     order = W.partitionBy("query_id").orderBy(F.desc("sparse_score"), F.asc("id"))
@@ -213,8 +263,14 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def sparse_topk_batch(docs: DataFrame, queries: DataFrame, text: Column, k: int) -> DataFrame:
-    """``search`` of ``docs`` by an index that is written into the shared folder first."""
+    """``search`` of ``docs`` by an index that is written into the shared folder first.
+
+    A table that is read in fewer tasks than there are shuffle partitions is dealt out to these, so that a small one is
+    indexed by all cores; a larger one is indexed where it is read.
+    """
     spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.repartition(n) if docs.rdd.getNumPartitions() < n else docs
     path = f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}"
     write_postings(docs, text, path)
     return search(spark.read.parquet(path), queries, k)
