@@ -108,6 +108,35 @@ def test_link_forms(spark):
     assert found == [t for *_, t in forms if t for _ in range(2)]
 
 
+#: Ways to write a canonical link or a refresh, with a place for the url, and ways that are none.
+MARKUP = (
+    '<link rel="alternate canonical" href="{}">', "<LINK HREF='{}' REL='Canonical'/>", "<link rel=canonical href={}>", '<link title="a > b" rel="canonical" href="{}">', '<link data-href="/wrong" rel="canonical" href="{}">',
+    '<link title="x href=/wrong" rel=canonical href="{}">', '<!-- <link rel="canonical" href="/wrong"> --><link rel="canonical" href="{}">', '<script>"<link rel=canonical href=/wrong>"</script><link rel="canonical" href="{}">',
+    '<link rel="stylesheet" href="/wrong"><link rel="canonical" href=" {}\n">', '<link rel="canonical" href="{}"><link rel="canonical" href="/second">', '<meta http-equiv=refresh content="0;url={}">', "<meta content='5; {}' http-equiv='Refresh'>",
+    """<meta http-equiv="refresh" content="0, URL = '{}'">""", '<style>/* <base href="/wrong/"> */</style><meta name=x content="0;url=/wrong"><meta http-equiv="refresh" content="0 url={}">',
+)
+NO_LINKS = (
+    '<link rel="canonicals" href="/wrong">', '<link rel="canonical">', '<link rel="canonical" data-href="/wrong">', '<linked rel="canonical" href="/wrong">', '<meta http-equiv="refreshed" content="5; /wrong">', '<a rel="canonical" href="/wrong">',
+    '<meta http-equiv="refresh" content="url=/wrong">', '<meta http-equiv="refresh" content="5">', '<!-- <link rel="canonical" href="/wrong">', '<script><link rel="canonical" href="/wrong"></script >', '<textarea><link rel=canonical href=/wrong></textarea>',
+    '<link rel="canonical" href="/wrong',
+)
+
+
+def test_forms_of_markup(spark):
+    data = [(i, "http://x.com/a", m.format("/de/1?x=1")) for i, m in enumerate(MARKUP)] + [(100 + i, "http://x.com/a", m) for i, m in enumerate(NO_LINKS)]
+    found = [r["target"] for r in url_filters.links(spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1)).collect()]
+    assert found == ["https://x.com/de/1?x=1"] * len(MARKUP)
+    urls = [("x&#46;com", "x.com"), ("a b/c", "a b/c"), ("q?a=1&amp;b=2&lt=3&bogus;", "q?a=1&b=2&lt=3&bogus;"), ("&#x44f;&#0;&#xD800;&eacute;&sol;", "я��é/"), ("&amp;amp;&#38;&#47;46;", "&amp;&/46;")]
+    data = [(i, "http://x.com/", f'<link rel="canonical" href="/{u}">') for i, (u, _) in enumerate(urls)]
+    found = [r["target"] for r in url_filters.links(spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1)).collect()]
+    assert found == [f"https://x.com/{u}" for _, u in urls]
+
+
+def test_an_allow_wins_between_rules_of_one_length(spark):
+    for rules in ((("allow", "x.com", "/a"), ("block", "x.com", "/a")), (("block", "x.com", "/a"), ("allow", "x.com", "/a"))):
+        assert spark.range(1).select(url_filters.rule_of(F.lit("x.com"), F.lit("/ab"), rules)["verdict"]).first()[0] == "allow"
+
+
 def test_relative_links_carry_verdicts(spark):
     data = [
         (1, "http://a.net/x/y", '<meta http-equiv="refresh" content="0; url=../hub">'), (2, "http://x.com/de/1", '<link rel="canonical" href="http://a.net/hub">'),
@@ -117,7 +146,7 @@ def test_relative_links_carry_verdicts(spark):
     assert found == {1: "block", 2: "block", 3: "allow", 4: "block"}
 
 
-def brute_verdicts(pages):
+def brute_verdicts(pages, targets):
     """Links resolved by the standard library, components by union-find, rules one by one."""
     from urllib.parse import urljoin, urlsplit
 
@@ -140,10 +169,10 @@ def brute_verdicts(pages):
             x = parent[x]
         return x
 
-    for _, url, html in pages:
+    for i, url, html in pages:
         base = urljoin(url, m[1]) if (m := re.search('<base href="([^"]*)"', html or "")) else url
-        for m in re.finditer('<link rel="canonical" href="([^"]*)"|content="0; url=([^"]*)"', html or ""):
-            target = urljoin(base, (m[1] or m[2]).replace("&amp;", "&"))
+        for to in targets.get(i, ()):
+            target = urljoin(base, to.replace("&amp;", "&"))
             if "://" in target:
                 parent[find(resource(url))] = find(resource(target))
     decision = {}
@@ -169,15 +198,19 @@ def test_random_link_graphs(spark):
     queries_ = ["", "", "", "?id=1", "?u=http://x.com/de/1"]
     forms = ["1", "../1", "./2", "../../de/1", "q/3", "?id=1", "?id=1&amp;b=2", "/p/2", "/de/../fr/2", "//a.net/p/1", "//x.com/de/1", "mailto:a@b", "#x", "javascript:x()"]
     target = lambda: r.choice(sites) + r.choice(paths) + r.choice(queries_) if r.random() < 0.4 else r.choice(forms)
-    pages = []
+    pages, targets = [], {}
     for i in range(160):
         html = f'<base href="{r.choice(("/p/", "//c.io/p/", "q/", "http://a.net/de/"))}">' * (r.random() < 0.1)
-        html += f'<link rel="canonical" href="{target()}">' * (r.random() < 0.5) + f'<meta http-equiv="refresh" content="0; url={target()}">' * (r.random() < 0.3)
+        for kinds, often in ((MARKUP[:9], 0.5), (MARKUP[10:], 0.3)):
+            if r.random() < often:
+                to, form = target(), r.choice(kinds)
+                targets.setdefault(i, []).append(to)
+                html += r.choice(("", "", r.choice(NO_LINKS[:6]))) + form.format(to)
         pages.append((i, r.choice(sites) + r.choice(paths) + r.choice(queries_) + r.choice(("", "", "#f")), html or None))
     table = spark.createDataFrame(pages, "page_id long, url string, html string")
     found = url_filters.judge_urls(table.withColumn("node", F.lit(1)).withColumn("verdict", F.lit(2)))
     columns = ["page_id", "rule", "verdict", "via"]
-    assert rows(found.select(columns)) == sorted(brute_verdicts(pages), key=str)
+    assert rows(found.select(columns)) == sorted(brute_verdicts(pages, targets), key=str)
     assert {x["via"] for x in found.collect()} == {"rule", "alias", "default"}
     con = duckdb.connect()
     con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")

@@ -93,9 +93,6 @@ QUERIES = {
 }
 
 _PLACE = "^[A-Za-z][A-Za-z0-9+.-]*:"
-_LINKS = (
-    (r"""(?is)<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*>""", "href"), (r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b[^>]*>""", "url"), (r"(?is)<base\s[^>]*>", "href"),
-)
 
 
 def _rest_sql(url: str) -> str:
@@ -110,9 +107,45 @@ def _path_sql(url: str) -> str:
     return f"regexp_extract({_rest_sql(url)}, '^[^/?#]*([^?#]*)', 1)"
 
 
-def _named_sql(tag: str, attribute: str) -> str:
-    pattern = rf"""(?is)\b{attribute}\s*=\s*["'']?\s*([^"''\s>]+)"""
-    return f"replace(regexp_extract(regexp_extract(html, '{tag}', 0), '{pattern}', 1), '&amp;', '&')"
+def _tags_sql(name: str) -> str:
+    pattern = rf"""(?is)<{name}(?:[\s/](?:[^<>"'']+|"[^"]*"|''[^'']*''){{0,800}})?>"""
+    return f"SELECT row, url, node, '{name}' AS kind, t[i] AS tag, i FROM (SELECT *, regexp_extract_all(m, '{pattern}', 0) AS t FROM markup), unnest(range(1, len(t) + 1)) AS u(i)"
+
+
+def _value_sql(name: str) -> str:
+    """The attribute of a name: quotes off, character references read."""
+    raw = f"v[list_filter(range(1, len(n) + 1), lambda j: lower(n[j]) = '{name}')[1]]"
+    bare = f"""(CASE WHEN length({raw}) > 1 AND {raw}[1] IN ('"', '''') AND {raw}[-1] = {raw}[1] THEN {raw}[2:-2] ELSE {raw} END)"""
+    number = lambda digits: f"chr(CASE WHEN {digits} BETWEEN 1 AND 55295 OR {digits} BETWEEN 57344 AND 1114111 THEN {digits} ELSE 65533 END)"
+    rest, named = "regexp_replace(p, '^[^;]*;', '')", "known[regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)]"
+    decimal, hexadecimal = "TRY_CAST(regexp_extract(p, '^#([0-9]{1,7});', 1) AS INT)", "TRY_CAST('0x' || regexp_extract(p, '^#[xX]([0-9A-Fa-f]{1,6});', 1) AS INT)"
+    piece = f"""CASE WHEN i = 1 THEN p WHEN regexp_matches(p, '^#[0-9]{{1,7}};') THEN {number(decimal)} || {rest} WHEN regexp_matches(p, '^#[xX][0-9A-Fa-f]{{1,6}};') THEN {number(hexadecimal)} || {rest}
+      WHEN {named} IS NOT NULL THEN chr({named}) || {rest} ELSE '&' || p END"""
+    return f"array_to_string(list_transform(string_split({bare}, '&'), lambda p, i: {piece}), '')"
+
+
+def _links_sql() -> str:
+    """CTEs up to ``found`` (url, node, base, link)."""
+    unread = "(?is)<!--.*?(?:-->|$)|" + "|".join(rf"<{t}\b.*?(?:</{t}\s*>|$)" for t in ("script", "style", "textarea", "title", "xmp", "template"))
+    attribute = r"""([^\s=>"''/]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s>]*))?"""
+    clean = lambda x: rf"regexp_replace(regexp_replace({x}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '[\t\n\r]', '', 'g')"
+    known = ", ".join(f"'{name}': {code}" for name, code in url_filters.NAMED.items())
+    first = lambda x, kind: f"coalesce({clean(f"arg_min({x}, i) FILTER (kind = '{kind}' AND {x} IS NOT NULL)")}, '')"
+    return rf"""
+names AS (SELECT MAP {{{known}}} AS known),
+markup AS (SELECT row_number() OVER () AS row, url, node, regexp_replace(html, '{unread}', ' ', 'g') AS m FROM node WHERE html IS NOT NULL AND node IS NOT NULL),
+tags AS ({" UNION ALL ".join(map(_tags_sql, ("link", "meta", "base")))}),
+attributes AS (SELECT row, url, node, kind, i, regexp_extract_all(inside, '{attribute}', 1) AS n, regexp_extract_all(inside, '{attribute}', 2) AS v FROM (SELECT *, regexp_replace(tag, '^<[A-Za-z]+|>$', '', 'g') AS inside FROM tags)),
+valued AS (
+  SELECT row, url, node, kind, i, {_value_sql("rel")} AS rel, {_value_sql("href")} AS href, {_value_sql("http-equiv")} AS equiv, {_value_sql("content")} AS content FROM attributes, names
+), pointed AS (
+  SELECT *, CASE WHEN kind = 'meta' AND lower(trim(equiv)) = 'refresh' THEN regexp_extract(coalesce(content, ''), '(?is)^\s*[0-9.]+(?:\s*[;,]\s*|\s+)(?:url\s*=\s*)?(.*)$', 1) END AS rest,
+         CASE WHEN kind = 'link' AND list_contains(string_split_regex(lower(coalesce(rel, '')), '\s+'), 'canonical') THEN href WHEN kind = 'base' THEN href END AS named FROM valued
+), aimed AS (
+  SELECT *, CASE WHEN rest[1] = '"' THEN regexp_extract(rest, '(?s)^"([^"]*)', 1) WHEN rest[1] = '''' THEN regexp_extract(rest, '(?s)^''([^'']*)', 1) ELSE rest END AS later FROM pointed
+), firsts AS (
+  SELECT row, url, node, {first("named", "base")} AS base, {first("named", "link")} AS canonical, {first("later", "meta")} AS refresh FROM aimed GROUP BY row, url, node
+), found AS (SELECT url, node, base, unnest([canonical, refresh]) AS link FROM firsts)"""
 
 
 def _resolved_sql(name: str, source: str, to: str, against: str) -> str:
@@ -143,9 +176,7 @@ WITH RECURSIVE cut AS (SELECT page_id, url, html, {_host_sql("url")} AS host, {_
 ), rules(rule, verdict, rule_host, rule_path) AS (
   VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'), ('example.org/en/1', 'block', 'example.org', '/en/1'),
          ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')
-), {_resource_sql("node", "cut", "url")}, found AS (
-  SELECT url, node, {_named_sql(*_LINKS[2])} AS base, unnest([{_named_sql(*_LINKS[0])}, {_named_sql(*_LINKS[1])}]) AS link FROM node WHERE html IS NOT NULL AND node IS NOT NULL
-), linked AS (SELECT * FROM found WHERE link <> ''), {_resolved_sql("root", "linked", "base", "url")},
+), {_resource_sql("node", "cut", "url")}, {_links_sql()}, linked AS (SELECT * FROM found WHERE link <> ''), {_resolved_sql("root", "linked", "base", "url")},
 based AS (SELECT *, CASE WHEN base = '' THEN url ELSE coalesce(root, url) END AS seen_from FROM root), {_resolved_sql("meant", "based", "link", "seen_from")}, {_resource_sql("target", "meant", "meant")},
 links AS (SELECT node AS a, target AS b FROM target WHERE target IS NOT NULL UNION SELECT target, node FROM target WHERE target IS NOT NULL),
 reach(a, b) AS (SELECT a, a FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),

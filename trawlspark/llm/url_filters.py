@@ -7,6 +7,7 @@ rule of its own takes the decision that rules make for its component, allow befo
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,11 +26,15 @@ RULES = (
 )
 
 _SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?\s*canonical\b[^>]*>"""
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b[^>]*>"""
-_BASE = r"""(?is)<base\s[^>]*>"""
-_HREF = r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
-_URL = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)"""
+# What isn't markup of the page: comments, and elements whose content is text. One that is never closed goes to the end.
+_UNREAD = "(?is)<!--.*?(?:-->|$)|" + "|".join(rf"<{t}\b.*?(?:</{t}\s*>|$)" for t in ("script", "style", "textarea", "title", "xmp", "template"))
+#: A tag with its attributes, in which quotes are closed: some hundred quoted values at most, as the pattern must not nest deeper.
+_TAG = r"""(?is)<%s(?:[\s/](?:[^<>"']++|"[^"]*+"|'[^']*+'){0,800}+)?>"""
+_ATTRIBUTE = r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
+_REFRESH = r"(?is)^\s*[0-9.]+(?:\s*[;,]\s*|\s+)(?:url\s*=\s*)?(.*)$"
+
+#: Named references of the characters below U+0100, from the standard's table.
+NAMED = {name[:-1]: ord(c) for name, c in sorted(html5.items()) if name.endswith(";") and len(c) == 1 and ord(c) < 256}
 
 
 def _rest(url: Column) -> Column:
@@ -50,10 +55,10 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     """Struct (rule, verdict) of the longest rule that fits, null if none does.
 
     A rule fits its host and all subdomains if the path starts with the rule's. The rules are a policy of the caller's
-    and become one expression, so no join or broadcast is needed; of two rules with the same place the first wins.
+    and become one expression, so no join or broadcast is needed; of two rules of one length that fit an allow wins.
     """
     chosen = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, rule_host, rule_path in sorted(rules, key=lambda r: len(r[1] + r[2])) if rules else ():
+    for verdict, rule_host, rule_path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[0] == "allow")) if rules else ():
         fits = ((host == rule_host) | host.endswith(f".{rule_host}")) & path.startswith(rule_path)
         chosen = F.when(fits, F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(chosen)
     return chosen
@@ -94,21 +99,81 @@ def resolved(to: Column, url: Column) -> Column:
     )
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """(source, target) resources: the canonical link and the refresh target that a page's html names.
+def _character(code: Column) -> Column:
+    """The character of a code point; the replacement character for what is none."""
+    good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    digits = F.lpad(F.hex(F.when(good, code).otherwise(F.lit(0xFFFD))), 8, "0")
+    return F.decode(F.unhex(digits), "UTF-32")
 
-    A relative target is resolved against the page's url, or its ``base`` element if it has one.
-    """
-    def named(tag: str, attribute: str) -> Column:
-        return F.replace(F.regexp_extract(F.regexp_extract("html", tag, 0), attribute, 1), F.lit("&amp;"), F.lit("&"))
 
-    def once(value: Column, use: Callable[[Column], Column]) -> Column:
-        """``use(value)``, where ``value`` stands in the plan once however often it is used."""
-        return F.element_at(F.transform(F.array(value), use), 1)
+def unescaped(text: Column) -> Column:
+    """A text with its character references read: numbers, and the names of ``NAMED``, with their semicolon."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    decimal, hexadecimal, named = r"^#([0-9]{1,7});", r"^#[xX]([0-9A-Fa-f]{1,6});", r"^([A-Za-z][A-Za-z0-9]*);"
+
+    def piece(p: Column, at: Column) -> Column:
+        rest = F.regexp_replace(p, "^[^;]*;", "")
+        name = F.try_element_at(names, F.regexp_extract(p, named, 1))
+        return (
+            F.when(at == 0, p)
+            .when(p.rlike(decimal), F.concat(_character(F.regexp_extract(p, decimal, 1).try_cast("int")), rest))
+            .when(p.rlike(hexadecimal), F.concat(_character(F.conv(F.regexp_extract(p, hexadecimal, 1), 16, 10).try_cast("int")), rest))
+            .when(name.isNotNull(), F.concat(_character(name), rest))
+            .otherwise(F.concat(F.lit("&"), p))
+        )
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&", -1), piece), "")).otherwise(text)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where ``value`` stands in the plan once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _tags(html: Column, name: str) -> Column:
+    """The tags of a name, each as an array of attributes (name in small letters, value), in which quotes decide."""
+    def attributes(tag: Column) -> Column:
+        inside = F.regexp_replace(tag, r"^<[A-Za-z]+|>$", "")
+        pairs = F.zip_with(F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), 1), F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), 2), lambda n, v: F.struct(F.lower(n).alias("n"), v.alias("v")))
+        return pairs
+
+    return F.transform(F.regexp_extract_all(html, F.lit(_TAG % name), 0), attributes)
 
-    found = pages.where("html IS NOT NULL AND url IS NOT NULL").select("url", named(_BASE, _HREF).alias("base"), F.explode(F.array(named(_CANONICAL, _HREF), named(_REFRESH, _URL))).alias("to")).where("to <> ''")
-    base = F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(once(F.col("base"), lambda b: resolved(b, F.col("url"))), F.col("url")))
-    target = once(base, lambda b: once(F.col("to"), lambda t: once(resolved(t, b), resource)))
+
+def _value(tag: Column, name: str) -> Column:
+    """The first attribute of a name, without its quotes, references read; null if there is none."""
+    found = F.get(F.filter(tag, lambda a: a["n"] == name), F.lit(0))["v"]
+    return unescaped(F.regexp_replace(found, r"""(?s)^(["'])(.*)\1$""", "$2"))
+
+
+def _url_of(text: Column) -> Column:
+    """A url as an attribute holds it: blanks at the ends and line breaks inside don't count."""
+    return F.regexp_replace(F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+
+
+def _refresh(content: Column) -> Column:
+    """The url of a refresh, quoted or not, with or without ``url=``; empty where only a time is given."""
+    rest = F.regexp_extract(content, _REFRESH, 1)
+    quoted = F.regexp_extract(rest, r"""(?s)^(["'])(.*?)(?:\1|$)""", 2)
+    return F.when(rest.rlike("""^["']"""), quoted).otherwise(rest)
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """(source, target) resources: the canonical link and the refresh target that a page's html names first.
+
+    Comments, scripts, styles and other text that isn't markup are left out. Attributes are read by name, with quoted values
+    up to their quote; ``rel`` is a list of words. Character references are read (``unescaped``). A relative target is
+    resolved against the page's url, or its ``base`` element if it has one.
+    """
+    markup = pages.where("html IS NOT NULL AND url IS NOT NULL").select("url", F.regexp_replace("html", _UNREAD, " ").alias("m"))
+    first = lambda found: F.coalesce(_url_of(F.get(found, F.lit(0))), F.lit(""))
+    words = lambda t: F.split(F.lower(F.coalesce(_value(t, "rel"), F.lit(""))), r"\s+")
+    canonical = F.transform(F.filter(_tags(F.col("m"), "link"), lambda t: F.array_contains(words(t), "canonical") & F.exists(t, lambda a: a["n"] == "href")), lambda t: _value(t, "href"))
+    refresh = F.transform(F.filter(_tags(F.col("m"), "meta"), lambda t: F.lower(F.trim(_value(t, "http-equiv"))) == "refresh"), lambda t: _refresh(F.coalesce(_value(t, "content"), F.lit(""))))
+    base = F.transform(F.filter(_tags(F.col("m"), "base"), lambda t: F.exists(t, lambda a: a["n"] == "href")), lambda t: _value(t, "href"))
+    found = markup.select("url", first(base).alias("base"), F.explode(F.array(first(canonical), first(refresh))).alias("to")).where("to <> ''")
+    base = F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(_once(F.col("base"), lambda b: resolved(b, F.col("url"))), F.col("url")))
+    target = _once(base, lambda b: _once(F.col("to"), lambda t: _once(resolved(t, b), resource)))
     found = found.select(resource(F.col("url")).alias("source"), target.alias("target"))
     return found.where("source IS NOT NULL AND target IS NOT NULL")
 
