@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from trawlspark.operators import dense as D
 from trawlspark.plans import pipelines as P
 from trawlspark.sources import canon
@@ -48,6 +50,10 @@ def test_corpus_search_and_passages(spark, tmp_path):
     assert [(p["id"], p["range_label"], p["theme_title"]) for p in passages] == [
         ("Genesis:1:1-1", "창세기 1:1", "본문"), ("Genesis:1:2-3", "창세기 1:2-3", "t"), ("Psalms:1:1-1", "시편 1:1", "Psalms 1장"),
     ]
+    out = str(tmp_path / "passages")
+    P.write_passages(P.build_passages(verses, replies), out)
+    P.write_passages(P.build_passages(verses.where("book_en = 'Psalms'"), replies.limit(0)).withColumn("theme_title", F.lit("new")), out)
+    assert sorted((r["id"], r["theme_title"]) for r in spark.read.parquet(out).collect()) == [("Genesis:1:1-1", "본문"), ("Genesis:1:2-3", "t"), ("Psalms:1:1-1", "new")]
     assert P.segment_prompts(verses).where("book = 'Genesis'").first()["block"] == "1: 태초에 하나님이\n2: 땅이\n3: 빛이 있으라"
 
 

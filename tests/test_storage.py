@@ -23,3 +23,14 @@ def test_scratch_removes_what_is_cut_inside(spark, tmp_path):
     remove(spark, str(tmp_path / "out"))
     remove(spark, str(tmp_path / "out"))
     assert not (tmp_path / "out").exists()
+
+
+def test_scratch_of_another_thread(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(1) as other:
+        with scratch(spark):
+            before = folders(spark)
+            held = other.submit(lambda: cut(spark.range(7))).result()
+            assert len(folders(spark) - before) == 1
+        assert held.count() == 7

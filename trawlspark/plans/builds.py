@@ -42,10 +42,13 @@ def quantization_error(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sparse_map_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's words by share of its text, as an encoder's weights."""
-    words = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")).alias("w"))
-    counts = words.groupBy("doc_id", "w").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.collect_list(F.struct("w", "n")).alias("counts"), F.sum("n").alias("all"))
-    maps = counts.select("doc_id", F.map_from_entries(F.transform("counts", lambda c: F.struct(c["w"], c["n"] / F.col("all")))).alias("m"))
+    """Each document's words by share of its text, as an encoder's weights. A row is a document, ids are unique."""
+    found = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.filter(F.split("text", r"[ \n]+"), lambda w: w != "").alias("words"))
+    words = found.select("doc_id", F.size("words").alias("all"), F.explode("words").alias("w"))
+    counts = words.groupBy("doc_id", "all", "w").agg(F.count("*").alias("n"))
+    # a weight that counts is one of at most a hundred of a document
+    share = F.col("n") / F.col("all")
+    maps = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(share > 0.01, F.struct("w", share.alias("share"))))).alias("m"))
     reply = M.encoded_reply(F.array(F.lit(0.5), F.lit(0.25), F.lit(0.125)), F.col("m"), 2)
     kept = maps.select("doc_id", reply.alias("r"))
     total = F.aggregate(F.map_values("r.sparse"), F.lit(0.0), lambda s, x: s + x)

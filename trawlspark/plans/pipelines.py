@@ -112,3 +112,8 @@ def build_passages(verses: DataFrame, replies: DataFrame) -> DataFrame:
         "id", F.col("book").alias("book_en"), "book_ko", "chapter", "verse_start", "verse_end", label.alias("range_label"), "verse_keys", "testament", "genre",
         "theme_title", "characteristics", "core_meaning",
     )
+
+
+def write_passages(passages: DataFrame, path: str) -> None:
+    """The passage table by book; books that are built again are replaced, all others stay."""
+    files.write_versioned(passages, path, "book_en")

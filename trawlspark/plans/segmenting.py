@@ -59,7 +59,8 @@ def segment_build_resume(spark: SparkSession, d: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/segments-{uuid.uuid4().hex}"
     for lease in (M.Lease(20, lanes=4), None):
         done = pipelines.build_segments(spark, path, verses, split_in_two, lease=lease, steps=2)
-    rows = pipelines.build_passages(verses, pipelines.replies(spark, path))
+    pipelines.write_passages(pipelines.build_passages(verses, pipelines.replies(spark, path)), f"{path}-passages")
+    rows = spark.read.parquet(f"{path}-passages")
     return rows.select("id", "range_label", F.array_join("verse_keys", ",").alias("verse_keys"), "theme_title", F.array_join("characteristics", ",").alias("characteristics"), "core_meaning", F.lit(done.left).cast("long").alias("n_left"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,18 +23,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-#: Folders of checkpoints that open ``scratch`` blocks will remove, the innermost block last.
-_scratch: list[list[str]] = []
+#: Folders of checkpoints that the innermost open ``scratch`` block of this thread will remove.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder: lost executors cost no recomputation, lineage ends here."""
     checkpoint_dir(df.sparkSession)
     held = df.checkpoint(eager=True)
-    if _scratch:
+    folders = _scratch.get()
+    if folders is not None:
         file = held._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
         if file.isDefined():
-            _scratch[-1].append(file.get())
+            folders.append(file.get())
     return held
 
 
@@ -46,10 +48,12 @@ def remove(spark: SparkSession, folder: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is cut inside is removed at the end: for work whose result is written by then, as what is read lazily later
-    would miss its input."""
-    _scratch.append([])
+    would miss its input. What other threads cut meanwhile stays."""
+    folders: list[str] = []
+    before = _scratch.set(folders)
     try:
         yield
     finally:
-        for folder in _scratch.pop():
+        _scratch.reset(before)
+        for folder in folders:
             remove(spark, folder)
