@@ -850,3 +850,10 @@ def test_quality_odd_rows(spark):
 
 def test_isotonic():
     assert quality.isotonic(np.array([1.0, 0.0, 2.0]), np.array([1.0, 1.0, 1.0])).tolist() == [0.5, 0.5, 2.0]
+
+def test_near_duplicates_without_ids(spark):
+    """Rows without an id link like others; a component that has no id at all keeps all its rows."""
+    r = random.Random(21)
+    a, b = prose(r, 60), prose(r, 60)
+    table = spark.createDataFrame([(None, a), (None, a), (7, b), (None, b), (None, b + " more")], "doc_id long, text string")
+    assert rows(near_dedup.near_duplicates(table).select("doc_id", "component_id", "kept")) == sorted([(None, None, True)] * 2 + [(7, 7, True)] + [(None, 7, False)] * 2, key=str)

@@ -49,7 +49,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, m
     """One row per row of ``docs``: doc_id, source, size, source_size, target, epochs, part, taken.
 
     ``size`` is the number of words (null text: 0). The mix takes the document ``epochs`` whole times and ``part`` more
-    of its first words, ``taken`` words in all. Reads doc_id, text and source only. The key is a hash of the id, so
+    of its first words, ``taken`` words in all. Reads doc_id, text and source only, whatever other columns are called; words
+    are counted in whole texts of any length. The key is a hash of the id, so
     reruns agree; rows of one id are ordered by size, and equal ones can stand for each other. Null sources are one
     source. An empty table gives no rows, a source without words a target of 0.
     """

@@ -334,6 +334,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     (80 at least); component_id is the smallest doc_id that links reach, and a row with that id is kept. A text without
     words, or null, has an empty set and is linked with nothing; it is kept, also without a doc_id. Texts are read whole,
     whatever their length, and other columns are ignored. Repeated rows share a component, and all with its id are kept.
+    Rows without a doc_id take part: where their component has an id none of them is kept, where it has none all are.
     No rows give no rows.
     """
     if percent < PERCENT:

@@ -71,7 +71,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
     Reads doc_id, source and text. Null text is empty: its document is the end id alone. Null sources are one source.
     ``weights`` gives whole-number targets by source, 1 for those it doesn't name; left out, each source's number of tokens is its
     target, so that all queues end together. Queues are in order of a hash of the id; repeated rows are documents of
-    their own. No rows give no pieces. Other columns are ignored. The windows without a partition run over sources, one row
+    their own. No rows give no pieces. Other columns are ignored, whatever their names. Texts are read whole: one that is
+    longer than a window, or than many, is as many pieces. The windows without a partition run over sources, one row
     each, which are taken to be few enough for one task; documents and pieces are never in one.
     """
     import pyarrow as pa

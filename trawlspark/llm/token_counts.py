@@ -118,7 +118,8 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_tokens of the whole text under the pieces of ``model``.
 
     Reads doc_id and text. Words are runs of anything but ASCII white space, each with the mark of a space before it.
-    Null and empty texts count 0. Needs no shuffle; repeated rows repeat; an empty table gives no rows.
+    Null and empty texts count 0, texts of any length are counted whole, and a word of any length is one pre-token. Other
+    columns are ignored, whatever their names. Needs no shuffle; repeated rows repeat; an empty table gives no rows.
     """
     import pyarrow as pa
 

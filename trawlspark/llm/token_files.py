@@ -148,7 +148,8 @@ def _uri(folder: str) -> str:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, block: int = BLOCK, percentile: float = PERCENTILE, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the ids of all texts, in ascending order of doc_id, as files of about ``file_ids`` ids into ``folder``.
 
-    Reads doc_id and text. Null text is empty: its document has the end id alone. Null ids come first; rows of one id
+    Reads doc_id, a whole number as the files hold it in 64 bits, and text; other columns are ignored, whatever their names.
+    Null text is empty: its document has the end id alone. Null ids come first; rows of one id
     are ordered by their text. A document stays in one file, so a very long one makes a long file. Returns the files'
     table: file, part, number, docs, ids. An empty table gives no files. ``folder`` must be shared by all executors.
     """
