@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import Window as W
 
 from .shared import cut, numbered
 
@@ -98,9 +97,10 @@ def drop_exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     def key(doc_id: Column, sha: Column) -> Column:
         return F.concat(sha, F.coalesce(F.concat(F.lit(":"), doc_id.cast("string")), F.lit("")))
 
-    kept = _judged(docs, block).where("best.uid = uid").select(key(F.col("doc_id"), F.col("sha")).alias("_key"))
+    judged = _judged(docs, block).where("best.doc_id <=> doc_id").select(key(F.col("doc_id"), F.col("sha")).alias("_key"), (F.col("best.uid") == F.col("uid")).alias("kept"))
+    kept = judged.where("kept").select("_key")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     rows = rows.withColumn("_key", key(F.col("row.doc_id"), F.sha2(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"), 256)))
-    # the join sorts by the key, so counting the rows of a key needs neither another shuffle nor another sort
-    nth = F.row_number().over(W.partitionBy("_key").orderBy("_key"))
-    return rows.join(kept, "_key", "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
+    if not judged.where("NOT kept").isEmpty():  # rows that repeat a kept one: a task hands on one of a key, so no key is hot
+        rows = rows.groupBy("_key").agg(F.first("row").alias("row"))
+    return rows.join(kept, "_key", "left_semi").select("row.*")
