@@ -705,6 +705,40 @@ def test_blocks_of_one_list(spark, monkeypatch):
     assert found == brute_components(dict(enumerate(texts)))
 
 
+@pytest.mark.parametrize("split", [0, 1])
+def test_large_lists_are_split(spark, monkeypatch, split):
+    """Near but unlinked texts with one passage in common, in lists of many parts; some are near copies."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "SPLIT", split)
+    r = random.Random(11)
+    shared = prose(r, 60)
+    own = [f"{shared} {prose(r, 8 + k % 5)}" for k in range(50)]
+    texts = [*own, *(f"{t} more" for t in own[::7]), *near_copies(r, shared, 30, 6)]
+    found = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.near_duplicates(documents(spark, *texts)).collect()}
+    assert found == brute_components(dict(enumerate(texts)))
+
+
+def test_boilerplate_makes_rows_in_proportion(spark):
+    """A list of very many classes that agree in one coordinate only goes to few blocks, and no candidate pair is lost."""
+    n, matches = 60_000, near_dedup.MATCHES
+    r = np.random.default_rng(8)
+    signature = r.integers(0, 1 << 60, (n, near_dedup.COORDINATES))
+    signature[:, 2] = 7
+    twins = [(10, 50_000, (5, 9)), (20, 20_001, (29, 31)), (30, 40_000, (3, 30))]  # with the second and third collision
+    for a, b, at in twins:
+        signature[b, list(at)] = signature[a, list(at)]
+    import pandas as pd
+
+    classes = spark.createDataFrame(pd.DataFrame({"node": np.arange(n), "coordinates": list(signature)}), "node long, coordinates array<long>")
+    lists = classes.select(F.lit(7).cast("long").alias("term"), F.lit(3).cast("long").alias("at"), "node", F.col("node").alias("part"))
+    met = near_dedup._met(lists, classes)
+    assert met.count() <= (2 * near_dedup.SPLIT + 1) * n
+    places = met.where(F.col("node").isin([x for t in twins for x in t[:2]])).collect()
+    for a, b, at in twins:
+        shared = {(x["term"], x["at"]) for x in places if x["node"] == a} & {(x["term"], x["at"]) for x in places if x["node"] == b}
+        assert [near_dedup.coordinates_of(p) for _, p in shared].count([2, at[0]]) == 1 and len(at) + 1 == matches
+
+
 def test_candidates_against_a_plain_count():
     r = np.random.default_rng(3)
     signature = r.integers(0, 3, (40, near_dedup.COORDINATES))
@@ -712,7 +746,10 @@ def test_candidates_against_a_plain_count():
     bits = np.zeros((40, 2), np.uint64)
     bits[:5, 0] = (1 << 64) - 1
     side = (np.arange(40), r.integers(0, 6, 40), np.ones(40, bool), r.integers(80, 110, 40), bits, signature)
-    x, y, count = near_dedup.candidates(4, side, side, 80, 12)
+    x, y, count = near_dedup.candidates(5, side, side, 80, 12)
+    for second in (9, 12):
+        got = {(int(a), int(b)) for a, b, _ in zip(*near_dedup.candidates(5 * 64 + second + 1, side, side, 80, 12), strict=True)}
+        assert got == {(int(a), int(b)) for a, b in zip(x, y, strict=True) if np.flatnonzero(signature[a] == signature[b])[1] == second}
     wanted = set()
     for a in range(40):
         for b in range(a + 1, 40):
@@ -782,7 +819,9 @@ def test_repeated_rows_leave_one(spark):
     docs = documents(spark, "a", "a", "a", "b", "b", None, "", ids=[3, 3, 1, None, None, 4, 4])
     found = sorted((x["doc_id"] or -1, x["kept"]) for x in exact_dedup.exact_duplicates(docs).collect())
     assert found == [(-1, False), (-1, True), (1, False), (3, False), (3, True), (4, False), (4, True)]
-    assert sorted((x["doc_id"] or -1, x["text"] or "") for x in exact_dedup.drop_exact_duplicates(docs).collect()) == [(-1, "b"), (3, "a"), (4, "")]
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert sorted((x["doc_id"] or -1, x["text"] or "") for x in kept.collect()) == [(-1, "b"), (3, "a"), (4, "")]
+    assert "Window" not in kept._jdf.queryExecution().toString()
 
 
 def test_exact_dedup_odd_rows(spark):

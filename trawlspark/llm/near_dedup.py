@@ -14,7 +14,13 @@ class, the one that is first in most of its lists; pairs that the full sets conf
 lists that hold several components. There each class outside the list's largest component meets all others, in blocks of
 both: a first visit, with signatures only, counts collisions and hands on the classes that have ``MATCHES`` with a class
 of another component; a second visit brings the full sets of these and links components. Pairs never leave a block, only
-links that tie further components do, so rows stay in proportion to the lists and yet no link between components is lost.
+links that tie further components do, and yet no link between components is lost.
+
+A list with more than ``SPLIT`` blocks of classes outside its largest component, as a passage that very many documents
+share makes, isn't dealt to blocks but split: a pair that collides there first must collide a second time at a later
+coordinate, so the list's classes are posted again under each later (coordinate, value), and then once more if need be.
+So a posting goes to 2 * ``SPLIT`` + 1 blocks at most, unless ``MATCHES`` collisions are fixed: in such a list every two
+classes are a candidate pair, which has to be looked at by any order of work.
 
 Members of sets are 64-bit hashes of the pairs of words.
 """
@@ -38,6 +44,8 @@ PERCENT = 80
 BROADCAST_IDS = 500_000
 #: Classes of a list that meet those of another block.
 BLOCK = 256
+#: Blocks of classes outside a list's largest component, beyond which the list is split by the next collision.
+SPLIT = 8
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
@@ -79,10 +87,10 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, bits, coordinates; the last three null for an empty set."""
+    """doc_id, mark, n_shingles, digest of the set, bits, coordinates; the last three null for an empty set."""
     import pyarrow as pa
 
-    schema = docs.select("doc_id").schema.add("n_shingles", "long").add("digest", "binary")
+    schema = docs.select("doc_id", "mark").schema.add("n_shingles", "long").add("digest", "binary")
     schema = schema.add("bits", T.ArrayType(T.LongType())).add("coordinates", T.ArrayType(T.LongType()))
 
     def listed(values: np.ndarray, width: int, take: pa.Array) -> pa.Array:
@@ -112,22 +120,23 @@ def _signed(docs: DataFrame) -> DataFrame:
                         digest[k] = xxh3_128_digest(sets[k].tobytes())
                 take = pa.array(where, pa.int64(), mask=where < 0)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), listed(bits, 2, take), listed(coordinates, COORDINATES, take)],
+                    [some.column("doc_id"), some.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), listed(bits, 2, take), listed(coordinates, COORDINATES, take)],
                     names=schema.names,
                 )
 
-    return map_arrow(docs.select("doc_id", "text"), sign, schema)
+    return map_arrow(docs.select("doc_id", "mark", "text"), sign, schema)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The columns of ``wanted`` but doc_id and digest, with ``members``: the sorted hashes of that class's set, as bytes.
+    """The columns of ``wanted`` but doc_id, mark and digest, with ``members``: the sorted hashes of that class's set, as bytes.
 
-    The sets are made where the texts are and leave with the place that asked for them, so they are shuffled once. Rows of
-    one doc_id can have different texts: a class's own are those with its digest, of which a task hands on one.
+    The sets are made where the texts are and leave with the place that asked for them, so they are shuffled once. Texts
+    are found by doc_id and by mark, their hash, as many rows can lack an id or share one; of rows with both in common and
+    the class's digest a task hands on one.
     """
     import pyarrow as pa
 
-    carried = [c for c in wanted.columns if c not in ("doc_id", "digest")]
+    carried = [c for c in wanted.columns if c not in ("doc_id", "mark", "digest")]
     schema = wanted.select(*carried).schema.add("members", "binary")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,9 +158,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             some = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*(some.column(c) for c in carried), pa.array(found, pa.binary())], names=schema.names)
 
-    wanted = wanted.withColumnRenamed("doc_id", "_id")
+    wanted = wanted.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select(*carried, "text", "digest")
+    same = docs["doc_id"].eqNullSafe(wanted["_id"]) & (docs["mark"] == wanted["_mark"])
+    texts = docs.join(wanted, same).select(*carried, "text", "digest")
     return map_arrow(texts, collect, schema)
 
 
@@ -189,15 +199,25 @@ def _star(classes: DataFrame, shared: DataFrame, docs: DataFrame, percent: int)
     centers = pairs.groupBy("v").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
     around = pairs.join(centers, "v").select("node", "v", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("center"))
     wanted = around.union(centers.select("v", "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.lit(True)))
-    sets = _sets(docs, cut(wanted.join(classes.select("node", "doc_id", "digest"), "node")))
+    sets = _sets(docs, cut(wanted.join(classes.select("node", "doc_id", "mark", "digest"), "node")))
     placed = sets.repartition(shuffle_partitions(docs.sparkSession), "v", "part").sortWithinPartitions("v", "part", F.desc("center"))
     return cut(map_arrow(placed, compare, "u long, v long").distinct())
 
 
+def coordinates_of(path: int) -> list[int]:
+    """The coordinates that the classes of a list have in common, the first collision first."""
+    found = []
+    while path:
+        path, digit = divmod(path, 64)
+        found.insert(0, digit - 1)
+    return found
+
+
 def candidates(at: int, rows: tuple[np.ndarray, ...], columns: tuple[np.ndarray, ...], percent: int, matches: int = MATCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, collisions) of the pairs of different parts that may be near and collide first at coordinate ``at``.
+    """(row, column, collisions) of the pairs of different parts that may be near and whose first collisions are those of ``at``.
 
-    ``rows`` and ``columns`` are (node, part, inside, n, bits, coordinates), all in the list of that coordinate. Of a
+    ``at`` is a list's ``path``: its coordinates, each as its number and one, as digits of base 64, the last one lowest.
+    ``rows`` and ``columns`` are (node, part, inside, n, bits, coordinates), all in the list of that path. Of a
     pair that is in both, once each way round, the one with the smaller node in the rows counts.
     """
     node, part, _, n, bits, signature = rows
@@ -209,12 +229,15 @@ def candidates(at: int, rows: tuple[np.ndarray, ...], columns: tuple[np.ndarray,
     x, y = x[differing <= HASHES - AGREE], y[differing <= HASHES - AGREE]
     same = signature[x] == signature2[y]
     count = same.sum(axis=1)
-    own = (count >= matches) & (same.argmax(axis=1) == at)
+    own = count >= matches
+    for coordinate in coordinates_of(at):
+        own &= same.argmax(axis=1) == coordinate  # the first one; then the first of those after it
+        same[:, coordinate] = False
     return x[own], y[own], count[own]
 
 
-#: What a class brings to a block: the block, the coordinate of its list, what it is there, and its signature.
-_MET = "term long, i int, j int, at int, is_row boolean, node long, part long, inside boolean, n long, bits array<long>, coordinates array<long>"
+#: What a class brings to a block: the block, the path of its list, what it is there, and its signature.
+_MET = "term long, i int, j int, at long, is_row boolean, node long, part long, inside boolean, n long, bits array<long>, coordinates array<long>"
 
 
 def _groups(batches: Iterator, key: tuple[str, ...]) -> Iterator:
@@ -237,7 +260,7 @@ def _groups(batches: Iterator, key: tuple[str, ...]) -> Iterator:
 
 
 def _sides(group) -> tuple[int, list[tuple[np.ndarray, ...]], list[np.ndarray]]:
-    """The coordinate of a block, its rows and columns for ``candidates``, and the places of both in ``group``."""
+    """The path of a block's list, its rows and columns for ``candidates``, and the places of both in ``group``."""
     plain = [group.column(c).to_numpy() for c in ("node", "part", "inside", "n")]
     wide = [group.column(c).combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1) for c in ("bits", "coordinates")]
     everything = (*plain, wide[0].view(np.uint64), wide[1])  # bits are counted of whole numbers without a sign
@@ -289,26 +312,55 @@ def _linking(percent: int) -> Callable:
     return visit
 
 
-def _across(classes: DataFrame, shared: DataFrame, parts: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between components, from all lists that hold several."""
-    labelled = shared.select("term", "at", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    sizes = labelled.groupBy("term", "part").agg(F.count("*").alias("n")).groupBy("term")
+def _mixed(lists: DataFrame) -> DataFrame:
+    """``lists`` (term, at, node, part) that hold several parts, with inside (not in the list's largest part) and the numbers
+    of blocks ``down`` (of the classes inside) and ``along`` (of all)."""
+    sizes = lists.groupBy("term", "part").agg(F.count("*").alias("n")).groupBy("term")
     sizes = sizes.agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    sizes = sizes.select("term", F.col("most.part").alias("main"), F.col("size").alias("all"), (F.col("size") - F.col("most.n")).alias("rest"))
-    dealt = labelled.join(sizes, "term").withColumn("inside", F.col("part") != F.col("main"))  # inside the rest
-    down, along = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("rest", "all"))
-    own_i, own_j = F.pmod(F.xxhash64("node"), down).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), along).cast("int")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sizes = sizes.select("term", F.col("most.part").alias("main"), blocks(F.col("size") - F.col("most.n")).alias("down"), blocks(F.col("size")).alias("along"))
+    return lists.join(cut(sizes), "term").withColumn("inside", F.col("part") != F.col("main")).drop("main")
+
+
+def _split(lists: DataFrame, classes: DataFrame, fixed: int) -> DataFrame:
+    """``lists`` of which ``fixed`` collisions are known, posted again under each later coordinate that can be the next one."""
+    known = F.col("at") % 64  # the last known coordinate and one
+    rows = lists.select("term", "at", "node", "part").join(classes.select("node", "coordinates"), "node")
+    later = F.slice("coordinates", known.cast("int") + 1, F.greatest(F.lit(0), F.lit(COORDINATES - MATCHES + fixed + 1) - known.cast("int")))
+    rows = rows.select("term", "at", "node", "part", known.alias("known"), F.posexplode(later).alias("after", "value"))
+    at = F.col("at") * 64 + F.col("known") + F.col("after") + 1
+    return rows.select(F.xxhash64("term", at, "value").alias("term"), at.alias("at"), "node", "part")
+
+
+def _met(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """(term, at, node, part, inside, i, j, is_row): the blocks that each class of the lists (term, at, node, part) goes to."""
     place = lambda i, j, is_row: F.struct(i.alias("i"), j.alias("j"), F.lit(is_row).alias("is_row"))
-    as_row = F.when(F.col("inside"), F.transform(F.sequence(F.lit(0), along - 1), lambda j: place(own_i, j, True))).otherwise(F.array().cast("array<struct<i:int,j:int,is_row:boolean>>"))
-    as_column = F.transform(F.sequence(F.lit(0), down - 1), lambda i: place(i, own_j, False))
-    dealt = dealt.select("term", "at", "node", "part", "inside", F.inline(F.concat(as_row, as_column)))
+    own_i, own_j = F.pmod(F.xxhash64("node"), F.col("down")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("along")).cast("int")
+    as_row = F.when(F.col("inside"), F.transform(F.sequence(F.lit(0), F.col("along") - 1), lambda j: place(own_i, j, True))).otherwise(F.array().cast("array<struct<i:int,j:int,is_row:boolean>>"))
+    as_column = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: place(i, own_j, False))
+    out = None
+    for fixed in range(1, MATCHES + 1):
+        mixed = _mixed(lists)
+        large = cut(mixed.where(F.col("down") > SPLIT)) if fixed < MATCHES else None
+        dealt = mixed.where(F.col("down") <= SPLIT) if large else mixed
+        dealt = dealt.select("term", "at", "node", "part", "inside", F.inline(F.concat(as_row, as_column)))
+        out = dealt if out is None else out.union(dealt)
+        if large is None or large.isEmpty():
+            return out
+        lists = cut(_split(large, classes, fixed))
+
+
+def _across(classes: DataFrame, shared: DataFrame, parts: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between components, from all lists that hold several."""
+    labelled = shared.select("term", (F.col("at") + 1).cast("long").alias("at"), "node").join(parts, "node", "left")
+    dealt = _met(labelled.withColumn("part", F.coalesce("component", "node")).drop("component"), classes)
     names = [c.split()[0] for c in _MET.split(", ")]
 
     def meeting(rows: DataFrame) -> DataFrame:
         return rows.repartition(shuffle_partitions(docs.sparkSession), "term", "i", "j").sortWithinPartitions("term", "i", "j")
 
     promising = cut(map_arrow(meeting(dealt.join(classes.select("node", "n", "bits", "coordinates"), "node").select(*names)), _promising(percent), _MET))
-    wanted = promising.select("term", "i", "j", "node").distinct().join(classes.select("node", "doc_id", "digest"), "node")
+    wanted = promising.select("term", "i", "j", "node").distinct().join(classes.select("node", "doc_id", "mark", "digest"), "node")
     full = promising.unionByName(_sets(docs, cut(wanted)), allowMissingColumns=True)
     return cut(map_arrow(meeting(full), _linking(percent), "u long, v long"))
 
@@ -339,11 +391,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     if percent < PERCENT:
         raise ValueError(f"the signature is made for {PERCENT} percent and more")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
     rows = cut(_signed(docs))
     whole = rows.where("n_shingles > 0")
-    groups = whole.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n_shingles", "bits", "coordinates")])
-    classes = cut(groups.withColumnRenamed("n_shingles", "n").withColumn("node", F.monotonically_increasing_id()))
+    own = F.struct("doc_id", "mark")
+    own = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), own)), F.min(own)).alias("own")
+    groups = whole.groupBy("digest").agg(own, *[F.first(c).alias(c) for c in ("n_shingles", "bits", "coordinates")])
+    classes = cut(groups.select("own.*", "digest", F.col("n_shingles").alias("n"), "bits", "coordinates").withColumn("node", F.monotonically_increasing_id()))
     parts = class_components(classes, docs, percent)
     linked = parts.join(classes.select("node", "doc_id"), "node")
     linked = linked.join(linked.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("node", "least")
