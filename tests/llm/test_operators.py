@@ -411,6 +411,20 @@ def test_encoder_forgets_and_meets_words_again(monkeypatch):
     assert encode("Hello, world").tolist() == whole.encode("Hello, world").ids and list(encode.many(pa.array([], pa.string()))) == []
 
 
+def test_a_piece_with_other_marks_or_capitals_is_encoded_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    sent = []
+    whole, encode = Tokenizer.from_file(WORD_BPE), tokens.WordEncoder(WORD_BPE)
+    monkeypatch.setattr(encode, "_ids", lambda texts, *more, ids=encode._ids: (sent.extend(" ".join(texts).split()), ids(texts, *more))[1])
+    texts = ["fenouil fenouil, Fenouil.", "FENOUIL### fenouil,", "\u00c4rger### \u00e4rger, fenouil it's", ""]
+    monkeypatch.setattr(tokens, "TOGETHER", 8)
+    assert [whole.encode(t, add_special_tokens=False).ids for t in texts] == [x.tolist() for x in encode.many(pa.array(texts))]
+    assert sorted(sent) == sorted(["fenouil", "###", "\u00e4rger", "it's"])  # the probes had the others
+    monkeypatch.setattr(tokens, "PIECES", 0)  # forgotten after each use
+    assert [whole.encode(t, add_special_tokens=False).ids for t in texts] == [x.tolist() for x in tokens.WordEncoder(WORD_BPE).many(pa.array(texts))]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_of_other_tokenizers(name):
     from tokenizers import Tokenizer

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,12 +11,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..workers import map_arrow
 
-#: Bytes of words and their ids that a worker remembers at most; beyond, it forgets them all and starts again.
-REMEMBERED = 12 << 20
+#: Bytes of words and their ids that a worker remembers at most, and of pieces of plain words; beyond, it forgets them all
+#: and starts again.
+REMEMBERED, PIECES = 12 << 20, 12 << 20
 #: Bytes of text whose words are looked up together, words that go to the library as one line, and lines at a time.
 TOGETHER, LINE, FEW = 1 << 21, 500, 64
 #: Letters, then any ASCII marks but the apostrophe: two pieces at most to a tokenizer that parts letters from marks.
 _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
+_SMALL_LETTERS, _MARK_CHARACTERS = ("".join(c for c in map(chr, range(256)) if re.match(kind, c)) for kind in (_LETTERS, _MARKS))
 
 
 #: Texts that show whether a tokenizer parts at white space and drops it; the first word of each starts a line.
@@ -31,7 +34,9 @@ class WordEncoder:
     word between ASCII white space is sent to the library when first met and remembered. The memory is bounded. Words are
     split, told apart, looked up and put together again in Arrow and numpy, so only new words are ever Python objects.
 
-    Many plain words go to the library as one line if its tokens mark the ends of pieces, and are told apart by these ends;
+    Plain words are letters and marks behind them, two pieces that have their ids apart: each distinct piece in small letters
+    is sent when first met and remembered beside the words, so that a word with other marks or capitals costs no merging.
+    Many pieces go to the library as one line if its tokens mark the ends of pieces, and are told apart by these ends;
     where probes show that the tokenizer's normalisation of them is that of small letters, it is left out. A tokenizer that
     treats white space otherwise, as probes show, encodes whole texts instead.
     """
@@ -52,8 +57,9 @@ class WordEncoder:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
             self.plain = Tokenizer(self.tokenizer.model)  # the same vocabulary, not another copy
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            lines, _ = self._spaced(pa.array(_PLAIN_PROBES))
-            if any(x.tolist() != y.tolist() for x, y in zip(self._ids(list(_PLAIN_PROBES)), self._ids(lines, self.plain), strict=True)):
+            self._forget_pieces()
+            ids, firsts, counts = self._plain(pa.array(_PLAIN_PROBES, pa.large_string()))
+            if any(x.tolist() != ids[f : f + n].tolist() for x, f, n in zip(self._ids(list(_PLAIN_PROBES)), firsts, counts, strict=True)):
                 self.plain = None
 
     def _forget(self) -> None:
@@ -72,15 +78,56 @@ class WordEncoder:
             out += [np.array(e.ids, "<u4") for e in encode(texts[at : at + FEW], add_special_tokens=False)]
         return out
 
-    @staticmethod
-    def _spaced(words) -> tuple[list[str], np.ndarray]:
-        """Plain words in small letters with a space before their marks, and their numbers of pieces."""
+    def _forget_pieces(self) -> None:
+        import pyarrow as pa
+
+        nothing = np.zeros(0, np.int64)
+        self.pieces, self.piece_ids, self.piece_firsts, self.piece_counts = pa.array([], pa.large_string()), nothing.astype("<u4"), nothing, nothing
+
+    def _piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of pieces, as ``_encode``: a line of them at once, or one by one where its ends aren't those of the pieces."""
+        lines, out, counts = [pieces[at : at + LINE] for at in range(0, len(pieces), LINE)], [np.zeros(0, "<u4")], []
+        for line, ids in zip(lines, self._ids([" ".join(x) for x in lines], self.plain), strict=True):
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(line):
+                out.append(ids)
+                counts.append(np.diff(stops, prepend=0))
+            else:
+                alone = self._ids(line)
+                out += alone
+                counts.append(np.array(list(map(len, alone)), np.int64))
+        counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        return np.concatenate(out), np.cumsum(counts) - counts, counts
+
+    def _plain(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``_encode`` of plain words: the ids of each one's letters, then those of its marks."""
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         small = pc.utf8_lower(words)
-        spaced = pc.replace_substring_regex(small, f"({_LETTERS})({_MARKS}+)$", r"\1 \2")
-        grown = pc.binary_length(spaced).to_numpy() - pc.binary_length(small).to_numpy()
-        return spaced.to_numpy(zero_copy_only=False).tolist(), 1 + grown
+        letters = pc.utf8_rtrim(small, characters=_MARK_CHARACTERS)
+        marks = pc.utf8_ltrim(small, characters=_SMALL_LETTERS)
+        coded = pa.concat_arrays([letters, marks]).dictionary_encode()
+        pieces = coded.dictionary.cast(pa.large_string())  # an empty one, of words without marks, has no ids
+        found = pc.index_in(pieces, value_set=self.pieces)
+        new, where = pieces.filter(found.is_null()), found.fill_null(0).to_numpy().astype(np.int64)
+        where[found.is_null().to_numpy(zero_copy_only=False)] = np.arange(len(self.pieces), len(self.pieces) + len(new))
+        if len(new):
+            texts = new.to_pylist()
+            filled = np.array([bool(x) for x in texts])
+            ids, some_firsts, some_counts = self._piece_ids([x for x in texts if x])
+            firsts, counts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+            firsts[filled], counts[filled] = some_firsts, some_counts
+            self.piece_firsts, self.piece_counts = np.concatenate([self.piece_firsts, firsts + len(self.piece_ids)]), np.concatenate([self.piece_counts, counts])
+            self.pieces, self.piece_ids = pa.concat_arrays([self.pieces, new]), np.concatenate([self.piece_ids, ids])
+        which = where[coded.indices.to_numpy().reshape(2, -1).T.ravel()]  # letters and marks in turn
+        counts = self.piece_counts[which]
+        ends = np.cumsum(counts)
+        places = np.repeat(self.piece_firsts[which] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+        ids, lengths = self.piece_ids[places], counts.reshape(-1, 2).sum(1)
+        if self.pieces.nbytes + self.piece_ids.nbytes + self.piece_firsts.nbytes + self.piece_counts.nbytes > PIECES:
+            self._forget_pieces()
+        return ids, np.cumsum(lengths) - lengths, lengths
 
     def _encode(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of an Arrow array of distinct words, and where in them each word's begin and how many they are."""
@@ -90,16 +137,10 @@ class WordEncoder:
         firsts, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         if self.plain is not None:
             plain = np.flatnonzero(pc.match_substring_regex(words, f"^{_LETTERS}+{_MARKS}*$").to_numpy(zero_copy_only=False))
-            spaced, pieces = self._spaced(words.take(plain))
-            lines = [spaced[at : at + LINE] for at in range(0, len(spaced), LINE)]
-            for n, ids in enumerate(self._ids([" ".join(x) for x in lines], self.plain)):
-                some, ends = plain[n * LINE : (n + 1) * LINE], np.cumsum(pieces[n * LINE : (n + 1) * LINE])
-                stops = np.flatnonzero(self.ends[ids]) + 1
-                if len(stops) == ends[-1]:
-                    cuts = np.concatenate([[0], stops[ends - 1]])
-                    firsts[some], counts[some], left[some] = size + cuts[:-1], np.diff(cuts), False
-                    out.append(ids)
-                    size += len(ids)
+            ids, firsts[plain], counts[plain] = self._plain(words.take(plain))
+            left[plain] = False
+            out.append(ids)
+            size = len(ids)
         rest = np.flatnonzero(left)
         alone = self._ids(words.take(rest).to_pylist())
         counts[rest] = list(map(len, alone))
