@@ -90,6 +90,42 @@ def test_many_vectors_rank_as_one_by_one(spark, monkeypatch, sent):
     assert D.dense_topk_batch(table.limit(0), queries, 6, 5).count() == D.dense_topk_batch(table, queries.limit(0), 6, 5).count() == 0
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_no_batch_of_vectors_grows_with_queries(spark, tmp_path, monkeypatch, stored):
+    seen = tmp_path / "seen"
+
+    def watched(df, function, schema, given=D.map_arrow):
+        def run(batches):
+            def each():
+                for batch in batches:
+                    with open(seen, "a") as out:
+                        out.write(f"{batch.nbytes}\n")
+                    yield batch
+
+            yield from function(each())
+
+        return given(df, run, schema)
+
+    table = spark.range(6000, numPartitions=2).select("id", F.array(*[F.sin(F.col("id") * n).cast("float") for n in range(1, 65)]).alias("embedding"))
+    queries = table.where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    if stored:
+        D.grow_index(spark, str(tmp_path / "index"), table, 64, 128)
+    monkeypatch.setattr(D, "map_arrow", watched)
+    found = D.index_topk_batch(spark.read.parquet(str(tmp_path / "index")), queries, 64, 3) if stored else D.dense_topk_batch(table, queries, 64, 3)
+    assert found.count() == 3 * 2000
+    assert max(map(int, seen.read_text().split())) < 3 << 20  # ten thousand vectors; blocks times packs were more
+
+
+def test_similarities_of_odd_vectors(spark):
+    r = random.Random(8)
+    data = [(i, [r.choice((0.0, 1e-30, 1e-5, 1.0, 3e38, r.gauss(0, 1))) * r.choice((1, -1)) for _ in range(6)]) for i in range(150)]
+    data += [(150 + i, data[0][1]) for i in range(120)] + [(300, [1e-5] + [0.0] * 5)]
+    table = spark.createDataFrame(data, "id long, embedding array<float>").repartition(3)
+    queries = table.where("id % 25 = 0 OR id > 299").withColumnRenamed("id", "query_id")
+    found = sorted(tuple(r) for r in D.dense_topk_batch(table, queries, 6, 12).select("query_id", "id", "similarity", "dense_rank").collect())
+    assert [(q, i, round(s, 14), n) for q, i, s, n in found] == [(q, i, round(s, 14), n) for q, i, s, n in one_by_one(table, queries, 6, 12)]
+
+
 def test_an_index_grows_and_ranks_as_decoded(spark, tmp_path):
     table, queries = vector_tables(spark)
     path = str(tmp_path / "index")

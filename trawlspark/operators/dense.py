@@ -16,10 +16,12 @@ from ..functions.vectors import TINY
 from ..sources.files import table_or_none
 from ..workers import map_arrow
 
-#: Vectors of a block and queries of a pack: one product of matrices.
+#: Vectors and queries of one product of matrices.
 BLOCK, PACK = 8192, 256
-#: Bytes of query packs that are sent to all tasks; more of them are dealt out by their numbers instead.
+#: Bytes of queries and of what they have found that a task holds; more queries are dealt to more columns of the grid.
 SENT = 64 << 20
+#: Candidates that are computed exactly at a time, and the fewest vectors that a line of the grid is made for.
+EXACT, LINE = 1 << 14, 2048
 PARTS = "part long, first_id long, last_id long, n int, dim int, vmin double, scale double, ids binary, content binary, norms binary"
 
 
@@ -31,73 +33,114 @@ def _vectors(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy().astype(np.float32).reshape(-1, dim)
 
 
-def _packs(rows: DataFrame, id_column: str, dim: int, most: int) -> DataFrame:
-    """(number, ids, content): vectors of a task, ``most`` to a row, in single precision."""
-    import pyarrow as pa
-    from pyspark import TaskContext
-
-    def run(batches):
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            ids, values = batch.column("id").to_numpy(zero_copy_only=False).astype("<i8"), _vectors(batch.column("embedding"), dim)
-            for at in range(0, len(ids), most):
-                row = ids[at : at + most].tobytes(), values[at : at + most].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=["number", "ids", "content"])
-                number += 1
-
-    rows = rows.select(F.col(id_column).cast("long").alias("id"), "embedding").where("id IS NOT NULL AND embedding IS NOT NULL")
-    return map_arrow(rows, run, "number long, ids binary, content binary")
-
-
 def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row the sum of products, added from left to right in double, as the column functions add."""
     return np.cumsum(a.astype(np.float64) * b.astype(np.float64), axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
 
 
-def _best(ids: np.ndarray, close: np.ndarray, off: np.ndarray, exact: Callable[[np.ndarray], np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``k`` ids by similarity (ties by id) of one query: ``close`` is right within ``off``, which settles who can be
-    among them; these are computed exactly."""
-    some = np.arange(len(ids))
-    if len(ids) > k:
-        some = np.flatnonzero(close + off >= np.partition(close - off, -k)[-k])
-    similarity = exact(some)
-    order = np.lexsort((ids[some], -similarity))[:k]
-    return ids[some][order], similarity[order]
-
-
 class _Queries:
-    """A pack of queries with their norms."""
-
-    def __init__(self, ids: bytes, content: bytes, dim: int, use: int):
-        self.ids = np.frombuffer(ids, "<i8")
-        self.values = np.frombuffer(content, "<f4").reshape(-1, dim)[:, :use]
-        self.wide = self.values.astype(np.float64)
-        self.norms = np.sqrt(_in_order(self.values, self.values))
-
-    def against(self, ids: np.ndarray, norms: np.ndarray, dots: np.ndarray, slack: np.ndarray, decoded: Callable[[np.ndarray], np.ndarray], k: int):
-        """Columns (query_id, id, similarity): ``dots`` are the products with a block, right within ``slack``."""
-        below = self.norms[:, None] * norms[None, :]
-        fine = below >= TINY
-        close, off = np.where(fine, dots / np.where(fine, below, 1), 0.0), np.where(fine, slack / np.where(fine, below, 1), 0.0)
-        out = []
-        for q in range(len(self.ids)):
-            def exact(some, q=q):
-                found = _in_order(decoded(some), np.broadcast_to(self.values[q], (len(some), self.values.shape[1])))
-                return np.where(fine[q, some], found / np.where(fine[q, some], below[q, some], 1), 0.0)
-
-            best, similarity = _best(ids, close[q], off[q], exact, k)
-            out.append((np.full(len(best), self.ids[q]), best, similarity))
-        return [np.concatenate([x[n] for x in out]) for n in range(3)]
-
-
-def _met(blocks: DataFrame, packs: DataFrame) -> DataFrame:
-    """Every block with every pack of queries: sent to all tasks while they are small, else dealt out by their numbers."""
-    packs = packs.select(F.col("ids").alias("q_ids"), F.col("content").alias("q_content"))
-    size, count = packs.agg(F.sum(F.length("q_content") + F.length("q_ids")), F.count("*")).first()
-    if (size or 0) <= SENT:
-        return blocks.join(F.broadcast(packs), how="cross")
-    dealt = packs.withColumn("deal", F.pmod(F.xxhash64("q_ids"), F.lit(count)).cast("int"))
-    return blocks.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(dealt, "deal").drop("deal")
+    """The queries of a task, and the first ``k`` vectors of each by similarity (ties by id) among those met so far."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, k: int):
+        self.ids, self.values, self.k = ids, values, k
+        self.norms = np.concatenate([np.zeros(0), *(np.sqrt(_in_order(x, x)) for x in np.array_split(values, 1 + len(values) // EXACT))])
+        self.units = _units(values, self.norms)
+        self.sums = self.units.sum(1)
+        self.found, self.names = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def meet(self, ids: np.ndarray, norms: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray], slack: np.ndarray, decoded: Callable[[np.ndarray], np.ndarray]) -> None:
+        """Put a block's vectors among the first. ``close`` gives the similarities of a pack of queries, by its units and their
+        sums, right within ``slack``; vectors that can be among the first by these are computed exactly."""
+        tiny = not self.norms.min(initial=np.inf) * norms.min(initial=np.inf) >= TINY
+        for a in range(0, len(self.ids), PACK):
+            pack = slice(a, a + PACK)
+            near = close(self.units[pack], self.sums[pack])
+            if tiny:
+                near[self.norms[pack, None] * norms[None, :] < TINY] = 0
+            least = self.found[pack, -1].astype(np.float32)
+            some = ~(near + slack < least[:, None])
+            many = np.flatnonzero(some.sum(1) > 4 * self.k) if len(ids) > self.k else ()
+            if len(many):
+                floor = np.partition(near[many] - slack, -self.k, axis=1)[:, -self.k]
+                some[many] &= ~(near[many] + slack < floor[:, None])
+            q, v = np.nonzero(some)
+            for at in range(0, len(q), EXACT):
+                self._add(a + q[at : at + EXACT], v[at : at + EXACT], ids, norms, decoded)
+
+    def _add(self, q: np.ndarray, v: np.ndarray, ids: np.ndarray, norms: np.ndarray, decoded: Callable[[np.ndarray], np.ndarray]) -> None:
+        below = self.norms[q] * norms[v]
+        with np.errstate(all="ignore"):
+            similarity = np.where(below < TINY, 0.0, _in_order(decoded(v), self.values[q]) / np.where(below < TINY, 1, below))
+        similarity[np.isnan(similarity)] = np.inf  # not a number comes first, as in Spark, and no similarity is infinite
+        better = similarity >= self.found[q, -1]
+        q, similarity, names = q[better], similarity[better], ids[v[better]]
+        own = np.unique(q)
+        q, similarity, names = np.concatenate([np.repeat(own, self.k), q]), np.concatenate([self.found[own].ravel(), similarity]), np.concatenate([self.names[own].ravel(), names])
+        order = np.lexsort((names, -similarity, q))
+        begins = np.searchsorted(q[order], own)
+        first = order[(begins[:, None] + np.arange(self.k)).ravel()]
+        self.found[own], self.names[own] = similarity[first].reshape(-1, self.k), names[first].reshape(-1, self.k)
+
+    def batches(self) -> Iterator:
+        import pyarrow as pa
+
+        for a in range(0, len(self.ids), PACK):
+            found = self.found[a : a + PACK]
+            held = found > -np.inf
+            ids, similarity = np.repeat(self.ids[a : a + PACK], held.sum(1)), found[held]
+            similarity[np.isinf(similarity)] = np.nan
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(self.names[a : a + PACK][held], pa.int64()), pa.array(similarity, pa.float64(), from_pandas=False)], names=["query_id", "id", "similarity"])
+
+
+def _units(values: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Vectors over their norms, none where there is no norm."""
+    with np.errstate(all="ignore"):
+        return np.where(norms > 0, values.T / np.where(norms > 0, norms, 1), np.where(norms == 0, 0, np.nan)).T.astype(np.float32)
+
+
+def _off(n: int, most: np.ndarray) -> np.ndarray:
+    """How far sums of ``n`` products in single precision can be off, of units with norms of ``most``, with room to spare."""
+    return ((n + 8) * 2.0**-22 * most).astype(np.float32)
+
+
+def _met(vectors: DataFrame, queries: DataFrame, count: int, dim: int, use: int, k: int, block: Callable) -> DataFrame:
+    """(query_id, id, similarity): the first ``k`` of ``queries`` in each line of a grid.
+
+    ``vectors`` are dealt to the lines and ``queries`` to the columns of a grid, each cell of which is a task: it holds the
+    queries of its column, of bounded size, and vectors stream past them as rows, so that neither a batch nor what is held
+    grows with the tables. A query has one list for each line. ``block`` turns a batch of vectors into arguments of
+    ``_Queries.meet``.
+    """
+    spark = vectors.sparkSession
+    queries = queries.select(F.col("query_id").cast("long").alias("id"), F.col("embedding").alias("asked")).where("id IS NOT NULL AND asked IS NOT NULL")
+    n, asked = int(spark.conf.get("spark.sql.shuffle.partitions")), queries.count()
+    most = max(PACK, SENT // (8 * dim + 16 * k))
+    columns = max(-(-asked // most), min(round((n / 2) ** 0.5), -(-asked // PACK)), 1)
+    lines = max(1, min(n // columns, -(-count // LINE)))
+    line, column = (F.pmod(F.xxhash64(*table.columns), F.lit(parts)).cast("int") for table, parts in ((vectors, lines), (queries, columns)))
+    cell = lambda line, column: (line * columns + column).alias("cell")
+    vectors = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"), line.alias("line"), "*").select(cell(F.col("line"), F.col("column")), *vectors.columns)
+    queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(lines - 1))).alias("line"), column.alias("column"), "*").select(cell(F.col("line"), F.col("column")), "id", "asked")
+    dealt = queries.unionByName(vectors, allowMissingColumns=True).repartitionById(lines * columns, F.col("cell"))
+
+    def run(batches):
+        ids, values, held = [], [], None
+        for batch in batches:
+            first = batch.column("asked").is_valid().to_numpy(zero_copy_only=False)
+            if first.any():  # queries come before vectors
+                some = batch.filter(batch.column("asked").is_valid())
+                ids.append(some.column("id").to_numpy())
+                values.append(_vectors(some.column("asked"), dim)[:, :use])
+            if not first.all() and ids:
+                held = held or _Queries(np.concatenate(ids), np.concatenate(values), k)
+                some = batch.filter(batch.column("asked").is_null())
+                for at in range(0, some.num_rows, BLOCK):
+                    held.meet(*block(some.slice(at, BLOCK)))
+        if held:
+            yield from held.batches()
+
+    dealt = dealt.sortWithinPartitions(F.col("asked").isNull()).drop("cell")
+    return map_arrow(dealt, run, "query_id long, id long, similarity double")
 
 
 def _ranked(legs: DataFrame, k: int) -> DataFrame:
@@ -105,33 +148,27 @@ def _ranked(legs: DataFrame, k: int) -> DataFrame:
     return legs.withColumn("dense_rank", F.row_number().over(order)).where(F.col("dense_rank") <= k)
 
 
-def _emitted(found) -> Iterator:
-    import pyarrow as pa
-
-    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "id", "similarity"])
-
-
 def dense_topk_batch(vectors: DataFrame, queries: DataFrame, dim: int, k: int, use: int | None = None) -> DataFrame:
     """(query_id, id, similarity, dense_rank): for each of ``queries`` (query_id, embedding) the first ``k`` of ``vectors``
     (id, embedding) by cosine over the first ``use`` numbers (all, if not given); ties by id.
 
-    Queries and vectors are packed where they lie; each pack meets each block in one product, after which the few that can be
+    Blocks of vectors meet packs of queries in products in single precision, after which the few that can be
     among the first are added up in order, so that ranks are those of ``search.dense_topk``. Norms are in single precision
     over all numbers, in double over some. Rows with a null id or vector are left out, vectors of another length refused.
     """
     use = use or dim
 
-    def run(batches):
-        for batch in batches:
-            for ids, content, q_ids, q_content in zip(*(batch.column(c).to_pylist() for c in ("ids", "content", "q_ids", "q_content")), strict=True):
-                own, asked = np.frombuffer(content, "<f4").reshape(-1, dim)[:, :use], _Queries(q_ids, q_content, dim, use)
-                norms = np.sqrt(_in_order(own, own))
-                norms = norms.astype(np.float32).astype(np.float64) if use == dim else norms
-                slack = 1e-15 * use * (np.abs(asked.wide).sum(1)[:, None] * np.abs(own).max(1, initial=0)[None, :].astype(np.float64)) + 1e-300
-                yield from _emitted(asked.against(np.frombuffer(ids, "<i8"), norms, asked.wide @ own.astype(np.float64).T, slack, lambda some, own=own: own[some], k))
+    def block(batch):
+        own = _vectors(batch.column("embedding"), dim)[:, :use]
+        norms = np.sqrt(_in_order(own, own))
+        stored = norms.astype(np.float32).astype(np.float64) if use == dim else norms
+        units = _units(own, stored)
+        with np.errstate(all="ignore"):
+            slack = _off(use, np.maximum(1, np.where(stored > 0, norms / stored, 1)))
+        return batch.column("id").to_numpy(), stored, lambda asked, sums: asked @ units.T, slack, lambda some: own[some]
 
-    met = _met(_packs(vectors, "id", dim, BLOCK), _packs(queries, "query_id", dim, PACK))
-    return _ranked(map_arrow(met.select("ids", "content", "q_ids", "q_content"), run, "query_id long, id long, similarity double"), k)
+    rows = vectors.select(F.col("id").cast("long").alias("id"), "embedding").where("id IS NOT NULL AND embedding IS NOT NULL")
+    return _ranked(_met(rows, queries, vectors.count(), dim, use, k, block), k)
 
 
 def index_parts(vectors: DataFrame, dim: int, rows_of: int) -> DataFrame:
@@ -232,20 +269,31 @@ def index_topk_batch(parts: DataFrame, queries: DataFrame, dim: int, k: int, fir
     norms go under it; only those that can be among the first are decoded. ``first_id`` and ``last_id`` bound the ids, and
     parts outside are not read.
     """
+    import pyarrow as pa
 
-    def run(batches):
+    def opened(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for n in range(batch.num_rows):
+                r = batch.slice(n, 1).to_pylist()[0]
                 ids, levels = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["content"], np.uint8).reshape(r["n"], r["dim"])
+                if len(levels) and r["dim"] != dim:
+                    raise ValueError(f"vectors must have {dim} numbers")
                 inside = (ids >= (ids[0] if first_id is None else first_id)) & (ids <= (ids[-1] if last_id is None else last_id))
-                ids, levels, norms = ids[inside], levels[inside], np.frombuffer(r["norms"], "<f4")[inside].astype(np.float64)
-                if not len(ids):
-                    continue
-                asked = _Queries(r["q_ids"], r["q_content"], dim, dim)
-                dots = r["scale"] * (asked.wide @ levels.astype(np.float64).T) + r["vmin"] * asked.wide.sum(1)[:, None]
-                most = max(abs(r["vmin"]), abs(r["vmin"] + 255 * r["scale"]))
-                slack = np.broadcast_to((2.0**-23) * most * np.abs(asked.wide).sum(1)[:, None] + 1e-300, dots.shape)  # decoding rounds to single precision
-                yield from _emitted(asked.against(ids, norms, dots, slack, lambda some, levels=levels, r=r: decoded(levels[some], r["vmin"], r["scale"]), k))
-
-    met = _met(parts_within(parts, first_id, last_id).select("n", "dim", "vmin", "scale", "ids", "content", "norms"), _packs(queries, "query_id", dim, PACK))
-    return _ranked(map_arrow(met, run, "query_id long, id long, similarity double"), k)
+                norms, levels = np.frombuffer(r["norms"], "<f4")[inside], np.ascontiguousarray(levels[inside])
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), len(levels), [None, pa.py_buffer(levels)]).cast(pa.binary())
+                columns = [pa.array(ids[inside]), raw, pa.array(norms), *(pa.array(np.full(len(levels), r[x])) for x in ("vmin", "scale"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "levels", "norm", "vmin", "scale"])
+
+    def block(batch):
+        levels = np.frombuffer(b"".join(batch.column("levels").to_pylist()), np.uint8).reshape(-1, dim)
+        norms, vmin, scale = (batch.column(c).to_numpy().astype(np.float64) for c in ("norm", "vmin", "scale"))
+        below = np.where(norms > 0, norms, 1)
+        wide, times, plus = levels.astype(np.float32).T, (scale / below).astype(np.float32), (vmin / below).astype(np.float32)
+        # a query's numbers add up to no more than the root of their count; decoding rounds to single precision
+        slack = _off(dim, dim**0.5 * (np.abs(vmin) + 255 * scale) / below)
+        close = lambda asked, sums: (asked @ wide) * times + sums[:, None] * plus
+        return batch.column("id").to_numpy(), norms, close, slack, lambda some: (levels[some].astype(np.float64) * scale[some, None] + vmin[some, None]).astype(np.float32)
+
+    parts = parts_within(parts, first_id, last_id)
+    rows = map_arrow(parts.select("n", "dim", "vmin", "scale", "ids", "content", "norms"), opened, "id long, levels binary, norm float, vmin double, scale double")
+    return _ranked(_met(rows, queries, parts.agg(F.sum("n")).first()[0] or 0, dim, dim, k, block), k)
