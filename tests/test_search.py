@@ -170,6 +170,21 @@ def test_postings_in_many_blocks_and_groups(spark, monkeypatch):
     assert I.sparse_topk_batch(spark.createDataFrame([], "id long, text string"), spark.createDataFrame(queries, "query_id long, query string"), F.col("text"), 9).count() == 0
 
 
+def test_one_batch_writes_no_index_and_finds_what_a_written_one_does(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "GROUP", 2)
+    monkeypatch.setattr(I, "HELD", 2)
+    r = random.Random(12)
+    line = lambda n: " ".join("".join(r.choice("abcd\u00e9\uac00") for _ in range(r.randint(1, 6))) for _ in range(n))
+    docs = spark.createDataFrame([(i, line(r.randint(0, 8))) for i in range(120)], "id long, text string")
+    queries = spark.createDataFrame([(i, line(3)) for i in range(11)], "query_id long, query string")
+    I.write_postings(docs, F.col("text"), str(tmp_path / "index"))
+    monkeypatch.setattr(I, "write_postings", None)
+    found = I.sparse_topk_batch(docs, queries, F.col("text"), 7)
+    assert rows(found) == rows(I.search(spark.read.parquet(str(tmp_path / "index")), queries, 7).select(*found.columns)) and found.count() > 60
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "vocabulary" not in plan and "docs#" not in plan  # no list of documents is read or sent
+
+
 def test_order_of_partitions_does_not_matter(spark):
     docs = spark.createDataFrame([(i, f"word{i % 3} common") for i in range(60)], "id long, text string")
     a = rows(S.sparse_topk(docs, "word1 common", F.col("text"), 7))

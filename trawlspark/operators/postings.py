@@ -11,18 +11,19 @@ blocks.
 from __future__ import annotations
 
 import re
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as X
-from ..storage import checkpoint_dir
 from ..workers import map_arrow
 
 #: Characters and documents of a block at most (one document may be longer), and queries that are scored together.
 BLOCK_CHARS, BLOCK_DOCS, GROUP = 3 << 19, 1 << 16, 256
+#: Groups of queries that documents pass by together; more of them are dealt to more columns of the grid.
+HELD = 8
 _INDEX = "block long, gram string, docs binary, words binary, ids binary, no_ids binary, vocabulary array<string>"
 _SHIFT = 21  # bits of a code point
 
@@ -60,10 +61,8 @@ def _words(texts: list[str]):
     return runs.take(pa.array(np.arange(0, len(runs), 2))), np.searchsorted(ends, turns[::2], "right")
 
 
-def _block(number: int, ids: list[int | None], texts: list[str]):
-    """The rows of a block, as an Arrow batch."""
-    import pyarrow as pa
-
+def _indexed(texts: list[str], wanted: set[str] | None = None):
+    """(lists, word_ends, word_docs, vocabulary) of a block: for each gram, or each wanted one, its documents and its words."""
     found, owner = _words(texts)
     coded = found.dictionary_encode()
     vocabulary = coded.dictionary.to_pylist()
@@ -81,25 +80,55 @@ def _block(number: int, ids: list[int | None], texts: list[str]):
         grams, numbers = ranked[first], np.empty(len(keys), np.int64)
         numbers[order] = np.cumsum(first) - 1
         _, gram_ends, gram_words = _lists(numbers, np.concatenate([of[alone], of[at]]))
-    names, docs, words = [], [], []
+    lists = {}
     for g, a, b in zip(grams.tolist(), gram_ends[:-1].tolist(), gram_ends[1:].tolist(), strict=True):
+        name = chr(g >> _SHIFT) + chr(g & ((1 << _SHIFT) - 1)) if g >> _SHIFT else chr(g)
+        if wanted is not None and name not in wanted:
+            continue
         held = gram_words[a:b]
         mark = np.zeros(len(texts), bool)
         counts = word_ends[held + 1] - word_ends[held]
         places = np.repeat(word_ends[held] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         mark[word_docs[places]] = True
-        names.append(chr(g >> _SHIFT) + chr(g & ((1 << _SHIFT) - 1)) if g >> _SHIFT else chr(g))
-        docs.append(np.flatnonzero(mark).astype("<i4").tobytes())
-        words.append(held.tobytes())
+        lists[name] = np.flatnonzero(mark).astype("<i4"), held
+    return lists, word_ends, word_docs, vocabulary
+
+
+def _named(ids: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, 0 for null, and which are null."""
+    return np.array([0 if i is None else i for i in ids], "<i8"), np.array([i is None for i in ids], bool)
+
+
+def _block(number: int, ids: list[int | None], texts: list[str]):
+    """The rows of a block, as an Arrow batch."""
+    import pyarrow as pa
+
+    lists, word_ends, word_docs, vocabulary = _indexed(texts)
+    names, docs, words = list(lists), [d.tobytes() for d, _ in lists.values()], [w.tobytes() for _, w in lists.values()]
     none = [None] * len(names)
-    known = np.array([0 if i is None else i for i in ids], "<i8")
+    known, null = _named(ids)
     columns = [
         pa.array([number] * (len(names) + 1), pa.int64()), pa.array([*names, None], pa.string()), pa.array([*docs, word_docs.tobytes()], pa.binary()), pa.array([*words, word_ends.astype("<i8").tobytes()], pa.binary()),
-        pa.array([*none, known.tobytes()], pa.binary()), pa.array([*none, np.array([i is None for i in ids]).tobytes()], pa.binary()), pa.array([*none, vocabulary], pa.list_(pa.string())),
+        pa.array([*none, known.tobytes()], pa.binary()), pa.array([*none, null.tobytes()], pa.binary()), pa.array([*none, vocabulary], pa.list_(pa.string())),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["block", "gram", "docs", "words", "ids", "no_ids", "vocabulary"])
 
 
+def _blocks(rows) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts of blocks, from Arrow scalars of ids and texts."""
+    ids, texts, size = [], [], 0
+    for i, t in rows:
+        t = t.as_py() or ""
+        if ids and (size + len(t) > BLOCK_CHARS or len(ids) >= BLOCK_DOCS):
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(i.as_py())
+        texts.append(t)
+        size += len(t)
+    if ids:
+        yield ids, texts
+
+
 def postings(docs: DataFrame, text: Column) -> DataFrame:
     """The index of ``docs`` (id and what ``text`` needs): one pass, without a shuffle.
 
@@ -108,18 +137,9 @@ def postings(docs: DataFrame, text: Column) -> DataFrame:
     from pyspark import TaskContext
 
     def run(batches):
-        number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in batches:
-            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                t = t or ""
-                if ids and (size + len(t) > BLOCK_CHARS or len(ids) >= BLOCK_DOCS):
-                    yield _block(number, ids, texts)
-                    number, ids, texts, size = number + 1, [], [], 0
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
-        if ids:
-            yield _block(number, ids, texts)
+        first = TaskContext.get().partitionId() << 32
+        for n, block in enumerate(_blocks((i, t) for batch in batches for i, t in zip(batch.column("id"), batch.column("text"), strict=True))):
+            yield _block(first + n, *block)
 
     return map_arrow(docs.select(F.col("id").cast("long").alias("id"), text.alias("text")), run, _INDEX)
 
@@ -257,20 +277,56 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if best and best.held:
             yield best.batch()
 
-    legs = map_arrow(units, run, "query_id long, id long, sparse_score double")
+    return _ranked(map_arrow(units, run, "query_id long, id long, sparse_score double"), k)
+
+
+def _ranked(legs: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.desc("sparse_score"), F.asc("id"))
     return legs.withColumn("sparse_rank", F.row_number().over(order)).where(F.col("sparse_rank") <= k)
 
 
 def sparse_topk_batch(docs: DataFrame, queries: DataFrame, text: Column, k: int) -> DataFrame:
-    """``search`` of ``docs`` by an index that is written into the shared folder first.
+    """As ``search``, of ``docs`` (id and what ``text`` needs) by one batch of queries alone.
 
-    A table that is read in fewer tasks than there are shuffle partitions is dealt out to these, so that a small one is
-    indexed by all cores; a larger one is indexed where it is read.
+    Documents are dealt to the lines and queries to the columns of a grid, each cell of which is a task. It holds the tokens
+    of its queries, of bounded number; documents pass them once, block by block, each with the lists that these tokens ask
+    for. Lists are neither written nor sent, only the first ``k`` of a query and line are.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.repartition(n) if docs.rdd.getNumPartitions() < n else docs
-    path = f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}"
-    write_postings(docs, text, path)
-    return search(spark.read.parquet(path), queries, k)
+    n, groups = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-queries.count() // GROUP))
+    columns = -(-groups // HELD)
+    lines = max(1, n // columns)
+    tokens = X.query_tokens(queries.select(F.col("query_id").cast("long").alias("query_id"), "query").where("query IS NOT NULL"))
+    tokens = tokens.select(F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("part"), "query_id", "token", "weight")
+    docs = docs.select(F.col("id").cast("long").alias("id"), text.alias("text"))
+    line = F.pmod(F.xxhash64("id", "text"), F.lit(lines)).cast("int")
+    asked = tokens.select(F.explode(F.sequence(F.lit(0), F.lit(lines - 1))).alias("line"), "*")
+    asked = asked.select((F.col("line") * columns + F.col("part") % columns).alias("cell"), *tokens.columns)
+    passing = docs.select(F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"), line.alias("line"), "*")
+    passing = passing.select((F.col("line") * columns + F.col("column")).alias("cell"), "id", "text")
+    dealt = asked.unionByName(passing, allowMissingColumns=True).repartitionById(lines * columns, F.col("cell"))
+
+    def run(batches):
+        parts: dict[int, dict[str, list[tuple[int, float]]]] = {}
+
+        def rows():
+            for batch in batches:  # tokens come before documents
+                first = batch.column("token").is_valid()
+                some = batch.filter(first)
+                for part, query, token, weight in zip(*(some.column(c).to_pylist() for c in ("part", "query_id", "token", "weight")), strict=True):
+                    parts.setdefault(part, {}).setdefault(token, []).append((query, weight))
+                if some.num_rows < batch.num_rows and parts:
+                    some = batch.slice(some.num_rows)
+                    yield from zip(some.column("id"), some.column("text"), strict=True)
+
+        best, wanted = _Best(k), set()
+        for ids, texts in _blocks(rows()):
+            wanted = wanted or {t[i : i + 2] for asked in parts.values() for t in asked for i in range(max(1, len(t) - 1))}
+            lists, *held = _indexed(texts, wanted)
+            for asked in parts.values():
+                _score(lists, {t: q for t, q in asked.items() if t[:2] in lists}, (held[0], held[1], *_named(ids), held[2]), best)
+        if best.held:
+            yield best.batch()
+
+    dealt = dealt.sortWithinPartitions(F.col("token").isNull()).drop("cell")
+    return _ranked(map_arrow(dealt, run, "query_id long, id long, sparse_score double"), k)
