@@ -185,6 +185,25 @@ def test_one_batch_writes_no_index_and_finds_what_a_written_one_does(spark, tmp_
     assert "vocabulary" not in plan and "docs#" not in plan  # no list of documents is read or sent
 
 
+@pytest.mark.parametrize("table", [0, 1 << 23])
+def test_blocks_pass_by_a_tree_of_tokens(monkeypatch, table):
+    monkeypatch.setattr(I, "TABLE", table)
+    r = random.Random(13)
+    line = lambda n: "".join(r.choice(["ab", "abc", "b", "bcab", "\u00e9", "\uac00\ub098", "\U0001f642", "zz"]) + r.choice(["", "", " ", "\u3000"]) for _ in range(n))
+    parts = {p: {} for p in (0, 2)}
+    for q in range(9):
+        for t, w in X.token_weights(line(6)).items():
+            parts[2 * (q % 2)].setdefault(t, []).append((q, w))
+    tokens, best, texts = I._Tokens(parts), I._Best(6), [line(r.randint(0, 9)) for _ in range(80)]
+    assert (tokens.table is None) == (table == 0)
+    for at in range(0, 80, 30):
+        I._pass(texts[at : at + 30], *I._named(list(range(at, min(80, at + 30)))), tokens, best)
+    for q in range(9):
+        scores, ids, _ = best.held[q]
+        wanted = sorted(x for x in [(-sum(w for t, own in parts[2 * (q % 2)].items() for o, w in own if o == q and t in d), i) for i, d in enumerate(texts)] if x[0])[:6]
+        assert [(-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True)] == wanted
+
+
 def test_order_of_partitions_does_not_matter(spark):
     docs = spark.createDataFrame([(i, f"word{i % 3} common") for i in range(60)], "id long, text string")
     a = rows(S.sparse_topk(docs, "word1 common", F.col("text"), 7))

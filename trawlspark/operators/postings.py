@@ -21,9 +21,11 @@ from ..functions import text as X
 from ..workers import map_arrow
 
 #: Characters and documents of a block at most (one document may be longer), and queries that are scored together.
-BLOCK_CHARS, BLOCK_DOCS, GROUP = 3 << 19, 1 << 16, 256
+BLOCK_CHARS, BLOCK_DOCS, GROUP = 3 << 19, 1 << 13, 256
 #: Groups of queries that documents pass by together; more of them are dealt to more columns of the grid.
 HELD = 8
+#: Nodes times characters of a tree of tokens that is walked by a table; a larger one is searched.
+TABLE = 1 << 23
 _INDEX = "block long, gram string, docs binary, words binary, ids binary, no_ids binary, vocabulary array<string>"
 _SHIFT = 21  # bits of a code point
 
@@ -61,12 +63,18 @@ def _words(texts: list[str]):
     return runs.take(pa.array(np.arange(0, len(runs), 2))), np.searchsorted(ends, turns[::2], "right")
 
 
-def _indexed(texts: list[str], wanted: set[str] | None = None):
-    """(lists, word_ends, word_docs, vocabulary) of a block: for each gram, or each wanted one, its documents and its words."""
+def _distinct(texts: list[str]):
+    """The distinct words of a block, and where in the list of places of their documents each word's begin and end."""
     found, owner = _words(texts)
     coded = found.dictionary_encode()
-    vocabulary = coded.dictionary.to_pylist()
     _, word_ends, word_docs = _lists(coded.indices.to_numpy(), owner) if len(owner) else (None, np.zeros(1, np.int64), np.zeros(0, "<i4"))
+    return coded.dictionary, word_ends, word_docs
+
+
+def _indexed(texts: list[str]):
+    """(lists, word_ends, word_docs, vocabulary) of a block: for each gram its documents and its words."""
+    words, word_ends, word_docs = _distinct(texts)
+    vocabulary = words.to_pylist()
     grams, gram_words, gram_ends = np.zeros(0, np.int64), np.zeros(0, "<i4"), np.zeros(1, np.int64)
     if vocabulary:
         letters = _points(" ".join(vocabulary) + " ").astype(np.int64)
@@ -82,15 +90,12 @@ def _indexed(texts: list[str], wanted: set[str] | None = None):
         _, gram_ends, gram_words = _lists(numbers, np.concatenate([of[alone], of[at]]))
     lists = {}
     for g, a, b in zip(grams.tolist(), gram_ends[:-1].tolist(), gram_ends[1:].tolist(), strict=True):
-        name = chr(g >> _SHIFT) + chr(g & ((1 << _SHIFT) - 1)) if g >> _SHIFT else chr(g)
-        if wanted is not None and name not in wanted:
-            continue
         held = gram_words[a:b]
         mark = np.zeros(len(texts), bool)
         counts = word_ends[held + 1] - word_ends[held]
         places = np.repeat(word_ends[held] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         mark[word_docs[places]] = True
-        lists[name] = np.flatnonzero(mark).astype("<i4"), held
+        lists[chr(g >> _SHIFT) + chr(g & ((1 << _SHIFT) - 1)) if g >> _SHIFT else chr(g)] = np.flatnonzero(mark).astype("<i4"), held
     return lists, word_ends, word_docs, vocabulary
 
 
@@ -232,6 +237,85 @@ def _score(rows: dict, asked: dict[str, list[tuple[int, float]]], block, best: _
             best.add(q, own[few], ids[few], null[few])
 
 
+class _Tokens:
+    """The tokens of a task's queries as a tree of characters, and each group's queries and weights."""
+
+    def __init__(self, parts: dict[int, dict[str, list[tuple[int, float]]]]):
+        names = sorted({t for asked in parts.values() for t in asked})
+        self.at = {t: n for n, t in enumerate(names)}
+        letters = np.unique(_points("".join(names)))
+        self.letter = np.zeros(0x110000, np.int32)  # 0: a character of no token
+        self.letter[letters] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        nodes, keys, self.ends = {"": 0}, {}, [-1]
+        for token in names:  # a node is named by what leads to it
+            for n in range(1, len(token) + 1):
+                if token[:n] not in nodes:
+                    keys[nodes[token[: n - 1]] * self.width + int(self.letter[ord(token[n - 1])])] = nodes[token[:n]] = len(nodes)
+                    self.ends.append(-1)
+            self.ends[nodes[token]] = self.at[token]
+        self.ends, self.keys = np.array(self.ends, np.int64), np.array(sorted(keys), np.int64)
+        self.nodes = np.array([keys[x] for x in self.keys.tolist()], np.int64)
+        self.table = None
+        if len(self.ends) * self.width <= TABLE:
+            self.table = np.zeros(len(self.ends) * self.width, np.int32)
+            self.table[self.keys] = self.nodes
+        self.parts = []
+        for asked in parts.values():
+            queries = np.array(sorted({q for own in asked.values() for q, _ in own}), np.int64)
+            rows = [(q, self.at[t], w) for t, own in asked.items() for q, w in own]
+            own = np.unique([r[1] for r in rows])
+            weights = np.zeros((len(queries), len(own)), np.float32)
+            weights[np.searchsorted(queries, [r[0] for r in rows]), np.searchsorted(own, [r[1] for r in rows])] = [r[2] for r in rows]
+            self.parts.append((queries.tolist(), own, weights))
+
+    def _next(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The nodes that letters lead to, 0 where there are none."""
+        keys = nodes * self.width + letters
+        if self.table is not None:
+            return self.table[keys]
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[place] == keys, self.nodes[place], 0)
+
+    def found(self, words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(tokens, words): which of an Arrow array of words hold which tokens, for tokens of each length in turn."""
+        points = _points(" ".join(words.to_pylist()) + " ")
+        letters, of = self.letter[points], np.cumsum(np.append(0, points[:-1] == ord(" ")))  # a blank is in no token
+        at, node = np.arange(len(letters)), self._next(np.zeros(len(letters), np.int64), letters)
+        while True:
+            alive = np.flatnonzero(node)
+            if not len(alive):
+                return
+            at, node = at[alive], node[alive].astype(np.int64)
+            ends = self.ends[node]
+            yield ends[ends >= 0], of[at[ends >= 0]]
+            at = at + 1
+            node = self._next(node, letters[at])
+
+
+def _pass(texts: list[str], ids: np.ndarray, null: np.ndarray, tokens: _Tokens, best: _Best) -> None:
+    """Put the documents of a block among the best of each query. Weights are halves, so single precision sums them exactly."""
+    words, word_ends, word_docs = _distinct(texts)
+    slab = max(1, (8 << 20) // max(len(tokens.at), 1))  # documents at a time, for a bounded matrix
+    hits = [x for x in tokens.found(words) if len(x[0])]
+    for first in range(0, len(ids), slab):
+        n = min(slab, len(ids) - first)
+        holds = np.zeros((len(tokens.at), n), np.float32)
+        for token, word in hits:
+            for a in range(0, len(token), 1 << 20):
+                counts = word_ends[word[a : a + (1 << 20)] + 1] - word_ends[word[a : a + (1 << 20)]]
+                places = np.repeat(word_ends[word[a : a + (1 << 20)]] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                docs = word_docs[places] - first
+                inside = slice(None) if n == len(ids) else (docs >= 0) & (docs < n)
+                holds[np.repeat(token[a : a + (1 << 20)], counts)[inside], docs[inside]] = 1
+        for queries, some, weights in tokens.parts:
+            for q, own in zip(queries, weights @ (holds if len(some) == len(holds) else holds[some]), strict=True):
+                least = max(best.least(q), np.partition(own, -best.k)[-best.k] if len(own) > best.k else 0)
+                few = np.flatnonzero((own >= least) & (own > 0))
+                if len(few):
+                    best.add(q, own[few], ids[first : first + n][few], null[first : first + n][few])
+
+
 def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, sparse_score, sparse_rank): the first ``k`` documents of each of ``queries`` (query_id, query), scored by
     the weights of the query's tokens that they hold; ties by id, null first. Documents without any have no row.
@@ -289,8 +373,9 @@ def sparse_topk_batch(docs: DataFrame, queries: DataFrame, text: Column, k: int)
     """As ``search``, of ``docs`` (id and what ``text`` needs) by one batch of queries alone.
 
     Documents are dealt to the lines and queries to the columns of a grid, each cell of which is a task. It holds the tokens
-    of its queries, of bounded number; documents pass them once, block by block, each with the lists that these tokens ask
-    for. Lists are neither written nor sent, only the first ``k`` of a query and line are.
+    of its queries, of bounded number, as a tree; documents pass them once, block by block. Each distinct word of a block goes
+    down the tree from each of its characters, and what documents the words are in gives a matrix of tokens by documents.
+    Nothing is written, and only the first ``k`` of a query and line are sent.
     """
     spark = docs.sparkSession
     n, groups = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-queries.count() // GROUP))
@@ -319,12 +404,10 @@ def sparse_topk_batch(docs: DataFrame, queries: DataFrame, text: Column, k: int)
                     some = batch.slice(some.num_rows)
                     yield from zip(some.column("id"), some.column("text"), strict=True)
 
-        best, wanted = _Best(k), set()
+        best, tokens = _Best(k), None
         for ids, texts in _blocks(rows()):
-            wanted = wanted or {t[i : i + 2] for asked in parts.values() for t in asked for i in range(max(1, len(t) - 1))}
-            lists, *held = _indexed(texts, wanted)
-            for asked in parts.values():
-                _score(lists, {t: q for t, q in asked.items() if t[:2] in lists}, (held[0], held[1], *_named(ids), held[2]), best)
+            tokens = tokens or _Tokens(parts)
+            _pass(texts, *_named(ids), tokens, best)
         if best.held:
             yield best.batch()
 
