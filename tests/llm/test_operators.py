@@ -1,6 +1,7 @@
 """Small cases of every operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -753,6 +754,23 @@ def test_boilerplate_makes_rows_in_proportion(spark):
         assert [near_dedup.coordinates_of(p) for _, p in shared].count([2, at[0]]) == 1 and len(at) + 1 == matches
 
 
+def test_lists_that_agree_in_most_coordinates_are_not_split(spark):
+    """Posted again, such a list would be as many lists of its own length; dealt as it is, every two classes meet once each way."""
+    import pandas as pd
+
+    n = 3_000
+    signature = np.tile(np.arange(near_dedup.COORDINATES) + 10, (n, 1))
+    classes = spark.createDataFrame(pd.DataFrame({"node": np.arange(n), "coordinates": list(signature)}), "node long, coordinates array<long>")
+    lists = classes.select(F.lit(7).cast("long").alias("term"), F.lit(3).cast("long").alias("at"), "node", F.col("node").alias("part"))
+    met = near_dedup._met(lists, classes).cache()
+    assert met.count() <= 30 * n
+    assert met.select("term", "at").distinct().count() == 1
+    some = met.where("node % 500 = 0").collect()
+    for a, b in itertools.permutations(range(0, n - 1, 500), 2):
+        down = {(x["i"], x["j"]) for x in some if x["node"] == a and x["is_row"]}
+        assert len(down & {(x["i"], x["j"]) for x in some if x["node"] == b and not x["is_row"]}) == 1
+
+
 def test_candidates_against_a_plain_count():
     r = np.random.default_rng(3)
     signature = r.integers(0, 3, (40, near_dedup.COORDINATES))

@@ -17,10 +17,12 @@ of another component; a second visit brings the full sets of these and links com
 links that tie further components do, and yet no link between components is lost.
 
 A list with more than ``SPLIT`` blocks of classes outside its largest component, as a passage that very many documents
-share makes, isn't dealt to blocks but split: a pair that collides there first must collide a second time at a later
+share makes, is split where that saves work: a pair that collides there first must collide a second time at a later
 coordinate, so the list's classes are posted again under each later (coordinate, value), and then once more if need be.
-So a posting goes to 2 * ``SPLIT`` + 1 blocks at most, unless ``MATCHES`` collisions are fixed: in such a list every two
-classes are a candidate pair, which has to be looked at by any order of work.
+Where classes agree in most coordinates, as short texts round one passage do, each of these lists is about as long as the
+one that it comes from. So what is posted again is counted first, and the list is dealt to blocks as it is if its pairs
+wouldn't become fewer by half; every two classes of such a list are a candidate pair, or nearly so, which has to be
+looked at by any order of work.
 
 Members of sets are 64-bit hashes of the pairs of words.
 """
@@ -28,6 +30,7 @@ Members of sets are 64-bit hashes of the pairs of words.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -42,10 +45,14 @@ AGREE = 96
 PERCENT = 80
 #: Up to so many 8-byte ids are sent to every executor to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
-#: Classes of a list that meet those of another block.
-BLOCK = 256
-#: Blocks of classes outside a list's largest component, beyond which the list is split by the next collision.
-SPLIT = 8
+#: Classes that are held against one center in one place, and by how much more of them meet those of another block in a list.
+BLOCK, SIDE = 256, 4
+#: Blocks of classes outside a list's largest component, beyond which the list is split by the next collision if that pays.
+SPLIT = 2
+#: What a row costs that is posted or dealt, as a number of pairs of signatures that are held against each other.
+ROW_COST = 256
+#: Pairs that are looked at together.
+PAIRS = 1 << 16
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
@@ -167,7 +174,11 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def overlaps(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Two sorted sets have ``percent`` of their union in common."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    merged = np.concatenate([x, y])
+    merged.sort()
+    both = np.count_nonzero(merged[1:] == merged[:-1])
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
@@ -213,6 +224,44 @@ def coordinates_of(path: int) -> list[int]:
     return found
 
 
+def _near(x: np.ndarray, y: np.ndarray, at: np.ndarray, rows: tuple, columns: tuple, percent: int, matches: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, collisions) of the pairs (``x``, ``y``) that are ``candidates`` in the lists with the paths ``at``, one for each row."""
+    node, part, _, n, bits, signature = rows
+    node2, part2, inside2, n2, bits2, signature2 = columns
+    able = part[x] != part2[y]
+    able &= ~inside2[y] | (node[x] < node2[y])
+    able &= 100 * np.minimum(n[x], n2[y]) >= percent * np.maximum(n[x], n2[y])
+    x, y = x[able], y[able]
+    differing = np.bitwise_count(bits[x] ^ bits2[y]).sum(axis=1, dtype=np.int64)
+    x, y = x[differing <= HASHES - AGREE], y[differing <= HASHES - AGREE]
+    same = signature[x] == signature2[y]
+    count = same.sum(axis=1)
+    own = np.flatnonzero(count >= matches)
+    x, y, count, same, path = x[own], y[own], count[own], same[own], at[x[own]]
+    good = np.ones(len(x), bool)
+    for place in reversed(range(MATCHES)):
+        coordinate = ((path >> (6 * place)) & 63) - 1  # below 0 where the path is shorter
+        known = np.flatnonzero(coordinate >= 0)
+        good[known] &= same[known].argmax(axis=1) == coordinate[known]  # the first one; then the first of those after it
+        same[known, coordinate[known]] = False
+    return x[good], y[good], count[good]
+
+
+def _all_near(group: np.ndarray, group2: np.ndarray, at: np.ndarray, rows: tuple, columns: tuple, percent: int, matches: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_near`` for each row with each column of its group, ``PAIRS`` at a time; groups are whole numbers that don't fall."""
+    first = np.searchsorted(group2, group)
+    many = np.searchsorted(group2, group, side="right") - first
+    ends, found, a = np.cumsum(many), [], 0
+    while a < len(group):
+        before = ends[a] - many[a]
+        b = max(a + 1, int(np.searchsorted(ends, before + PAIRS, side="right")))
+        x = np.repeat(np.arange(a, b), many[a:b])
+        y = np.arange(len(x)) - np.repeat(ends[a:b] - many[a:b] - before, many[a:b]) + first[x]
+        found.append(_near(x, y, at, rows, columns, percent, matches))
+        a = b
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
 def candidates(at: int, rows: tuple[np.ndarray, ...], columns: tuple[np.ndarray, ...], percent: int, matches: int = MATCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, collisions) of the pairs of different parts that may be near and whose first collisions are those of ``at``.
 
@@ -220,64 +269,61 @@ def candidates(at: int, rows: tuple[np.ndarray, ...], columns: tuple[np.ndarray,
     ``rows`` and ``columns`` are (node, part, inside, n, bits, coordinates), all in the list of that path. Of a
     pair that is in both, once each way round, the one with the smaller node in the rows counts.
     """
-    node, part, _, n, bits, signature = rows
-    node2, part2, inside2, n2, bits2, signature2 = columns
-    able = (part[:, None] != part2[None, :]) & (~inside2[None, :] | (node[:, None] < node2[None, :]))
-    able &= 100 * np.minimum(n[:, None], n2[None, :]) >= percent * np.maximum(n[:, None], n2[None, :])
-    x, y = np.nonzero(able)
-    differing = np.bitwise_count(bits[x] ^ bits2[y]).sum(axis=1, dtype=np.int64)
-    x, y = x[differing <= HASHES - AGREE], y[differing <= HASHES - AGREE]
-    same = signature[x] == signature2[y]
-    count = same.sum(axis=1)
-    own = count >= matches
-    for coordinate in coordinates_of(at):
-        own &= same.argmax(axis=1) == coordinate  # the first one; then the first of those after it
-        same[:, coordinate] = False
-    return x[own], y[own], count[own]
+    r, c = len(rows[0]), len(columns[0])
+    return _all_near(np.zeros(r, np.int64), np.zeros(c, np.int64), np.full(r, at), rows, columns, percent, matches)
 
 
 #: What a class brings to a block: the block, the path of its list, what it is there, and its signature.
 _MET = "term long, i int, j int, at long, is_row boolean, node long, part long, inside boolean, n long, bits array<long>, coordinates array<long>"
 
 
-def _groups(batches: Iterator, key: tuple[str, ...]) -> Iterator:
-    """Tables of the rows with one key each, from batches that are sorted by it."""
+def _stretches(batches: Iterator, key: tuple[str, ...]) -> Iterator:
+    """(table, group of each row): whole groups of the rows with one key each, from batches that are sorted by it."""
     import pyarrow as pa
 
+    def whole(held: list) -> tuple:
+        table = pa.Table.from_batches([batch for batch, _ in held]).combine_chunks()
+        keys = np.concatenate([keys for _, keys in held])
+        return table, np.cumsum(np.r_[False, (keys[1:] != keys[:-1]).any(axis=1)])
+
     held: list = []
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in key])
-        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(starts, starts[1:], strict=False):
-            if held and not (held[-1][1] == keys[a]).all():
-                yield pa.Table.from_batches([h[0] for h in held]).combine_chunks()
-                held = []
-            held.append((batch.slice(a, b - a), keys[a]))
+        last = int((keys != keys[-1]).any(axis=1).nonzero()[0].max(initial=-1)) + 1  # where the last group starts
+        if held and (last or (held[-1][1][-1] != keys[0]).any()):
+            if last:
+                held.append((batch.slice(0, last), keys[:last]))
+            yield whole(held)
+            held = []
+        elif last:
+            yield whole([(batch.slice(0, last), keys[:last])])
+        held.append((batch.slice(last), keys[last:]))
     if held:
-        yield pa.Table.from_batches([h[0] for h in held]).combine_chunks()
+        yield whole(held)
 
 
-def _sides(group) -> tuple[int, list[tuple[np.ndarray, ...]], list[np.ndarray]]:
-    """The path of a block's list, its rows and columns for ``candidates``, and the places of both in ``group``."""
-    plain = [group.column(c).to_numpy() for c in ("node", "part", "inside", "n")]
-    wide = [group.column(c).combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1) for c in ("bits", "coordinates")]
+def _candidates(table, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, collisions): the ``candidates`` of all blocks in ``table``, as places there."""
+    plain = [table.column(c).to_numpy() for c in ("node", "part", "inside", "n")]
+    wide = [table.column(c).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1) for c in ("bits", "coordinates")]
     everything = (*plain, wide[0].view(np.uint64), wide[1])  # bits are counted of whole numbers without a sign
-    is_row = group.column("is_row").to_numpy()
-    where = [np.flatnonzero(is_row), np.flatnonzero(~is_row)]
-    return group.column("at")[0].as_py(), [tuple(c[w] for c in everything) for w in where], where
+    is_row, at = table.column("is_row").to_numpy(), table.column("at").to_numpy()
+    down, along = np.flatnonzero(is_row), np.flatnonzero(~is_row)
+    sides = [tuple(c[w] for c in everything) for w in (down, along)]
+    x, y, count = _all_near(group[down], group[along], at[down], *sides, percent, MATCHES)
+    return down[x], along[y], count
 
 
 def _promising(percent: int) -> Callable:
     """First visit of the blocks: the classes that are in any candidate pair there."""
 
     def visit(batches: Iterator) -> Iterator:
-        for group in _groups(batches, ("term", "i", "j")):
-            at, (rows, columns), where = _sides(group)
-            x, y, _ = candidates(at, rows, columns, percent)
+        for table, group in _stretches(batches, ("term", "i", "j")):
+            x, y, _ = _candidates(table, group, percent)
             if len(x):
-                yield from group.take(np.unique(np.concatenate([where[0][x], where[1][y]]))).to_batches()
+                yield from table.take(np.unique(np.concatenate([x, y]))).to_batches()
 
     return visit
 
@@ -287,24 +333,26 @@ def _linking(percent: int) -> Callable:
     import pyarrow as pa
 
     def visit(batches: Iterator) -> Iterator:
-        for group in _groups(batches, ("term", "i", "j")):
-            has = group.column("members").is_valid().to_numpy()
-            sets = {n: np.frombuffer(m, np.uint64) for n, m in zip(group.column("node").to_numpy()[has], group.column("members").filter(has).to_pylist(), strict=True)}
-            at, (rows, columns), _ = _sides(group.filter(~has))
-            x, y, count = candidates(at, rows, columns, percent)
-            root: dict[int, int] = {}
-
-            def find(part: int) -> int:
-                while (up := root.get(part, part)) != part:
-                    root[part] = part = root.get(up, up)
+        for table, group in _stretches(batches, ("term", "i", "j")):
+            has = table.column("members").is_valid().to_numpy()
+            raw = table.column("members").filter(pa.array(has)).to_pylist()
+            sets = {(g, n): np.frombuffer(m, np.uint64) for g, n, m in zip(group[has].tolist(), table.column("node").to_numpy()[has].tolist(), raw, strict=True)}
+            table, group = table.filter(pa.array(~has)), group[~has]
+            x, y, count = _candidates(table, group, percent)
+            node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
+            order = np.lexsort((-count, group[x]))  # block by block
+            root: dict[tuple[int, int], int] = {}
+
+            def find(block: int, part: int) -> int:
+                while (up := root.get((block, part), part)) != part:
+                    root[block, part] = part = root.get((block, up), up)
                 return part
 
             links = []
-            for k in np.argsort(-count, kind="stable"):
-                u, v = int(rows[1][x[k]]), int(columns[1][y[k]])
-                a, b = find(u), find(v)
-                if a != b and overlaps(sets[rows[0][x[k]]], sets[columns[0][y[k]]], percent):
-                    root[a] = b
+            for block, u, v, n, m in zip(*(c.tolist() for c in (group[x[order]], part[x[order]], part[y[order]], node[x[order]], node[y[order]])), strict=True):
+                a, b = find(block, u), find(block, v)
+                if a != b and overlaps(sets[block, n], sets[block, m], percent):
+                    root[block, a] = b
                     links.append((u, v))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["u", "v"])
@@ -317,19 +365,27 @@ def _mixed(lists: DataFrame) -> DataFrame:
     of blocks ``down`` (of the classes inside) and ``along`` (of all)."""
     sizes = lists.groupBy("term", "part").agg(F.count("*").alias("n")).groupBy("term")
     sizes = sizes.agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    blocks = lambda n: F.ceil(n / F.lit(SIDE * BLOCK)).cast("int")
     sizes = sizes.select("term", F.col("most.part").alias("main"), blocks(F.col("size") - F.col("most.n")).alias("down"), blocks(F.col("size")).alias("along"))
     return lists.join(cut(sizes), "term").withColumn("inside", F.col("part") != F.col("main")).drop("main")
 
 
 def _split(lists: DataFrame, classes: DataFrame, fixed: int) -> DataFrame:
-    """``lists`` of which ``fixed`` collisions are known, posted again under each later coordinate that can be the next one."""
+    """``lists`` of which ``fixed`` collisions are known, posted again under each later coordinate that can be the next one; ``parent`` is the term before."""
     known = F.col("at") % 64  # the last known coordinate and one
     rows = lists.select("term", "at", "node", "part").join(classes.select("node", "coordinates"), "node")
     later = F.slice("coordinates", known.cast("int") + 1, F.greatest(F.lit(0), F.lit(COORDINATES - MATCHES + fixed + 1) - known.cast("int")))
     rows = rows.select("term", "at", "node", "part", known.alias("known"), F.posexplode(later).alias("after", "value"))
     at = F.col("at") * 64 + F.col("known") + F.col("after") + 1
-    return rows.select(F.xxhash64("term", at, "value").alias("term"), at.alias("at"), "node", "part")
+    return rows.select(F.xxhash64("term", at, "value").alias("term"), at.alias("at"), "node", "part", F.col("term").alias("parent"))
+
+
+def _paying(large: DataFrame, posted: DataFrame) -> DataFrame:
+    """The terms (parent) of the lists ``large`` whose mixed lists, ``posted`` again, cost half of what they do at most."""
+    cost = (F.sum(F.col("inside").cast("long")) + F.lit(ROW_COST)) * F.count("*")
+    own = large.groupBy(F.col("term").alias("parent")).agg(cost.alias("cost"))
+    then = posted.groupBy("parent", "term").agg(cost.alias("cost")).groupBy("parent").agg(F.sum("cost").alias("then"))
+    return cut(own.join(then, "parent", "left").where(2 * F.coalesce("then", F.lit(0)) <= F.col("cost")).select("parent"))
 
 
 def _met(lists: DataFrame, classes: DataFrame) -> DataFrame:
@@ -338,16 +394,21 @@ def _met(lists: DataFrame, classes: DataFrame) -> DataFrame:
     own_i, own_j = F.pmod(F.xxhash64("node"), F.col("down")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("along")).cast("int")
     as_row = F.when(F.col("inside"), F.transform(F.sequence(F.lit(0), F.col("along") - 1), lambda j: place(own_i, j, True))).otherwise(F.array().cast("array<struct<i:int,j:int,is_row:boolean>>"))
     as_column = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: place(i, own_j, False))
-    out = None
-    for fixed in range(1, MATCHES + 1):
-        mixed = _mixed(lists)
-        large = cut(mixed.where(F.col("down") > SPLIT)) if fixed < MATCHES else None
-        dealt = mixed.where(F.col("down") <= SPLIT) if large else mixed
-        dealt = dealt.select("term", "at", "node", "part", "inside", F.inline(F.concat(as_row, as_column)))
-        out = dealt if out is None else out.union(dealt)
-        if large is None or large.isEmpty():
-            return out
-        lists = cut(_split(large, classes, fixed))
+
+    def dealt(mixed: DataFrame) -> DataFrame:
+        return mixed.select("term", "at", "node", "part", "inside", F.inline(F.concat(as_row, as_column)))
+
+    mixed, out = _mixed(lists), []
+    for fixed in range(1, MATCHES):
+        large = cut(mixed.where(F.col("down") > SPLIT))
+        out.append(dealt(mixed.where(F.col("down") <= SPLIT)))
+        if large.isEmpty():
+            return reduce(DataFrame.union, out)
+        posted = cut(_mixed(cut(_split(large, classes, fixed))))
+        paying = _paying(large, posted)
+        out.append(dealt(large.join(paying.withColumnRenamed("parent", "term"), "term", "left_anti")))
+        mixed = posted.join(paying, "parent", "left_semi")
+    return reduce(DataFrame.union, [*out, dealt(mixed)])
 
 
 def _across(classes: DataFrame, shared: DataFrame, parts: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
