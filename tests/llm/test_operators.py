@@ -754,6 +754,22 @@ def test_boilerplate_makes_rows_in_proportion(spark):
         assert [near_dedup.coordinates_of(p) for _, p in shared].count([2, at[0]]) == 1 and len(at) + 1 == matches
 
 
+def test_shingles_of_many_texts_at_once():
+    """Long and short words, marks, every white space, and texts of one word or none, beside each other and alone."""
+    r = random.Random(12)
+    texts = [*(bytes(r.choice(b"abAB\xc3\xa9\x00 \t\n\x0b\x0c\r") for _ in range(r.randint(0, 60))) for _ in range(800)), b"x" * 64 + b" " + b"X" * 65 + b" y", b"x" * 65]
+    words = [t.lower().split() for t in texts]
+    sets = near_dedup.shingle_sets(texts)
+    names = {}
+    for text, w, found in zip(texts, words, sets, strict=True):
+        plain = set(itertools.pairwise(w)) if len(w) > 1 else set(w)
+        assert len(found) == len(plain) and (np.diff(found.astype(object)) > 0).all()
+        assert (near_dedup.shingle_sets([text])[0] == found).all()
+        names.setdefault(frozenset(plain), found)
+    assert all((names[frozenset(itertools.pairwise(w)) if len(w) > 1 else frozenset(w)] == found).all() for w, found in zip(words, sets, strict=True))
+    assert len({found.tobytes() for found in sets}) == len(names)
+
+
 def test_lists_that_agree_in_most_coordinates_are_not_split(spark):
     """Posted again, such a list would be as many lists of its own length; dealt as it is, every two classes meet once each way."""
     import pandas as pd

@@ -51,31 +51,82 @@ BLOCK, SIDE = 256, 4
 SPLIT = 2
 #: What a row costs that is posted or dealt, as a number of pairs of signatures that are held against each other.
 ROW_COST = 256
-#: Pairs that are looked at together.
-PAIRS = 1 << 16
+#: Pairs that are looked at together, bytes of texts whose words are hashed together, and the longest words that are.
+PAIRS, STRETCH, LONG = 1 << 16, 1 << 22, 64
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _PICK = np.arange(COORDINATES * WIDTH).reshape(COORDINATES, WIDTH)
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first bytes of eight
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The set of a text: sorted distinct 64-bit hashes of its pairs of adjacent words, A-Z in lower case."""
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of all texts, A-Z in lower case; where each text's words end)."""
     from xxhash import xxh3_64_intdigest as digest
 
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.array([digest(w) for w in words], np.uint64)
-    if len(words) == 1:
-        return hashes
-    mixed = hashes[:-1] * _C1 + ((hashes[1:] << np.uint64(31)) | (hashes[1:] >> np.uint64(33))) * _C2
+    data = b"\n".join(texts).lower()
+    inside = np.concatenate([[False], ~_SPACE[np.frombuffer(data, np.uint8)], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))  # the eight bytes from each place on
+    hashes = sizes.astype(np.uint64) * _C3
+    some = np.flatnonzero(sizes <= LONG)
+    for k in range(0, LONG, 8):
+        part = eights[starts[some] + k] & _FIRST[np.minimum(sizes[some] - k, 8)]
+        part *= _C1
+        part ^= part >> np.uint64(32)
+        part *= _C2
+        part ^= hashes[some]
+        part ^= part >> np.uint64(29)
+        part *= _C3
+        part ^= part >> np.uint64(32)
+        hashes[some] = part
+        some = some[sizes[some] > k + 8]
+        if not len(some):
+            break
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        hashes[k] = digest(data[starts[k] : starts[k] + sizes[k]])
+    return hashes, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The sets of texts: sorted distinct 64-bit hashes of their pairs of adjacent words, A-Z in lower case."""
+    if not texts:
+        return []
+    hashes, ends = _words(texts)
+    mixed = hashes[:-1] * _C1
+    after = (hashes[1:] << np.uint64(31)) | (hashes[1:] >> np.uint64(33))
+    after *= _C2
+    mixed += after
     mixed ^= mixed >> np.uint64(29)
     mixed *= _C3
     mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+    sets, a = [], 0
+    for b in ends.tolist():
+        if b - a < 2:
+            sets.append(hashes[a:b].copy())
+        else:
+            pairs = mixed[a : b - 1].copy()
+            pairs.sort()
+            sets.append(pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])])
+        a = b
+    return sets
+
+
+def _together(column) -> Iterator[list[bytes]]:
+    """The texts of an Arrow column in stretches, of 512 or about ``STRETCH`` bytes."""
+    for at in range(0, len(column), 512):
+        some, size = [], 0
+        for text in as_bytes(column.slice(at, 512)):
+            if some and size + len(text) > STRETCH:
+                yield some
+                some, size = [], 0
+            some.append(text)
+            size += len(text)
+        yield some
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,13 +159,8 @@ def _signed(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             at = 0
-            while at < batch.num_rows:
-                column, sets, total = batch.column("text"), [], 0
-                for text in as_bytes(column.slice(at, 512)):
-                    sets.append(shingles(text))
-                    total += len(sets[-1])
-                    if total > 1 << 20:
-                        break
+            for texts in _together(batch.column("text")):
+                sets = shingle_sets(texts)
                 some = batch.slice(at, len(sets))
                 at += len(sets)
                 full = [k for k, s in enumerate(sets) if len(s)]
@@ -150,18 +196,22 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         seen: set[tuple] = set()
-        before, members, digest = None, b"", b""
         for batch in batches:
-            keep, found = [], []
-            rows = zip(as_bytes(batch.column("text")), batch.column("digest").to_pylist(), zip(*(batch.column(c).to_pylist() for c in carried), strict=True), strict=True)
-            for at, (text, own, place) in enumerate(rows):
-                if text != before:
-                    before, members = text, shingles(text).tobytes()
-                    digest = xxh3_128_digest(members)
-                if digest == own and place not in seen:
-                    seen.add(place)
-                    keep.append(at)
-                    found.append(members)
+            rows = zip(batch.column("digest").to_pylist(), zip(*(batch.column(c).to_pylist() for c in carried), strict=True), strict=True)
+            at, keep, found = 0, [], []
+            for texts in _together(batch.column("text")):
+                new = [k == 0 or text != texts[k - 1] for k, text in enumerate(texts)]
+                sets = iter(shingle_sets([text for text, is_new in zip(texts, new, strict=True) if is_new]))
+                for is_new in new:
+                    if is_new:
+                        members = next(sets).tobytes()
+                        digest = xxh3_128_digest(members)
+                    own, place = next(rows)
+                    if digest == own and place not in seen:
+                        seen.add(place)
+                        keep.append(at)
+                        found.append(members)
+                    at += 1
             some = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*(some.column(c) for c in carried), pa.array(found, pa.binary())], names=schema.names)
 
